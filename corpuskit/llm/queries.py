@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from corpuskit.llm import mixing, topk
+from corpuskit.llm import licenses, mixing, topk, warc
 
 QUERIES = {
+    "op2_warc": warc.op2_warc,
+    "op3_licenses": licenses.op3_licenses,
     "op6_mixing": mixing.op6_mixing,
     "op7_topk": topk.op7_topk,
 }
 
 ORACLES = {
+    "op2_warc": warc.ORACLE,
     "op6_mixing": mixing.ORACLE,
     "op7_topk": topk.ORACLE,
 }
