@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from corpuskit.llm import licenses, mixing, topk, warc
+from corpuskit.llm import language, licenses, mixing, topk, warc
 
 QUERIES = {
     "op2_warc": warc.op2_warc,
     "op3_licenses": licenses.op3_licenses,
     "op6_mixing": mixing.op6_mixing,
     "op7_topk": topk.op7_topk,
+    "op8_language": language.op8_language,
 }
 
 ORACLES = {
