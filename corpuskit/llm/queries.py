@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpuskit.llm import language, licenses, mixing, topk, warc
+from corpuskit.llm import language, licenses, mixing, pieces, topk, warc
 
 QUERIES = {
     "op2_warc": warc.op2_warc,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_mixing": mixing.op6_mixing,
     "op7_topk": topk.op7_topk,
     "op8_language": language.op8_language,
+    "op9_pieces": pieces.op9_pieces,
 }
 
 ORACLES = {
