@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from corpuskit.llm import language, licenses, mixing, pieces, substrings, topk, warc
+from corpuskit.llm import language, licenses, mixing, neardup, pieces, substrings, topk, warc
 
 QUERIES = {
     "op2_warc": warc.op2_warc,
     "op3_licenses": licenses.op3_licenses,
     "op4_substrings": substrings.op4_substrings,
+    "op5_neardup": neardup.op5_neardup,
     "op6_mixing": mixing.op6_mixing,
     "op7_topk": topk.op7_topk,
     "op8_language": language.op8_language,
