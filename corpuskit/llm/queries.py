@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpuskit.llm import language, licenses, mixing, neardup, pieces, substrings, topk, warc
+from corpuskit.llm import domain, language, licenses, mixing, neardup, pieces, substrings, topk, warc
 
 QUERIES = {
     "op2_warc": warc.op2_warc,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_topk": topk.op7_topk,
     "op8_language": language.op8_language,
     "op9_pieces": pieces.op9_pieces,
+    "op10_domain": domain.op10_domain,
 }
 
 ORACLES = {
