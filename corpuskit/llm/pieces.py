@@ -380,7 +380,7 @@ def encode(docs: DataFrame, model_file: str | None = None, text_col: str = "text
     """``docs`` with ``token_ids``; with ``check`` also ``round_trip``: decoding the ids gives the text again."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(Vocabulary(model_file or default_model()))
-    at_text = docs.columns.index(text_col)
+    names, at_text = docs.columns, docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value)
@@ -395,7 +395,7 @@ def encode(docs: DataFrame, model_file: str | None = None, text_col: str = "text
                     data, ends = encoder.decode(tokens, places)
                     buffer = data.tobytes()
                     columns.append(pa.array([buffer[i:j] == (t or "").encode() for i, j, t in zip(ends[:-1], ends[1:], texts, strict=True)]))
-                yield pa.RecordBatch.from_arrays(columns, [*docs.columns, "token_ids", *["round_trip"] * check])
+                yield pa.RecordBatch.from_arrays(columns, [*names, "token_ids", *["round_trip"] * check])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return docs.mapInArrow(run, f"{fields}, token_ids array<int>" + ", round_trip boolean" * check)
@@ -405,7 +405,7 @@ def decode(encoded: DataFrame, model_file: str | None = None, ids_col: str = "to
     """``encoded`` with ``decoded``: the text of its ids; ids beyond the vocabulary raise an error."""
     spark = encoded.sparkSession
     shared = spark.sparkContext.broadcast(Vocabulary(model_file or default_model()))
-    at_ids = encoded.columns.index(ids_col)
+    names, at_ids = encoded.columns, encoded.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value)
@@ -414,7 +414,7 @@ def decode(encoded: DataFrame, model_file: str | None = None, ids_col: str = "to
             sizes = np.asarray(lists.value_lengths().fill_null(0), dtype=np.int64)
             data, ends = encoder.decode(np.asarray(lists.flatten(), dtype=np.int32), np.concatenate(([0], np.cumsum(sizes))))
             buffer = data.tobytes()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([buffer[i:j].decode("utf-8", "replace") for i, j in zip(ends[:-1], ends[1:], strict=True)], pa.string())], [*encoded.columns, "decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([buffer[i:j].decode("utf-8", "replace") for i, j in zip(ends[:-1], ends[1:], strict=True)], pa.string())], [*names, "decoded"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
     return encoded.mapInArrow(run, f"{fields}, decoded string")
