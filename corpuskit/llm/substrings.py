@@ -35,7 +35,7 @@ from corpuskit.llm.common import Words, materialize, mix64, powers, seeded, text
 
 K, M = 35, 4
 #: Distinct runs of a bucket up to which it is sorted in one piece.
-HOT = 256
+HOT = 4096
 SLICE = 2 << 20
 _BASES = tuple(np.uint64(b) for b in (0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F))
 _INVERSES = tuple(np.uint64(pow(int(b), -1, 1 << 64)) for b in _BASES)
@@ -91,6 +91,23 @@ class Runs:
             return mix64((sums[begin + size] - sums[begin]) * powers(_INVERSES[which], n)[begin] + size.astype(np.uint64))
 
 
+class Joined:
+    """The words of a run of texts, each with one blank after it, end to end; word w is ``data[at[w]:at[w + 1] - 1]``."""
+
+    def __init__(self, words: Words, keep: np.ndarray | None = None):
+        starts, ends = (words.starts, words.ends) if keep is None else (words.starts[keep], words.ends[keep])
+        sizes = ends - starts + 1
+        self.at = np.concatenate(([0], np.cumsum(sizes)))
+        index = np.arange(int(self.at[-1])) + np.repeat(starts - self.at[:-1], sizes)
+        out = words.data[np.minimum(index, max(0, len(words.data) - 1))]
+        out[self.at[1:] - 1] = 32
+        self.data = out.tobytes()
+
+    def between(self, lo: int, hi: int) -> bytes:
+        """The words lo .. hi - 1, joined by one blank."""
+        return self.data[self.at[lo] : self.at[hi] - 1] if hi > lo else b""
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64), pa.int64())
 
@@ -133,30 +150,29 @@ def _places(numbered: DataFrame, k: int) -> DataFrame:
     return numbered.select("row", "text").mapInArrow(run, "id1 long, id2 long, row long, start int")
 
 
-_PACKED = "minimiser long, id1 long, id2 long, n int, copies long, hot boolean, packed string"
+_PACKED = "minimiser long, id1 long, id2 long, n int, copies long, packed string"
 
 
 def _packed(numbered: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """The words of the wanted runs, joined by blanks, from the first place of each."""
+    """The words of the wanted runs, joined by blanks, from the first place of each.
+
+    All columns of ``numbered`` go into the join: it is then the same exchange as that of the last join."""
+    at_text = numbered.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            for text, runs in zip(batch.column(0), batch.column(1), strict=True):
-                words = Words(pa.array([text.as_py()], pa.large_string()))
-                data = words.data.tobytes()
-                for w in runs.as_py():
-                    lo, hi = w["start"], w["start"] + w["n"] + k - 1
-                    packed = b" ".join(data[a:b] for a, b in zip(words.starts[lo:hi].tolist(), words.ends[lo:hi].tolist(), strict=True))
-                    out.append((w["minimiser"], w["id1"], w["id2"], w["n"], w["copies"], w["hot"], packed.decode()))
-                    if len(out) >= 4096:
-                        yield _rows(out, _PACKED)
-                        out = []
-            if out:
+            for at, texts in text_slices(batch.column(at_text), SLICE):
+                words = Words(texts)
+                joined = Joined(words)
+                out: list[tuple] = []
+                for first, runs in zip(words.rows.tolist(), batch.column(batch.num_columns - 1).slice(at, len(texts)), strict=False):
+                    for w in runs.as_py():
+                        lo = first + w["start"]
+                        out.append((w["minimiser"], w["id1"], w["id2"], w["n"], w["copies"], joined.between(lo, lo + w["n"] + k - 1).decode()))
                 yield _rows(out, _PACKED)
 
-    by_row = wanted.groupBy("row").agg(F.collect_list(F.struct("start", "n", "minimiser", "id1", "id2", "copies", "hot")).alias("runs"))
-    return numbered.select("row", "text").join(by_row, "row").select("text", "runs").mapInArrow(run, _PACKED)
+    by_row = wanted.groupBy("row").agg(F.collect_list(F.struct("start", "n", "minimiser", "id1", "id2", "copies")).alias("runs"))
+    return numbered.join(by_row, "row").select(*numbered.columns, "runs").mapInArrow(run, _PACKED)
 
 
 _KINDS = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
@@ -199,8 +215,7 @@ def _bucket_repeats(packed: DataFrame, k: int) -> DataFrame:
         if out:
             yield _rows(out, schema)
 
-    cold = packed.filter("NOT hot").select("minimiser", "id1", "id2", "copies", "packed")
-    return cold.repartition("minimiser").sortWithinPartitions("minimiser").mapInArrow(run, schema)
+    return packed.select("minimiser", "id1", "id2", "copies", "packed").repartition("minimiser").sortWithinPartitions("minimiser").mapInArrow(run, schema)
 
 
 def _single_repeats(packed: DataFrame, k: int) -> DataFrame:
@@ -217,9 +232,9 @@ def _single_repeats(packed: DataFrame, k: int) -> DataFrame:
                     ["w1", "w2", "id1", "id2", "i", "copies"],
                 )
 
-    windows = packed.filter("hot").select("id1", "id2", "copies", "packed").mapInArrow(run, "w1 long, w2 long, id1 long, id2 long, i int, copies long")
-    often = windows.groupBy("w1", "w2").agg(F.sum("copies").alias("times")).filter("times > 1").drop("times")
-    return windows.join(often, ["w1", "w2"]).groupBy("id1", "id2").agg(F.collect_list("i").alias("hits"))
+    windows = packed.select("id1", "id2", "copies", "packed").mapInArrow(run, "w1 long, w2 long, id1 long, id2 long, i int, copies long")
+    times = F.sum("copies").over(Window.partitionBy("w1", "w2"))
+    return windows.withColumn("times", times).filter("times > 1").groupBy("id1", "id2").agg(F.collect_list("i").alias("hits"))
 
 
 def repeated_windows(numbered: DataFrame, k: int = K, hot: int = HOT) -> DataFrame:
@@ -237,43 +252,44 @@ def repeated_windows(numbered: DataFrame, k: int = K, hot: int = HOT) -> DataFra
     )
     runs = materialize(runs, "repeated-runs")
     whole = runs.filter("runs = 1").select("id1", "id2", "n", F.lit(None).cast("array<int>").alias("hits"))
-    packed = _packed(numbered, runs.filter("runs > 1").withColumn("hot", F.col("runs") > hot), k)
-    some = _bucket_repeats(packed, k).unionByName(_single_repeats(packed, k)).withColumn("n", F.lit(0))
+    cold, split = runs.filter((F.col("runs") > 1) & (F.col("runs") <= hot)), runs.filter(F.col("runs") > hot)
+    some = _bucket_repeats(_packed(numbered, cold, k), k).unionByName(_single_repeats(_packed(numbered, split, k), k)).withColumn("n", F.lit(0))
     repeats = whole.unionByName(some)
     return _places(numbered, k).join(repeats, ["id1", "id2"]).groupBy("row").agg(F.collect_list(F.struct("start", "n", "hits")).alias("runs"))
 
 
-def covered(n_words: int, runs: list[dict] | None, k: int) -> np.ndarray:
-    """Which words lie in a repeated window."""
-    edge = np.zeros(n_words + 1, dtype=np.int64)
-    for r in runs or ():
-        if r["hits"] is None:
-            edge[r["start"]] += 1
-            edge[r["start"] + r["n"] + k - 1] -= 1
-        else:
-            at = r["start"] + np.array(r["hits"], dtype=np.int64)
-            np.add.at(edge, at, 1)
-            np.add.at(edge, at + k, -1)
+def covered(words: Words, found: list, k: int) -> np.ndarray:
+    """Which words lie in a repeated window. found: for each row its runs, or None."""
+    edge = np.zeros(len(words.starts) + 1, dtype=np.int64)
+    for first, runs in zip(words.rows.tolist(), found, strict=False):
+        for r in runs or ():
+            if r["hits"] is None:
+                edge[first + r["start"]] += 1
+                edge[first + r["start"] + r["n"] + k - 1] -= 1
+            else:
+                at = first + r["start"] + np.array(r["hits"], dtype=np.int64)
+                np.add.at(edge, at, 1)
+                np.add.at(edge, at + k, -1)
     return np.cumsum(edge[:-1]) > 0
 
 
 def removals(docs: DataFrame, k: int = K) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256`` of each document."""
-    numbered = _numbered(docs.select("doc_id", "text"))
+    numbered = _numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for doc_id, text, runs in zip(*batch.columns, strict=True):
-                words = Words(pa.array([text.as_py()], pa.large_string()))
-                gone = covered(len(words.starts), runs.as_py(), k)
-                data = words.data.tobytes()
-                kept = b" ".join(data[a:b] for a, b in zip(words.starts[~gone].tolist(), words.ends[~gone].tolist(), strict=True))
-                out.append((doc_id.as_py(), len(gone), int(gone.sum()), hashlib.sha256(kept).hexdigest()))
-            yield _rows(out, schema)
-
-    joined = numbered.select("row", "text", F.col("doc_id").cast("long").alias("doc_id")).join(repeated_windows(numbered, k), "row", "left")
+            for at, texts in text_slices(batch.column(1), SLICE):
+                words = Words(texts)
+                gone = covered(words, batch.column(2).slice(at, len(texts)).to_pylist(), k)
+                kept = Joined(words, ~gone)
+                before = np.concatenate(([0], np.cumsum(~gone)))[words.rows]
+                digests = [hashlib.sha256(kept.between(lo, hi)).hexdigest() for lo, hi in zip(before[:-1].tolist(), before[1:].tolist(), strict=True)]
+                n = np.diff(words.rows)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(n, pa.int64()), pa.array(n - np.diff(before), pa.int64()), pa.array(digests, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+
+    joined = numbered.join(repeated_windows(numbered, k), "row", "left")
     return joined.select("doc_id", "text", "runs").mapInArrow(run, schema)
 
 
@@ -294,7 +310,7 @@ def deduplicated(docs: DataFrame, k: int = K) -> DataFrame:
                     keep.append(True)
                     continue
                 words = Words(pa.array([text.as_py()], pa.large_string()))
-                gone = covered(len(words.starts), found, k)
+                gone = covered(words, [found], k)
                 data = words.data.tobytes()
                 ends = np.append(words.starts[1:], len(data))
                 rest = b"".join(data[a:b] for a, b in zip(words.starts[~gone].tolist(), ends[~gone].tolist(), strict=True))
