@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from corpuskit.llm import domain, language, licenses, mixing, neardup, pieces, substrings, topk, warc
+from corpuskit.llm import domain, fingerprints, language, licenses, mixing, neardup, pieces, substrings, topk, warc
 
 QUERIES = {
+    "op1_fingerprints": fingerprints.op1_fingerprints,
     "op2_warc": warc.op2_warc,
     "op3_licenses": licenses.op3_licenses,
     "op4_substrings": substrings.op4_substrings,
