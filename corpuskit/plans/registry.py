@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from corpuskit.plans import search_queries  # noqa: F401  registers its queries
 from corpuskit.plans.catalog import ORACLES, QUERIES, Query
 
-FLAGSHIP = "hybrid_search"
+FLAGSHIP = "lexical_search"
 
 
 def queries() -> dict[str, Query]:
