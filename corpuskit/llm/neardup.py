@@ -8,10 +8,11 @@ and texts of 0.8 or more are linked; classes are the connected components of the
    random register, and a register keeps the shingle of its earliest arrival. A process ends when its next arrival is
    later than the latest register of its text. Registers of two texts agree with the probability of their similarity.
 2. Texts with the same words are one node. Nodes that agree in a whole band of registers share a bucket.
-3. Every node is compared with the first of its buckets, then, where a bucket still holds several components, the
-   members of the smaller ones with all others of the bucket whose sketches are alike. Each comparison is exact, on
-   the whole texts. Members that are linked already are never compared again, so groups of copies cost a comparison
-   a member.
+3. Every node is compared with one node of each of its buckets, the one that meets others most often.
+4. Buckets that share nodes form a pool. Where a pool holds several components, the nodes outside its largest are
+   held against all of it, block against block: an inverted index of the block's shingles gives the overlaps of a node
+   with all others at once, and only links come out, one for each node and component. All comparisons are exact, on
+   the whole texts. Nodes of the largest component are never compared with each other again.
 
 Defined results: texts without words are like nothing, each a class of its own; repeated rows and copies share a
 class; the class id is the least doc_id of the class (null only where all are), of equal ids one row is kept; extra
@@ -32,9 +33,8 @@ from corpuskit.llm.common import Words, materialize, mix64, seeded, text_slices,
 SHINGLE, THRESHOLD = 5, 0.8
 #: Registers are BANDS * ROWS; a pair at the threshold shares no band once in more than 10,000 times.
 BANDS, ROWS = 24, 5
-#: Least share of equal registers of a pair that is compared when it did not meet through the first of a bucket:
-#: four standard deviations under the threshold.
-ALIKE = 0.65
+#: Nodes of a block of a pool.
+BLOCK = 1024
 #: Tasks that the comparisons with one node are dealt to.
 CHUNKS = 32
 SLICE = 2 << 20
@@ -102,6 +102,8 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     wa, wb = a[1][in_a].astype(np.float64), b[1][in_b].astype(np.float64)
     only_a, only_b = a[1].sum() - wa.sum(), b[1].sum() - wb.sum()
     kinds, times = np.unique(np.stack((wa, wb)), axis=1, return_counts=True)
+    if kinds.shape[1] == 1 and kinds[0, 0] == kinds[1, 0] == 1 and a[1].max() == b[1].max() == 1:
+        return len(common) / (len(a[0]) + len(b[0]) - len(common))
     total = 0.0
     for (x, y), n in zip(kinds.T, times, strict=True):
         total += n / (only_a / x + only_b / y + np.maximum(wa / x, wb / y).sum())
@@ -112,11 +114,11 @@ def _numbered(docs: DataFrame) -> DataFrame:
     return docs.withColumn("row", F.monotonically_increasing_id())
 
 
-_SIGNED = "doc_id long, row long, id1 long, id2 long, bands array<long>, sketch binary"
+_SIGNED = "doc_id long, row long, id1 long, id2 long, bands array<long>"
 
 
 def signatures(numbered: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``doc_id, row, id1, id2`` (a 128-bit identity of the words), band keys and a byte of each register; rows without words are left out."""
+    """``doc_id, row, id1, id2`` (a 128-bit identity of the words) and band keys; rows without words are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,7 +131,6 @@ def signatures(numbered: DataFrame, bands: int = BANDS, rows: int = ROWS) -> Dat
                 registers = sketches(row, value, weight, len(texts), bands * rows)[found]
                 keys = band_keys(registers, bands, rows)
                 ids = _identities(words, found)
-                low = (registers & np.uint32(0xFF)).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(pa.array(at + found)),
@@ -137,9 +138,8 @@ def signatures(numbered: DataFrame, bands: int = BANDS, rows: int = ROWS) -> Dat
                         pa.array(ids[0].view(np.int64)),
                         pa.array(ids[1].view(np.int64)),
                         pa.ListArray.from_arrays(pa.array(np.arange(0, len(found) * bands + 1, bands), pa.int32()), pa.array(keys.reshape(-1).view(np.int64))),
-                        pa.array([x.tobytes() for x in low], pa.binary()),
                     ],
-                    ["doc_id", "row", "id1", "id2", "bands", "sketch"],
+                    ["doc_id", "row", "id1", "id2", "bands"],
                 )
 
     return numbered.selectExpr("cast(doc_id as long) as doc_id", "row", "text").mapInArrow(run, _SIGNED)
@@ -216,36 +216,77 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, r
     numbered = _numbered(docs.select("doc_id", "text"))
     signed = materialize(signatures(numbered, bands, rows), "sketches")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
-    nodes = signed.groupBy("id1", "id2").agg(first.alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    nodes = materialize(nodes.select("id1", "id2", F.col("rep.row").alias("node"), "bands", "sketch"), "nodes")
+    nodes = signed.groupBy("id1", "id2").agg(first.alias("rep"), F.first("bands").alias("bands"))
+    nodes = materialize(nodes.select("id1", "id2", F.col("rep.row").alias("node"), "bands"), "nodes")
     bucket = Window.partitionBy("key")
-    members = nodes.select("node", F.explode("bands").alias("key")).withColumn("other", F.min("node").over(bucket)).withColumn("n", F.count("*").over(bucket)).filter("n > 1")
-    members = materialize(members.select("key", "node", "other"), "buckets")
+    members = nodes.select("node", F.explode("bands").alias("key")).withColumn("n", F.count("*").over(bucket)).filter("n > 1")
+    members = materialize(members, "buckets")
+    met = members.groupBy("node").agg(F.sum("n").alias("met"))
+    hub = F.max(F.struct("met", (-F.col("node")).alias("least"))).over(bucket)
+    tried = members.join(met, "node").withColumn("other", -hub["least"]).filter("node <> other").select("node", "other").distinct()
+    tried = materialize(tried, "tried")
     texts = numbered.select("row", "text").join(members.select(F.col("node").alias("row")).distinct(), "row", "left_semi")
     texts = materialize(texts, "bucket-texts")
-    tried = members.filter("node <> other").select("node", "other").distinct()
     links = materialize(_compared(tried, texts, threshold), "links")
     labels = components(links)
-    more = materialize(_compared(_left_over(members, nodes, labels, tried, bands * rows), texts, threshold), "links")
+    more = materialize(_within_pools(components(tried), labels, texts, threshold), "links")
     if more.limit(1).count():
         labels = components(links.unionByName(more))
     return _with_classes(numbered, signed, nodes, labels)
 
 
-def _left_over(members: DataFrame, nodes: DataFrame, labels: DataFrame, tried: DataFrame, registers: int) -> DataFrame:
-    """Pairs of a bucket in different components that were not compared: one of them in none of the bucket's largest component."""
-    of_key = Window.partitionBy("key")
-    named = members.select("key", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = named.withColumn("least", F.min("component").over(of_key)).withColumn("most", F.max("component").over(of_key)).filter("least <> most").select("key", "node", "component")
-    sizes = mixed.groupBy("key", "component").agg(F.count("*").alias("size")).groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("largest"))
-    mixed = materialize(mixed.join(sizes, "key").join(nodes.select("node", "sketch"), "node"), "mixed-buckets")
-    few = mixed.filter("component <> largest").select("key", "node", "component", "sketch")
-    every = mixed.select("key", F.col("node").alias("other"), F.col("component").alias("o_component"), F.col("sketch").alias("o_sketch"), (F.col("component") == F.col("largest")).alias("in_largest"))
-    hexed = lambda c: F.hex(c)
-    same = F.aggregate(F.sequence(F.lit(0), F.lit(registers - 1)), F.lit(0), lambda n, i: n + (F.substring(hexed("sketch"), 2 * i + 1, F.lit(2)) == F.substring(hexed("o_sketch"), 2 * i + 1, F.lit(2))).cast("int"))
-    pairs = few.join(every, "key").filter((F.col("component") != F.col("o_component")) & (F.col("in_largest") | (F.col("node") > F.col("other"))))
-    alike = pairs.filter(same >= int(ALIKE * registers)).select(F.greatest("node", "other").alias("node"), F.least("node", "other").alias("other")).distinct()
-    return alike.join(tried, ["node", "other"], "left_anti")
+def _within_pools(pools: DataFrame, labels: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """``node, other`` of links between different components of a pool (node, component: the pool's least node)."""
+    named = pools.select("node", F.col("component").alias("pool")).join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    sizes = named.groupBy("pool", "component").agg(F.count("*").alias("size"))
+    of_pool = sizes.groupBy("pool").agg(F.max_by("component", F.struct("size", "component")).alias("largest"), F.max("size").alias("top"), F.sum("size").alias("all"))
+    mixed = materialize(named.join(of_pool.filter("top < all"), "pool"), "mixed-pools")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    every, few = blocks(F.col("all")), blocks(F.col("all") - F.col("top"))
+    own = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    asked = (
+        mixed.select("node", "component", "pool", own(every).alias("e"), upto(few).alias("f"), F.lit(0).alias("kind"))
+        .unionByName(mixed.filter("component <> largest").select("node", "component", "pool", upto(every).alias("e"), own(few).alias("f"), F.lit(1).alias("kind")))
+        .groupBy("node")
+        .agg(F.collect_list(F.struct("component", "pool", "e", "f", "kind")).alias("asked"))
+    )
+    dealt = texts.withColumnRenamed("row", "node").join(asked, "node").select("node", "text", F.explode("asked").alias("a")).select("node", "text", "a.*")
+
+    def find(table: pa.Table) -> pa.Table:
+        return _links_between(table, threshold)
+
+    return dealt.groupBy("pool", "e", "f").applyInArrow(find, "node long, other long")
+
+
+def _links_between(table: pa.Table, threshold: float) -> pa.Table:
+    """Links of the rows of kind 1 with those of kind 0: for each of the former one to each other component."""
+    parts = [shingles(Words(piece)) for _, piece in text_slices(table.column("text").combine_chunks(), SLICE)]
+    base = np.cumsum([0] + [len(piece) for _, piece in text_slices(table.column("text").combine_chunks(), SLICE)])
+    row = np.concatenate([p[0] + b for p, b in zip(parts, base[:-1], strict=True)])
+    value, weight = np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
+    edge = np.searchsorted(row, np.arange(table.num_rows + 1))
+    node, component, kind = (table.column(c).to_numpy() for c in ("node", "component", "kind"))
+    total = np.array([weight[a:b].sum() for a, b in zip(edge[:-1], edge[1:], strict=True)], dtype=np.float64)
+    held = kind[row] == 0
+    order = np.argsort(value[held], kind="stable")
+    key, owner, share = value[held][order], row[held][order], (weight / np.maximum(total[row], 1))[held][order]
+    nodes, others = [], []
+    for y in np.flatnonzero(kind == 1):
+        own = slice(edge[y], edge[y + 1])
+        lo, hi = np.searchsorted(key, value[own], side="left"), np.searchsorted(key, value[own], side="right")
+        index = np.arange(int((hi - lo).sum())) + np.repeat(lo - (np.cumsum(hi - lo) - (hi - lo)), hi - lo)
+        mine = np.repeat(weight[own] / total[y], hi - lo)
+        # The sum of the lesser shares is never below the similarity.
+        overlap = np.bincount(owner[index], np.minimum(mine, share[index]), table.num_rows)
+        near = np.flatnonzero((overlap >= threshold - 1e-9) & (component != component[y]))
+        linked = set()
+        for x in near[np.argsort(-overlap[near], kind="stable")]:
+            if component[x] not in linked and similarity((value[own], weight[own]), (value[edge[x] : edge[x + 1]], weight[edge[x] : edge[x + 1]])) >= threshold:
+                linked.add(component[x])
+                nodes.append(int(node[y]))
+                others.append(int(node[x]))
+    return pa.table({"node": pa.array(nodes, pa.int64()), "other": pa.array(others, pa.int64())})
 
 
 def _with_classes(numbered: DataFrame, signed: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
