@@ -51,7 +51,10 @@ def index_postings(spark, sf_dir):
     return _index(spark, sf_dir).postings.select("term", "id", "field", "tf")
 
 
-@query("index_merge", f"WITH {model.ITEMS.replace('text AS extracted_text', 'CASE WHEN doc_id % 10 = 0 THEN left(text, 100) || ' changed' ELSE text END AS extracted_text')}, {TOK}, {POSTINGS}, {STATS} SELECT term, df FROM term_stats")
+CHANGED = model.ITEMS.replace("text AS extracted_text", "CASE WHEN doc_id % 10 = 0 THEN left(text, 100) || ' changed' ELSE text END AS extracted_text")
+
+
+@query("index_merge", f"WITH {CHANGED}, {TOK}, {POSTINGS}, {STATS} SELECT term, df FROM term_stats")
 def index_merge(spark, sf_dir):
     """Every tenth item changes its text; the merged statistics are those of a rebuild."""
     items = model.items(spark, sf_dir).select("id", *FIELDS, "deleted")
