@@ -8,8 +8,9 @@ lower, the more like the target.
 As log p(w|h) is a term of (h,w) less a term of h, a document's losses are sums over its n-grams, each of which needs
 its own counts only. So every n-gram travels once: a task packs the n-grams of some documents into one block for each
 bucket of the n-gram's hash (sorted keys, documents, counts). A bucket adds up the counts of its n-grams over all
-blocks, turns them into terms and sends each document its part of the sums. Counts cover every text; the number of
-buckets follows the size of the input, and an n-gram adds one entry to its bucket for each document at most.
+blocks, turns them into terms and sends each block its documents' parts of the sums, packed in one row. Counts cover
+every text; the number of buckets follows the size of the input, and an n-gram adds one entry to its bucket for each
+document at most.
 
 Defined results: a null or empty text has no tokens, losses of 0 and a null score; empty targets leave a target model of
 the smoothing alone; repeated rows are separate documents, and each counts; extra columns are ignored. The table must
@@ -32,7 +33,7 @@ from corpuskit.llm.common import Words, mix64, text_slices
 #: Smoothing mass of a history.
 MASS = 1.0
 #: Text bytes that are tokenized at once, that a block covers and that a bucket gets the n-grams of, about.
-SLICE, BLOCK, BUCKET = 2 << 20, 8 << 20, 16 << 20
+SLICE, BLOCK, BUCKET = 2 << 20, 6 << 20, 16 << 20
 HLL_BITS = 12
 _START = np.uint64(0xA0761D6478BD642F)
 _PAIR = np.uint64(0xE7037ED1A0B428DB)
@@ -87,7 +88,7 @@ def _statistics(texts: DataFrame) -> tuple[int, int, int, float]:
     return r.target, r.background, r.bytes, max(1.0, estimate)
 
 
-_BLOCK = "bucket int, keys binary, key_sizes binary, docs binary, times binary, rows binary, target binary"
+_BLOCK = "bucket int, block long, keys binary, key_sizes binary, docs binary, times binary, rows binary, target binary"
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -104,7 +105,7 @@ def _unpack(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, n).T).view(kind).reshape(n)
 
 
-def _blocks(texts: DataFrame, bucket_bits: int) -> DataFrame:
+def _blocks(texts: DataFrame, buckets: int) -> DataFrame:
     """The n-grams of some documents in one row a bucket: sorted keys, how many documents each is in, which, how often."""
 
     def emit(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -128,14 +129,14 @@ def _blocks(texts: DataFrame, bucket_bits: int) -> DataFrame:
         starts = np.flatnonzero(new)
         unique = key[starts]
         sizes = np.diff(np.append(starts, len(key))).astype(np.uint32)
-        bucket = (unique >> np.uint64(64 - bucket_bits)).astype(np.int64) if bucket_bits else np.zeros(len(unique), np.int64)
+        bucket = ((unique >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)  # in the order of keys
         edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
         ends = np.append(starts, len(key))
         for lo, hi in zip(edges[:-1], edges[1:], strict=True):
             a, b = ends[lo], ends[hi]
             seen, local = np.unique(doc[a:b], return_inverse=True)
             packed = (np.diff(unique[lo:hi], prepend=np.uint64(0)), sizes[lo:hi], local.astype(np.uint32), times[a:b], np.diff(rows[seen], prepend=0), target[seen].astype(np.uint8))
-            yield pa.RecordBatch.from_arrays([pa.array([bucket[lo]], pa.int32()), *(pa.array([_pack(x)], pa.binary()) for x in packed)], [f.split()[0] for f in _BLOCK.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array([bucket[lo]], pa.int32()), pa.array([rows[0]], pa.int64()), *(pa.array([_pack(x)], pa.binary()) for x in packed)], [f.split()[0] for f in _BLOCK.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, room = [], BLOCK
@@ -155,38 +156,64 @@ def _blocks(texts: DataFrame, bucket_bits: int) -> DataFrame:
     return texts.mapInArrow(run, _BLOCK)
 
 
-def _terms(blocks: DataFrame, buckets: int, scale: float, mass: float, vocabulary: float) -> DataFrame:
-    """``row, tokens, loss_target, loss_background``: what each bucket adds to each document."""
+_SUMS = "block long, rows binary, tokens binary, loss_target binary, loss_background binary"
 
-    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for batch in batches:
-            yield from batch.to_pylist()
+
+def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield {name: batch.column(j)[i].as_py() for j, name in enumerate(batch.schema.names)}
+
+
+def _terms(blocks: DataFrame, buckets: int, scale: float, mass: float, vocabulary: float) -> DataFrame:
+    """What each bucket adds to the documents of each block: rows, tokens and the two losses, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, group in groupby(stream(batches), key=lambda b: b["bucket"]):
-            held = [(np.cumsum(_unpack(b["keys"], np.uint64), dtype=np.uint64), _unpack(b["key_sizes"], np.uint32), _unpack(b["docs"], np.uint32), _unpack(b["times"], np.uint32), np.cumsum(_unpack(b["rows"], np.int64)), _unpack(b["target"], np.uint8)) for b in group]
-            unique, place = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
+        for _, group in groupby(_stream(batches), key=lambda b: b["bucket"]):
+            held = [(b["block"], np.cumsum(_unpack(b["keys"], np.uint64), dtype=np.uint64), _unpack(b["key_sizes"], np.uint32), _unpack(b["docs"], np.uint32), _unpack(b["times"], np.uint32), np.cumsum(_unpack(b["rows"], np.int64)), _unpack(b["target"], np.uint8)) for b in group]
+            unique, place = np.unique(np.concatenate([h[1] for h in held]), return_inverse=True)
             counts = np.zeros((2, len(unique)))
             at = 0
-            for keys, sizes, docs, times, _, target in held:
-                where = place[at : at + len(keys)]
+            for _, keys, sizes, docs, times, _, target in held:
+                where = np.repeat(place[at : at + len(keys)], sizes)
                 at += len(keys)
-                per = np.repeat(where, sizes)
                 aimed = target[docs] != 0
-                counts[0] += np.bincount(per[aimed], times[aimed], len(unique))
-                counts[1] += np.bincount(per[~aimed], times[~aimed], len(unique))
+                counts[0] += np.bincount(where[aimed], times[aimed], len(unique))
+                counts[1] += np.bincount(where[~aimed], times[~aimed], len(unique))
             counts[1] *= scale
             is_pair = (unique & np.uint64(1)) == 1
             terms = np.where(is_pair, -np.log(counts + mass / vocabulary), np.log(counts + mass))
             at = 0
-            for keys, sizes, docs, times, rows, target in held:
+            for block, keys, sizes, docs, times, rows, target in held:
                 where = np.repeat(place[at : at + len(keys)], sizes)
                 at += len(keys)
                 own = target == 0
-                columns = [np.bincount(docs, times * is_pair[where], len(rows)).astype(np.int64), *(np.bincount(docs, times * terms[k][where], len(rows)) for k in (0, 1))]
-                yield pa.RecordBatch.from_arrays([pa.array(rows[own]), *(pa.array(c[own]) for c in columns)], ["row", "tokens", "loss_target", "loss_background"])
+                if own.any():
+                    sums = [np.bincount(docs, times * is_pair[where], len(rows)).astype(np.int32), *(np.bincount(docs, times * terms[k][where], len(rows)) for k in (0, 1))]
+                    packed = [_pack(np.diff(rows[own], prepend=0)), *(_pack(x[own]) for x in sums)]
+                    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *(pa.array([x], pa.binary()) for x in packed)], ["block", "rows", "tokens", "loss_target", "loss_background"])
+
+    return blocks.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, _SUMS)
+
 
-    return blocks.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "row long, tokens long, loss_target double, loss_background double")
+def _summed(parts: DataFrame) -> DataFrame:
+    """``row, tokens, loss_target, loss_background``: the parts of each block added up, in a fixed order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, group in groupby(_stream(batches), key=lambda p: p["block"]):
+            rows, sums = np.zeros(0, np.int64), np.zeros((3, 0))
+            for p in sorted(group, key=lambda p: p["loss_target"]):
+                got = np.cumsum(_unpack(p["rows"], np.int64))
+                both = np.union1d(rows, got)
+                grown = np.zeros((3, len(both)))
+                grown[:, np.searchsorted(both, rows)] = sums
+                at = np.searchsorted(both, got)
+                for i, (c, kind) in enumerate((("tokens", np.int32), ("loss_target", np.float64), ("loss_background", np.float64))):
+                    grown[i, at] += _unpack(p[c], kind)
+                rows, sums = both, grown
+            yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], ["row", "tokens", "loss_target", "loss_background"])
+
+    return parts.repartition("block").sortWithinPartitions("block").mapInArrow(run, "row long, tokens long, loss_target double, loss_background double")
 
 
 def scores(docs: DataFrame, target: DataFrame, mass: float = MASS) -> DataFrame:
@@ -196,10 +223,9 @@ def scores(docs: DataFrame, target: DataFrame, mass: float = MASS) -> DataFrame:
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     texts = numbered.select("row", F.lit(False).alias("target"), "text").unionByName(target.select(F.monotonically_increasing_id().alias("row"), F.lit(True).alias("target"), "text"))
     n_target, n_background, n_bytes, vocabulary = _statistics(texts)
-    bits = max(0, math.ceil(math.log2(max(1, n_bytes / BUCKET))))
+    buckets = max(1, -(-n_bytes // BUCKET))
     scale = n_target / n_background if n_background else 0.0
-    parts = _terms(_blocks(texts, bits), 1 << bits, scale, mass, vocabulary)
-    sums = parts.groupBy("row").agg(*(F.sum(c).alias(c) for c in ("tokens", "loss_target", "loss_background")))
+    sums = _summed(_terms(_blocks(texts, buckets), buckets, scale, mass, vocabulary))
     n = F.coalesce("tokens", F.lit(0))
     mean = lambda c: F.round(F.when(n > 0, F.col(c) / n).otherwise(0.0), 9)
     return (
