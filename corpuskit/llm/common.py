@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A word of the contracts: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -32,6 +34,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shielded(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with all columns but the text under names that no operator uses, and what gives the names back."""
+    inner = {c: c if c == text_col else f"_c{i}" for i, c in enumerate(docs.columns)}
+    frame = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in inner.items()])
+    return frame, lambda out: out.select(*[F.col(n).alias(c) for c, n in inner.items()])
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser on uint64: every input bit reaches every output bit."""
     with np.errstate(over="ignore"):

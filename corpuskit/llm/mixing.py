@@ -98,15 +98,15 @@ def _planned(docs: DataFrame, weights: tuple[int, ...], max_repeats: int) -> tup
     return sized, cuts.withColumnRenamed("source", "c_source").withColumn("c_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
 
-def _with_copies(hashed: DataFrame, salted: DataFrame) -> DataFrame:
+def _with_copies(hashed: DataFrame, salted: DataFrame, max_repeats: int) -> DataFrame:
     here = F.col("source").eqNullSafe(F.col("c_source")) & ((F.col("hash") % SALTS).cast("int") == F.col("c_salt"))
-    return hashed.join(salted, here).withColumn("copies", F.col("repeats") + F.when(F.col("hash") <= F.col("threshold"), 1).otherwise(0))
+    return hashed.join(salted, here).withColumn("copies", F.least(F.lit(max_repeats).cast("long"), F.col("repeats") + F.when(F.col("hash") <= F.col("threshold"), 1).otherwise(0)))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
     """Per document ``doc_id, source, size, source_size, target, copies, taken``: the mix takes it ``copies`` times."""
     sized, salted = _planned(docs, weights, max_repeats)
-    return _with_copies(sized, salted).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    return _with_copies(sized, salted, max_repeats).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
@@ -115,7 +115,7 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_rep
     _, salted = _planned(docs, weights, max_repeats)
     hashed = docs.select(F.struct(*docs.columns).alias("doc"), "source", hash60(F.col("doc_id")).alias("hash"), F.coalesce(F.col("text"), F.lit("")).rlike(WORD).alias("worded"))
     times = F.when(F.col("worded"), F.col("copies").cast("int")).otherwise(1)
-    return _with_copies(hashed, salted).withColumn("times", times).filter("times > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select("doc.*")
+    return _with_copies(hashed, salted, max_repeats).withColumn("times", times).filter("times > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select("doc.*")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,7 +154,7 @@ WITH sized AS (
          sum(s.size) OVER (PARTITION BY s.source ORDER BY s.hash RANGE UNBOUNDED PRECEDING) AS upto
   FROM sized s JOIN budgets b ON s.source IS NOT DISTINCT FROM b.source
 ), counted AS (
-  SELECT *, repeats + CASE WHEN upto <= budget OR (upto - tied <= budget AND budget < upto AND (budget - (upto - tied)) * 2 >= tied) THEN 1 ELSE 0 END AS copies FROM placed
+  SELECT *, least(3, repeats + CASE WHEN upto <= budget OR (upto - tied <= budget AND budget < upto AND (budget - (upto - tied)) * 2 >= tied) THEN 1 ELSE 0 END) AS copies FROM placed
 )
 SELECT doc_id, source, size, source_size, target, copies, size * copies AS taken FROM counted
 """

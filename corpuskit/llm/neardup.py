@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpuskit.llm.common import Words, materialize, mix64, seeded, text_slices, unit
+from corpuskit.llm.common import Words, materialize, mix64, seeded, shielded, text_slices, unit
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: Registers are BANDS * ROWS; a pair at the threshold shares no band once in more than 10,000 times.
@@ -301,7 +301,8 @@ def _with_classes(numbered: DataFrame, signed: DataFrame, nodes: DataFrame, labe
 def without_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One document of each class, and every document without words; columns as in ``docs``."""
     gone = classes(docs, threshold).filter("NOT keep").select("row")
-    return _numbered(docs).join(gone, "row", "left_anti").select(*docs.columns)
+    frame, restored = shielded(docs)
+    return restored(_numbered(frame).join(gone, "row", "left_anti"))
 
 
 def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,8 @@ piece may follow the last piece of the prefix before it. Two pieces may stand si
 to right among equals, never joins across their border; that is decided from the merges that made them.
 
 Defined results: a null or empty text has no tokens; U+2581 in a text is a blank, as the model has it, so it decodes
-to one; texts are encoded whole; repeated rows give repeated results; other columns pass through ``encode``.
+to one; texts are encoded whole; repeated rows give repeated results; other columns pass through ``encode``,
+but those named like its own are replaced.
 """
 
 from __future__ import annotations
@@ -379,6 +380,7 @@ def _batches(column: pa.Array, most: int = 4 << 20) -> Iterator[list[str | None]
 def encode(docs: DataFrame, model_file: str | None = None, text_col: str = "text", check: bool = False) -> DataFrame:
     """``docs`` with ``token_ids``; with ``check`` also ``round_trip``: decoding the ids gives the text again."""
     spark = docs.sparkSession
+    docs = docs.drop("token_ids", "round_trip")
     shared = spark.sparkContext.broadcast(Vocabulary(model_file or default_model()))
     names, at_text = docs.columns, docs.columns.index(text_col)
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpuskit.llm.common import Words, materialize, mix64, powers, seeded, text_slices
+from corpuskit.llm.common import Words, materialize, mix64, powers, seeded, shielded, text_slices
 
 K, M = 35, 4
 #: Distinct runs of a bucket up to which it is sorted in one piece.
@@ -296,8 +296,8 @@ def removals(docs: DataFrame, k: int = K) -> DataFrame:
 def deduplicated(docs: DataFrame, k: int = K) -> DataFrame:
     """The documents without the words that repeated windows cover, white space after each kept word as it was; those
     of which nothing is left go. Columns as in ``docs``; ``n_chars`` follows the text."""
-    numbered = _numbered(docs)
-    columns = docs.columns
+    frame, restored = shielded(docs)
+    numbered, columns = _numbered(frame), frame.columns
     at_text = columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,8 +320,8 @@ def deduplicated(docs: DataFrame, k: int = K) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, columns).filter(pa.array(keep, pa.bool_()))
 
     joined = numbered.join(repeated_windows(numbered, k), "row", "left").select(*columns, "runs")
-    out = joined.mapInArrow(run, docs.schema)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*columns) if "n_chars" in columns else out
+    out = restored(joined.mapInArrow(run, frame.schema))
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns) if "n_chars" in docs.columns else out
 
 
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
