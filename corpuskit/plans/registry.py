@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpuskit.plans import search_queries  # noqa: F401  registers its queries
+from corpuskit.plans import item_queries, search_queries  # noqa: F401  registers its queries
 from corpuskit.plans.catalog import ORACLES, QUERIES, Query
 
 FLAGSHIP = "lexical_search"
