@@ -110,10 +110,12 @@ def peeled(a: Column, b: Column) -> Column:
 def _decoded(pairs: DataFrame, cells_each: float, seed: int) -> DataFrame:
     """``uid, kind, n_a, n_b, only_a, only_b, left``: subtract and peel larger sketches. pairs: ``uid, kind, a, b``."""
     who = ["uid", "kind", "n_a", "n_b", "width"]
+    # A digest becomes three cells and a document some hundred: small partitions keep their sums in memory.
+    parts = 4 * int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = F.size("a") + F.size("b")
     bits = F.least(F.lit(_SLICE), F.greatest(F.lit(BASE_BITS), F.ceil(F.log2(size * (cells_each / 3.0))))).cast("int")
     signed = lambda c, n: F.transform(c, lambda k: F.struct(k.alias("k"), _long(n).alias("n")))
-    entry = pairs.repartition("uid").select("uid", "kind", F.size("a").cast("long").alias("n_a"), F.size("b").cast("long").alias("n_b"), F.pow(F.lit(2), bits).cast("long").alias("width"), F.explode(F.concat(signed("a", 1), signed("b", -1))).alias("e"))
+    entry = pairs.repartition(parts, "uid").select("uid", "kind", F.size("a").cast("long").alias("n_a"), F.size("b").cast("long").alias("n_b"), F.pow(F.lit(2), bits).cast("long").alias("width"), F.explode(F.concat(signed("a", 1), signed("b", -1))).alias("e"))
     spots = entry.select(*who, "e.k", "e.n", _check(F.col("e.k")).alias("h"), F.explode(F.array(*[_cell(F.xxhash64(F.col("e.k"), F.lit(seed)), t, F.col("width")) for t in range(3)])).alias("c"))
 
     def summed(rows: DataFrame) -> DataFrame:
@@ -172,7 +174,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     base = docs.select(F.monotonically_increasing_id().alias("uid"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     quarter = lambda n: F.floor(n / 4).cast("int")
     turn = successors(base.withColumn("n_chars", F.length("text")))
-    begun = base.join(turn, "key").filter("uid = head").select(F.col("prev").alias("key"), F.substring("text", F.lit(1), quarter(F.col("prev_n"))).alias("beginning"), digests(F.col("text")).alias("d_next"))
+    # Not an equality of columns: both joins are then on the key alone and share the exchange of the texts.
+    begun = base.join(turn, "key").filter("uid - head = 0").select(F.col("prev").alias("key"), F.substring("text", F.lit(1), quarter(F.col("prev_n"))).alias("beginning"), digests(F.col("text")).alias("d_next"))
     n = F.length("text")
     edited = F.concat(F.substring("text", F.lit(1), n - quarter(n)), F.substring("beginning", F.lit(1), quarter(n)))
     slim = base.join(begun, "key").withColumn("edited", edited).select(
