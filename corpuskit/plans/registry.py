@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from corpuskit.plans import item_queries, search_queries  # noqa: F401  registers its queries
+from corpuskit.plans import curation_queries, item_queries, search_queries  # noqa: F401  registers its queries
 from corpuskit.plans.catalog import ORACLES, QUERIES, Query
 
-FLAGSHIP = "lexical_search"
+FLAGSHIP = "hybrid_search"
 
 
 def queries() -> dict[str, Query]:
