@@ -167,7 +167,7 @@ def _compared(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     asked = wanted.select(F.col("node").alias("row"), "other", "chunk", F.lit(1).alias("kind")).unionByName(wanted.select(F.col("other").alias("row"), "other", "chunk", F.lit(0).alias("kind")).distinct())
     by_row = asked.groupBy("row").agg(F.collect_list(F.struct("other", "chunk", "kind")).alias("asked"))
     dealt = (
-        texts.join(by_row, "row")
+        texts.join(by_row.hint("merge"), "row")
         .select("row", "text", F.explode("asked").alias("a"))
         .select("a.other", "a.chunk", "a.kind", "row", "text")
         .repartition("other", "chunk")
@@ -225,7 +225,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, r
     hub = F.max(F.struct("met", (-F.col("node")).alias("least"))).over(bucket)
     tried = members.join(met, "node").withColumn("other", -hub["least"]).filter("node <> other").select("node", "other").distinct()
     tried = materialize(tried, "tried")
-    texts = numbered.select("row", "text").join(members.select(F.col("node").alias("row")).distinct(), "row", "left_semi")
+    # The joins of texts merge at every size, so that a small table tells what a large one will move.
+    texts = numbered.select("row", "text").join(members.select(F.col("node").alias("row")).distinct().hint("merge"), "row", "left_semi")
     texts = materialize(texts, "bucket-texts")
     links = materialize(_compared(tried, texts, threshold), "links")
     labels = components(links)
@@ -251,7 +252,7 @@ def _within_pools(pools: DataFrame, labels: DataFrame, texts: DataFrame, thresho
         .groupBy("node")
         .agg(F.collect_list(F.struct("component", "pool", "e", "f", "kind")).alias("asked"))
     )
-    dealt = texts.withColumnRenamed("row", "node").join(asked, "node").select("node", "text", F.explode("asked").alias("a")).select("node", "text", "a.*")
+    dealt = texts.withColumnRenamed("row", "node").join(asked.hint("merge"), "node").select("node", "text", F.explode("asked").alias("a")).select("node", "text", "a.*")
 
     def find(table: pa.Table) -> pa.Table:
         return _links_between(table, threshold)
