@@ -301,7 +301,7 @@ def _with_classes(numbered: DataFrame, signed: DataFrame, nodes: DataFrame, labe
 
 def without_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One document of each class, and every document without words; columns as in ``docs``."""
-    gone = classes(docs, threshold).filter("NOT keep").select("row")
+    gone = classes(docs, threshold).filter("NOT keep").select("row").hint("merge")
     frame, restored = shielded(docs)
     return restored(_numbered(frame).join(gone, "row", "left_anti"))
 
