@@ -174,7 +174,7 @@ def batch_ready(spark, sf_dir):
     return lifecycle.batch_ready(model.items(spark, sf_dir), model.stage_events(spark, sf_dir))
 
 
-@query("status_fold", f"""WITH RECURSIVE {model.STAGE_EVENTS}, o AS (SELECT item_id, stage, outcome, row_number() OVER (PARTITION BY item_id ORDER BY at_us, seq) AS n FROM stage_events),
+STATUS_FOLD = f"""WITH RECURSIVE {model.STAGE_EVENTS}, o AS (SELECT item_id, stage, outcome, row_number() OVER (PARTITION BY item_id ORDER BY at_us, seq) AS n FROM stage_events),
 f AS (SELECT DISTINCT item_id, CAST(0 AS BIGINT) AS n, 'CAPTURED' AS status FROM stage_events UNION ALL
   SELECT o.item_id, o.n, CASE o.stage
     WHEN 'extract' THEN CASE WHEN o.outcome = 'failed' THEN 'EXTRACTION_FAILED' ELSE 'EXTRACTED' END
@@ -183,7 +183,10 @@ f AS (SELECT DISTINCT item_id, CAST(0 AS BIGINT) AS n, 'CAPTURED' AS status FROM
     WHEN 'relate' THEN CASE WHEN o.outcome = 'failed' THEN 'AI_FAILED' WHEN o.outcome = 'partial' OR f.status IN ('EXTRACTION_FAILED','PARTIAL') THEN 'PARTIAL' ELSE 'READY' END
     ELSE f.status END
   FROM f JOIN o ON o.item_id = f.item_id AND o.n = f.n + 1)
-SELECT item_id, status, n FROM f QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY n DESC) = 1""")
+SELECT item_id, status, n FROM f QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY n DESC) = 1"""
+
+
+@query("status_fold", STATUS_FOLD)
 def status_fold(spark, sf_dir):
     return lifecycle.status_fold(model.stage_events(spark, sf_dir))
 

@@ -115,10 +115,14 @@ EDGES = """edges AS (
 
 
 def stage_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``seq, item_id, stage, outcome, at_s`` from the event log."""
+    """``seq, item_id, stage, outcome, at_us`` from the event log."""
+    return as_stage_events(table(spark, sf_dir, "events"))
+
+
+def as_stage_events(events: DataFrame) -> DataFrame:
     stage = F.when(F.col("event_type") == "signup", "extract").when(F.col("event_type") == "view", "embed").when(F.col("event_type") == "click", "understand").when(F.col("event_type") == "purchase", "relate").otherwise("index")
     outcome = F.when(F.col("value") < 20, "failed").when(F.col("value") < 60, "partial").otherwise("ok")
-    return table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.col("user_id").alias("item_id"), stage.alias("stage"), outcome.alias("outcome"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at_us"))
+    return events.select(F.col("event_id").alias("seq"), F.col("user_id").alias("item_id"), stage.alias("stage"), outcome.alias("outcome"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at_us"))
 
 
 STAGE_EVENTS = """stage_events AS (
