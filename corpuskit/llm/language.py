@@ -25,10 +25,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpuskit.llm.common import materialize
+
 UNDETERMINED = "und"
 #: Bounds of the fit: labelled rows a language, folded characters a language, and folded characters in all; with many
 #: languages each gets its share of the last.
 ROWS, CHARS, ALL_CHARS = 48, 24_000, 120_000
+#: Languages whose cutting points are sent to every task.
+FEW = 10_000
 #: Distinct letters told apart: the most frequent of the samples.
 ALPHABET = 125
 PIECE = 512
@@ -137,6 +141,9 @@ def labelled_sample(docs: DataFrame, rows: int = ROWS, chars: int = CHARS) -> Da
     known = docs.filter(F.col("lang").isNotNull() & (F.col("lang") != UNDETERMINED)).withColumn("h", F.xxhash64(F.col("doc_id").cast("string")))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
     cuts = known.select("lang", "h").withColumn("r", rank).filter(F.col("r") <= rows).groupBy("lang").agg(F.max("h").alias("cut"))
+    cuts = materialize(cuts, "language-cuts")
+    if cuts.limit(FEW + 1).count() <= FEW:  # else the texts are dealt by language to meet their cut
+        cuts = F.broadcast(cuts)
     near = known.join(cuts, "lang").filter((F.col("h") <= F.col("cut")) & F.col("text").isNotNull()).select("lang", "h", F.substring("text", 1, chars).alias("text"))
     order = Window.partitionBy("lang").orderBy("h", "text")
     some = near.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= rows)
