@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpuskit.operators import fusion, index, lexical, vectors
+from corpuskit.operators import queries as understanding
 from corpuskit.plans import model
 from corpuskit.plans.catalog import query
 
@@ -175,3 +176,20 @@ def evaluate(spark, sf_dir):
     judged = words.join(b, "word").filter(F.col("text").contains(F.col("begin"))).select("query_id", "id").distinct()
     hits = lexical.lexical_search(_index(spark, sf_dir), model.queries(spark, sf_dir), synonyms=False)
     return fusion.evaluate(hits, judged).withColumn("rr", F.round("rr", 6))
+
+
+_STOP = ", ".join(f"'{w}'" for w in understanding.STOPWORDS)
+_CUES = ", ".join(sorted({f"'{w}'" for t in (understanding.TYPE_CUES, understanding.SUBTYPE_CUES, understanding.KIND_CUES) for ws in t.values() for w in ws.split()}))
+
+
+@query(
+    "understand_queries",
+    f"""WITH w AS (SELECT item_id AS query_id, (regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'))[1:8] AS w FROM benchmark)
+SELECT query_id, array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i AND x NOT IN ({_STOP}) AND x NOT IN ({_CUES})), ' ') AS tokens, array_to_string(w, ' ') || ' pdf' AS embed_text, 'pdf' AS types, {model.NOW - 14 * 86400} AS since FROM w""",
+)
+def understand_queries(spark, sf_dir):
+    """The first eight words of each text, as someone would ask for a document of last week."""
+    words = F.slice(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)), 1, 8)
+    raw = model.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.array_join(words, " "), F.lit(" last week pdf")).alias("raw"))
+    out = understanding.understand_queries(raw, model.NOW)
+    return out.select("query_id", F.array_join("tokens", " ").alias("tokens"), "embed_text", F.array_join("types", ",").alias("types"), "since")
