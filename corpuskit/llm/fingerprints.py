@@ -142,11 +142,11 @@ def _share(n_a: Column, n_b: Column, only_a: Column, only_b: Column) -> Column:
     return F.when(n_a + only_b == 0, 1.0).otherwise((n_a - only_a) / (n_a + only_b))
 
 
-def likeness(sets: DataFrame) -> DataFrame:
-    """``uid, kind, likeness`` of the pairs that base sketches don't settle. sets: ``uid, kind, a, b, left``."""
-    todo = sets.filter("left > 0").select("uid", "kind", "a", "b")
+def likeness(todo: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``uid, kind, likeness`` of the pairs ``todo`` that base sketches don't settle. Both: ``uid, kind, a, b``."""
     first = materialize(_decoded(todo, *TRIES[0]), "peeled")
-    rest = sets.join(first.filter("left > 0").select("uid", "kind"), ["uid", "kind"]).select("uid", "kind", "a", "b")
+    # A merge join at every size, so that a small table tells what a large one will move.
+    rest = pairs.join(first.filter("left > 0").select("uid", "kind").hint("merge"), ["uid", "kind"]).select("uid", "kind", "a", "b")
     second = _decoded(rest, *TRIES[1]).join(rest, ["uid", "kind"])
     by_sets = F.col("left") > 0
     only_a = F.when(by_sets, F.size(F.array_except("a", "b"))).otherwise(F.col("only_a"))
@@ -188,10 +188,13 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         "d_next",
     )
     slim = materialize(slim, "digests")
-    pair = lambda k, other: F.struct(F.lit(k).alias("kind"), F.col(other).alias("b"), peeled(sketch(F.col("d_text")), sketch(F.col(other)))["left"].alias("left"))
-    sets = slim.select("uid", F.col("d_text").alias("a"), F.explode(F.array(pair(0, "d_edited"), pair(1, "d_next"))).alias("p")).select("uid", "p.kind", "a", "p.b", "p.left")
+    pair = lambda k, other, *more: F.struct(F.lit(k).alias("kind"), F.col(other).alias("b"), *more)
+    left = lambda other: peeled(sketch(F.col("d_text")), sketch(F.col(other)))["left"].alias("left")
+    flat = lambda *two: slim.select("uid", F.col("d_text").alias("a"), F.explode(F.array(*two)).alias("p")).select("uid", "p.*", "a")
+    tried = flat(*(pair(k, c, left(c)) for k, c in enumerate(("d_edited", "d_next"))))
+    pairs = flat(*(pair(k, c) for k, c in enumerate(("d_edited", "d_next"))))
     of = lambda k: F.max(F.when(F.col("kind") == k, F.col("likeness")))
-    larger = materialize(likeness(sets).groupBy("uid").agg(of(0).alias("l_edited"), of(1).alias("l_next")), "likeness")
+    larger = materialize(likeness(tried.filter("left > 0").select("uid", "kind", "a", "b"), pairs).groupBy("uid").agg(of(0).alias("l_edited"), of(1).alias("l_next")), "likeness")
     sketched = slim.join(larger, "uid", "left").select("*", *(sketch(F.col(f"d_{c}")).alias(f"c_{c}") for c in ("text", "edited", "next")))
     rows = sketched.select("*", peeled(F.col("c_text"), F.col("c_edited")).alias("p_edited"), peeled(F.col("c_text"), F.col("c_next")).alias("p_next"))
 
