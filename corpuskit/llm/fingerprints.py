@@ -27,10 +27,11 @@ from corpuskit.llm.common import materialize
 
 #: Cells of a table of a fingerprint, as a power of two; three tables.
 BASE_BITS = 3
-#: Rounds of peeling within a row, and through all three tables of a larger sketch.
-ROW_ROUNDS, ROUNDS = 7, 6
+#: Rounds of peeling within a row, and steps (a table each) of peeling a larger sketch. Larger sketches are so sparse
+#: that three steps leave a digest in a thousand sketches; few steps keep few sums in memory at a time.
+ROW_ROUNDS, STEPS = 7, 4
 #: Larger tries: cells a digest of either text gets, about, and the seed of the hashes.
-TRIES = ((3.0, 101), (12.0, 202))
+TRIES = ((24.0, 101), (96.0, 202))
 #: Characters after which a line is cut at the next sentence end.
 PART = 160
 #: Bits of a digest that choose a cell of one table.
@@ -111,7 +112,7 @@ def _decoded(pairs: DataFrame, cells_each: float, seed: int) -> DataFrame:
     """``uid, kind, n_a, n_b, only_a, only_b, left``: subtract and peel larger sketches. pairs: ``uid, kind, a, b``."""
     who = ["uid", "kind", "n_a", "n_b", "width"]
     # A digest becomes three cells and a document some hundred: small partitions keep their sums in memory.
-    parts = 4 * int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = 2 * int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = F.size("a") + F.size("b")
     bits = F.least(F.lit(_SLICE), F.greatest(F.lit(BASE_BITS), F.ceil(F.log2(size * (cells_each / 3.0))))).cast("int")
     signed = lambda c, n: F.transform(c, lambda k: F.struct(k.alias("k"), _long(n).alias("n")))
@@ -124,7 +125,7 @@ def _decoded(pairs: DataFrame, cells_each: float, seed: int) -> DataFrame:
 
     cells = summed(spots)
     as_row = lambda c, n, k, h: F.struct(c.cast("long").alias("c"), n.cast("long").alias("n"), k.alias("k"), h.alias("h"))
-    for step in range(3 * ROUNDS):
+    for step in range(STEPS):
         # Within one table a digest has one cell, so no digest is found twice in a step.
         table = step % 3
         places = [_cell(F.xxhash64(F.col("k"), F.lit(seed)), t, F.col("width")) for t in range(3)]
