@@ -21,10 +21,10 @@ def list_items(spark, sf_dir):
     return views.list_items(model.items(spark, sf_dir), types=["url", "pdf"], sort="title", limit=50, offset=20).select("id", "type", "title")
 
 
-@query("siblings", f"WITH {model.ITEMS} SELECT id, batch_id, captured_s FROM items WHERE NOT deleted AND batch_id % 5 = 0")
+@query("siblings", f"WITH {model.ITEMS} SELECT id, batch_id, captured_s FROM items WHERE NOT deleted")
 def siblings(spark, sf_dir):
     items = model.items(spark, sf_dir)
-    return views.siblings(items, items.filter("batch_id % 5 = 0").select("batch_id")).select("id", "batch_id", "captured_s")
+    return views.siblings(items, items.select("batch_id")).select("id", "batch_id", "captured_s")
 
 
 @query("summaries", f"""WITH {model.ITEMS}, k AS (SELECT parent_id, id, row_number() OVER (PARTITION BY parent_id ORDER BY captured_s, title, id) AS pos FROM items WHERE NOT deleted AND parent_id IS NOT NULL)
@@ -209,10 +209,9 @@ def within_window(spark, sf_dir):
     return linking.within_window(items, items, 7200, 10)
 
 
-@query("edges_of", f"WITH {model.EDGES} SELECT source_id AS id, target_id AS other, type, 'out' AS direction FROM edges WHERE source_id % 3 = 0 UNION ALL SELECT target_id, source_id, type, 'in' FROM edges WHERE target_id % 3 = 0")
+@query("edges_of", f"WITH {model.EDGES} SELECT source_id AS id, target_id AS other, type, 'out' AS direction FROM edges UNION ALL SELECT target_id, source_id, type, 'in' FROM edges")
 def edges_of(spark, sf_dir):
-    """The items asked for are those whose id is divisible by 3."""
-    asked = model.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")).filter("id % 3 = 0")
+    asked = model.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
     return linking.edges_of(model.edges(spark, sf_dir), asked)
 
 

@@ -109,17 +109,17 @@ KNN = """u AS (SELECT item_id, chunk, role, model, collection_id, list_transform
 knn AS (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS pos, score, cosine FROM (
   SELECT q.item_id AS query_id, c.item_id, max(round(list_dot_product(q.v, c.v), 9) * CASE c.role WHEN 'summary' THEN 1.0::DOUBLE ELSE 0.8::DOUBLE END) AS score,
     arg_max(round(list_dot_product(q.v, c.v), 9), round(list_dot_product(q.v, c.v), 9) * CASE c.role WHEN 'summary' THEN 1.0::DOUBLE ELSE 0.8::DOUBLE END) AS cosine
-  FROM u q JOIN u c ON q.role = 'summary' AND q.item_id % 10 = 0 GROUP BY q.item_id, c.item_id))"""
+  FROM u q JOIN u c ON q.role = 'summary' AND q.item_id % 20 = 0 GROUP BY q.item_id, c.item_id))"""
 
 
 @query("knn", f"WITH {model.VECTORS}, {KNN} SELECT query_id, item_id, pos, round(score, 6) AS score, round(cosine, 6) AS cosine FROM knn WHERE pos <= 10")
 def knn(spark, sf_dir):
     v = model.vectors(spark, sf_dir)
-    q = v.filter("role = 'summary' AND item_id % 10 = 0").select(F.col("item_id").alias("query_id"), "vector")
+    q = v.filter("role = 'summary' AND item_id % 20 = 0").select(F.col("item_id").alias("query_id"), "vector")
     return vectors.knn(v, q, 10).withColumns({c: F.round(c, 6) for c in ("score", "cosine")})
 
 
-@query("similar_items", f"WITH {model.VECTORS}, {KNN.replace('AND q.item_id % 10 = 0', 'AND c.role = q.role AND c.item_id <> q.item_id')} SELECT query_id, item_id, pos, round(score, 6) AS score, round(cosine, 6) AS cosine FROM knn WHERE pos <= 10 AND cosine >= 0.3")
+@query("similar_items", f"WITH {model.VECTORS}, {KNN.replace('AND q.item_id % 20 = 0', 'AND c.role = q.role AND c.item_id <> q.item_id')} SELECT query_id, item_id, pos, round(score, 6) AS score, round(cosine, 6) AS cosine FROM knn WHERE pos <= 10 AND cosine >= 0.3")
 def similar_items(spark, sf_dir):
     """Item to item on summaries; the floor fits these vectors, whose closest pairs are near 0.5."""
     v = model.vectors(spark, sf_dir)
