@@ -4,8 +4,8 @@ For each language a bounded sample of labelled text goes into a suffix automaton
 them: at every place the longest match is one phrase, a letter without any match is one too. The language that needs
 the fewest phrases a letter wins. Many pieces of text are parsed in step, one table lookup a character for all.
 
-Text is first folded: case is dropped, every run of characters that are no letters is one blank, and a letter counts
-as itself if the alphabet of the samples has it, else as one unknown letter that matches nothing.
+Text is first folded: case is dropped, every run of characters that are no letters is one blank, and every letter that
+stands anywhere in the samples counts as itself; a letter outside all of them matches nothing.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; without any usable label every text is
 ``und``; ties go to the language first in code-point order; texts are parsed whole, in pieces of ``PIECE``
@@ -33,8 +33,6 @@ UNDETERMINED = "und"
 ROWS, CHARS, ALL_CHARS = 48, 24_000, 120_000
 #: Languages whose cutting points are sent to every task.
 FEW = 10_000
-#: Distinct letters told apart: the most frequent of the samples.
-ALPHABET = 125
 PIECE = 512
 #: Characters that one step of the parse takes from a batch, about.
 BATCH_CHARS = 2 << 20
@@ -46,8 +44,7 @@ ALIEN, ALIEN_CHARS = 0.75, 64
 class Model:
     languages: tuple[str, ...]
     letters: tuple[int, ...]  # code points, of class 2 on; 0 is no text, 1 the unknown letter, the last the blank
-    roots: np.ndarray  # one state a language
-    table: np.ndarray  # states x classes -> state, or -1
+    edges: tuple[tuple[np.ndarray, np.ndarray], ...]  # of each language: keys state * classes + class, and the states they lead to
 
     @property
     def classes(self) -> int:
@@ -57,15 +54,10 @@ class Model:
 def fold_classes(letters: tuple[int, ...]) -> np.ndarray:
     """Class by code point up to the last plane: blank for what is no letter."""
     blank = len(letters) + 2
-    known = {c: i + 2 for i, c in enumerate(letters)}
-    out = np.full(0x110000, blank, dtype=np.uint8)
+    known = np.ones(0x110000, dtype=np.uint16 if blank < 1 << 16 else np.int32)
+    known[list(letters)] = np.arange(2, blank)
     is_letter, lower = _letters()
-    out[is_letter] = 1
-    at = np.flatnonzero(is_letter)
-    lowered = lower[at]
-    for c, i in known.items():
-        out[at[lowered == c]] = i
-    return out
+    return np.where(is_letter, known[lower], known.dtype.type(blank))
 
 
 @lru_cache(maxsize=1)
@@ -97,8 +89,9 @@ def folded(points: np.ndarray, classes: np.ndarray, rows: np.ndarray, blank: int
     return kinds[keep], kept[rows]
 
 
-def suffix_automaton(text: np.ndarray, classes: int) -> np.ndarray:
-    """States x classes -> state or -1; state 0 is the start. Its paths spell exactly the substrings of ``text``."""
+def suffix_automaton(text: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys state * classes + class and the states they lead to; state 0 is the start. Its paths spell exactly the
+    substrings of ``text``."""
     most = 2 * len(text) + 2
     step = [dict() for _ in range(1)]
     link, length = [-1], [0]
@@ -127,11 +120,49 @@ def suffix_automaton(text: np.ndarray, classes: int) -> np.ndarray:
                 link[q] = link[new] = twin
         last = new
     assert len(step) <= most
-    table = np.full((len(step), classes), -1, dtype=np.int32)
-    for state, to in enumerate(step):
-        for c, t in to.items():
-            table[state, c] = t
-    return table
+    keys = np.array([state * classes + c for state, to in enumerate(step) for c in to], dtype=np.int64)
+    return keys, np.array([t for to in step for t in to.values()], dtype=np.int32)
+
+
+class Edges:
+    """Steps of one automaton: an open hash table, at most a quarter full, so that its size goes with the sample and
+    not with the alphabet."""
+
+    def __init__(self, keys: np.ndarray, to: np.ndarray, classes: int):
+        self.classes = classes
+        bits = max(4, (4 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys = np.full(1 << bits, -1, dtype=np.int64)
+        self.to = np.full(1 << bits, -1, dtype=np.int32)
+        at = self._slots(keys)
+        while len(keys):
+            free = self.keys[at] < 0
+            self.keys[at[free]] = keys[free]
+            left = self.keys[at] != keys  # of several that want a slot one gets it, the others try the next
+            self.to[at[~left]] = to[~left]
+            keys, to, at = keys[left], to[left], (at[left] + 1) & self.mask
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).view(np.int64)
+
+    def step(self, state: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        """The state after each state and class, or -1."""
+        keys = state.astype(np.int64) * self.classes + kind
+        at = self._slots(keys)
+        to, found = self.to[at], self.keys[at]
+        open_ = np.flatnonzero(found != keys)
+        if len(open_):
+            to[open_] = -1
+            open_ = open_[found[open_] >= 0]
+            at = at[open_]
+            while len(open_):
+                at = (at + 1) & self.mask
+                found = self.keys[at]
+                hit = found == keys[open_]
+                to[open_[hit]] = self.to[at[hit]]
+                more = ~hit & (found >= 0)
+                open_, at = open_[more], at[more]
+        return to
 
 
 def labelled_sample(docs: DataFrame, rows: int = ROWS, chars: int = CHARS) -> DataFrame:
@@ -168,20 +199,16 @@ def model_of(by_lang: dict[str, list[str]], chars: int = CHARS, all_chars: int =
         points[lang] = [code_points([t]) for t in by_lang[lang]]
         for p in points[lang]:
             count += np.bincount(lower[p[is_letter[p]]], minlength=0x110000)
-    often = np.argsort(-count, kind="stable")[:ALPHABET]
-    letters = tuple(int(c) for c in sorted(often) if count[c])
+    letters = tuple(np.flatnonzero(count).tolist())
     classes = fold_classes(letters)
     blank, n = len(letters) + 2, len(letters) + 3
     share = min(chars, all_chars // max(1, len(languages)))
-    tables, roots, base = [], [], 0
+    edges = []
     for lang in languages:
         parts = [folded(p, classes, np.array([0, len(p)]), blank)[0] for p in points[lang]]
-        text = np.concatenate([np.zeros(0, np.uint8), *(np.append(p, np.uint8(blank)) for p in parts)])[:share]
-        table = suffix_automaton(text[text != 1], n)
-        tables.append(np.where(table >= 0, table + base, -1).astype(np.int32))
-        roots.append(base)
-        base += len(table)
-    return Model(languages, letters, np.array(roots, dtype=np.int32), np.concatenate(tables) if tables else np.zeros((0, n), np.int32))
+        text = np.concatenate([np.zeros(0, classes.dtype), *(np.append(p, classes.dtype.type(blank)) for p in parts)])[:share]
+        edges.append(suffix_automaton(text, n))
+    return Model(languages, letters, tuple(edges))
 
 
 class Parser:
@@ -190,7 +217,7 @@ class Parser:
     def __init__(self, model: Model):
         self.model = model
         self.classes = fold_classes(model.letters)
-        self.flat = np.ascontiguousarray(model.table).reshape(-1)
+        self.edges = [Edges(keys, to, model.classes) for keys, to in model.edges]
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Texts x languages phrases, and the letters of each text."""
@@ -213,28 +240,25 @@ class Parser:
         if not len(owner):
             return out, letters
         live = np.searchsorted(-size, -np.arange(int(size[0])), side="left")  # lanes longer than each step
-        columns = np.zeros((int(size[0]), len(owner)), dtype=np.uint8)
+        columns = np.zeros((int(size[0]), len(owner)), dtype=kinds.dtype)
         for step in range(int(size[0])):
             columns[step, : live[step]] = kinds[at[: live[step]] + step]
-        width = model.classes
-        for lang, root in enumerate(model.roots):
-            state = np.full(len(owner), root, dtype=np.int32)
+        for lang, edges in enumerate(self.edges):
+            state = np.zeros(len(owner), dtype=np.int32)
             count = np.zeros(len(owner), dtype=np.int32)
-            from_root = np.maximum(model.table[root], -1)
-            from_root = np.where(from_root >= 0, from_root, root).astype(np.int32)  # a letter without match leaves an empty phrase
-            flat = self.flat
+            from_root = np.maximum(edges.step(np.zeros(model.classes, np.int32), np.arange(model.classes)), 0)  # a letter without match leaves an empty phrase
             for step in range(int(size[0])):
                 n = live[step]
                 kind = columns[step, :n]
-                to = flat[state[:n].astype(np.int64) * width + kind]
+                to = edges.step(state[:n], kind)
                 miss = np.flatnonzero(to < 0)
                 if len(miss):
                     # The phrase ends before this character (an empty one is the character itself, counted below).
                     again = from_root[kind[miss]]
-                    count[miss] += (state[miss] != root).astype(np.int32) + (again == root)
+                    count[miss] += (state[miss] != 0).astype(np.int32) + (again == 0)
                     to[miss] = again
                 state[:n] = to
-            count += state != root
+            count += state != 0
             out[:, lang] = np.bincount(owner, weights=count, minlength=len(texts)).astype(np.int64)
         return out, letters
 

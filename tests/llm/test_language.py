@@ -52,3 +52,30 @@ def test_held_out_accuracy(spark, sf_dir):
     truth = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang")
     rows = language.op8_language(spark, sf_dir).join(truth, "doc_id").filter("held_out").collect()
     assert len(rows) > 30 and sum(r.lang == r.lang_pred for r in rows) >= 0.97 * len(rows)
+
+
+def test_large_alphabet(spark):
+    """A language of many hundred letters, beside one of few, keeps its clean texts; text of other letters goes."""
+    rng = np.random.default_rng(5)
+    letters = [chr(0x4E00 + 7 * i) for i in range(900)]
+    words = ["".join(rng.choice(letters, 2)) for _ in range(2000)]
+    many = lambda n: "".join(words[i] for i in rng.integers(0, len(words), n))
+    few = lambda n: " ".join(rng.choice(["some", "plain", "short", "words", "again"], n))
+    learned = spark.createDataFrame([(i, many(1000), "zh") for i in range(10)] + [(100 + i, few(40), "en") for i in range(10)], "doc_id long, text string, lang string")
+    model = language.fit(learned)
+    asked = spark.createDataFrame([(i, many(60), "zh") for i in range(20)] + [(100 + i, few(40), "en") for i in range(20)] + [(200, "".join(chr(0xAC00 + i) for i in range(100)), "ko")], "doc_id long, text string, lang string")
+    assert {r.doc_id for r in language.accepted(asked, model).collect()} == set(range(20)) | set(range(100, 120))
+    got = {r.doc_id: r.lang_pred for r in language.identify(asked, model).collect()}
+    assert all(got[i] == "zh" and got[100 + i] == "en" for i in range(20))
+    assert len(model.letters) > 700
+
+
+def test_parses_like_substring_search_with_many_letters():
+    rng = np.random.default_rng(6)
+    letters = np.array([chr(0x4E00 + i) for i in range(600)])
+    p = 1 / np.arange(1, 601)
+    draw = lambda n: "".join(rng.choice(letters, n, p=p / p.sum()))
+    samples = {"x": draw(3000), "y": draw(3000)}
+    texts = [draw(200) for _ in range(20)]
+    got, _ = language.Parser(language.model_of({k: [v] for k, v in samples.items()}, 10_000, 20_000)).phrases(texts)
+    assert got.tolist() == [[phrases(t, samples["x"]), phrases(t, samples["y"])] for t in texts]
