@@ -121,6 +121,12 @@ def entities(spark, sf_dir):
     return analytics.entities(model.table(spark, sf_dir, "documents").filter("lang = 'en'").select(F.col("doc_id").alias("id"), "text"))
 
 
+@query("entities_full")
+def entities_full(spark, sf_dir):
+    """The names in documents of every language and of none; DuckDB's word boundaries are others beyond ASCII."""
+    return analytics.entities(model.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
+
+
 STEPS = "steps AS (SELECT conv_id AS run_id, turn AS step, CASE role WHEN 'user' THEN 'look' WHEN 'assistant' THEN 'read' ELSE 'write' END AS kind, (conv_id * 31 + turn * 7) % 50 AS item_id, length(text) AS chars FROM conversations)"
 
 
@@ -164,6 +170,14 @@ def pending_stages(spark, sf_dir):
     return lifecycle.pending_stages(model.stage_events(spark, sf_dir).filter("outcome = 'failed'"))
 
 
+@query("pending_stages_full", f"""WITH {model.STAGE_EVENTS}, d AS (SELECT DISTINCT item_id, stage FROM stage_events),
+g(stage, need) AS (VALUES ('embed','extract'),('understand','extract'),('index','embed'),('index','understand'),('relate','index'))
+SELECT d.item_id, g.stage FROM d JOIN g ON g.need = d.stage GROUP BY d.item_id, g.stage HAVING count(*) = (SELECT count(*) FROM g g2 WHERE g2.stage = g.stage) AND NOT EXISTS (SELECT 1 FROM d x WHERE x.item_id = d.item_id AND x.stage = g.stage)""")
+def pending_stages_full(spark, sf_dir):
+    """Over results of every outcome."""
+    return lifecycle.pending_stages(model.stage_events(spark, sf_dir))
+
+
 @query("backlog_head", f"WITH {model.STAGE_EVENTS}, l AS (SELECT item_id, stage, arg_max(outcome, (at_us, seq)) AS outcome, max(at_us) AS at_us, arg_max(seq, (at_us, seq)) AS seq FROM stage_events GROUP BY item_id, stage) SELECT stage, item_id, at_us FROM l WHERE outcome = 'failed' QUALIFY row_number() OVER (PARTITION BY stage ORDER BY at_us, seq) = 1")
 def backlog_head(spark, sf_dir):
     return lifecycle.backlog_head(model.stage_events(spark, sf_dir))

@@ -10,6 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpuskit.operators import vectors
+from corpuskit.operators.analytics import KEYWORD_STOPWORDS
+from corpuskit.operators.lifecycle import STAGE_GRAPH
 from corpuskit.plans import curation_queries, model, registry
 
 
@@ -71,3 +73,41 @@ def test_hybrid_search_finds_the_end_of_a_long_text(spark, small):
     assert registry.FLAGSHIP == "hybrid_search_full"
     got = registry.queries()["hybrid_search_full"](spark, small).collect()
     assert got[0].query_id == 7 and got[0].id == 0 and got[0].pos == 1
+
+
+def names(text):
+    out = []
+    for m in re.finditer(r"\b([A-Z][A-Za-z0-9]+(?:[ -][A-Z][A-Za-z0-9]+)*)\b", text or "", re.ASCII):
+        if len(m[1]) >= 3 and m[1].lower() not in KEYWORD_STOPWORDS and m[1] not in out:
+            out.append(m[1])
+    return out[:8]
+
+
+def test_entities_of_every_language(spark, tmp_path):
+    texts = {0: "Ada Lovelace met Babbage.", 1: "Der Zug nach München, Über Bonn-Beuel und ÉCole Nord.", 2: "Paris Nord et Lyon", 3: None, 4: " ".join(f"Name{i}, x" for i in range(12))}
+    langs = {0: "en", 1: "de", 2: None, 3: "fr", 4: "es"}
+    spark.createDataFrame([(i, t, langs[i]) for i, t in texts.items()], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.id, r.pos, r.name) for r in registry.queries()["entities_full"](spark, str(tmp_path)).collect())
+    assert got == [(i, n + 1, name) for i, t in texts.items() for n, name in enumerate(names(t))]
+    assert {g[0] for g in got} == {0, 1, 2, 4}
+
+
+def test_entities_of_the_tables(spark, sf_dir):
+    got = sorted((r.id, r.pos, r.name) for r in registry.queries()["entities_full"](spark, sf_dir).collect())
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
+    assert got == sorted((d.doc_id, n + 1, name) for d in docs for n, name in enumerate(names(d.text)))
+
+
+def test_pending_stages_after_any_result(spark, tmp_path):
+    """Values below 20 are failures, below 60 partial results, others are ok: all of them are results."""
+    kinds = {"extract": "signup", "embed": "view", "understand": "click", "relate": "purchase", "index": "other"}
+    events = [(1, "extract", 90.0), (2, "extract", 5.0), (2, "embed", 90.0), (3, "extract", 40.0), (3, "embed", 10.0), (3, "understand", 90.0), (4, "index", 90.0), (4, "relate", 90.0), (5, "understand", 30.0), (5, "understand", 90.0)]
+    rows = [(n, item, kinds[stage], value, f"2024-01-0{item} 00:00:00") for n, (item, stage, value) in enumerate(events)]
+    frame = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, ts string")
+    frame.withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(f"{tmp_path}/events.parquet")
+    want = set()
+    for item in {e[0] for e in events}:
+        done = {s for i, s, _ in events if i == item}
+        want |= {(item, s) for s, needs in STAGE_GRAPH if needs and s not in done and done.issuperset(needs)}
+    assert {tuple(r) for r in registry.queries()["pending_stages_full"](spark, str(tmp_path)).collect()} == want
+    assert {(1, "embed"), (1, "understand"), (2, "understand"), (3, "index")} <= want
