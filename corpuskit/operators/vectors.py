@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from corpuskit.functions.vectors import dot, l2_normalize
 
 #: Queries that are sent to every task; more are dealt into blocks of this size.
 QUERY_BLOCK = 2000
+#: Vectors of a block that meets another in one task, about, and those of them that are multiplied at once.
+PAIR_BLOCK, PAIR_ROWS = 4096, 512
 ROLE_WEIGHT = {"summary": 1.0, "body": 0.8}
 
 # Words that hashed vectors leave out.
@@ -98,9 +102,45 @@ def embedding_diff(existing: DataFrame, wanted: DataFrame) -> DataFrame:
     return both.filter(~(F.col("h1").eqNullSafe(F.col("h2")) & F.col("m1").eqNullSafe(F.col("m2")))).select("item_id").distinct()
 
 
-def near_duplicates(items: DataFrame, title_key: Column) -> DataFrame:
-    """``a, b`` (a < b) of live items with one title key, domain and type. Of each such group the first is paired with
-    each other: the rest follows from that, and a large group stays as many rows as it has members."""
+def near_duplicates(items: DataFrame, title_key: Column, vectors: DataFrame | None = None, threshold: float = 0.95) -> DataFrame:
+    """``a, b`` (a < b) of live items with one title key, domain and type, or of one type with summary vectors of cosine
+    ``threshold`` or more. Of each group by title the first is paired with each other: the rest follows from that, and a
+    large group stays as many rows as it has members. Near vectors give every pair, as they don't follow."""
     keyed = items.filter("NOT deleted").select("id", title_key.alias("title_key"), "domain", "type").filter("title_key <> ''")
     first = F.min("id").over(Window.partitionBy("title_key", "domain", "type"))
-    return keyed.withColumn("a", first).filter("id <> a").select("a", F.col("id").alias("b"))
+    titled = keyed.withColumn("a", first).filter("id <> a").select("a", F.col("id").alias("b"))
+    if vectors is None:
+        return titled
+    live = items.filter("NOT deleted").select("id", F.col("type").alias("kind"))
+    v = vectors.filter("role = 'summary'").select(F.col("item_id").alias("id"), F.col("vector").cast("array<double>").alias("v"))
+    return titled.unionByName(near_pairs(v.join(live, "id"), threshold)).distinct()
+
+
+def near_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
+    """``a, b`` (a < b) of ``id, kind, v`` with one kind and size and cosine ``threshold`` or more, exactly.
+
+    Vectors are dealt into blocks by a hash of the id, and every block meets every block in a task of its own: a row is
+    sent once a block, and a task holds two blocks however many rows a kind has."""
+    rows = vectors.filter("v IS NOT NULL AND size(v) > 0")
+    blocks = max(1, -(-rows.count() // PAIR_BLOCK))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = dealt.select("id", "kind", "v", "block", F.size("v").alias("dims"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+
+    def meet(group: pa.Table) -> pa.Table:
+        dims = group["dims"][0].as_py()
+        values = group["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+        norms = np.linalg.norm(values, axis=1)
+        keep = norms > 0
+        unit, ids = values[keep] / norms[keep, None], group["id"].to_numpy()[keep]
+        block, i, j = group["block"].to_numpy()[keep], group["i"][0].as_py(), group["j"][0].as_py()
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        found = [np.zeros((2, 0), np.int64)]
+        for at in range(0, len(left), PAIR_ROWS):
+            some = left[at : at + PAIR_ROWS]
+            x, y = np.nonzero(np.round(unit[some] @ unit[right].T, 9) >= threshold)
+            found.append(np.stack([ids[some[x]], ids[right[y]]]))
+        a, b = np.concatenate(found, axis=1)
+        a, b = np.minimum(a, b), np.maximum(a, b)
+        return pa.table({"a": a[a < b], "b": b[a < b]}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+    return dealt.groupBy("kind", "dims", "i", "j").applyInArrow(meet, "a long, b long").distinct()

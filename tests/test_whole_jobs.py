@@ -111,3 +111,22 @@ def test_pending_stages_after_any_result(spark, tmp_path):
         want |= {(item, s) for s, needs in STAGE_GRAPH if needs and s not in done and done.issuperset(needs)}
     assert {tuple(r) for r in registry.queries()["pending_stages_full"](spark, str(tmp_path)).collect()} == want
     assert {(1, "embed"), (1, "understand"), (2, "understand"), (3, "index")} <= want
+
+
+def test_near_duplicates_by_vector(spark, monkeypatch):
+    """Blocks give what all pairs give: near vectors of one type, whatever the titles; no deleted items, no zeros."""
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(12, 8))
+    v = np.concatenate([base[rng.integers(0, 12, 80)] + rng.normal(size=(80, 8)) * 0.2, np.zeros((2, 8))])
+    kinds = ["url", "pdf"]
+    items = spark.createDataFrame([(i, f"title {i}" if i > 3 else "Same", "d", kinds[i % 2], i % 10 == 9) for i in range(82)], "id long, title string, domain string, type string, deleted boolean")
+    rows = [(i, 0, "summary", x.tolist()) for i, x in enumerate(v)] + [(i, 1, "body", base[0].tolist()) for i in range(82)]
+    frame = spark.createDataFrame(rows, "item_id long, chunk int, role string, vector array<double>")
+    unit = v / np.maximum(np.linalg.norm(v, axis=1), 1e-300)[:, None]
+    live = [i for i in range(82) if i % 10 != 9]
+    near = {(a, b) for a in live for b in live if a < b and a % 2 == b % 2 and unit[a] @ unit[b] >= 0.95}
+    for block in (4096, 7):
+        monkeypatch.setattr(vectors, "PAIR_BLOCK", block)
+        got = [tuple(r) for r in vectors.near_duplicates(items, F.lower("title"), frame).collect()]
+        assert len(got) == len(set(got)) and set(got) == near | {(0, 2), (1, 3)}
+    assert len(near) > 20
