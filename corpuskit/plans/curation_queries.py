@@ -48,7 +48,7 @@ def dedupe_content(spark, sf_dir):
 
 @query("chunk_bodies")
 def chunk_bodies(spark, sf_dir):
-    return preparation.chunk_bodies(model.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
+    return preparation.chunk_bodies(model.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), max_chunks=None)
 
 
 @query("profile_text", r"""WITH f AS (SELECT doc_id AS id, text, trim(regexp_replace(coalesce(text, ''), '[ \t\r\n]+', ' ', 'g')) AS flat FROM documents)

@@ -130,3 +130,10 @@ def test_near_duplicates_by_vector(spark, monkeypatch):
         got = [tuple(r) for r in vectors.near_duplicates(items, F.lower("title"), frame).collect()]
         assert len(got) == len(set(got)) and set(got) == near | {(0, 2), (1, 3)}
     assert len(near) > 20
+
+
+def test_chunk_bodies_keeps_the_end_of_a_long_text(spark, small):
+    rows = [r for r in registry.queries()["chunk_bodies"](spark, small).collect() if r.id == 0]
+    assert sorted(r.chunk for r in rows) == list(range(len(rows))) and len(rows) > 24
+    text = next(r.extracted_text for r in model.items(spark, small).filter("id = 0").collect())
+    assert " ".join(r.text for r in sorted(rows, key=lambda r: r.chunk)).split() == text.split()
