@@ -42,7 +42,7 @@ _HISTORY = np.uint64(0x8EBC6AF09C88C6E3)
 
 def tokens_of(words: Words) -> tuple[np.ndarray, np.ndarray]:
     """Row and hash of each token."""
-    return np.repeat(np.arange(len(words.rows) - 1), np.diff(words.rows)), words.hashes()
+    return np.repeat(np.arange(len(words.rows) - 1), np.diff(words.rows)), words.hashes()[0]
 
 
 def ngrams(row: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -8,10 +8,9 @@ it out of its other cells, and so on until nothing is left: then the digests tha
 known. If something is left, a larger sketch is tried.
 
 A fingerprint is the sketch of ``2^BASE_BITS`` cells a table. Comparing subtracts two fingerprints and peels them
-within the row. Where that fails, the sketch takes a size that holds the digests of both texts, and where that fails
-too, four times that under other hashes; these are cells in rows, summed by document. What even that leaves (two
-digests that share all cells) is compared by the sets. Likeness is the share of the digests of both that both have:
-it follows from the two sizes and the recovered lists.
+within the row. Where that fails, the sketch takes a size that holds the digests of both texts, and as often as that
+fails too, four times that under fresh hashes; these are cells in rows, summed by document. Likeness is the share of
+the digests of both that both have: it follows from the two sizes and the recovered lists.
 
 Defined results: a null text is an empty one; two texts without parts are alike (1.0); a null doc_id comes before all
 others; rows that share an id have the same next document, and the first of them stands for it; a single document is
@@ -30,14 +29,16 @@ BASE_BITS = 3
 #: Rounds of peeling within a row, and steps (a table each) of peeling a larger sketch. Larger sketches are so sparse
 #: that three steps leave a digest in a thousand sketches; few steps keep few sums in memory at a time.
 ROW_ROUNDS, STEPS = 7, 4
-#: Larger tries: cells a digest of either text gets, about, and the seed of the hashes.
-TRIES = ((24.0, 101), (96.0, 202))
+#: Larger tries: cells a digest of either text gets, about, in the first and in those after it. One try in a thousand
+#: fails, so a pair that fails all is no matter of chance.
+CELLS, MORE_CELLS, TRIES = 24.0, 96.0, 12
 #: Characters after which a line is cut at the next sentence end.
 PART = 160
 #: Bits of a digest that choose a cell of one table.
 _SLICE = 21
 _LEAST = -(1 << 63)
-_PARTS = r"[^\n]{%d,}?[.!?]+(?=[ \t\n]|$)|[^\n]+" % PART
+# One mark before the blank is enough, the lazy run takes those before it: it never looks back.
+_PARTS = r"[^\n]{%d,}?[.!?](?=[ \t\n]|$)|[^\n]+" % PART
 
 
 def digests(text: Column) -> Column:
@@ -143,17 +144,20 @@ def _share(n_a: Column, n_b: Column, only_a: Column, only_b: Column) -> Column:
     return F.when(n_a + only_b == 0, 1.0).otherwise((n_a - only_a) / (n_a + only_b))
 
 
-def likeness(todo: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``uid, kind, likeness`` of the pairs ``todo`` that base sketches don't settle. Both: ``uid, kind, a, b``."""
-    first = materialize(_decoded(todo, *TRIES[0]), "peeled")
-    # A merge join at every size, so that a small table tells what a large one will move.
-    rest = pairs.join(first.filter("left > 0").select("uid", "kind").hint("merge"), ["uid", "kind"]).select("uid", "kind", "a", "b")
-    second = _decoded(rest, *TRIES[1]).join(rest, ["uid", "kind"])
-    by_sets = F.col("left") > 0
-    only_a = F.when(by_sets, F.size(F.array_except("a", "b"))).otherwise(F.col("only_a"))
-    only_b = F.when(by_sets, F.size(F.array_except("b", "a"))).otherwise(F.col("only_b"))
-    share = _share(F.col("n_a"), F.col("n_b"), F.col("only_a"), F.col("only_b")).alias("likeness")
-    return first.filter("left = 0").select("uid", "kind", share).unionByName(second.select("uid", "kind", _share(F.col("n_a"), F.col("n_b"), only_a, only_b).alias("likeness")))
+def likeness(pairs: DataFrame) -> DataFrame:
+    """``uid, kind, likeness`` of ``pairs`` (uid, kind, a, b), by larger sketches until every one is peeled."""
+    done, left = None, pairs
+    for attempt in range(TRIES):
+        peeled_now = materialize(_decoded(left, MORE_CELLS if attempt else CELLS, 101 * (attempt + 1)), "peeled")
+        share = _share(F.col("n_a"), F.col("n_b"), F.col("only_a"), F.col("only_b")).alias("likeness")
+        settled = peeled_now.filter("left = 0").select("uid", "kind", share)
+        done = settled if done is None else done.unionByName(settled)
+        failed = peeled_now.filter("left > 0").select("uid", "kind")
+        if failed.limit(1).count() == 0:
+            return done
+        # A merge join whatever the sizes: the failed pairs are few, but their number goes with the table.
+        left = materialize(left.join(failed.hint("merge"), ["uid", "kind"]).select("uid", "kind", "a", "b"), "unpeeled")
+    raise RuntimeError(f"digests that {TRIES} sketches do not tell apart")
 
 
 def successors(base: DataFrame) -> DataFrame:
@@ -188,22 +192,21 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         digests(F.col("edited")).alias("d_edited"),
         "d_next",
     )
-    slim = materialize(slim, "digests")
-    pair = lambda k, other, *more: F.struct(F.lit(k).alias("kind"), F.col(other).alias("b"), *more)
-    left = lambda other: peeled(sketch(F.col("d_text")), sketch(F.col(other)))["left"].alias("left")
-    flat = lambda *two: slim.select("uid", F.col("d_text").alias("a"), F.explode(F.array(*two)).alias("p")).select("uid", "p.*", "a")
-    tried = flat(*(pair(k, c, left(c)) for k, c in enumerate(("d_edited", "d_next"))))
-    pairs = flat(*(pair(k, c) for k, c in enumerate(("d_edited", "d_next"))))
+    cells = slim.select("*", *(sketch(F.col(f"d_{c}")).alias(f"c_{c}") for c in ("text", "edited", "next")))
+    tried = cells.select(*slim.columns, *(peeled(F.col("c_text"), F.col(f"c_{c}")).alias(f"p_{c}") for c in ("edited", "next")))
+    tried = materialize(tried, "digests")
+    pair = lambda k, c: F.struct(F.lit(k).alias("kind"), F.col(f"d_{c}").alias("b"), F.col(f"p_{c}.left").alias("left"))
+    pairs = tried.select("uid", F.col("d_text").alias("a"), F.explode(F.filter(F.array(pair(0, "edited"), pair(1, "next")), lambda p: p["left"] > 0)).alias("p")).select("uid", "p.kind", "a", "p.b")
     of = lambda k: F.max(F.when(F.col("kind") == k, F.col("likeness")))
-    larger = materialize(likeness(tried.filter("left > 0").select("uid", "kind", "a", "b"), pairs).groupBy("uid").agg(of(0).alias("l_edited"), of(1).alias("l_next")), "likeness")
-    sketched = slim.join(larger, "uid", "left").select("*", *(sketch(F.col(f"d_{c}")).alias(f"c_{c}") for c in ("text", "edited", "next")))
-    rows = sketched.select("*", peeled(F.col("c_text"), F.col("c_edited")).alias("p_edited"), peeled(F.col("c_text"), F.col("c_next")).alias("p_next"))
+    larger = materialize(likeness(pairs).groupBy("uid").agg(of(0).alias("l_edited"), of(1).alias("l_next")), "likeness")
+    rows = tried.join(larger, "uid", "left")
 
     def near(c: str) -> Column:
         small = _share(F.size("d_text"), F.size(f"d_{c}"), F.col(f"p_{c}.only_a"), F.col(f"p_{c}.only_b"))
         return F.coalesce(F.col(f"l_{c}"), small).alias(f"near_{c}")
 
-    return rows.select("doc_id", "n_chars", "edited_sha256", fingerprint(F.col("c_text")).alias("fingerprint"), fingerprint(F.col("c_edited")).alias("edited_fingerprint"), near("edited"), near("next"))
+    printed = lambda c: fingerprint(sketch(F.col(f"d_{c}")))
+    return rows.select("doc_id", "n_chars", "edited_sha256", printed("text").alias("fingerprint"), printed("edited").alias("edited_fingerprint"), near("edited"), near("next"))
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

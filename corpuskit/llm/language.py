@@ -2,14 +2,16 @@
 
 For each language a bounded sample of labelled text goes into a suffix automaton. A text is parsed against each of
 them: at every place the longest match is one phrase, a letter without any match is one too. The language that needs
-the fewest phrases a letter wins. Many pieces of text are parsed in step, one table lookup a character for all.
+the fewest phrases a letter wins. Many pieces of text are parsed in step, one table lookup a character for all: each
+piece first as if a phrase began with it, then again with the phrase that the piece before it left open, until both
+parses begin a phrase at the same character, from where they are one. So texts are parsed whole.
 
 Text is first folded: case is dropped, every run of characters that are no letters is one blank, and every letter that
 stands anywhere in the samples counts as itself; a letter outside all of them matches nothing.
 
-Defined results: a null text or one without a letter is ``und`` with score 0; without any usable label every text is
-``und``; ties go to the language first in code-point order; texts are parsed whole, in pieces of ``PIECE``
-characters, each of which starts a phrase; repeated rows give repeated results; extra columns are ignored.
+Defined results: a null text or one without a letter is ``und`` with score 0, and as a labelled row it teaches nothing;
+without any usable label every text is ``und``; more than ``MOST_LANGUAGES`` labels raise an error; ties go to the
+language first in code-point order; repeated rows give repeated results; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,17 +27,18 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpuskit.llm.common import materialize
+from corpuskit.llm.common import lean, materialize, text_slices
 
 UNDETERMINED = "und"
-#: Bounds of the fit: labelled rows a language, folded characters a language, and folded characters in all; with many
-#: languages each gets its share of the last.
+#: Bounds of the fit: labelled rows a language, folded characters a language, and folded characters in all. Languages
+#: share the last alike, and the rows of a language share its characters: long ones give up what short ones need.
 ROWS, CHARS, ALL_CHARS = 48, 24_000, 120_000
-#: Languages whose cutting points are sent to every task.
-FEW = 10_000
+#: Labels that a fit can tell apart.
+MOST_LANGUAGES = 1_000
+#: Characters of a piece: how many texts are parsed in step follows from it, no result does.
 PIECE = 512
-#: Characters that one step of the parse takes from a batch, about.
-BATCH_CHARS = 2 << 20
+#: Bytes of text that are parsed at once, about.
+BATCH = 1 << 20
 #: Above this many phrases a letter, a text of this length or more is like none of the languages.
 ALIEN, ALIEN_CHARS = 0.75, 64
 
@@ -165,31 +168,46 @@ class Edges:
         return to
 
 
-def labelled_sample(docs: DataFrame, rows: int = ROWS, chars: int = CHARS) -> DataFrame:
-    """``lang, r, text``: the first labelled rows a language by a hash of the id, at most ``rows`` of them and those
-    that begin within the first ``2 * chars`` characters. Cutting points come from the ids alone; only rows before
-    them are read with their text. Ranks are cut before each shuffle, so a task sends ``rows`` rows a language."""
-    known = docs.filter(F.col("lang").isNotNull() & (F.col("lang") != UNDETERMINED)).withColumn("h", F.xxhash64(F.col("doc_id").cast("string")))
+def share_of(languages: int, chars: int = CHARS, all_chars: int = ALL_CHARS) -> int:
+    """Characters that each language gets."""
+    return min(chars, all_chars // max(1, languages))
+
+
+def labelled_sample(docs: DataFrame, rows: int = ROWS, chars: int = CHARS, all_chars: int = ALL_CHARS) -> DataFrame:
+    """``lang, r, text``: the first labelled rows with a letter of each language by a hash of the id, at most ``rows``,
+    cut to the characters of a language. Ranks are cut before each shuffle, so a task sends ``rows`` rows a language."""
+    usable = F.col("lang").isNotNull() & (F.col("lang") != UNDETERMINED) & F.col("text").rlike(r"\p{L}")
+    known = docs.filter(usable).withColumn("h", F.xxhash64(F.col("doc_id").cast("string")))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
     cuts = known.select("lang", "h").withColumn("r", rank).filter(F.col("r") <= rows).groupBy("lang").agg(F.max("h").alias("cut"))
     cuts = materialize(cuts, "language-cuts")
-    if cuts.limit(FEW + 1).count() <= FEW:  # else the texts are dealt by language to meet their cut
-        cuts = F.broadcast(cuts)
-    near = known.join(cuts, "lang").filter((F.col("h") <= F.col("cut")) & F.col("text").isNotNull()).select("lang", "h", F.substring("text", 1, chars).alias("text"))
+    languages = cuts.limit(MOST_LANGUAGES + 1).count()
+    if languages > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages to learn")
+    near = known.join(F.broadcast(cuts), "lang").filter(F.col("h") <= F.col("cut"))
+    near = near.select("lang", "h", F.substring("text", 1, share_of(languages, chars, all_chars)).alias("text"))
     order = Window.partitionBy("lang").orderBy("h", "text")
-    some = near.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= rows)
-    before = F.sum(F.length("text")).over(Window.partitionBy("lang").orderBy("r")) - F.length("text")
-    return some.withColumn("before", before).filter(F.col("before") < 2 * chars).select("lang", "r", "text")
+    return near.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= rows).select("lang", "r", "text")
 
 
 def fit(docs: DataFrame, rows: int = ROWS, chars: int = CHARS, all_chars: int = ALL_CHARS) -> Model:
-    """Automata of a bounded sample of the labelled rows: at most ``rows`` rows and ``chars`` characters a language."""
+    """Automata of a bounded sample of the labelled rows: at most ``rows`` rows and ``chars`` characters a language. The
+    driver gets ``rows * all_chars`` characters at most."""
     by_lang: dict[str, list[str]] = {}
-    for row in labelled_sample(docs, rows, chars).orderBy("lang", "r").collect():
+    for row in labelled_sample(docs, rows, chars, all_chars).orderBy("lang", "r").collect():
         by_lang.setdefault(row.lang, []).append(row.text)
     return model_of(by_lang, chars, all_chars)
 
 
+def fair_cut(sizes: list[int], room: int) -> int:
+    """The largest cut to which all sizes can go, so that they fit into ``room`` together."""
+    for done, size in enumerate(ordered := sorted(sizes)):
+        if size * (len(ordered) - done) >= room:
+            return room // (len(ordered) - done)
+        room -= size
+    return max(sizes, default=0)
+
+
 def model_of(by_lang: dict[str, list[str]], chars: int = CHARS, all_chars: int = ALL_CHARS) -> Model:
     languages = tuple(sorted(by_lang))
     is_letter, lower = _letters()
@@ -202,11 +220,12 @@ def model_of(by_lang: dict[str, list[str]], chars: int = CHARS, all_chars: int =
     letters = tuple(np.flatnonzero(count).tolist())
     classes = fold_classes(letters)
     blank, n = len(letters) + 2, len(letters) + 3
-    share = min(chars, all_chars // max(1, len(languages)))
+    share = share_of(len(languages), chars, all_chars)
     edges = []
     for lang in languages:
         parts = [folded(p, classes, np.array([0, len(p)]), blank)[0] for p in points[lang]]
-        text = np.concatenate([np.zeros(0, classes.dtype), *(np.append(p, classes.dtype.type(blank)) for p in parts)])[:share]
+        cut = fair_cut([len(p) + 1 for p in parts], share)
+        text = np.concatenate([np.zeros(0, classes.dtype), *(np.append(p, classes.dtype.type(blank))[:cut] for p in parts)])
         edges.append(suffix_automaton(text, n))
     return Model(languages, letters, tuple(edges))
 
@@ -227,7 +246,7 @@ class Parser:
         kinds, starts = folded(code_points(texts), self.classes, rows, blank)
         letters = np.concatenate(([0], np.cumsum(kinds != blank)))
         letters = letters[starts[1:]] - letters[starts[:-1]]
-        # Pieces of PIECE characters as lanes, longest first, so that the live lanes are always a prefix.
+        # Pieces as lanes, longest first, so that the live lanes are always a prefix.
         sizes = np.diff(starts)
         pieces = -(-sizes // PIECE)
         owner = np.repeat(np.arange(len(texts)), pieces)
@@ -235,6 +254,9 @@ class Parser:
         at = starts[owner] + nth * PIECE
         size = np.minimum(PIECE, starts[owner + 1] - at) if len(owner) else np.zeros(0, np.int64)
         order = np.argsort(-size, kind="stable")
+        lane_of = np.empty_like(order)
+        lane_of[order] = np.arange(len(order))
+        before = np.where(nth > 0, lane_of[np.maximum(np.arange(len(order)) - 1, 0)], -1)[order]
         owner, at, size = owner[order], at[order], size[order]
         out = np.zeros((len(texts), len(model.languages)), dtype=np.int64)
         if not len(owner):
@@ -244,21 +266,7 @@ class Parser:
         for step in range(int(size[0])):
             columns[step, : live[step]] = kinds[at[: live[step]] + step]
         for lang, edges in enumerate(self.edges):
-            state = np.zeros(len(owner), dtype=np.int32)
-            count = np.zeros(len(owner), dtype=np.int32)
-            from_root = np.maximum(edges.step(np.zeros(model.classes, np.int32), np.arange(model.classes)), 0)  # a letter without match leaves an empty phrase
-            for step in range(int(size[0])):
-                n = live[step]
-                kind = columns[step, :n]
-                to = edges.step(state[:n], kind)
-                miss = np.flatnonzero(to < 0)
-                if len(miss):
-                    # The phrase ends before this character (an empty one is the character itself, counted below).
-                    again = from_root[kind[miss]]
-                    count[miss] += (state[miss] != 0).astype(np.int32) + (again == 0)
-                    to[miss] = again
-                state[:n] = to
-            count += state != 0
+            count = _parsed(edges, columns, live, size, before)
             out[:, lang] = np.bincount(owner, weights=count, minlength=len(texts)).astype(np.int64)
         return out, letters
 
@@ -277,21 +285,64 @@ class Parser:
         return lang, np.where(found, score, 0.0).tolist(), np.where(found, rate.min(axis=1), 1.0).tolist()
 
 
+def _parsed(edges: Edges, columns: np.ndarray, live: np.ndarray, size: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Phrases that begin in each lane. ``before`` is the lane of the piece of text before each, or -1."""
+    lanes = len(size)
+    from_root = np.maximum(edges.step(np.zeros(edges.classes, np.int32), np.arange(edges.classes)), 0)  # 0: a letter that matches nothing
+
+    def step_on(state: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states after a character, and whether it begins a phrase."""
+        to = edges.step(state, kind)
+        begins = state == 0
+        miss = np.flatnonzero(to < 0)
+        to[miss] = from_root[kind[miss]]
+        begins[miss] = True
+        return to, begins
+
+    begun = np.zeros(columns.shape, dtype=bool)
+    alone = np.zeros(lanes, dtype=np.int32)  # the state in which a piece ends if a phrase begins with it
+    for step, n in enumerate(live):
+        alone[:n], begun[step, :n] = step_on(alone[:n], columns[step, :n])
+    count_alone = begun.sum(axis=0)
+    state, count = alone.copy(), count_alone.copy()
+    after = np.full(lanes, -1, dtype=np.int64)
+    follows = np.flatnonzero(before >= 0)
+    after[before[follows]] = follows
+    todo = follows
+    while len(todo):
+        carry, old = state[before[todo]], state[todo]
+        state[todo], count[todo] = alone[todo], count_alone[todo]
+        lane, here = todo[carry != 0], carry[carry != 0]
+        extra, seen = np.zeros(len(lane), np.int64), np.zeros(len(lane), np.int64)
+        step = 0
+        while len(lane):
+            short = size[lane] <= step
+            if short.any():  # the piece ends before the parses meet
+                state[lane[short]], count[lane[short]] = here[short], extra[short]
+                lane, here, extra, seen = lane[~short], here[~short], extra[~short], seen[~short]
+                if not len(lane):
+                    break
+            here, begins = step_on(here, columns[step, lane])
+            also = begun[step, lane]
+            met = begins & also
+            if met.any():
+                count[lane[met]] = extra[met] + count_alone[lane[met]] - seen[met]
+                lane, here, extra, seen, begins, also = (x[~met] for x in (lane, here, extra, seen, begins, also))
+            extra += begins
+            seen += also
+            step += 1
+        todo = after[todo[state[todo] != old]]  # those that follow a piece with another end
+        todo = todo[todo >= 0]
+    return count
+
 
 def _predict(parser: Parser, column: pa.Array) -> tuple[list[str], list[float], list[float]]:
     """Language, score and rate by row, some texts at a time."""
-    texts = [t or "" for t in column.to_pylist()]
-    lang, score, rate = [], [], []
-    at = 0
-    while at < len(texts):
-        to, room = at, BATCH_CHARS
-        while to < len(texts) and (to == at or room >= len(texts[to])):
-            room -= len(texts[to])
-            to += 1
-        for all_of, some in zip((lang, score, rate), parser.predict(texts[at:to]), strict=True):
+    out: tuple[list, list, list] = ([], [], [])
+    for _, part in text_slices(column, BATCH):
+        for all_of, some in zip(out, parser.predict([t or "" for t in part.to_pylist()]), strict=True):
             all_of.extend(some)
-        at = to
-    return lang, score, rate
+    return out
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -305,7 +356,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             lang, score, rate = _predict(parser, batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64())], ["doc_id", "lang_pred", "score", "rate"])
 
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, rate double")
+    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(lean(run), "doc_id long, lang_pred string, score double, rate double")
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
@@ -324,7 +375,7 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
             alien = pc.and_(long, pa.array([r > ALIEN for r in rate]))
             yield batch.filter(pc.and_not(pa.array([x != UNDETERMINED for x in lang]), alien))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def held_out() -> Column:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpuskit.llm.common import Words, materialize, mix64, seeded, shielded, text_slices, unit
+from corpuskit.llm.common import Words, lean, materialize, mix64, seeded, shielded, text_slices, unit
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: Registers are BANDS * ROWS; a pair at the threshold shares no band once in more than 10,000 times.
@@ -43,7 +43,7 @@ _STEP = np.uint64(0x8CB92BA72F3D8DD7)
 
 def shingles(words: Words, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, hash and weight of the distinct shingles of each row, in this order."""
-    h = words.hashes()
+    h, _ = words.hashes()
     count = np.diff(words.rows)
     parts = np.where(count >= width, count - width + 1, np.minimum(count, 1))
     row = np.repeat(np.arange(len(count)), parts)
@@ -142,17 +142,17 @@ def signatures(numbered: DataFrame, bands: int = BANDS, rows: int = ROWS) -> Dat
                     ["doc_id", "row", "id1", "id2", "bands"],
                 )
 
-    return numbered.selectExpr("cast(doc_id as long) as doc_id", "row", "text").mapInArrow(run, _SIGNED)
+    return numbered.selectExpr("cast(doc_id as long) as doc_id", "row", "text").mapInArrow(lean(run), _SIGNED)
 
 
 def _identities(words: Words, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit hashes of the word sequence of each row found."""
-    h = words.hashes()
+    hashes = words.hashes()
     lo, hi = words.rows[found], words.rows[found + 1]
-    place = np.arange(len(h)) - np.repeat(words.rows[:-1], np.diff(words.rows))
+    place = np.arange(len(words.starts)) - np.repeat(words.rows[:-1], np.diff(words.rows))
     out = []
     with np.errstate(over="ignore"):
-        for which in (0, 1):
+        for which, h in enumerate(hashes):
             sums = np.zeros(len(h) + 1, dtype=np.uint64)
             np.cumsum(mix64(seeded(h, which) + place.astype(np.uint64) * _STEP), out=sums[1:])
             out.append(mix64(sums[hi] - sums[lo] + (hi - lo).astype(np.uint64)))
@@ -192,7 +192,7 @@ def _compared(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
                         others.append(other)
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(others, pa.int64())], ["node", "other"])
 
-    return dealt.mapInArrow(run, "node long, other long")
+    return dealt.mapInArrow(lean(run), "node long, other long")
 
 
 def components(links: DataFrame) -> DataFrame:

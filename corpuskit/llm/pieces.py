@@ -8,9 +8,12 @@ over the positions of all units relaxes them: the last piece of the encoding of
 piece may follow the last piece of the prefix before it. Two pieces may stand side by side if merging by score, left
 to right among equals, never joins across their border; that is decided from the merges that made them.
 
+Runs of blanks are no matter of positions, since the pieces of blanks all have one score: units that begin with two
+are merged step by step.
+
 Defined results: a null or empty text has no tokens; U+2581 in a text is a blank, as the model has it, so it decodes
-to one; texts are encoded whole; repeated rows give repeated results; other columns pass through ``encode``,
-but those named like its own are replaced.
+to one; texts are encoded whole; repeated rows give repeated results; null ids decode to an empty text; other columns
+pass through ``encode`` and ``decode``, but those named like the ones that they add are replaced.
 """
 
 from __future__ import annotations
@@ -24,16 +27,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuskit.llm.common import mix64
+from corpuskit.llm.common import lean, mix64, text_slices
 
 BLANK = "▁"
-#: Bytes of unit text that are indexed at once, and units that a task remembers.
-CHUNK, REMEMBER = 1 << 19, 400_000
+#: Bytes of unit text that are indexed at once, units that a task remembers, and bytes of text that it encodes at once.
+CHUNK, REMEMBER, BATCH = 1 << 17, 100_000, 1 << 20
 _UNIT = re.compile(r"\n| *[^ \n]+| +")
 _MARK = 0xFF  # stands for the blank mark in the index: no UTF-8 text has this byte
 
 
 def default_model() -> str:
+    """The model that comes with the vocabulary files of the machine, of which ``public_tokenizers`` tells the place."""
     import public_tokenizers
 
     return public_tokenizers.path("piece_bpe_32k.model")
@@ -366,33 +370,20 @@ def ragged(values: np.ndarray, at: np.ndarray, which: np.ndarray) -> tuple[np.nd
     return values[index], sizes
 
 
-def _batches(column: pa.Array, most: int = 4 << 20) -> Iterator[list[str | None]]:
-    texts, at = column.to_pylist(), 0
-    while at < len(texts):
-        to, room = at, most
-        while to < len(texts) and (to == at or room > 0):
-            room -= len(texts[to] or "")
-            to += 1
-        yield texts[at:to]
-        at = to
-
-
 def encode(docs: DataFrame, model_file: str | None = None, text_col: str = "text", check: bool = False) -> DataFrame:
     """``docs`` with ``token_ids``; with ``check`` also ``round_trip``: decoding the ids gives the text again."""
     spark = docs.sparkSession
-    docs = docs.drop("token_ids", "round_trip")
+    docs = docs.drop("token_ids", *["round_trip"] * check)
     shared = spark.sparkContext.broadcast(Vocabulary(model_file or default_model()))
     names, at_text = docs.columns, docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value)
         for batch in batches:
-            at = 0
-            for texts in _batches(batch.column(at_text)):
+            for at, part in text_slices(batch.column(at_text), BATCH):
+                texts = part.to_pylist()
                 tokens, places = encoder.encode(texts)
-                part = batch.slice(at, len(texts))
-                at += len(texts)
-                columns = [*part.columns, pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.array(tokens, pa.int32()))]
+                columns = [*batch.slice(at, len(texts)).columns, pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.array(tokens, pa.int32()))]
                 if check:
                     data, ends = encoder.decode(tokens, places)
                     buffer = data.tobytes()
@@ -400,12 +391,13 @@ def encode(docs: DataFrame, model_file: str | None = None, text_col: str = "text
                 yield pa.RecordBatch.from_arrays(columns, [*names, "token_ids", *["round_trip"] * check])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, token_ids array<int>" + ", round_trip boolean" * check)
+    return docs.mapInArrow(lean(run), f"{fields}, token_ids array<int>" + ", round_trip boolean" * check)
 
 
 def decode(encoded: DataFrame, model_file: str | None = None, ids_col: str = "token_ids") -> DataFrame:
     """``encoded`` with ``decoded``: the text of its ids; ids beyond the vocabulary raise an error."""
     spark = encoded.sparkSession
+    encoded = encoded.drop("decoded")
     shared = spark.sparkContext.broadcast(Vocabulary(model_file or default_model()))
     names, at_ids = encoded.columns, encoded.columns.index(ids_col)
 
@@ -419,7 +411,7 @@ def decode(encoded: DataFrame, model_file: str | None = None, ids_col: str = "to
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([buffer[i:j].decode("utf-8", "replace") for i, j in zip(ends[:-1], ends[1:], strict=True)], pa.string())], [*names, "decoded"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
-    return encoded.mapInArrow(run, f"{fields}, decoded string")
+    return encoded.mapInArrow(lean(run), f"{fields}, decoded string")
 
 
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

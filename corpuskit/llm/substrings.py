@@ -31,14 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpuskit.llm.common import Words, materialize, mix64, powers, seeded, shielded, text_slices
+from corpuskit.llm.common import Words, lean, materialize, mix64, shielded, spans, text_slices
 
 K, M = 35, 4
 #: Distinct runs of a bucket up to which it is sorted in one piece.
 HOT = 4096
 SLICE = 2 << 20
-_BASES = tuple(np.uint64(b) for b in (0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F))
-_INVERSES = tuple(np.uint64(pow(int(b), -1, 1 << 64)) for b in _BASES)
+#: Bits that hold the place of a word in a slice of texts.
+PLACE_BITS = 28
 _GRAM = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -46,8 +46,10 @@ class Runs:
     """The super-k-mers of a run of texts: row, first word, number of windows, minimiser, identity."""
 
     def __init__(self, words: Words, k: int = K):
-        self.hashes = words.hashes()
-        h, n = self.hashes, len(self.hashes)
+        hashes = words.hashes()
+        h, n = hashes[0], len(words.starts)
+        if n >> PLACE_BITS:
+            raise ValueError(f"a text of more than 2^{PLACE_BITS} words")
         row_of = np.repeat(np.arange(len(words.rows) - 1), np.diff(words.rows))
         left = words.rows[1:][row_of] - np.arange(n) if n else np.zeros(0, np.int64)  # words from here to the row's end
         windows = np.flatnonzero(left >= k)
@@ -62,7 +64,7 @@ class Runs:
                 gram[: n - j] = gram[: n - j] * _GRAM + h[j:]
             gram = mix64(gram)
             # The upper bits order the grams; the place in the lower ones makes the first of equals the least.
-            place_bits = np.uint64(28)
+            place_bits = np.uint64(PLACE_BITS)
             best = (gram >> place_bits << place_bits) | np.arange(n, dtype=np.uint64)
         span, need = 1, k - m + 1
         while span < need:
@@ -70,7 +72,7 @@ class Runs:
             nxt = best.copy()
             nxt[: n - step] = np.minimum(best[: n - step], best[step:])
             best, span = nxt, span + step
-        at = (best[windows] & np.uint64((1 << 28) - 1)).astype(np.int64)
+        at = (best[windows] & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
         new = np.ones(len(windows), dtype=bool)
         new[1:] = (at[1:] != at[:-1]) | (windows[1:] != windows[:-1] + 1) | (row_of[windows[1:]] != row_of[windows[:-1]])
         first = np.flatnonzero(new)
@@ -79,16 +81,7 @@ class Runs:
         self.row = row_of[begin]
         self.start = begin - words.rows[self.row]
         self.minimiser = gram[at[first]]
-        ids = [self.spans(begin, self.n + k - 1, which) for which in (0, 1)]
-        self.id1, self.id2 = ids
-
-    def spans(self, begin: np.ndarray, size: np.ndarray, which: int) -> np.ndarray:
-        """A hash of the words ``begin .. begin + size - 1``, one of two."""
-        n = len(self.hashes)
-        with np.errstate(over="ignore"):
-            sums = np.zeros(n + 1, dtype=np.uint64)
-            np.cumsum(seeded(self.hashes, which) * powers(_BASES[which], n), out=sums[1:])
-            return mix64((sums[begin + size] - sums[begin]) * powers(_INVERSES[which], n)[begin] + size.astype(np.uint64))
+        self.id1, self.id2 = (spans(x, begin, self.n + k - 1) for x in hashes)
 
 
 class Joined:
@@ -134,7 +127,7 @@ def _headers(numbered: DataFrame, k: int) -> DataFrame:
                     ["minimiser", "id1", "id2", "n", "copies", "row", "start"],
                 )
 
-    return numbered.select("row", "text").mapInArrow(run, "minimiser long, id1 long, id2 long, n int, copies long, row long, start int")
+    return numbered.select("row", "text").mapInArrow(lean(run), "minimiser long, id1 long, id2 long, n int, copies long, row long, start int")
 
 
 def _places(numbered: DataFrame, k: int) -> DataFrame:
@@ -147,7 +140,7 @@ def _places(numbered: DataFrame, k: int) -> DataFrame:
                 r = Runs(Words(texts), k)
                 yield pa.RecordBatch.from_arrays([_signed(r.id1), _signed(r.id2), pa.array(rows[at + r.row], pa.int64()), pa.array(r.start, pa.int32())], ["id1", "id2", "row", "start"])
 
-    return numbered.select("row", "text").mapInArrow(run, "id1 long, id2 long, row long, start int")
+    return numbered.select("row", "text").mapInArrow(lean(run), "id1 long, id2 long, row long, start int")
 
 
 _PACKED = "minimiser long, id1 long, id2 long, n int, copies long, packed string"
@@ -172,7 +165,7 @@ def _packed(numbered: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 yield _rows(out, _PACKED)
 
     by_row = wanted.groupBy("row").agg(F.collect_list(F.struct("start", "n", "minimiser", "id1", "id2", "copies")).alias("runs"))
-    return numbered.join(by_row, "row").select(*numbered.columns, "runs").mapInArrow(run, _PACKED)
+    return numbered.join(by_row, "row").select(*numbered.columns, "runs").mapInArrow(lean(run), _PACKED)
 
 
 _KINDS = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
@@ -215,7 +208,7 @@ def _bucket_repeats(packed: DataFrame, k: int) -> DataFrame:
         if out:
             yield _rows(out, schema)
 
-    return packed.select("minimiser", "id1", "id2", "copies", "packed").repartition("minimiser").sortWithinPartitions("minimiser").mapInArrow(run, schema)
+    return packed.select("minimiser", "id1", "id2", "copies", "packed").repartition("minimiser").sortWithinPartitions("minimiser").mapInArrow(lean(run), schema)
 
 
 def _single_repeats(packed: DataFrame, k: int) -> DataFrame:
@@ -232,7 +225,7 @@ def _single_repeats(packed: DataFrame, k: int) -> DataFrame:
                     ["w1", "w2", "id1", "id2", "i", "copies"],
                 )
 
-    windows = packed.select("id1", "id2", "copies", "packed").mapInArrow(run, "w1 long, w2 long, id1 long, id2 long, i int, copies long")
+    windows = packed.select("id1", "id2", "copies", "packed").mapInArrow(lean(run), "w1 long, w2 long, id1 long, id2 long, i int, copies long")
     times = F.sum("copies").over(Window.partitionBy("w1", "w2"))
     return windows.withColumn("times", times).filter("times > 1").groupBy("id1", "id2").agg(F.collect_list("i").alias("hits"))
 
@@ -290,7 +283,7 @@ def removals(docs: DataFrame, k: int = K) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(n, pa.int64()), pa.array(n - np.diff(before), pa.int64()), pa.array(digests, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     joined = numbered.join(repeated_windows(numbered, k), "row", "left")
-    return joined.select("doc_id", "text", "runs").mapInArrow(run, schema)
+    return joined.select("doc_id", "text", "runs").mapInArrow(lean(run), schema)
 
 
 def deduplicated(docs: DataFrame, k: int = K) -> DataFrame:
@@ -320,7 +313,7 @@ def deduplicated(docs: DataFrame, k: int = K) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, columns).filter(pa.array(keep, pa.bool_()))
 
     joined = numbered.join(repeated_windows(numbered, k), "row", "left").select(*columns, "runs")
-    out = restored(joined.mapInArrow(run, frame.schema))
+    out = restored(joined.mapInArrow(lean(run), frame.schema))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns) if "n_chars" in docs.columns else out
 
 

@@ -54,3 +54,24 @@ def test_documents_of_the_mix(spark, docs, empty):
         times = copies[r.doc_id, r.source] if WORD.search(r.text or "") else 1
         assert got[r.doc_id, r.source] in (times, 2 * times)  # doc 10 stands twice
     assert mixing.mix(empty).count() == 0 and mixing.mixed_documents(empty).count() == 0
+
+
+@pytest.mark.parametrize("ids, texts", [((None,), 100), ((1, 2), 100), ((None,), 1), ((7,), 3)])
+def test_ids_that_tell_nothing_apart(spark, tmp_path, ids, texts):
+    """Sources whose rows have no id, or few: the mix comes as near to the target as with unique ids."""
+    rows = [(ids[i % len(ids)], " ".join(["w"] * 10 + [f"t{i % texts}"] * (texts > 1)), s) for i in range(100) for s in "ab"]
+    rows += [(i, "x y z " * 10, "c") for i in range(30)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    got = mixing.mix(docs).collect()
+    for s in "abc":
+        mine = [r for r in got if r.source == s]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= max(r.size for r in mine)
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(docs.repartition(5)).collect()))
+    assert mixing.mixed_documents(docs).count() == sum(r.copies for r in got)
+
+
+def test_budget_of_a_whole_source(spark):
+    rows = [(1, "a", "x")] + [(i, "b b b b b b b b b b", "y") for i in range(2, 40)]
+    for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1), (30, 1)).collect():
+        assert r.source != "x" or abs(r.taken - r.target) <= 1

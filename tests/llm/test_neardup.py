@@ -82,3 +82,18 @@ def test_registers_estimate_similarity():
     exact = neardup.similarity((value[row == 0], weight[row == 0]), (value[row == 1], weight[row == 1]))
     assert exact == pytest.approx(similarity(weights(a), weights(b)))
     assert np.array_equal(sketch, neardup.sketches(row, value, weight, 2, 4096))
+
+
+def test_words_that_polynomial_hashes_confuse(spark, tmp_path):
+    one, other = "a", "b"
+    while len(one) < 1024:
+        one, other = one + other, other + one
+    rows = [(1, one), (2, other), (3, one)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    check(neardup.classes(spark.read.parquet(str(tmp_path / "d"))), rows)
+
+
+def test_recall_on_the_table(spark, sf_dir):
+    """Classes of the table against all pairs."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    check(neardup.classes(docs), [(r.doc_id, r.text) for r in docs.collect()])

@@ -35,3 +35,11 @@ def test_columns(spark, docs, empty):
     back = pieces.decode(out.select("doc_id", "text", "token_ids")).collect()
     assert all(r.decoded == (r.text or "") for r in back)
     assert pieces.encode(empty).count() == 0
+
+
+def test_clashing_columns(spark, docs):
+    out = pieces.encode(docs.withColumnRenamed("node", "round_trip"))
+    assert "round_trip" in out.columns and {r.round_trip for r in out.collect()} == {"q"}
+    back = pieces.decode(out.withColumnRenamed("key", "decoded"))
+    assert back.columns.count("decoded") == 1 and all(r.decoded == (r.text or "") for r in back.collect())
+    assert [r.decoded for r in pieces.decode(spark.createDataFrame([(None,)], "token_ids array<int>")).collect()] == [""]
