@@ -76,20 +76,23 @@ def thresholds(sized: DataFrame, targets: DataFrame) -> DataFrame:
     size = F.col("source_size").cast("double")
     repeats = F.when(F.col("source_size") > 0, F.floor(F.col("target") / size)).otherwise(0).cast("long")
     plan = targets.select("source", "source_size", "target", repeats.alias("repeats")).withColumn("budget", F.round(F.col("target") - F.col("repeats") * size).cast("long"))
+    plan = materialize(plan, "mix-state")
     state = plan.select(F.col("source").alias("s_source"), F.col("budget").alias("left"), F.lit(0).cast("long").alias("prefix"))
     done_bits = 0
     for level, bits in enumerate(LEVELS):
         shift = BITS - done_bits - bits
         inside = sized if level == 0 else _within(sized, state, F.shiftright("hash", shift + bits))
         sums = inside.groupBy("source", F.shiftright("hash", shift).alias("bucket")).agg(F.sum("size").alias("tokens"))
-        state = _crossed(sums, state, "tokens")
+        state = materialize(_crossed(sums, state, "tokens"), "mix-state")  # a row a source: no plan grows with the levels
         done_bits += bits
     # One hash is left of each source. Its rows have one size: the budget takes the whole number nearest to what is left.
     ties = _within(sized, state, F.col("hash")).filter("size > 0").select("source", "uid", "size", F.shiftrightunsigned("uid", PART_BITS).alias("part"))
     counts = ties.groupBy("source", "part").agg(F.count("*").alias("rows"), F.min("size").alias("each"))
     wanted = counts.groupBy("source").agg(F.min("each").alias("each")).join(state, F.col("source").eqNullSafe(F.col("s_source")))
     wanted = wanted.select("s_source", F.col("prefix").alias("threshold"), F.floor((F.col("left") * 2 + F.col("each")) / (F.col("each") * 2)).alias("left"))
+    wanted = materialize(wanted, "mix-state")
     part = _crossed(counts.select("source", F.col("part").alias("bucket"), "rows"), wanted.select("s_source", "left"), "rows")
+    part = materialize(part, "mix-state")
     numbered = _within(ties, part, F.col("part")).withColumn("nth", F.row_number().over(Window.partitionBy("source").orderBy("uid")))
     ends = numbered.join(part.select(F.col("s_source").alias("e_source"), "left"), F.col("source").eqNullSafe(F.col("e_source")) & (F.col("nth") == F.col("left") + 1))
     cut = wanted.join(ends.select("e_source", F.col("uid").alias("stop")), F.col("s_source").eqNullSafe(F.col("e_source")), "left")
