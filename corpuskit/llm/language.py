@@ -36,9 +36,11 @@ ROWS, CHARS, ALL_CHARS = 48, 24_000, 120_000
 #: Labels that a fit can tell apart.
 MOST_LANGUAGES = 1_000
 #: Characters of a piece: how many texts are parsed in step follows from it, no result does.
-PIECE = 512
+PIECE = 256
 #: Bytes of text that are parsed at once, about.
-BATCH = 1 << 20
+BATCH = 2 << 20
+#: Cells up to which an automaton's steps are a table; a larger one is hashed.
+TABLE = 3 << 20
 #: Above this many phrases a letter, a text of this length or more is like none of the languages.
 ALIEN, ALIEN_CHARS = 0.75, 64
 
@@ -128,11 +130,17 @@ def suffix_automaton(text: np.ndarray, classes: int) -> tuple[np.ndarray, np.nda
 
 
 class Edges:
-    """Steps of one automaton: an open hash table, at most a quarter full, so that its size goes with the sample and
-    not with the alphabet."""
+    """Steps of one automaton: a table of states by classes while that has at most ``TABLE`` cells, else an open hash
+    table, at most a quarter full, so that its size goes with the sample and not with the alphabet."""
 
     def __init__(self, keys: np.ndarray, to: np.ndarray, classes: int):
         self.classes = classes
+        cells = (int(to.max(initial=0)) + 1) * classes
+        self.table = None
+        if cells <= TABLE:
+            self.table = np.full(cells, -1, dtype=np.int32)
+            self.table[keys] = to
+            return
         bits = max(4, (4 * len(keys)).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
         self.keys = np.full(1 << bits, -1, dtype=np.int64)
@@ -151,6 +159,8 @@ class Edges:
     def step(self, state: np.ndarray, kind: np.ndarray) -> np.ndarray:
         """The state after each state and class, or -1."""
         keys = state.astype(np.int64) * self.classes + kind
+        if self.table is not None:
+            return self.table.take(keys)
         at = self._slots(keys)
         to, found = self.to[at], self.keys[at]
         open_ = np.flatnonzero(found != keys)

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from corpuskit.llm import language
 
@@ -15,7 +16,9 @@ def phrases(text, sample):
     return n
 
 
-def test_automaton_parses_like_substring_search():
+@pytest.mark.parametrize("table", [language.TABLE, 0])
+def test_automaton_parses_like_substring_search(monkeypatch, table):
+    monkeypatch.setattr(language, "TABLE", table)
     rng = np.random.default_rng(2)
     alphabet = "abcd "
     samples = {k: "".join(rng.choice(list(alphabet), 300, p=p)) for k, p in (("x", [0.4, 0.1, 0.2, 0.1, 0.2]), ("y", [0.1, 0.4, 0.1, 0.2, 0.2]))}
