@@ -7,34 +7,52 @@ from corpuskit.llm import domain
 from tests.llm.conftest import WORD
 
 
-def test_equals_brute_force(spark, docs, empty):
-    target = spark.createDataFrame([("The quick brown fox of the tests",), (None,), ("w1 w2 w3",)], "text string")
+def counts(texts):
+    pair, history = Counter(), Counter()
+    for t in texts:
+        prev = "\0"
+        for w in WORD.findall(t or ""):
+            pair[prev, w] += 1
+            history[prev] += 1
+            prev = w
+    return pair, history
 
-    def counts(texts):
-        pair, history = Counter(), Counter()
-        for t in texts:
-            prev = "\0"
-            for w in WORD.findall(t or ""):
-                pair[prev, w] += 1
-                history[prev] += 1
-                prev = w
-        return pair, history
 
-    rows = docs.select("doc_id", "text").collect()
-    (pt, ht), (pb, hb) = counts([r.text for r in target.collect()]), counts([r.text for r in rows])
-    scale = sum(pt.values()) / sum(pb.values())
-    texts = docs.selectExpr("0L AS row", "false AS target", "text").union(target.selectExpr("0L", "true", "text"))
-    v = domain._statistics(texts)[3]
-    assert v == pytest.approx(len({w for p in (pt, pb) for _, w in p}), rel=0.05)
+def brute(rows, targets):
+    (pt, ht), (pb, hb) = counts(targets), counts([t for _, t in rows])
+    v = len({w for p in (pt, pb) for _, w in p})
     want = []
-    for r in rows:
-        words, prev, loss = WORD.findall(r.text or ""), "\0", 0.0
+    for doc_id, text in rows:
+        words, prev, loss = WORD.findall(text or ""), "\0", 0.0
+        po, ho = counts([text])
+        rest = sum(pb.values()) - len(words)
+        scale = sum(pt.values()) / rest if rest else 0.0
         for w in words:
             loss -= math.log((pt[prev, w] + 1 / v) / (ht[prev] + 1))
-            loss += math.log((pb[prev, w] * scale + 1 / v) / (hb[prev] * scale + 1))
+            loss += math.log(((pb[prev, w] - po[prev, w]) * scale + 1 / v) / ((hb[prev] - ho[prev]) * scale + 1))
             prev = w
-        want.append((str(r.doc_id), len(words), round(loss / len(words), 6) if words else None))
+        want.append((str(doc_id), len(words), round(loss / len(words), 6) if words else None))
+    return want
+
+
+@pytest.mark.parametrize("block", [1 << 20, 300])
+def test_equals_brute_force(spark, docs, empty, block, monkeypatch):
+    monkeypatch.setattr(domain, "BLOCK", block)
+    target = spark.createDataFrame([("The quick brown fox of the tests",), (None,), ("w1 w2 w3",)], "text string")
+
+    rows = docs.select("doc_id", "text").collect()
+    want = brute([(r.doc_id, r.text) for r in rows], [r.text for r in target.collect()])
     got = domain.scores(docs, target).collect()
     assert sorted(want, key=str) == sorted(((str(r.doc_id), r.n_tokens, None if r.score is None else round(r.score, 6)) for r in got), key=str)
     assert domain.scores(empty, target).count() == 0
     assert domain.scores(docs, target.limit(0)).count() == len(rows)
+
+def test_documents_that_stand_twice_are_known_to_the_background(spark, tmp_path):
+    """A text without its like has a higher background loss than one that stands twice."""
+    rows = [(i, " ".join(f"w{(i * 7919 + j * j * 31 + j) % 997}" for j in range(80))) for i in range(60)]
+    rows += [(100 + i, rows[i][1]) for i in range(10)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    target = spark.createDataFrame([("w1 w2 w3",)], "text string")
+    got = {r.doc_id: r.loss_background for r in domain.scores(spark.read.parquet(str(tmp_path / "d")), target).collect()}
+    twice = [v for k, v in got.items() if k >= 100 or k < 10]
+    assert max(twice) < min(v for k, v in got.items() if 10 <= k < 100)
