@@ -55,6 +55,19 @@ def title_from_filename(name: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(stem, r"[_\-]+", " "), r"\s+", " "))
 
 
+def title_from_url(url: Column) -> Column:
+    """The last part of the path with separators as blanks and without its ending, else the host."""
+    last = F.regexp_extract(F.regexp_replace(url, r"[?#].*$", ""), r"^https?://[^/]+.*/([^/]+)/*$", 1)
+    words = F.trim(F.regexp_replace(F.regexp_replace(last, r"\.[A-Za-z0-9]{1,5}$", ""), r"[_\-]+", " "))
+    host = F.regexp_replace(F.regexp_extract(F.lower(url), r"^https?://([^/?#:]+)", 1), r"^www\.", "")
+    return F.when(words != "", words).otherwise(host)
+
+
+def is_screenshot_name(name: Column) -> Column:
+    """Names that systems give to pictures of the screen."""
+    return F.coalesce(name.rlike(r"(?i)^(screen[ _-]?shot|screen[ _-]?capture|bildschirmfoto|simulator screen|cleanshot)\b|^(snip|capture)[ _-]?\d"), F.lit(False))
+
+
 def relative_time(then_s: Column, now_s: Column) -> Column:
     """Age in words from epoch seconds; the future and nulls are "just now"."""
     minute, hour, day = 60.0, 3600.0, 86400.0

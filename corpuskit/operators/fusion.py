@@ -32,42 +32,75 @@ def recency_boost(captured: Column, now: Column) -> Column:
     return F.when(captured.isNull(), 1.0).otherwise(1 + 0.25 * F.exp(-F.greatest(F.lit(0.0), (now - captured) / DAY) / 60))
 
 
-def fuse(lexical: DataFrame, vector: DataFrame, items: DataFrame, queries: DataFrame, now: int, limit: int = 10, floor: float = 0.5, per_parent: int = 3) -> DataFrame:
-    """``query_id, id, pos, score, reason`` of the best items.
+def matches_cue(type_: Column, kind: Column, types: Column, kinds: Column) -> Column:
+    return F.coalesce(F.array_contains(types, type_), F.lit(False)) | F.coalesce(F.array_contains(kinds, kind), F.lit(False))
 
-    lexical: ``query_id, id, pos``; vector: ``query_id, item_id, pos, cosine``; items: ``id, type, title, domain,
-    captured_s, parent_id, deleted``; queries: ``query_id, tokens`` and, where given, ``since, until`` (epoch seconds),
-    ``types`` (cued types) and ``note_cue``. Legs are cut before fusion, so they are small; items are joined slim."""
+
+def fuse(
+    lexical: DataFrame, vector: DataFrame, items: DataFrame, queries: DataFrame, now: int, limit: int = 10, floor: float = 0.5, per_parent: int = 3,
+    cues: DataFrame | None = None, few: int = 5, vector_weight: float | None = None,
+) -> DataFrame:
+    """``query_id, id, pos, score, reason, l_pos, cosine`` of the best items.
+
+    lexical: ``query_id, id, pos``; vector: ``query_id, item_id, pos, cosine``; cues: ``query_id, id, pos`` of a leg that
+    counts for queries with fewer than ``few`` lexical hits, and for items in no other leg; items: ``id, type, title,
+    domain, captured_s, parent_id, deleted`` and, where given, ``kind, entities``; queries: ``query_id, tokens`` and, where
+    given, ``phrases, since, until`` (epoch seconds), ``types, kinds`` (cued ones), ``domains, strict, note_cue``. Legs are
+    cut before fusion, so they are small; items are joined slim. A strict query wants a cued type and the time window."""
     have = queries.columns
-    q = queries.select(
-        "query_id",
-        "tokens",
-        *(F.col(c) if c in have else F.lit(None).cast("long").alias(c) for c in ("since", "until")),
-        F.col("types") if "types" in have else F.array().cast("array<string>").alias("types"),
-        F.coalesce("note_cue", F.lit(False)).alias("note_cue") if "note_cue" in have else F.lit(False).alias("note_cue"),
-    )
+    given = lambda c, kind: F.col(c) if c in have else F.lit(None).cast(kind).alias(c)
+    listed = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>")).alias(c) if c in have else F.array().cast("array<string>").alias(c)
+    flag = lambda c: F.coalesce(given(c, "boolean"), F.lit(False)).alias(c)
+    n_phrases = F.size("phrases") if "phrases" in have else F.lit(0)
+    q = queries.select("query_id", "tokens", given("since", "long"), given("until", "long"), listed("types"), listed("kinds"), listed("domains"), flag("strict"), flag("note_cue"), F.greatest(n_phrases, F.lit(0)).alias("n_phrases"))
     lex = lexical.select("query_id", "id", F.col("pos").alias("l_pos"))
     vec = vector.select("query_id", F.col("item_id").alias("id"), F.col("pos").alias("v_pos"), "cosine")
     legs = lex.join(vec, ["query_id", "id"], "full_outer")
-    live = items.filter("NOT deleted").select("id", "type", "title", "domain", "captured_s", "parent_id")
+    if cues is None:
+        legs = legs.withColumn("c_pos", F.lit(None).cast("int"))
+    else:
+        full = lex.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") >= few).select("query_id")
+        legs = legs.join(cues.join(full, "query_id", "left_anti").select("query_id", "id", F.col("pos").alias("c_pos")), ["query_id", "id"], "full_outer")
+    kind = F.col("kind") if "kind" in items.columns else F.lit(None).cast("string").alias("kind")
+    entities = F.col("entities") if "entities" in items.columns else F.array().cast("array<string>").alias("entities")
+    live = items.filter("NOT deleted").select("id", "type", kind, "title", "domain", "captured_s", "parent_id", entities)
     h = legs.join(live, "id").join(q, "query_id").filter((F.col("type") != "note") | F.col("note_cue") | F.array_contains("types", "note"))
     strong = F.col("l_pos").isNotNull() | (F.col("cosine") >= floor)
-    h = h.withColumn("v_pos", F.when(strong, F.col("v_pos"))).filter("l_pos IS NOT NULL OR v_pos IS NOT NULL")
-    v_weight = F.when(F.size("tokens") <= 2, 0.4).otherwise(1.0)
+    h = h.withColumn("v_pos", F.when(strong, F.col("v_pos"))).filter("l_pos IS NOT NULL OR v_pos IS NOT NULL OR c_pos IS NOT NULL")
+    host = F.regexp_replace(F.lower(F.coalesce("domain", F.lit(""))), r"^www\.", "")
+    h = h.filter((F.size("domains") == 0) | F.exists("domains", lambda d: (host == d) | host.endswith(F.concat(F.lit("."), d))))
+    has_cue, cued = F.size("types") + F.size("kinds") > 0, matches_cue(F.col("type"), F.col("kind"), F.col("types"), F.col("kinds"))
+    timed, now_c = F.col("since").isNotNull() | F.col("until").isNotNull(), F.lit(now)
+    in_time = time_boost(F.col("captured_s"), F.col("since"), F.col("until"), now_c)
+    h = h.filter(~F.col("strict") | ((~has_cue | cued) & (~timed | (in_time >= 1.5))))
+    v_weight = F.lit(vector_weight) if vector_weight is not None else F.when(F.size("tokens") + F.col("n_phrases") <= 2, 0.4).otherwise(1.0)
     ranks = F.coalesce(1.0 / (RRF_K + F.col("l_pos")), F.lit(0.0)) + F.coalesce(v_weight / (RRF_K + F.col("v_pos")), F.lit(0.0))
+    only_cue = F.col("l_pos").isNull() & F.col("v_pos").isNull()
+    ranks = F.when(only_cue, 0.3 / (RRF_K + F.col("c_pos")) * (1 + F.greatest(F.lit(0.0), F.coalesce("cosine", F.lit(0.0))))).otherwise(ranks)
+    names = F.transform("entities", normalize_name)
     exact = exact_boost(F.col("tokens"), F.col("title"), F.col("domain"))
-    cued = F.array_contains("types", F.col("type"))
-    timed = F.col("since").isNotNull() | F.col("until").isNotNull()
-    now_c = F.lit(now)
-    when = F.when(timed, time_boost(F.col("captured_s"), F.col("since"), F.col("until"), now_c)).otherwise(recency_boost(F.col("captured_s"), now_c))
+    named = (F.size("tokens") > 0) & (F.arrays_overlap(names, F.col("tokens")) | F.array_contains(names, F.array_join("tokens", " ")))
+    exact = F.when((exact == 1.0) & F.coalesce(named, F.lit(False)), 1.2).otherwise(exact)
+    when = F.when(timed, in_time).otherwise(recency_boost(F.col("captured_s"), now_c))
     score = ranks * exact * F.when(cued, 1.35).otherwise(1.0) * when
-    why = F.concat_ws(" · ", F.when(exact > 1, "Exact match"), F.when(F.col("l_pos").isNotNull(), "Matches the text"), F.when(F.col("v_pos").isNotNull(), F.concat(F.lit("similar meaning ("), F.format_number("cosine", 2), F.lit(")"))), F.when(cued, "the kind of thing you asked for"))
+    similar = F.concat(F.lit("similar meaning ("), F.format_number("cosine", 2), F.lit(")"))
+    why = F.concat_ws(" · ", F.when(exact > 1, "Exact match"), F.when(F.col("l_pos").isNotNull(), "Matches the text"), F.when(F.col("v_pos").isNotNull() | only_cue, similar), F.when(cued, "the kind of thing you asked for"), F.when(timed & (in_time >= 1.5), "kept in that time"))
     order = [F.desc("score"), F.desc("captured_s"), F.col("id")]
-    ranked = h.select("query_id", "id", "captured_s", "parent_id", F.round(score, 9).alias("score"), F.when(why == "", "Related to your search").otherwise(why).alias("reason"))
+    ranked = h.select("query_id", "id", "captured_s", "parent_id", F.round(score, 9).alias("score"), F.when(why == "", "Related to your search").otherwise(why).alias("reason"), "l_pos", "cosine")
     sibling = F.row_number().over(Window.partitionBy("query_id", F.coalesce("parent_id", -F.col("id") - 1)).orderBy(*order))
     ranked = ranked.withColumn("sibling", sibling).filter(F.col("parent_id").isNull() | (F.col("sibling") <= per_parent))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
-    return ranked.withColumn("pos", place).filter(F.col("pos") <= limit).select("query_id", "id", "pos", "score", "reason")
+    return ranked.withColumn("pos", place).filter(F.col("pos") <= limit).select("query_id", "id", "pos", "score", "reason", "l_pos", "cosine")
+
+
+def semantic_search(vectors: DataFrame, queries: DataFrame, items: DataFrame, now: int, k: int = 10, floor: float = 0.5) -> DataFrame:
+    """The vector leg alone, ``max(3 k, 20)`` deep, ranked as in ``fuse`` at full weight. queries: ``query_id, vector``."""
+    from corpuskit.operators.vectors import knn
+
+    hits = knn(vectors, queries, max(3 * k, 20))
+    none = hits.select("query_id", F.col("item_id").alias("id"), "pos").filter(F.lit(False))
+    asked = queries.select("query_id", F.array().cast("array<string>").alias("tokens"))
+    return fuse(none, hits, items, asked, now, k, floor, vector_weight=1.0)
 
 
 def evaluate(hits: DataFrame, judgements: DataFrame, k: int = 3) -> DataFrame:

@@ -52,9 +52,15 @@ def positions(docs: DataFrame) -> DataFrame:
     return docs.select("id", "field", F.posexplode(tokenize(F.col("text"))).alias("pos", "term"))
 
 
+def postings_of(docs: DataFrame) -> DataFrame:
+    """``term, id, field, tf``. Counts by (term, id, field) combine before the shuffle; a hot term is spread by item."""
+    return docs.select("id", "field", F.explode(tokenize(F.col("text"))).alias("term")).groupBy("term", "id", "field").agg(F.count("*").alias("tf"))
+
+
 def build_index(docs: DataFrame) -> Index:
-    """docs: ``id, field, text``. Counts by (term, id, field) combine before the shuffle; a hot term is spread by item."""
-    postings = docs.select("id", "field", F.explode(tokenize(F.col("text"))).alias("term")).groupBy("term", "id", "field").agg(F.count("*").alias("tf"))
+    """The index as one plan of ``docs`` (id, field, text). Searches that use several of its tables want it written
+    first: ``sources.tables.stored_index``."""
+    postings = postings_of(docs)
     doc_stats = docs.groupBy("id").agg(F.sum(F.size(tokenize(F.col("text")))).cast("long").alias("n_tokens"))
     term_stats = postings.select("term", "id").distinct().groupBy("term").agg(F.count("*").alias("df"))
     totals = doc_stats.agg(F.count("*").alias("n_docs"), (F.sum("n_tokens") / F.count("*")).alias("avg_tokens"))

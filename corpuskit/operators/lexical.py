@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuskit.functions.text import tokenize
 from corpuskit.operators.index import FIELD_WEIGHTS, Index
 
 K1, B = 1.2, 0.75
@@ -80,7 +85,11 @@ def normalized(hits: DataFrame) -> DataFrame:
 def lexical_search(index: Index, queries: DataFrame, k: int = 40, enough: int = 5, or_weight: float = 0.6, synonyms: bool = True) -> DataFrame:
     """``query_id, id, pos, norm, mode``: hits that match every group, then, for queries with few of them and two
     groups or more, the best that match any, weighted down."""
-    groups = term_groups(queries, synonyms)
+    return search_groups(index, term_groups(queries, synonyms), k, enough, or_weight)
+
+
+def search_groups(index: Index, groups: DataFrame, k: int = 40, enough: int = 5, or_weight: float = 0.6) -> DataFrame:
+    """The same for groups of terms (``query_id, group_no, term``), such as those with synonyms and prefixes."""
     wanted = groups.groupBy("query_id").agg(F.count_distinct("group_no").alias("wanted"))
     rounded = [F.round("rank", 9), F.col("id")]
     found = bm25(index, groups).join(wanted, "query_id")
@@ -119,3 +128,127 @@ def fallback_snippet(text: Column, tokens: Column, before: int = 70, after: int
     around = F.concat(F.when(start > 1, "…").otherwise(""), F.substring(flat, start, end - start + 1), F.when(end < F.length(flat), "…").otherwise(""))
     head = F.when(F.length(flat) <= plain, flat).otherwise(F.concat(F.regexp_replace(F.substring(flat, 1, plain - 1), r"\s+$", ""), F.lit("…")))
     return F.when(F.size(present) > 0, around).otherwise(head)
+
+
+def bag_candidates(index: Index, items: DataFrame, k: int = 10, most: int = 24, stopwords: tuple[str, ...] = ()) -> DataFrame:
+    """``id, other, pos``: per item the best others for its own words (``id, text``), any of the first ``most`` that are
+    no stopwords and have two letters or more."""
+    words = F.array_distinct(F.filter(tokenize(F.col("text")), lambda t: (F.length(t) >= 2) & ~t.isin(*stopwords) if stopwords else F.length(t) >= 2))
+    groups = items.select(F.col("id").alias("query_id"), F.posexplode(F.slice(words, 1, most)).alias("group_no", "term"))
+    hits = bm25(index, groups).filter("query_id <> id")
+    return top(hits, k, [F.round("rank", 9), F.col("id")]).select(F.col("query_id").alias("id"), F.col("id").alias("other"), "pos")
+
+
+def snippets(hits: DataFrame, groups: DataFrame, docs: DataFrame, width: int = 14) -> DataFrame:
+    """``query_id, id, field, snippet``: of each hit and field the ``width`` tokens that hold the most matches (the first
+    such), the matches in ``[[ ]]``, an ellipsis where text was cut, white space collapsed. docs: ``id, field, text``."""
+    parts = F.regexp_extract_all(F.col("text"), F.lit(r"([\p{L}\p{N}]+[^\p{L}\p{N}]*)"), F.lit(1))
+    word = lambda x: F.lower(F.regexp_extract(x, r"^[\p{L}\p{N}]+", 0))
+    terms = groups.groupBy("query_id").agg(F.collect_set("term").alias("terms"))
+    rows = hits.select("query_id", "id").join(terms, "query_id").join(docs, "id").select("query_id", "id", "field", "terms", parts.alias("parts"))
+    at = rows.select("query_id", "id", "field", F.explode(F.filter(F.transform("parts", lambda x, i: F.when(F.array_contains("terms", word(x)), i)), lambda i: i.isNotNull())).alias("at"))
+    ahead = Window.partitionBy("query_id", "id", "field").orderBy("at").rangeBetween(0, width - 1)
+    best = at.withColumn("n", F.count("*").over(ahead)).groupBy("query_id", "id", "field").agg(F.max(F.struct("n", (-F.col("at")).alias("back"))).alias("b"))
+    start = -F.col("b.back")
+    marked = F.transform(F.slice("parts", start + 1, F.lit(width)), lambda x: F.when(F.array_contains("terms", word(x)), F.regexp_replace(x, r"^([\p{L}\p{N}]+)", "[[$1]]")).otherwise(x))
+    text = F.trim(F.regexp_replace(F.array_join(marked, ""), r"\s+", " "))
+    whole = F.concat(F.when(start > 0, "…").otherwise(""), text, F.when(start + width < F.size("parts"), "…").otherwise(""))
+    return rows.join(best, ["query_id", "id", "field"]).select("query_id", "id", "field", whole.alias("snippet"))
+
+
+def apply_filters(hits: DataFrame, items: DataFrame, queries: DataFrame, now: int) -> DataFrame:
+    """The hits (``query_id, id`` and more) whose items a query lets through: the domain is one of ``domains`` or below
+    one; a strict query also wants a cued type or kind, and the time inside its window."""
+    from corpuskit.operators.fusion import matches_cue, time_boost
+
+    live = items.filter("NOT deleted").select("id", "type", "kind", "domain", "captured_s")
+    rows = hits.join(live, "id").join(queries.select("query_id", "domains", "types", "kinds", "strict", "since", "until"), "query_id")
+    host = F.regexp_replace(F.lower(F.coalesce("domain", F.lit(""))), r"^www\.", "")
+    of_domain = (F.size("domains") == 0) | F.exists("domains", lambda d: (host == d) | host.endswith(F.concat(F.lit("."), d)))
+    cued = (F.size("types") + F.size("kinds") == 0) | matches_cue(F.col("type"), F.col("kind"), F.col("types"), F.col("kinds"))
+    timed = F.col("since").isNull() & F.col("until").isNull()
+    inside = timed | (time_boost(F.col("captured_s"), F.col("since"), F.col("until"), F.lit(now)) >= 1.5)
+    return rows.filter(of_domain & (~F.coalesce("strict", F.lit(False)) | (cued & inside))).select(*hits.columns)
+
+
+# Endings of the Porter algorithm (1980) by step, and what they become.
+_STEP2 = {"ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "abli": "able", "alli": "al", "entli": "ent", "eli": "e", "ousli": "ous", "ization": "ize", "ation": "ate", "ator": "ate", "alism": "al", "iveness": "ive", "fulness": "ful", "ousness": "ous", "aliti": "al", "iviti": "ive", "biliti": "ble"}
+_STEP3 = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic", "ful": "", "ness": ""}
+_STEP4 = "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize".split()
+
+
+def _kinds(word: str) -> str:
+    """One letter a letter: v for vowels, c for consonants; y is a vowel after a consonant."""
+    out = ""
+    for i, c in enumerate(word):
+        out += "v" if c in "aeiou" or (c == "y" and i > 0 and out[-1] == "c") else "c"
+    return out
+
+
+def _measure(stem: str) -> int:
+    return len(re.findall("v+c+", _kinds(stem)))
+
+
+def _short_end(stem: str) -> bool:
+    return _kinds(stem).endswith("cvc") and stem[-1] not in "wxy"
+
+
+def porter(word: str) -> str:
+    """The stem of an English word; words of other letters, and short ones, are their own."""
+    w = word
+    if len(w) <= 2 or not w.isascii() or not w.isalpha():
+        return w
+    vowel = lambda x: "v" in _kinds(x)
+    for end, new in (("sses", "ss"), ("ies", "i"), ("ss", "ss"), ("s", "")):
+        if w.endswith(end):
+            w = w[: len(w) - len(end)] + new
+            break
+    if w.endswith("eed"):
+        w = w[:-1] if _measure(w[:-3]) > 0 else w
+    else:
+        for end in ("ed", "ing"):
+            if w.endswith(end):
+                if vowel(w[: -len(end)]):
+                    w = w[: -len(end)]
+                    if w.endswith(("at", "bl", "iz")) or (_measure(w) == 1 and _short_end(w)):
+                        w += "e"
+                    elif len(w) > 1 and w[-1] == w[-2] and _kinds(w)[-1] == "c" and w[-1] not in "lsz":
+                        w = w[:-1]
+                break
+    if w.endswith("y") and vowel(w[:-1]):
+        w = w[:-1] + "i"
+    for table in (_STEP2, _STEP3):
+        for end in sorted(table, key=len, reverse=True):
+            if w.endswith(end):
+                w = w[: -len(end)] + table[end] if _measure(w[: -len(end)]) > 0 else w
+                break
+    for end in sorted(_STEP4, key=len, reverse=True):
+        if w.endswith(end):
+            stem = w[: -len(end)]
+            if _measure(stem) > 1 and (end != "ion" or stem.endswith(("s", "t"))):
+                w = stem
+            break
+    if w.endswith("e"):
+        m = _measure(w[:-1])
+        if m > 1 or (m == 1 and not _short_end(w[:-1])):
+            w = w[:-1]
+    return w[:-1] if w.endswith("ll") and _measure(w) > 1 else w
+
+
+def normalize_vocabulary(terms: DataFrame) -> DataFrame:
+    """``term, stem`` of each distinct term: marks above and below letters are dropped, then English endings."""
+
+    def run(frames):
+        for frame in frames:
+            bare = ["".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)) for t in frame["term"]]
+            yield pd.DataFrame({"term": frame["term"], "stem": [porter(t) for t in bare]})
+
+    return terms.select("term").distinct().mapInPandas(run, "term string, stem string")
+
+
+def stemmed(index: Index) -> tuple[Index, DataFrame]:
+    """The index by stem, and ``term, stem``: queries take their terms through the same table."""
+    stems = normalize_vocabulary(index.term_stats)
+    postings = index.postings.join(stems, "term").groupBy(F.col("stem").alias("term"), "id", "field").agg(F.sum("tf").alias("tf"))
+    df = postings.select("term", "id").distinct().groupBy("term").agg(F.count("*").alias("df"))
+    return Index(postings, index.doc_stats, df, index.totals), stems

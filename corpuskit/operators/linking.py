@@ -26,12 +26,23 @@ def same_group(items: DataFrame, ids: DataFrame, key: str, k: int = 10) -> DataF
 def within_window(items: DataFrame, ids: DataFrame, seconds: int = 3600, k: int = 10) -> DataFrame:
     """``id, other, pos``: live top-level items captured within ``seconds`` of an item, the most recent first.
 
-    A range join: times fall in buckets of that size, and a pair within reach shares one of three."""
+    A range join by buckets of that length: the reach of an item touches three. In each it takes its ``k + 1`` last
+    entries before the end of its reach, by their places in the order of time, so a busy bucket gives no pairs of all."""
     live = items.filter("NOT deleted AND parent_id IS NULL").select("id", "captured_s")
     bucket = F.floor(F.col("captured_s") / seconds)
-    mine = live.join(ids.select("id"), "id", "left_semi").withColumn("b", F.explode(F.array(bucket - 1, bucket, bucket + 1)))
-    theirs = live.select(F.col("id").alias("other"), F.col("captured_s").alias("o_s"), F.floor(F.col("captured_s") / seconds).alias("b"))
-    near = mine.join(theirs, "b").filter((F.col("id") != F.col("other")) & (F.abs(F.col("captured_s") - F.col("o_s")) <= seconds))
+    rows = live.select("id", "captured_s", bucket.alias("b"))
+    mine = rows.join(ids.select("id").distinct(), "id", "left_semi")
+    asks = mine.select(F.col("id").alias("ask"), (F.col("captured_s") + seconds).alias("end"), (F.col("captured_s") - seconds).alias("start"), F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1)).alias("b"))
+    one = rows.select("b", F.col("captured_s").alias("t"), F.lit(0).alias("kind"), F.struct((-F.col("captured_s")).alias("back"), F.col("id").alias("other")).alias("e"), F.lit(None).cast("long").alias("start"), F.lit(None).cast(dict(items.dtypes)["id"]).alias("ask"))
+    two = asks.select("b", F.col("end").alias("t"), F.lit(1).alias("kind"), F.lit(None).cast(one.schema["e"].dataType).alias("e"), "start", "ask")
+    order = Window.partitionBy("b").orderBy("t", "kind", F.desc(F.col("e.other")))
+    n = F.sum(F.when(F.col("kind") == 0, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    seen = one.unionByName(two).withColumn("n", n)
+    heads = seen.filter("kind = 0").select("b", "n", "e")
+    # Ties in time at the edge of k: later ids stand earlier in the order, so the last k + 1 places hold the least ids.
+    reach = seen.filter("kind = 1").select("b", "ask", "start", F.explode(F.sequence(F.greatest(F.lit(1), F.col("n") - k), F.greatest(F.lit(1), F.col("n")))).alias("n"))
+    near = reach.join(heads, ["b", "n"]).select(F.col("ask").alias("id"), F.col("e.other").alias("other"), (-F.col("e.back")).alias("o_s"), "start").filter("id <> other AND o_s >= start")
+    near = near.join(mine.select("id", (F.col("captured_s") + seconds).alias("end")), "id").filter("o_s <= end")
     w = Window.partitionBy("id").orderBy(F.desc("o_s"), "other")
     return near.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= k).select("id", "other", "pos")
 
@@ -81,6 +92,43 @@ def check_integrity(items: DataFrame, edges: DataFrame, types: list[str]) -> Dat
     return orphans.unionByName(ends).unionByName(odd).unionByName(twice)
 
 
+def same_owner(items: DataFrame, ids: DataFrame, path: str = "$.repo.owner", k: int = 10) -> DataFrame:
+    """``id, other, pos``: the most recent other live items with the same value at a JSON path of ``metadata``."""
+    return same_group(items.withColumn("_owner", F.get_json_object("metadata", path)), ids, "_owner", k)
+
+
+def linked_candidates(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """``id, other, flag``: items that an edge joins already, by who made it. edges: with ``created_by``."""
+    asked = ids.select("id").distinct()
+    flag = F.when(F.col("created_by") == "user", "user_related").otherwise("already_related").alias("flag")
+    out = edges.join(asked, edges["source_id"] == asked["id"]).select("id", F.col("target_id").alias("other"), flag)
+    into = edges.join(asked, edges["target_id"] == asked["id"]).select("id", F.col("source_id").alias("other"), flag)
+    return out.unionByName(into).filter("id <> other").distinct()
+
+
+def candidates(signals: DataFrame, items: DataFrame, k: int = 12) -> DataFrame:
+    """``id, other, score, flags, n_topics, n_entities, pos``: the union of all signals, best first.
+
+    signals: ``id, other, flag`` (null: none), ``cosine`` (null: none), ``lexical`` (boolean); items: ``id, topics,
+    entities, deleted``. Rank: cosine, 0.15 for a lexical hit, 0.1 a shared entity, 0.05 a shared topic whatever their
+    case, 0.1 for any flag; ``k + 6`` an item."""
+    merged = signals.filter("id <> other").groupBy("id", "other").agg(F.max("cosine").alias("cosine"), F.array_sort(F.collect_set("flag")).alias("flags"), F.coalesce(F.max("lexical"), F.lit(False)).alias("lexical"))
+    low = lambda c: F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), F.lower)
+    slim = items.select("id", low("topics").alias("topics"), low("entities").alias("entities"), "deleted")
+    both = merged.join(slim.drop("deleted"), "id").join(slim.filter("NOT deleted").select(F.col("id").alias("other"), F.col("topics").alias("t2"), F.col("entities").alias("e2")), "other")
+    shared = lambda a, b: F.size(F.array_intersect(a, b))
+    both = both.withColumns({"n_topics": shared("topics", "t2"), "n_entities": shared("entities", "e2")})
+    score = F.coalesce("cosine", F.lit(0.0)) + F.when(F.col("lexical"), 0.15).otherwise(0.0) + 0.1 * F.col("n_entities") + 0.05 * F.col("n_topics") + F.when(F.size("flags") > 0, 0.1).otherwise(0.0)
+    w = Window.partitionBy("id").orderBy(F.desc("score"), "other")
+    return both.withColumn("score", F.round(score, 9)).withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= k + 6).select("id", "other", "score", "cosine", "flags", "n_topics", "n_entities", "pos")
+
+
+def rank_candidates(signals: DataFrame, k: int = 12) -> DataFrame:
+    """``id, other, score, flags, pos`` of ``id, other, flag, cosine``: cosine and 0.1 for any flag, best first."""
+    merged = signals.groupBy("id", "other").agg(F.max("cosine").alias("cosine"), F.array_join(F.array_sort(F.collect_set("flag")), ",").alias("flags"))
+    score: Column = F.round(F.coalesce("cosine", F.lit(0.0)) + F.when(F.col("flags") != "", 0.1).otherwise(0.0), 9)
+    w = Window.partitionBy("id").orderBy(F.desc("score"), "other")
+    return merged.withColumn("score", score).withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= k).select("id", "other", "score", "flags", "pos")
 def rank_candidates(signals: DataFrame, k: int = 12) -> DataFrame:
     """``id, other, score, flags, pos`` of ``id, other, flag, cosine``: cosine and 0.1 for any flag, best first."""
     merged = signals.groupBy("id", "other").agg(F.max("cosine").alias("cosine"), F.array_join(F.array_sort(F.collect_set("flag")), ",").alias("flags"))

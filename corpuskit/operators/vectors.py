@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuskit.functions.text import fnv1a32
 from corpuskit.functions.vectors import dot, l2_normalize
 
-#: Queries that are sent to every task; more are dealt into blocks of this size.
-QUERY_BLOCK = 2000
+#: Queries that are sent to every task; more meet the vectors block by block, this many vectors a block.
+QUERY_BLOCK, VECTOR_BLOCK = 2000, 16384
+#: Queries whose cosines with a batch are in memory at once.
+AT_ONCE = 256
 #: Vectors of a block that meets another in one task, about, and those of them that are multiplied at once.
 PAIR_BLOCK, PAIR_ROWS = 4096, 512
 ROLE_WEIGHT = {"summary": 1.0, "body": 0.8}
@@ -20,32 +23,139 @@ ROLE_WEIGHT = {"summary": 1.0, "body": 0.8}
 HASH_STOPWORDS = "a an the and or of to in on at by for with from as is are was were be it this that these those you your we our they their i my".split()
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int, summary_only: bool = False, floor: float | None = None, exclude_self: bool = False) -> DataFrame:
+def knn(vectors: DataFrame, queries: DataFrame, k: int, summary_only: bool = False, floor: float | None = None, exclude_self: bool = False, include: DataFrame | None = None, exclude: DataFrame | None = None) -> DataFrame:
     """``query_id, item_id, pos, score, cosine``: per query the best ``k`` items, each by its best chunk.
 
-    vectors: ``item_id, chunk, role, vector``; queries: ``query_id, vector``. Every query meets every vector, in blocks:
-    a small query table is broadcast after its size was checked, larger ones meet the vectors block by block."""
+    vectors: ``item_id, chunk, role, vector``; queries: ``query_id, vector``; include, exclude: ``item_id``. Vectors
+    without length, and those of another size than the query, take no part. Every query meets every vector as one matrix
+    product a batch; only the ``k`` best items a query and batch leave it. Few queries are sent to all tasks, more are
+    dealt into blocks that each meet all blocks of vectors."""
     v = vectors.filter("role = 'summary'") if summary_only else vectors
-    unit = l2_normalize(F.col("vector"))
-    v = v.select("item_id", "chunk", "role", unit.alias("v")).filter("v IS NOT NULL")
-    q = queries.select("query_id", unit.alias("q")).filter("q IS NOT NULL")
-    n = q.limit(QUERY_BLOCK + 1).count()
-    if n <= QUERY_BLOCK:
-        pairs = v.withColumn("block", F.lit(0)).join(F.broadcast(q.withColumn("block", F.lit(0))), "block")
-    else:
-        blocks = -(-q.count() // QUERY_BLOCK)
-        pairs = v.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")), "block")
-    if exclude_self:
-        pairs = pairs.filter("item_id <> query_id")
+    if include is not None:
+        v = v.join(include.select("item_id").distinct(), "item_id", "left_semi")
+    if exclude is not None:
+        v = v.join(exclude.select("item_id").distinct(), "item_id", "left_anti")
     weight = F.when(F.col("role") == "summary", ROLE_WEIGHT["summary"]).otherwise(ROLE_WEIGHT["body"])
-    scored = pairs.select("query_id", "item_id", "chunk", F.round(dot(F.col("v"), F.col("q")), 9).alias("cosine"), weight.alias("w")).withColumn("score", F.col("cosine") * F.col("w"))
-    best = scored.groupBy("query_id", "item_id").agg(F.max(F.struct("score", "cosine", (-F.col("chunk")).alias("c"))).alias("b")).select("query_id", "item_id", "b.score", "b.cosine")
-    if floor is not None:
-        best = best.filter(F.col("cosine") >= floor)
+    v = v.select("item_id", weight.alias("weight"), F.col("vector").cast("array<double>").alias("v")).filter(F.size("v") > 0)
+    q = queries.select("query_id", F.col("vector").cast("array<double>").alias("q")).filter(F.size("q") > 0)
+    names = f"query_id {dict(q.dtypes)['query_id']}, item_id {dict(v.dtypes)['item_id']}, score double, cosine double"
+    if q.limit(QUERY_BLOCK + 1).count() <= QUERY_BLOCK:
+        if floor is not None and not summary_only:
+            v = v.repartition("item_id").sortWithinPartitions("item_id")  # the floor asks for the best chunk of all
+        found = v.mapInArrow(_streamed(q.toArrow(), k, floor, exclude_self), names)
+    else:
+        deal = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        q_blocks, v_blocks = (max(1, -(-df.count() // VECTOR_BLOCK)) for df in (q, v))
+        asked = q.withColumns({"a": deal("query_id", q_blocks)}).withColumn("b", every(v_blocks))
+        given = v.withColumns({"b": deal("item_id", v_blocks)}).withColumn("a", every(q_blocks))
+
+        def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+            return pa.Table.from_batches([_best(left, right, k, floor, exclude_self)])
+
+        found = asked.groupBy("a", "b").cogroup(given.groupBy("a", "b")).applyInArrow(meet, names)
+    best = found.groupBy("query_id", "item_id").agg(F.max(F.struct("score", "cosine")).alias("b")).select("query_id", "item_id", "b.score", "b.cosine")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
     return best.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= k).select("query_id", "item_id", "pos", "score", "cosine")
 
 
+def _streamed(asked: pa.Table, k: int, floor: float | None, exclude_self: bool):
+    """The best of each batch; the rows of an item that a batch cuts wait for the next one."""
+
+    def run(batches):
+        waiting = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if waiting is None else pa.concat_tables([waiting, table])
+            if not len(table):
+                continue
+            same = pc.fill_null(pc.equal(table.column("item_id"), table.column("item_id")[-1]), False)
+            waiting = table.filter(same)
+            yield _best(asked, table.filter(pc.invert(same)), k, floor, exclude_self)
+        if waiting is not None:
+            yield _best(asked, waiting, k, floor, exclude_self)
+
+    return run
+
+
+def _matrix(column: pa.ChunkedArray, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the rows of ``dims`` components that have a length, and these rows at length one."""
+    lists = column.combine_chunks()
+    rows = np.flatnonzero(np.asarray(pc.fill_null(pc.list_value_length(lists), -1)) == dims)
+    values = lists.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+    length = np.linalg.norm(values, axis=1)
+    ok = (length > 0) & np.isfinite(length)
+    return rows[ok], values[ok] / length[ok, None]
+
+
+def _best(asked: pa.Table, given: pa.Table, k: int, floor: float | None, exclude_self: bool) -> pa.RecordBatch:
+    """The ``k`` best items of ``given`` (item_id, weight, v) for each query of ``asked`` (query_id, q), ties to the least id."""
+    out_q, out_i, scores, cosines = [], [], [], []
+    for dims in np.unique(np.asarray(pc.list_value_length(asked.column("q").combine_chunks()))) if len(asked) and len(given) else ():
+        at_q, q = _matrix(asked.column("q"), dims)
+        at_v, v = _matrix(given.column("v"), dims)
+        if not len(at_q) or not len(at_v):
+            continue
+        ids = given.column("item_id").combine_chunks().take(pa.array(at_v)).dictionary_encode()
+        rank = np.empty(len(ids.dictionary), dtype=np.int64)
+        by_id = pc.sort_indices(ids.dictionary).to_numpy()
+        rank[by_id] = np.arange(len(by_id))
+        item = rank[ids.indices.to_numpy()]
+        order = np.argsort(item, kind="stable")
+        item, v, weight = item[order], v[order], given.column("weight").to_numpy()[at_v][order]
+        starts = np.flatnonzero(np.concatenate(([True], item[1:] != item[:-1])))
+        items = ids.dictionary.take(pa.array(by_id))
+        q_ids = asked.column("query_id").combine_chunks().take(pa.array(at_q))
+        own = pc.index_in(q_ids, value_set=items).to_numpy(zero_copy_only=False) if exclude_self else None
+        for lo in range(0, len(q), AT_ONCE):
+            part = q[lo : lo + AT_ONCE]
+            cosine = np.round(v @ part.T, 9)
+            score = cosine * weight[:, None]
+            top = np.maximum.reduceat(score, starts, axis=0)
+            near = np.maximum.reduceat(np.where(score == top[item], cosine, -np.inf), starts, axis=0)
+            if own is not None:
+                mine = own[lo : lo + AT_ONCE]
+                has = np.flatnonzero(~np.isnan(mine.astype(np.float64)))
+                top[mine[has].astype(np.int64), has] = -np.inf
+            if floor is not None:
+                top[near < floor] = -np.inf
+            m = min(k, len(top))
+            edge = np.partition(top, len(top) - m, axis=0)[len(top) - m]
+            above = top > edge
+            level = (top == edge) & (top > -np.inf)
+            keep = above | (level & (np.cumsum(level, axis=0) <= m - above.sum(axis=0)))
+            i, j = np.nonzero(keep)
+            out_q.append(q_ids.take(pa.array(lo + j)))
+            out_i.append(items.take(pa.array(i)))
+            scores.append(top[i, j])
+            cosines.append(near[i, j])
+    joined = lambda parts, like: pa.concat_arrays(parts) if parts else pa.array([], like)
+    numbers = [pa.array(np.concatenate(x) if x else np.zeros(0)) for x in (scores, cosines)]
+    return pa.RecordBatch.from_arrays([joined(out_q, asked.schema.field("query_id").type), joined(out_i, given.schema.field("item_id").type), *numbers], ["query_id", "item_id", "score", "cosine"])
+
+
+def load_embeddings(vectors: DataFrame, items: DataFrame, model: str) -> DataFrame:
+    """Vectors of one model and of live items, at length one; those without length go."""
+    unit = vectors.filter(F.col("model") == model).withColumn("vector", l2_normalize(F.col("vector"))).filter("vector IS NOT NULL")
+    return unit.join(items.filter("NOT deleted").select(F.col("id").alias("item_id")), "item_id", "left_semi").select(*vectors.columns)
+
+
+def similar_items(vectors: DataFrame, items: DataFrame, ids: DataFrame, k: int = 10, floor: float = 0.5, fallback: DataFrame | None = None) -> DataFrame:
+    """``id, other, pos, cosine``: the live items whose summaries are nearest to that of an item. Items without a vector
+    take theirs from ``fallback`` (id, other, pos), such as the hits of their words; these have no cosine."""
+    live = items.filter("NOT deleted").select(F.col("id").alias("item_id"))
+    summaries = vectors.filter("role = 'summary'")
+    asked = ids.select(F.col("id").alias("item_id")).distinct().join(summaries, "item_id")
+    near = knn(summaries, asked.select(F.col("item_id").alias("query_id"), "vector"), k, True, floor, True, include=live)
+    found = near.select(F.col("query_id").alias("id"), F.col("item_id").alias("other"), "pos", "cosine")
+    if fallback is None:
+        return found
+    bare = ids.select("id").distinct().join(summaries.select(F.col("item_id").alias("id")).distinct(), "id", "left_anti")
+    words = fallback.join(bare, "id", "left_semi").join(live.withColumnRenamed("item_id", "other"), "other", "left_semi")
+    place = F.row_number().over(Window.partitionBy("id").orderBy("pos", "other"))
+    return found.unionByName(words.withColumn("pos", place).filter(F.col("pos") <= k).select("id", "other", "pos", F.lit(None).cast("double").alias("cosine")))
+
+
 def hash_embed(texts: DataFrame, dims: int = 384) -> DataFrame:
     """``id, vector`` from ``id, text``: words of two letters or more and, at half weight, pairs of neighbours, hashed
     into ``dims`` signed buckets with 1 + ln(count), then normalised. A text without words gives zeros.
@@ -78,16 +188,22 @@ def centroids(members: DataFrame, vectors: DataFrame) -> DataFrame:
 def collection_candidates(vectors: DataFrame, members: DataFrame, ids: DataFrame, k: int = 3) -> DataFrame:
     """``item_id, collection_id, cosine, pos``: the collections whose other members' centroid is nearest to an item.
 
-    An item's own share is taken out of the sum of its collection; nothing is summed again."""
+    An item's own share is taken out of the sum of its collection; nothing is summed again. Items that are members of
+    a collection meet its sum by key; all others meet all centroids as in ``knn``, which keeps ``k`` an item."""
     unit = l2_normalize(F.col("vector"))
     own = vectors.filter("role = 'summary'").select("item_id", unit.alias("v")).filter("v IS NOT NULL").join(ids.select("item_id"), "item_id", "left_semi")
-    sums = centroids(members, vectors).select("collection_id", "n", "sum")
-    mine = members.select("collection_id", "item_id").distinct().withColumn("mine", F.lit(True))
-    pairs = own.withColumn("one", F.lit(0)).join(sums.withColumn("one", F.lit(0)), "one").join(mine, ["collection_id", "item_id"], "left").filter("mine IS NULL OR n > 1")
-    rest = F.when(F.col("mine"), F.zip_with("sum", "v", lambda s, x: s - x)).otherwise(F.col("sum"))
-    scored = pairs.select("item_id", "collection_id", F.round(dot(F.col("v"), l2_normalize(rest)), 9).alias("cosine")).filter("cosine IS NOT NULL")
+    whole = centroids(members, vectors)
+    mine = members.select("collection_id", "item_id").distinct()
+    asked = own.select(F.col("item_id").alias("query_id"), F.col("v").alias("vector"))
+    targets = whole.select(F.col("collection_id").alias("item_id"), F.lit(0).alias("chunk"), F.lit("summary").alias("role"), F.col("centroid").alias("vector"))
+    # An item's own collections may stand among the first k + (their number): they are scored apart.
+    most = mine.groupBy("item_id").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    far = knn(targets, asked, k + most, True).select(F.col("query_id").alias("item_id"), F.col("item_id").alias("collection_id"), "cosine").join(mine, ["item_id", "collection_id"], "left_anti")
+    inside = own.join(mine, "item_id").join(whole.filter("n > 1").select("collection_id", "sum"), "collection_id")
+    rest = F.zip_with("sum", "v", lambda s, x: s - x)
+    close = inside.select("item_id", "collection_id", F.round(dot(F.col("v"), l2_normalize(rest)), 9).alias("cosine")).filter("cosine IS NOT NULL")
     w = Window.partitionBy("item_id").orderBy(F.desc("cosine"), "collection_id")
-    return scored.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= k)
+    return far.unionByName(close).withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= k)
 
 
 def stale_embeddings(vectors: DataFrame, items: DataFrame, model: str, dims: int) -> DataFrame:

@@ -27,6 +27,11 @@ def list_items(items: DataFrame, view: str = "library", types: list[str] | None
     return rows.orderBy(*order, "id").offset(max(0, offset)).limit(max(1, min(5000, limit)))
 
 
+def children(items: DataFrame, parents: DataFrame) -> DataFrame:
+    """Live items below the given ``id``s, in order of capture within each."""
+    return items.filter("NOT deleted").join(parents.select(F.col("id").alias("parent_id")).distinct(), "parent_id", "left_semi")
+
+
 def siblings(items: DataFrame, batches: DataFrame) -> DataFrame:
     """Live items of the given batches, in order of capture."""
     return items.filter("NOT deleted").join(batches.select("batch_id").distinct(), "batch_id", "left_semi")

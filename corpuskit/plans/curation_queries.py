@@ -6,20 +6,19 @@ from pyspark.sql import functions as F
 
 from corpuskit.functions.text import normalize_name
 from corpuskit.operators import curation, fusion, lexical, preparation, vectors
-from corpuskit.operators import index as index_ops
 from corpuskit.plans import model, search_queries
 from corpuskit.plans.catalog import query
 
 _HOSTS = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in preparation.HOST_ALIASES.items())
 _KEEP = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in preparation.KEEP_PARAMS.items())
-CANON = rf"""parts AS (SELECT page_id AS id, url, regexp_extract(url, '(?i)^https?://([^/?#]+)([^?#]*)(\?[^#]*)?(#.*)?$', 1) AS h, regexp_extract(url, '(?i)^https?://([^/?#]+)([^?#]*)(\?[^#]*)?(#.*)?$', 2) AS p,
-  substring(regexp_extract(url, '(?i)^https?://([^/?#]+)([^?#]*)(\?[^#]*)?(#.*)?$', 3), 2) AS q, regexp_extract(url, '(?i)^https?://([^/?#]+)([^?#]*)(\?[^#]*)?(#.*)?$', 4) AS f FROM pages),
-hosts AS (SELECT *, regexp_replace(lower(h), '^(www|m|mobile|amp)\.', '') AS h0 FROM parts WHERE h <> ''),
-named AS (SELECT *, CASE lower(h) {_HOSTS} ELSE CASE h0 {_HOSTS} ELSE h0 END END AS host FROM hosts),
-kept AS (SELECT *, CASE host {_KEEP} END AS params FROM named),
-canon AS (SELECT id, url, 'https://' || host || regexp_replace(regexp_replace(p, '(?i)/index\.(html?|php|aspx?)$', '/'), '/+$', '')
-  || CASE WHEN len(ps) > 0 THEN '?' || array_to_string(ps, '&') ELSE '' END || CASE WHEN regexp_matches(f, '^#[/!]') THEN f ELSE '' END AS canonical
-  FROM (SELECT *, list_sort(list_filter(string_split(q, '&'), lambda x: x <> '' AND CASE WHEN params IS NOT NULL THEN list_contains(string_split(params, ','), split_part(x, '=', 1)) ELSE NOT regexp_matches(split_part(x, '=', 1), '{preparation.TRACKING}') END)) AS ps FROM kept))"""
+_URL = preparation.URL
+CANON = rf"""parts AS (SELECT page_id AS id, url, lower(regexp_extract(url, '{_URL}', 2)) AS h, regexp_extract(url, '{_URL}', 4) AS p, substring(regexp_extract(url, '{_URL}', 5), 2) AS q, regexp_extract(url, '{_URL}', 6) AS f FROM pages),
+hosts AS (SELECT *, regexp_replace(h, '^(www|m|mobile|amp)\.', '') AS bare FROM parts WHERE h <> ''),
+named AS (SELECT *, CASE bare {_HOSTS} ELSE CASE h {_HOSTS} ELSE bare END END AS host, regexp_replace(regexp_replace(regexp_replace(p, '/{{2,}}', '/', 'g'), '/+$', ''), '(?i)/(index|default)\.(html?|php|aspx?)$', '') AS path FROM hosts),
+kept AS (SELECT *, CASE host {_KEEP} END AS params, CASE WHEN bare = 'youtu.be' THEN regexp_extract(path, '^/([^/]+)', 1) WHEN host = 'youtube.com' THEN regexp_extract(path, '^/(?:shorts|live|embed)/([A-Za-z0-9_-]+)$', 1) ELSE '' END AS short FROM named),
+ps AS (SELECT *, list_transform(list_sort(list_transform(list_filter(string_split(q, '&'), lambda x: x <> '' AND CASE WHEN params IS NOT NULL THEN list_contains(string_split(params, ','), split_part(x, '=', 1)) ELSE NOT regexp_matches(split_part(x, '=', 1), '{preparation.TRACKING}') END), lambda x, i: {{'n': split_part(x, '=', 1), 'i': i, 'p': x}})), lambda x: x.p) AS ps FROM kept),
+vs AS (SELECT *, CASE WHEN short <> '' THEN ['v=' || short] WHEN host = 'youtube.com' AND path = '/watch' THEN list_filter(ps, lambda x: split_part(x, '=', 1) = 'v')[1:1] ELSE ps END AS vs FROM ps),
+canon AS (SELECT id, url, 'https://' || host || CASE WHEN short <> '' THEN '/watch' ELSE path END || CASE WHEN len(vs) > 0 THEN '?' || array_to_string(vs, '&') ELSE '' END || CASE WHEN regexp_matches(f, '^#[/!]') THEN f ELSE '' END AS canonical FROM vs)"""
 
 
 def _links(spark, sf_dir):
@@ -57,11 +56,8 @@ def profile_text(spark, sf_dir):
     return preparation.profile_text(model.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
-@query("annotate_kind", rf"""WITH {model.ITEMS}, t AS (SELECT id, type, lower(title || chr(10) || coalesce(extracted_text, '')) AS t FROM items)
-SELECT id, CASE WHEN regexp_matches(t, 'receipt|invoice|order (confirmation|#)|total:|amount due|subtotal') THEN 'receipt' WHEN regexp_matches(t, 'api reference|documentation') THEN 'docs'
-  WHEN type = 'image' THEN 'photo' WHEN type = 'note' THEN 'note' WHEN regexp_matches(t, '\.csv\b|dataset|kaggle|huggingface\.co/datasets') THEN 'dataset'
-  WHEN regexp_matches(t, 'mac app store|apps\.apple\.com|for macos|menu bar app|macos utility') THEN 'macos_app' WHEN regexp_matches(t, '\bnpm install\b|\bpip install\b|\bcargo add\b|\bsdk\b') THEN 'library'
-  WHEN regexp_matches(t, 'pricing|sign up|free trial|start for free') AND type = 'url' THEN 'saas_product' ELSE 'article' END AS guessed FROM t""")
+@query("annotate_kind", rf"""WITH {model.ITEMS}, t AS (SELECT id, type, lower(domain) AS domain, lower(title) AS title, lower(title || chr(10) || coalesce(extracted_text, '')) AS text FROM items)
+SELECT id, CASE {" ".join(f"WHEN regexp_matches({c}, '{p}') THEN '{label}'" for label, c, p in preparation.KIND_RULES)} ELSE 'other' END AS guessed FROM t""")
 def annotate_kind(spark, sf_dir):
     return preparation.annotate_kind(model.items(spark, sf_dir))
 
@@ -82,7 +78,7 @@ def markdown_headings(spark, sf_dir):
     return preparation.markdown_headings(model.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), text.alias("text")))
 
 
-PROPOSED = f"{model.EDGES}, n AS (SELECT count(*) AS n FROM documents), p0 AS (SELECT row_number() OVER (ORDER BY source_id, target_id, type) AS proposal_id, (source_id + CASE WHEN source_id % 3 = 0 THEN 0 ELSE 1 END) % n AS s, target_id AS t, type FROM edges, n)"
+PROPOSED = f"{model.EDGES}, n AS (SELECT count(*) AS n FROM documents), p0 AS (SELECT concat_ws('-', source_id, target_id, type) AS proposal_id, (source_id + CASE WHEN source_id % 3 = 0 THEN 0 ELSE 1 END) % n AS s, target_id AS t, type FROM edges, n)"
 
 
 @query("add_edges", f"""WITH {model.ITEMS}, {PROPOSED}, p AS (SELECT proposal_id, CASE WHEN sym AND s > t THEN t ELSE s END AS source_id, CASE WHEN sym AND s > t THEN s ELSE t END AS target_id, type FROM (SELECT *, type IN ('related_to','same_project','alternative_to','contradicts','duplicate_of') AS sym FROM p0)),
@@ -91,11 +87,9 @@ SELECT proposal_id, source_id, target_id, type, CASE WHEN source_id = target_id
   WHEN EXISTS (SELECT 1 FROM edges e WHERE e.source_id = p.source_id AND e.target_id = p.target_id AND e.type = p.type) THEN 'exists' WHEN least(source_id, target_id) % 5 = 0 THEN 'suppressed'
   WHEN row_number() OVER (PARTITION BY source_id, target_id, type ORDER BY proposal_id) > 1 THEN 'repeated' END AS reason FROM p""")
 def add_edges(spark, sf_dir):
-    from pyspark.sql import Window
-
     edges, docs = model.edges(spark, sf_dir), model.table(spark, sf_dir, "documents")
     n = docs.agg(F.count("*").alias("n"))
-    numbered = edges.withColumn("proposal_id", F.row_number().over(Window.orderBy("source_id", "target_id", "type")))
+    numbered = edges.withColumn("proposal_id", F.concat_ws("-", "source_id", "target_id", "type"))
     proposals = numbered.crossJoin(F.broadcast(n)).withColumn("source_id", (F.col("source_id") + F.when(F.col("source_id") % 3 == 0, 0).otherwise(1)) % F.col("n")).drop("n", "confidence")
     d = docs.select("doc_id").filter("doc_id % 5 = 0").select(F.col("doc_id").alias("a"))
     pairs = proposals.select(F.least("source_id", "target_id").alias("a"), F.greatest("source_id", "target_id").alias("b")).join(d, "a")
@@ -168,7 +162,7 @@ SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 def hybrid_search(spark, sf_dir):
     """Each benchmark text as a query: its first four words for the lexical leg, all of it as a hashed vector."""
     items = model.items(spark, sf_dir)
-    idx = index_ops.build_index(index_ops.index_docs(items.select("id", *search_queries.FIELDS, "deleted")))
+    idx = search_queries.stored(spark, sf_dir)
     q = model.queries(spark, sf_dir)
     lex = lexical.lexical_search(idx, q, synonyms=False)
     live = items.filter("NOT deleted").select("id", F.col("title").alias("text"))
@@ -199,7 +193,7 @@ def hybrid_search_full(spark, sf_dir):
     """Each benchmark text as a query, all its words in both legs, against the titles and every chunk of the texts; the
     best chunk of an item counts. Beyond what DuckDB does in time."""
     items = model.items(spark, sf_dir)
-    idx = index_ops.build_index(index_ops.index_docs(items.select("id", *search_queries.FIELDS, "deleted")))
+    idx = search_queries.stored(spark, sf_dir)
     asked = model.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     q = asked.select("query_id", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))).alias("tokens"))
     lex = lexical.lexical_search(idx, q, synonyms=False)

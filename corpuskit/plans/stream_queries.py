@@ -2,36 +2,34 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuskit.plans import item_queries, model
 from corpuskit.plans.catalog import query
+from corpuskit.sources.tables import scratch
 from corpuskit.streaming import streams
 
 
-def _place(spark: SparkSession, name: str) -> str:
-    """A new folder below the one that all executors share."""
-    return f"{spark.conf.get('spark.checkpoint.dir', '/tmp/checkpoints').rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = model.table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _drain(frame: DataFrame, mode: str, name: str) -> DataFrame:
-    """Run the stream to its end; each batch replaces what the last one wrote."""
-    at = _place(frame.sparkSession, name)
+def _drain(frame: DataFrame, mode: str, name: str, keys: list[str] | None = None) -> DataFrame:
+    """Run the stream to its end. Appended rows all stay; of updates the last of each key, of complete results the last."""
+    spark, at = frame.sparkSession, scratch(frame.sparkSession, name)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("append" if mode == "append" else "overwrite").parquet(f"{at}/out")
+        batch.withColumn("_batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{at}/out/batch={batch_id}")
 
     frame.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
-    return frame.sparkSession.read.schema(frame.schema).parquet(f"{at}/out")
+    out = spark.read.schema(frame.schema.add("_batch", "long")).parquet(f"{at}/out/*")
+    if mode == "append":
+        return out.drop("_batch")
+    last = F.max("_batch").over(Window.partitionBy(*keys)) if keys else F.lit(out.agg(F.max("_batch")).first()[0])
+    return out.withColumn("_last", last).filter("_batch = _last").drop("_batch", "_last")
 
 
 @query("stream_dedupe", "SELECT DISTINCT user_id FROM events")
@@ -46,5 +44,22 @@ def progress_stream(spark, sf_dir):
 
 @query("status_stream", item_queries.STATUS_FOLD)
 def status_stream(spark, sf_dir):
-    """One batch holds the whole log here, so the last status of each item is in it."""
-    return _drain(streams.status_stream(model.as_stage_events(_events(spark, sf_dir))), "update", "stream-status")
+    return _drain(streams.status_stream(model.as_stage_events(_events(spark, sf_dir))), "update", "stream-status", ["item_id"])
+
+
+@query("group_complete", f"""WITH {model.STAGE_EVENTS}, s AS (SELECT item_id, item_id // 4 AS batch_id, min(at_us) AS at_us FROM stage_events WHERE stage = 'index' GROUP BY item_id), n AS (SELECT batch_id, count(*) AS n, max(at_us) AS all_at, min(at_us) AS first_at FROM s GROUP BY batch_id)
+SELECT batch_id, n AS items, 'complete' AS reason FROM n WHERE n = 4""")
+def group_complete(spark, sf_dir):
+    """Batches of four items that are released because all of them are indexed; the gate is as wide as the log."""
+    indexed = model.as_stage_events(_events(spark, sf_dir)).filter("stage = 'index'")
+    events = indexed.select(F.floor(F.col("item_id") / 4).cast("long").alias("batch_id"), "item_id", F.lit(4).alias("size"), F.timestamp_micros("at_us").alias("ts"))
+    out = _drain(streams.group_complete(events, gate_s=10**9), "append", "stream-groups")
+    return out.filter("reason = 'complete'").select("batch_id", F.col("items").cast("long").alias("items"), "reason")
+
+
+@query("mark_repeats", "SELECT event_id, user_id, min(event_id) OVER (PARTITION BY user_id) AS first_id, event_id <> min(event_id) OVER (PARTITION BY user_id) AS repeated FROM events")
+def mark_repeats(spark, sf_dir):
+    """Captures of one user as repeats of the user's first one."""
+    captures = _events(spark, sf_dir).select(F.col("event_id").alias("id"), F.col("user_id").alias("key"), "ts")
+    out = _drain(streams.mark_repeats(captures), "append", "stream-repeats")
+    return out.select(F.col("id").alias("event_id"), F.col("key").alias("user_id"), "first_id", "repeated")

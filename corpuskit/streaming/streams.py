@@ -6,11 +6,10 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from corpuskit.operators import curation
 from corpuskit.operators import index as index_ops
 
 
@@ -64,19 +63,21 @@ def status_stream(results: DataFrame) -> DataFrame:
 
 
 def table_sink(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
-    """For ``foreachBatch``: keeps a Parquet table at ``path`` with the last row of each key. Every batch writes a new
-    version beside the old ones, named by the batch, so a repeated batch gives the same table."""
+    """For ``foreachBatch``: keeps the rows of every batch at ``path``, in a folder of its own, so a repeated batch gives
+    the same table and none is written again. ``read_table`` gives the last row of each key."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        if batch_id:
-            old = spark.read.schema(batch.schema).parquet(f"{path}/v{batch_id - 1}")
-            batch = curation.upsert(old, batch, keys)
-        batch.write.mode("overwrite").parquet(f"{path}/v{batch_id}")
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return write
 
 
+def read_table(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The table that ``table_sink`` keeps: of each key the rows of the last batch that had it."""
+    rows = spark.read.option("basePath", path).parquet(f"{path}/batch=*")
+    return rows.withColumn("_last", F.max("batch").over(Window.partitionBy(*keys))).filter("batch = _last").drop("batch", "_last")
+
+
 def index_sink(path: str) -> Callable[[DataFrame, int], None]:
     """For ``foreachBatch`` over changed ``id, field, text``: keeps postings, statistics of items and of terms."""
 
@@ -92,3 +93,63 @@ def index_sink(path: str) -> Callable[[DataFrame, int], None]:
             getattr(merged, name).write.mode("overwrite").parquet(f"{path}/v{batch_id}/{name}")
 
     return write
+
+
+def mark_repeats(captures: DataFrame, keep: str = "30 days") -> DataFrame:
+    """``id, key, first_id, repeated`` of ``id, key, ts``: each capture beside the first of its key. A key is forgotten
+    when nothing of it came for ``keep``, so state stays bounded."""
+
+    def fold(key: tuple[Any, ...], parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        first = state.get[0] if state.exists else None
+        rows = pd.concat(list(parts)).sort_values(["ts", "id"])
+        first = int(rows["id"].iloc[0]) if first is None else first
+        state.update((first,))
+        state.setTimeoutDuration(int(pd.Timedelta(keep).total_seconds() * 1000))
+        yield pd.DataFrame({"id": rows["id"], "key": key[0], "first_id": first, "repeated": rows["id"] != first})
+
+    return captures.groupBy("key").applyInPandasWithState(fold, "id long, key long, first_id long, repeated boolean", "first_id long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def group_complete(events: DataFrame, gate_s: int = 90, late: str = "10 minutes") -> DataFrame:
+    """``batch_id, items, reason``: when a batch of captures is let go. events: ``batch_id, item_id, size, ts``, one for
+    each item that is indexed, ``size`` the items of its batch.
+
+    A batch goes when all its items are in (``complete``), or at the first watermark ``gate_s`` seconds after its first
+    (``gate``); a batch of one at once (``single``), and an item that comes after its batch went is let go alone
+    (``late``). A batch is forgotten a day after it went."""
+    day = 86_400_000
+
+    def fold(key: tuple[Any, ...], parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seen, gone, first = state.get if state.exists else ("", False, 0)
+        known = set(seen.split(",")) - {""}
+        out = []
+        if state.hasTimedOut:
+            if gone:
+                state.remove()
+                return
+            out.append((len(known), "gate"))
+            gone = True
+        else:
+            rows = pd.concat(list(parts)).sort_values(["ts", "item_id"])
+            for item, size, ts in zip(rows["item_id"], rows["size"], rows["ts"], strict=True):
+                if str(item) in known:
+                    continue
+                known.add(str(item))
+                first = first or int(ts.value // 1_000_000)
+                if gone:
+                    out.append((1, "late"))
+                elif size <= 1:
+                    out.append((1, "single"))
+                    gone = True
+                elif len(known) >= size:
+                    out.append((len(known), "complete"))
+                    gone = True
+        state.update((",".join(sorted(known)), gone, first))
+        wait = max(first + gate_s * 1000 + (day if gone else 0), state.getCurrentWatermarkMs() + 1)
+        state.setTimeoutTimestamp(wait)
+        yield pd.DataFrame([(key[0], n, reason) for n, reason in out], columns=["batch_id", "items", "reason"])
+
+    return events.withWatermark("ts", late).groupBy("batch_id").applyInPandasWithState(fold, "batch_id long, items int, reason string", "seen string, gone boolean, first long", "append", GroupStateTimeout.EventTimeTimeout)

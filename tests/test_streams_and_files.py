@@ -75,7 +75,7 @@ def test_table_sink(spark, tmp_path):
     sink = streams.table_sink(str(tmp_path / "t"), ["k"])
     sink(spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string"), 0)
     sink(spark.createDataFrame([(2, "c"), (3, "d")], "k long, v string"), 1)
-    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "t" / "v1")).collect())) == [(1, "a"), (2, "c"), (3, "d")]
+    assert sorted(map(tuple, streams.read_table(spark, str(tmp_path / "t"), ["k"]).collect())) == [(1, "a"), (2, "c"), (3, "d")]
 
 
 def test_files(spark, tmp_path):
