@@ -156,7 +156,7 @@ def sweep_items(spark, sf_dir):
     return collections.sweep_items(items, items.filter("batch_id % 50 = 3"), collection_rows(spark, sf_dir).filter("l = 'xx'"), member_rows(spark, sf_dir))
 
 
-@query("collection_context", f"""WITH {model.VECTORS}, {COLLECTIONS}, c AS (SELECT item_id, collection_id, round(CAST(vector[1] AS DOUBLE), 4) AS cosine FROM vectors v JOIN mem USING (item_id) WHERE role = 'summary'),
+@query("collection_context", f"""WITH {model.VECTORS}, {COLLECTIONS}, c AS (SELECT item_id, mem.collection_id, round(CAST(vector[1] AS DOUBLE), 4) AS cosine FROM vectors v JOIN mem USING (item_id) WHERE role = 'summary'),
 s AS (SELECT item_id % 10 AS request_id, item_id, row_number() OVER (PARTITION BY item_id % 10 ORDER BY item_id) AS p FROM vectors WHERE role = 'summary'), n AS (SELECT request_id, collection_id, max(cosine) AS cosine FROM s JOIN c USING (item_id) WHERE p <= 8 GROUP BY ALL)
 SELECT q.request_id, colls.collection_id, n.cosine, row_number() OVER (PARTITION BY q.request_id ORDER BY n.cosine DESC NULLS LAST, name, colls.collection_id) AS pos FROM (SELECT DISTINCT request_id FROM s) q CROSS JOIN colls LEFT JOIN n ON n.request_id = q.request_id AND n.collection_id = colls.collection_id QUALIFY pos <= 30""")
 def collection_context(spark, sf_dir):
@@ -331,7 +331,8 @@ def search_library(spark, sf_dir):
 def search(spark, items, understood, idx):
     """``query_id, id, pos, score, reason, snippet`` of understood queries over items and their index."""
     docs = index.index_docs(items.select("id", *search_queries.FIELDS, "deleted"))
-    groups = lexical.with_prefixes(lexical.term_groups(understood), idx)
+    understood = tables.written(understood, "understood")
+    groups = tables.written(lexical.with_prefixes(lexical.term_groups(understood), idx), "groups")
     lex = lexical.search_groups(idx, groups)
     phrases = understood.select("query_id", F.posexplode("phrases").alias("nth", "tokens"))
     wanted = phrases.groupBy("query_id").agg(F.count("*").alias("wanted"))
@@ -342,7 +343,8 @@ def search(spark, items, understood, idx):
     qv = vectors.hash_embed(texts).select(F.col("id").alias("query_id"), "vector")
     near = vectors.knn(curation_queries.embedded(items.filter("NOT deleted")), qv, 40).filter("cosine <> 0")
     cues = understood.select("query_id", F.explode(F.concat(F.transform("types", lambda v: F.struct(F.lit("type").alias("field"), v.alias("value"))), F.transform("kinds", lambda v: F.struct(F.lit("kind").alias("field"), v.alias("value"))))).alias("c")).select("query_id", "c.*")
-    hits = fusion.fuse(lex, near, items, understood, model.NOW, floor=0.2, cues=views.cue_leg(items, cues))
+    hits = fusion.fuse(tables.written(lex, "words"), tables.written(near, "vectors"), items, understood, model.NOW, floor=0.2, cues=tables.written(views.cue_leg(items, cues), "cues"))
+    hits = tables.written(hits, "hits")
     lit = lexical.snippets(hits, groups.select("query_id", "term").distinct(), docs).groupBy("query_id", "id").agg(F.min_by("snippet", F.array_position(F.array(*map(F.lit, search_queries.FIELDS)), F.col("field"))).alias("snippet"))
     return hits.join(lit, ["query_id", "id"], "left").select("query_id", "id", "pos", F.round("score", 6).alias("score"), "reason", "snippet")
 

@@ -24,6 +24,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once and read back: what follows starts from the files, and its plan from a scan."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def string_list(json: Column) -> Column:
     """The strings of a JSON array; other members are dropped, anything but an array gives none."""
     members = F.try_variant_get(F.try_parse_json(json), "$", "array<variant>")

@@ -97,7 +97,8 @@ def index_sink(path: str) -> Callable[[DataFrame, int], None]:
 
 def mark_repeats(captures: DataFrame, keep: str = "30 days") -> DataFrame:
     """``id, key, first_id, repeated`` of ``id, key, ts``: each capture beside the first of its key. A key is forgotten
-    when nothing of it came for ``keep``, so state stays bounded."""
+    when nothing of it came for ``keep`` of event time, so state stays bounded; ``keep`` is the watermark too."""
+    span = int(pd.Timedelta(keep).total_seconds() * 1000)
 
     def fold(key: tuple[Any, ...], parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -107,10 +108,10 @@ def mark_repeats(captures: DataFrame, keep: str = "30 days") -> DataFrame:
         rows = pd.concat(list(parts)).sort_values(["ts", "id"])
         first = int(rows["id"].iloc[0]) if first is None else first
         state.update((first,))
-        state.setTimeoutDuration(int(pd.Timedelta(keep).total_seconds() * 1000))
+        state.setTimeoutTimestamp(max(int(rows["ts"].max().value // 1_000_000) + span, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"id": rows["id"], "key": key[0], "first_id": first, "repeated": rows["id"] != first})
 
-    return captures.groupBy("key").applyInPandasWithState(fold, "id long, key long, first_id long, repeated boolean", "first_id long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return captures.withWatermark("ts", keep).groupBy("key").applyInPandasWithState(fold, "id long, key long, first_id long, repeated boolean", "first_id long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def group_complete(events: DataFrame, gate_s: int = 90, late: str = "10 minutes") -> DataFrame:
