@@ -38,7 +38,7 @@ MOST_LANGUAGES = 1_000
 #: Characters of a piece: how many texts are parsed in step follows from it, no result does.
 PIECE = 256
 #: Bytes of text that are parsed at once, about.
-BATCH = 2 << 20
+BATCH = 1 << 20
 #: Cells up to which an automaton's steps are a table; a larger one is hashed.
 TABLE = 3 << 20
 #: Above this many phrases a letter, a text of this length or more is like none of the languages.
