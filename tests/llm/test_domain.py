@@ -18,15 +18,14 @@ def counts(texts):
     return pair, history
 
 
-def brute(rows, targets):
+def brute(rows, targets, vocabulary):
     (pt, ht), (pb, hb) = counts(targets), counts([t for _, t in rows])
-    v = len({w for p in (pt, pb) for _, w in p})
+    v = vocabulary
     want = []
     for doc_id, text in rows:
         words, prev, loss = WORD.findall(text or ""), "\0", 0.0
         po, ho = counts([text])
-        rest = sum(pb.values()) - len(words)
-        scale = sum(pt.values()) / rest if rest else 0.0
+        scale = sum(pt.values()) / sum(pb.values())
         for w in words:
             loss -= math.log((pt[prev, w] + 1 / v) / (ht[prev] + 1))
             loss += math.log(((pb[prev, w] - po[prev, w]) * scale + 1 / v) / ((hb[prev] - ho[prev]) * scale + 1))
@@ -35,13 +34,18 @@ def brute(rows, targets):
     return want
 
 
-@pytest.mark.parametrize("block", [1 << 20, 300])
-def test_equals_brute_force(spark, docs, empty, block, monkeypatch):
+@pytest.mark.parametrize("block, hot", [(1 << 20, 16), (300, 16), (1 << 20, 1), (600, 2)])
+def test_equals_brute_force(spark, docs, empty, block, hot, monkeypatch):
     monkeypatch.setattr(domain, "BLOCK", block)
+    monkeypatch.setattr(domain, "HOT", hot)
+    monkeypatch.setattr(domain, "BUCKET", 2000)
     target = spark.createDataFrame([("The quick brown fox of the tests",), (None,), ("w1 w2 w3",)], "text string")
 
     rows = docs.select("doc_id", "text").collect()
-    want = brute([(r.doc_id, r.text) for r in rows], [r.text for r in target.collect()])
+    texts = docs.selectExpr("0L AS row", "false AS target", "text").union(target.selectExpr("0L", "true", "text"))
+    v = domain._statistics(texts)[3]
+    assert v == pytest.approx(len({w for t in texts.collect() for w in WORD.findall(t.text or "")}), rel=0.05)
+    want = brute([(r.doc_id, r.text) for r in rows], [r.text for r in target.collect()], v)
     got = domain.scores(docs, target).collect()
     assert sorted(want, key=str) == sorted(((str(r.doc_id), r.n_tokens, None if r.score is None else round(r.score, 6)) for r in got), key=str)
     assert domain.scores(empty, target).count() == 0
