@@ -137,6 +137,8 @@ def _blocks(texts: DataFrame, buckets: int) -> DataFrame:
         starts = np.flatnonzero(new)
         unique = key[starts]
         sizes = np.diff(np.append(starts, len(key))).astype(np.uint32)
+        # Rows of both tables count from 0: blocks of the target, which get nothing back, go below.
+        block = int(rows[0]) if (target == 0).any() else -1 - int(rows[0])
         at = ((unique >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)  # in the order of keys
         hot = sizes >= HOT
         entries = np.repeat(hot, sizes)
@@ -153,11 +155,11 @@ def _blocks(texts: DataFrame, buckets: int) -> DataFrame:
             seen, local = np.unique(cold[2][edge[lo] : edge[hi]], return_inverse=True)
             packed = (np.diff(cold[0][lo:hi], prepend=np.uint64(0)), cold[1][lo:hi], local.astype(np.uint32), cold[3][edge[lo] : edge[hi]], np.diff(rows[seen], prepend=0), target[seen].astype(np.uint8))
             counts = (np.diff(often[0][h_lo:h_hi], prepend=np.uint64(0)), *(x[h_lo:h_hi] for x in totals))
-            yield _one(_BLOCK, b, b, rows[0], *map(_pack, (*packed, *counts)))
-        if hot.any():
+            yield _one(_BLOCK, b, b, block, *map(_pack, (*packed, *counts)))
+        if hot.any() and block >= 0:
             seen, local = np.unique(often[2], return_inverse=True)
             packed = (np.diff(often[0], prepend=np.uint64(0)), often[1], local.astype(np.uint32), often[3], np.diff(rows[seen], prepend=0), target[seen].astype(np.uint8))
-            yield _one(_BLOCK, -1, int(rows[0]) % buckets, rows[0], *map(_pack, packed), none, none, none)
+            yield _one(_BLOCK, -1, block % buckets, block, *map(_pack, packed), none, none, none)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, room = [], BLOCK
@@ -228,6 +230,8 @@ def _terms(blocks: DataFrame, buckets: int, scale: float, mass: float, vocabular
                     counts[k][place] += both[k]  # the keys of a block are distinct
             pair = _is_pair(unique)
             for block, keys, sizes, docs, times, rows, target, hot, *_ in held:
+                if block < 0:
+                    continue
                 where = np.repeat(np.searchsorted(unique, keys), sizes)
                 own = target == 0
                 losses = _losses(counts[:, where], times.astype(np.int64), own[docs], pair[where], scale, mass, vocabulary)
@@ -236,7 +240,7 @@ def _terms(blocks: DataFrame, buckets: int, scale: float, mass: float, vocabular
                 packed = [np.diff(rows[own], prepend=0), *(x[own] for x in sums), np.diff(hot, prepend=np.uint64(0)), *(counts[k][place].astype(np.uint64) for k in (0, 1))]
                 yield _one(_SUMS, 0, block, *map(_pack, packed), *[none] * 6)
 
-    return blocks.repartition(buckets, "to").sortWithinPartitions("bucket").mapInArrow(lean(run), _SUMS)
+    return blocks.repartitionById(buckets, F.col("to")).sortWithinPartitions("bucket").mapInArrow(lean(run), _SUMS)
 
 
 def _summed(parts: DataFrame, scale: float, mass: float, vocabulary: float) -> DataFrame:
