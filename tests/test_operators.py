@@ -20,7 +20,7 @@ def one(spark, column, value="x", kind="string"):
     ("url", "want"),
     [
         ("HTTP://WWW.Example.com/a/index.html?b=2&a=1&utm_source=x#top", "https://example.com/a?a=1&b=2"),
-        ("https://m.youtube.com/watch?v=1&list=2&t=3", "https://youtube.com/watch?list=2&v=1"),
+        ("https://m.youtube.com/watch?v=1&list=2&t=3", "https://youtube.com/watch?v=1"),
         ("https://x.com/u/status/1?s=20", "https://twitter.com/u/status/1"),
         ("https://app.example.com/#/route", "https://app.example.com#/route"),
         ("https://example.com/", "https://example.com"),
