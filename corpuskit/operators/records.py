@@ -88,7 +88,7 @@ def choose_samples(files: DataFrame, k: int = 20, most_bytes: int = 64 * 1024) -
     ext = F.lower(F.regexp_extract("rel", r"\.([A-Za-z0-9]+)$", 1))
     rank = F.when(ext.isin(*FIRST_TEXTS), 0).when(ext.isin(*THEN_CONFIG), 1).otherwise(2)
     named = files.select("root", "rel", "size", depth.alias("depth"), ext.alias("ext"), rank.alias("rank"), F.regexp_extract("rel", r"([^/]*)$", 1).rlike(r"(?i)^readme(\.|$)").alias("readme"))
-    first = F.row_number().over(Window.partitionBy("root").orderBy(F.desc("readme"), F.when(F.col("depth") > 0, 1).otherwise(0), "rel"))
+    first = F.row_number().over(Window.partitionBy("root").orderBy(F.desc("readme"), "depth", "rel", "size"))
     marked = named.withColumn("pos", F.when(F.col("readme") & (first == 1), 0))
     fit = (F.col("size") > 0) & (F.col("size") <= most_bytes) & F.col("ext").isin(*TEXT_FILES) & ~F.col("rel").rlike(LOCK_FILES)
     order = F.row_number().over(Window.partitionBy("root").orderBy("depth", "rank", "rel"))

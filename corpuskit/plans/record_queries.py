@@ -69,7 +69,7 @@ _REL = "CASE doc_id % 7 WHEN 0 THEN 'README.md' WHEN 1 THEN concat('src/a', doc_
 
 
 @query("choose_samples", f"""WITH f AS (SELECT coalesce(source, 'none') AS root, {_REL} AS rel, n_chars * 20 AS size FROM documents), d AS (SELECT *, length(rel) - length(replace(rel, '/', '')) AS depth, lower(regexp_extract(rel, '\\.([A-Za-z0-9]+)$', 1)) AS ext FROM f),
-r AS (SELECT *, CASE WHEN ext IN ('md', 'txt') THEN 0 WHEN ext = 'json' THEN 1 ELSE 2 END AS rank, row_number() OVER (PARTITION BY root ORDER BY rel = 'README.md' DESC, depth, rel) AS nth FROM d)
+r AS (SELECT *, CASE WHEN ext IN ('md', 'txt') THEN 0 WHEN ext = 'json' THEN 1 ELSE 2 END AS rank, row_number() OVER (PARTITION BY root ORDER BY rel = 'README.md' DESC, depth, rel, size) AS nth FROM d)
 SELECT root, rel, 0 AS pos FROM r WHERE nth = 1 AND rel = 'README.md' UNION ALL SELECT root, rel, pos FROM (SELECT root, rel, row_number() OVER (PARTITION BY root ORDER BY depth, rank, rel) AS pos FROM r WHERE NOT (nth = 1 AND rel = 'README.md') AND size > 0 AND size <= 65536 AND ext IN ('md', 'txt', 'json', 'py')) WHERE pos <= 20""")
 def choose_samples(spark, sf_dir):
     files = _docs(spark, sf_dir).select(F.coalesce("source", F.lit("none")).alias("root"), F.expr(_REL).alias("rel"), (F.col("n_chars") * 20).alias("size"))
