@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuskit.llm.common import Words, lean, materialize, mix64, seeded, shielded, text_slices, unit
@@ -35,8 +35,8 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 5
 #: Nodes of a block of a pool.
 BLOCK = 1024
-#: Tasks that the comparisons with one node are dealt to.
-CHUNKS = 32
+#: Comparisons with one node that go to a task, about.
+CHUNK = 4096
 SLICE = 2 << 20
 _STEP = np.uint64(0x8CB92BA72F3D8DD7)
 
@@ -160,10 +160,11 @@ def _identities(words: Words, found: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _compared(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Of ``pairs`` (node, other) those at the threshold or above. The comparisons with one ``other`` are dealt to
-    several tasks, each of which gets its text once and streams the nodes past it."""
-    chunk = F.pmod(F.xxhash64("node"), F.lit(CHUNKS)).cast("int")
-    wanted = pairs.select("node", "other", chunk.alias("chunk"))
+    """Of ``pairs`` (node, other) those at the threshold or above. The comparisons with one ``other`` are dealt to as
+    many tasks as they fill, each of which gets its text once and streams the nodes past it."""
+    chunks = pairs.groupBy("other").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
+    chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+    wanted = pairs.join(chunks.hint("merge"), "other").select("node", "other", chunk.alias("chunk"))
     asked = wanted.select(F.col("node").alias("row"), "other", "chunk", F.lit(1).alias("kind")).unionByName(wanted.select(F.col("other").alias("row"), "other", "chunk", F.lit(0).alias("kind")).distinct())
     by_row = asked.groupBy("row").agg(F.collect_list(F.struct("other", "chunk", "kind")).alias("asked"))
     dealt = (
@@ -218,12 +219,15 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, r
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
     nodes = signed.groupBy("id1", "id2").agg(first.alias("rep"), F.first("bands").alias("bands"))
     nodes = materialize(nodes.select("id1", "id2", F.col("rep.row").alias("node"), "bands"), "nodes")
-    bucket = Window.partitionBy("key")
-    members = nodes.select("node", F.explode("bands").alias("key")).withColumn("n", F.count("*").over(bucket)).filter("n > 1")
-    members = materialize(members, "buckets")
+    # Buckets are counted, and their hubs found, by sums that begin before the exchange; they come back to the members by
+    # merge joins, in which Spark can split a large bucket. No task needs all members of one.
+    keyed = nodes.select("node", F.explode("bands").alias("key"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    members = materialize(keyed.join(shared.hint("merge"), "key").select("key", "node", "n"), "buckets")
     met = members.groupBy("node").agg(F.sum("n").alias("met"))
-    hub = F.max(F.struct("met", (-F.col("node")).alias("least"))).over(bucket)
-    tried = members.join(met, "node").withColumn("other", -hub["least"]).filter("node <> other").select("node", "other").distinct()
+    ranked = materialize(members.join(met.hint("merge"), "node").select("key", "node", "met"), "ranked")
+    hubs = ranked.groupBy("key").agg(F.max(F.struct("met", (-F.col("node")).alias("least"))).alias("hub"))
+    tried = ranked.join(hubs.hint("merge"), "key").select("node", (-F.col("hub.least")).alias("other")).filter("node <> other").distinct()
     tried = materialize(tried, "tried")
     # The joins of texts merge at every size, so that a small table tells what a large one will move.
     texts = numbered.select("row", "text").join(members.select(F.col("node").alias("row")).distinct().hint("merge"), "row", "left_semi")
