@@ -80,6 +80,14 @@ def usage_totals(steps: DataFrame) -> DataFrame:
     return steps.groupBy("run_id").agg(F.count("*").alias("calls"), F.sum("chars").alias("chars"), F.median("chars").alias("p50"))
 
 
+def run_usage(calls: DataFrame) -> DataFrame:
+    """``run_id, task, calls, prompt, completion, latency_ms, p50_ms, p90_ms`` of calls with ``run_id, task, prompt,
+    completion`` (tokens) and ``latency_ms``: sums, and the middle and the ninth tenth of the latencies; what is null
+    adds nothing."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    return calls.groupBy("run_id", "task").agg(F.count("*").alias("calls"), total("prompt"), total("completion"), total("latency_ms"), F.percentile("latency_ms", 0.5).alias("p50_ms"), F.percentile("latency_ms", 0.9).alias("p90_ms"))
+
+
 def member_overlap(members: DataFrame) -> DataFrame:
     """``a, b, shared, ratio``: common members of two collections by the size of the first."""
     m = members.select("collection_id", "item_id").distinct()

@@ -60,9 +60,10 @@ def validate_members(plan: DataFrame, members: DataFrame, items: DataFrame, supp
     return p.withColumn("reason", reason).select("collection_id", "item_id", "reason")
 
 
-def audit_view(audit: DataFrame, entity: int | None = None, latest: int = 50) -> DataFrame:
-    """The newest ``latest`` entries, of one entity if given."""
+def audit_view(audit: DataFrame, entity: int | None = None, latest: int = 50, run: int | None = None) -> DataFrame:
+    """The newest ``latest`` entries, of one entity or one run (``run_id``) if given."""
     rows = audit if entity is None else audit.filter(F.col("entity_id") == entity)
+    rows = rows if run is None else rows.filter(F.col("run_id") == run)
     return rows.orderBy(F.desc("at_us"), F.desc("seq")).limit(latest)
 
 

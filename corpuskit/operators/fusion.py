@@ -108,3 +108,18 @@ def evaluate(hits: DataFrame, judgements: DataFrame, k: int = 3) -> DataFrame:
     reciprocal. hits: ``query_id, id, pos``; judgements: ``query_id, id``."""
     first = judgements.join(hits, ["query_id", "id"], "left").groupBy("query_id").agg(F.min("pos").alias("rank"))
     return first.select("query_id", "rank", F.coalesce(F.col("rank") <= k, F.lit(False)).alias("hit"), F.coalesce(1.0 / F.col("rank"), F.lit(0.0)).alias("rr"))
+
+
+def evaluation_totals(evaluated: DataFrame) -> DataFrame:
+    """``queries, hits, recall, mrr`` of the rows of ``evaluate``: one row, null shares where there is no query."""
+    return evaluated.agg(F.count("*").alias("queries"), F.count_if("hit").alias("hits"), F.avg(F.col("hit").cast("double")).alias("recall"), F.avg("rr").alias("mrr"))
+
+
+def acceptable_hits(hits: DataFrame, judgements: DataFrame, k: int = 3) -> DataFrame:
+    """``query_id, acceptable, in_order`` of judgements ``query_id, id, role``: how many items of the roles ``expected``
+    and ``acceptable`` are within ``k``, and whether the first expected one stands before every item of the role
+    ``after`` (also where none of those is found, not where the expected one is missing)."""
+    found = judgements.join(hits.select("query_id", "id", "pos"), ["query_id", "id"], "left")
+    first = lambda role: F.min(F.when(F.col("role") == role, F.col("pos")))
+    totals = found.groupBy("query_id").agg(F.count_if(F.col("role").isin("expected", "acceptable") & (F.col("pos") <= k)).alias("acceptable"), first("expected").alias("e"), first("after").alias("a"))
+    return totals.select("query_id", "acceptable", (F.col("e").isNotNull() & F.coalesce(F.col("e") < F.col("a"), F.lit(True))).alias("in_order"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpuskit.functions import text as text_functions
-from corpuskit.operators import curation, pages, preparation, records, vectors, views
+from corpuskit.functions.text import estimate_tokens
+from corpuskit.operators import analytics, curation, pages, preparation, records, vectors, views
 from corpuskit.plans import model
 from corpuskit.plans.catalog import query
 from corpuskit.sources import tables
@@ -209,3 +210,26 @@ def url_titles(spark, sf_dir):
 def relative_times(spark, sf_dir):
     e = model.table(spark, sf_dir, "events")
     return e.select("event_id", text_functions.relative_time(F.lit(0.0) - F.col("value") * 50, F.lit(0.0)).alias("age"))
+
+
+@query("duplicate_captures", f"""WITH {model.ITEMS}, l AS (SELECT id, captured_s, coalesce(extracted_text, '') AS t FROM items WHERE NOT deleted),
+f AS (SELECT t, arg_min(id, (captured_s, id)) AS duplicate_of, max(captured_s) AS last_kept_s FROM l GROUP BY t)
+SELECT id, duplicate_of, last_kept_s FROM l JOIN f USING (t) WHERE id <> duplicate_of""")
+def duplicate_captures(spark, sf_dir):
+    return preparation.duplicate_captures(model.items(spark, sf_dir).withColumnRenamed("extracted_text", "text"))
+
+
+@query("run_usage", """SELECT conv_id AS run_id, role AS task, count(*) AS calls, CAST(sum(CASE WHEN role = 'user' THEN ceil(length(text) / 4) ELSE 0 END) AS BIGINT) AS prompt, CAST(sum(CASE WHEN role = 'user' THEN 0 ELSE ceil(length(text) / 4) END) AS BIGINT) AS completion,
+CAST(sum(length(text)) AS BIGINT) AS latency_ms, quantile_cont(CAST(length(text) AS DOUBLE), 0.5) AS p50_ms, quantile_cont(CAST(length(text) AS DOUBLE), 0.9) AS p90_ms FROM conversations GROUP BY conv_id, role""")
+def run_usage(spark, sf_dir):
+    """Turns as calls: what users say is prompt, the rest completion; a turn takes a millisecond a character."""
+    c = model.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("run_id"), F.col("role").alias("task"), "text")
+    tokens, asked = estimate_tokens(F.col("text")), F.coalesce(F.col("task") == "user", F.lit(False))
+    calls = c.select("run_id", "task", F.when(asked, tokens).otherwise(0).alias("prompt"), F.when(asked, 0).otherwise(tokens).alias("completion"), F.length("text").cast("long").alias("latency_ms"))
+    return analytics.run_usage(calls)
+
+
+@query("markdown_docs")
+def markdown_docs(spark, sf_dir):
+    """Title, plain text and sizes of every document read as markdown."""
+    return preparation.markdown_docs(model.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))

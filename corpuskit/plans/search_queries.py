@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corpuskit.operators import fusion, index, lexical, vectors
 from corpuskit.operators import queries as understanding
 from corpuskit.plans import model
-from corpuskit.plans.catalog import query
+from corpuskit.plans.catalog import ORACLES, query
 from corpuskit.sources import tables
 
 FIELDS = ("title", "extracted_text", "domain", "kind")
@@ -183,6 +183,11 @@ def evaluate(spark, sf_dir):
     return fusion.evaluate(hits, judged).withColumn("rr", F.round("rr", 6))
 
 
+@query("evaluate_totals", f"""WITH e AS ({ORACLES["evaluate"]}) SELECT count(*) AS queries, count(*) FILTER (WHERE hit) AS hits, round(avg(CAST(hit AS INT)), 6) AS recall, round(avg(rr), 6) AS mrr FROM e""")
+def evaluate_totals(spark, sf_dir):
+    return fusion.evaluation_totals(evaluate(spark, sf_dir)).withColumns({"recall": F.round("recall", 6), "mrr": F.round("mrr", 6)})
+
+
 _STOP = ", ".join(f"'{w}'" for w in understanding.STOPWORDS)
 _CUES = ", ".join(sorted({f"'{w}'" for t in (understanding.TYPE_CUES, understanding.SUBTYPE_CUES, understanding.KIND_CUES) for ws in t.values() for w in ws.split()}))
 

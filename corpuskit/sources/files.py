@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Type by extension, folders that are not looked into.
@@ -34,24 +34,35 @@ def ingest_files(spark: SparkSession, path: str, text_bytes: int = 2 << 20) -> D
     )
 
 
+def _cells(line: str) -> Column:
+    """The cells of a line: each begins with a delimiter, one of which is put before the line."""
+    pattern = F.concat(F.lit("\\Q"), F.col("delimiter"), F.lit("\\E(\"(?:[^\"]++|\"\")*+\"|[^\\Q"), F.col("delimiter"), F.lit("\\E]*)"))
+    found = F.regexp_extract_all(F.concat("delimiter", line), pattern, F.lit(1))
+    bare = lambda c: F.regexp_replace(F.regexp_replace(c, '^"|"$', ""), '""', '"')
+    return F.transform(found, lambda c: F.when(c.rlike('^".*"$'), bare(c)).otherwise(c))
+
+
 def profile_delimited(files: DataFrame, shown: int = 50, most_columns: int = 64) -> DataFrame:
     """``path, delimiter, columns, n_rows, preview`` of ``path, text``: the delimiter that the header has most of
-    (ties in the order comma, tab, semicolon, bar), and the first rows as ``name: value`` pairs."""
+    (ties in the order comma, tab, semicolon, bar), and the first rows as ``name: value`` pairs. A cell in quotes may hold
+    the delimiter, and quotes as two; it ends with its line."""
     lines = files.select("path", F.posexplode(F.filter(F.split("text", r"\r?\n"), lambda x: F.trim(x) != "")).alias("no", "line"))
     header = lines.filter("no = 0").select("path", F.col("line").alias("header"))
     counts = [F.size(F.split("header", F.lit("\\" + d if d in "|" else d))) - 1 for d in DELIMITERS]
     best = F.greatest(*counts)
     delimiter = F.coalesce(*[F.when((best > 0) & (c == best), F.lit(d)) for c, d in zip(counts, DELIMITERS, strict=True)], F.lit(","))
-    header = header.withColumn("delimiter", delimiter).withColumn("columns", F.slice(F.split("header", F.concat(F.lit("\\Q"), F.col("delimiter"), F.lit("\\E"))), 1, most_columns))
-    cells = F.split("line", F.concat(F.lit("\\Q"), F.col("delimiter"), F.lit("\\E")))
+    header = header.withColumn("delimiter", delimiter).withColumn("columns", F.slice(_cells("header"), 1, most_columns))
+    cells = _cells("line")
     rows = lines.filter("no > 0").join(header.select("path", "delimiter", "columns"), "path")
     text = F.array_join(F.zip_with("columns", F.slice(cells, 1, most_columns), lambda c, v: F.concat(c, F.lit(": "), F.coalesce(v, F.lit("")))), " · ")
     body = rows.groupBy("path").agg(F.count("*").alias("n_rows"), F.array_sort(F.collect_list(F.when(F.col("no") <= shown, F.struct("no", text.alias("row"))))).alias("r"))
     return header.join(body, "path", "left").select("path", "delimiter", "columns", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.transform("r", lambda x: x["row"]).alias("preview"))
 
 
-def folder_manifest(paths: DataFrame, max_depth: int = 4, max_files: int = 500, top: int = 20) -> DataFrame:
-    """``root, n_files, bytes, truncated, extensions`` of ``root, rel, size``: hidden and built folders are skipped."""
+def folder_manifest(paths: DataFrame, max_depth: int = 4, max_files: int = 500, top: int = 20, entries: int = 60) -> DataFrame:
+    """``root, n_files, n_dirs, bytes, truncated, extensions, entries`` of ``root, rel, size``: hidden and built folders
+    are skipped; folders are those above the files that count, entries the first names of the top level, a folder's
+    with a slash."""
     parts = F.split("rel", "/")
     hidden = F.exists(parts, lambda p: p.startswith(".") | p.isin(*SKIPPED))
     seen = paths.filter(~hidden & (F.size(parts) <= max_depth))
@@ -60,4 +71,12 @@ def folder_manifest(paths: DataFrame, max_depth: int = 4, max_files: int = 500,
     totals = ranked.groupBy("root").agg(F.count_if(F.col("nth") <= max_files).alias("n_files"), F.sum(F.when(F.col("nth") <= max_files, F.col("size"))).alias("bytes"), (F.max("nth") > max_files).alias("truncated"))
     counts = kept.groupBy("root", "ext").agg(F.count("*").alias("n"))
     counts = counts.withColumn("r", F.row_number().over(Window.partitionBy("root").orderBy(F.desc("n"), "ext"))).filter(F.col("r") <= top)
-    return totals.join(counts.groupBy("root").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("ext", "n")))).alias("extensions")), "root", "left")
+    names = kept.select("root", F.split("rel", "/").alias("p"))
+    above = names.select("root", F.explode(F.transform(F.sequence(F.lit(0), F.size("p") - 1), lambda i: F.array_join(F.slice("p", 1, i), "/"))).alias("dir")).filter("dir <> ''")
+    dirs = above.groupBy("root").agg(F.count_distinct("dir").alias("n_dirs"))
+    tops = names.select("root", F.when(F.size("p") > 1, F.concat(F.col("p")[0], F.lit("/"))).otherwise(F.col("p")[0]).alias("entry")).distinct()
+    tops = tops.withColumn("r", F.row_number().over(Window.partitionBy("root").orderBy("entry"))).filter(F.col("r") <= entries)
+    tops = tops.groupBy("root").agg(F.array_sort(F.collect_list("entry")).alias("entries"))
+    extensions = counts.groupBy("root").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("ext", "n")))).alias("extensions"))
+    out = totals.join(extensions, "root", "left").join(dirs, "root", "left").join(tops, "root", "left")
+    return out.withColumn("n_dirs", F.coalesce("n_dirs", F.lit(0))).select("root", "n_files", "n_dirs", "bytes", "truncated", "extensions", "entries")
