@@ -36,7 +36,7 @@ BANDS, ROWS = 24, 5
 #: Nodes of a block of a pool.
 BLOCK = 1024
 #: Comparisons with one node that go to a task, about.
-CHUNK = 4096
+CHUNK = 128
 SLICE = 2 << 20
 _STEP = np.uint64(0x8CB92BA72F3D8DD7)
 
