@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpuskit.llm import domain, fingerprints, language, licenses, mixing, neardup, pieces, substrings, topk, warc
+from corpuskit.llm import domain, fingerprints, language, licenses, mixing, neardup, pieces, resampling, substrings, topk, warc
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_language": language.op8_language,
     "op9_pieces": pieces.op9_pieces,
     "op10_domain": domain.op10_domain,
+    "op11_resampling": resampling.op11_resampling,
 }
 
 ORACLES = {
     "op2_warc": warc.ORACLE,
     "op6_mixing": mixing.ORACLE,
     "op7_topk": topk.ORACLE,
+    "op11_resampling": resampling.ORACLE,
 }
