@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpuskit.llm import alignment, domain, fingerprints, language, licenses, mixing, neardup, pieces, resampling, substrings, topk, warc
+from corpuskit.llm import alignment, domain, fingerprints, language, licenses, mixing, neardup, pieces, quality, resampling, substrings, topk, warc
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_domain": domain.op10_domain,
     "op11_resampling": resampling.op11_resampling,
     "op12_alignment": alignment.op12_alignment,
+    "op13_quality": quality.op13_quality,
 }
 
 ORACLES = {
