@@ -1,9 +1,18 @@
-"""The inverted index: postings by term, item and field, with the statistics that ranking needs."""
+"""The inverted index: positional postings by term, item and field, with the statistics that ranking needs.
+
+A posting holds the places of its term in the field, in order, and the length of its item, so that ranking and phrases
+need no other table by item. Items are tokenised where they are read: the tokens of one item never leave its task, and
+a posting is made whole there. ``lead`` marks one posting of each (term, item), so the number of items of a term is a
+plain count. Ids are unique, and so are the fields of an id."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,26 +34,46 @@ FIELD_WEIGHTS = {
 }
 
 
+#: Tokens that are grouped into postings at once (one longer item is taken whole).
+TOKENS_AT_ONCE = 2_000_000
+POSTING = "term, id, field, tf, positions, n_tokens, lead".split(", ")
+
+
 @dataclass(frozen=True)
 class Index:
-    postings: DataFrame  # term, id, field, tf
+    postings: DataFrame  # term, id, field, tf, positions, n_tokens, lead; bucket where stored
     doc_stats: DataFrame  # id, n_tokens
-    term_stats: DataFrame  # term, df
+    term_stats: DataFrame  # term, df; bucket where stored
     totals: DataFrame  # one row: n_docs, avg_tokens
+    buckets: int | None = None  # of terms, where stored
+    parts: DataFrame | None = None  # id, field, parts: each token with what stands behind it, where stored
 
 
-def index_docs(items: DataFrame) -> DataFrame:
-    """``id, field, text`` of each live item and field that it has; list fields are joined by blanks."""
+def item_fields(items: DataFrame) -> DataFrame:
+    """``id, fields``: of each live item the fields that it has (field, text); list fields are joined by blanks, the
+    values of a map by blanks in the order of its keys."""
     kinds = dict(items.dtypes)
 
     def as_text(field: str) -> Column:
         c = F.col(field)
+        if kinds[field].startswith("map"):
+            return F.array_join(F.transform(F.array_sort(F.map_keys(c)), lambda k: F.element_at(c, k)), " ")
         return F.array_join(c, " ") if kinds[field].startswith("array") else c.cast("string")
 
     present = [f for f in FIELD_WEIGHTS if f in kinds]
     live = items.filter(~F.coalesce("deleted", F.lit(False))) if "deleted" in kinds else items
     pairs = F.array(*[F.struct(F.lit(f).alias("field"), as_text(f).alias("text")) for f in present])
-    return live.select("id", F.explode(pairs).alias("f")).select("id", "f.field", "f.text").filter("text IS NOT NULL")
+    return live.select("id", F.filter(pairs, lambda p: p["text"].isNotNull()).alias("fields"))
+
+
+def index_docs(items: DataFrame) -> DataFrame:
+    """``id, field, text`` of each live item and field that it has."""
+    return item_fields(items).select("id", F.explode("fields").alias("f")).select("id", "f.field", "f.text")
+
+
+def gathered(docs: DataFrame) -> DataFrame:
+    """``id, fields`` of ``docs`` (id, field, text)."""
+    return docs.groupBy("id").agg(F.collect_list(F.struct("field", "text")).alias("fields"))
 
 
 def positions(docs: DataFrame) -> DataFrame:
@@ -52,28 +81,110 @@ def positions(docs: DataFrame) -> DataFrame:
     return docs.select("id", "field", F.posexplode(tokenize(F.col("text"))).alias("pos", "term"))
 
 
-def postings_of(docs: DataFrame) -> DataFrame:
-    """``term, id, field, tf``. Counts by (term, id, field) combine before the shuffle; a hot term is spread by item."""
-    return docs.select("id", "field", F.explode(tokenize(F.col("text"))).alias("term")).groupBy("term", "id", "field").agg(F.count("*").alias("tf"))
+def _grouped(ids: pa.Array, fields: pa.Array) -> pa.RecordBatch:
+    """Postings of some items, those of an item and term side by side; for each item one without a term, its length."""
+    one = fields.flatten()
+    name, lists = one.field("field"), one.field("tokens")
+    field_row = np.repeat(np.arange(len(fields)), fields.value_lengths().to_numpy(zero_copy_only=False))
+    sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    row = field_row[of]
+    place = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    length = np.bincount(field_row, sizes, minlength=len(fields)).astype(np.int64)
+    words = lists.flatten().dictionary_encode()
+    code = words.indices.to_numpy()
+    order = np.argsort(code, kind="stable")  # tokens come by item, field and place already
+    code, of, row, place = code[order], of[order], row[order], place[order]
+    fresh = np.ones(len(code), dtype=bool)
+    fresh[1:] = (code[1:] != code[:-1]) | (of[1:] != of[:-1])
+    at = np.flatnonzero(fresh)
+    lead = np.ones(len(at), dtype=bool)
+    lead[1:] = (code[at][1:] != code[at][:-1]) | (row[at][1:] != row[at][:-1])
+    n, m = len(at), len(fields)
+    edges = np.concatenate((at, np.full(m + 1, len(code)))).astype(np.int32)
+    both = lambda a, b: pa.concat_arrays([a, b])
+    columns = [
+        both(words.dictionary.take(pa.array(code[at])), pa.nulls(m, words.dictionary.type)),
+        ids.take(pa.array(np.concatenate((row[at], np.arange(m))))),
+        both(name.take(pa.array(of[at])), pa.nulls(m, name.type)),
+        pa.array(np.concatenate((np.diff(np.append(at, len(code))), length))),
+        pa.ListArray.from_arrays(pa.array(edges), pa.array(place.astype(np.int32))),
+        pa.array(np.concatenate((length[row[at]], length))),
+        pa.array(np.concatenate((lead, np.zeros(m, bool)))),
+    ]
+    return pa.RecordBatch.from_arrays(columns, POSTING)
+
+
+def postings_of(fields: DataFrame) -> DataFrame:
+    """Postings of ``id, fields``; and for each item a row without term, whose ``tf`` is the item's length."""
+    tokens = F.transform("fields", lambda f: F.struct(f["field"].alias("field"), tokenize(f["text"]).alias("tokens")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, fields = batch.column(0), batch.column(1)
+            lists = pc.list_flatten(fields).field("tokens")
+            size = np.bincount(np.repeat(np.arange(len(fields)), fields.value_lengths().to_numpy(zero_copy_only=False)), lists.value_lengths().to_numpy(zero_copy_only=False), minlength=len(fields))
+            upto = np.cumsum(size)
+            lo = 0
+            while lo < len(fields):
+                hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + TOKENS_AT_ONCE, side="right")))
+                yield _grouped(ids.slice(lo, hi - lo), fields.slice(lo, hi - lo))
+                lo = hi
+
+    kind = fields.schema["id"].dataType.simpleString()
+    schema = f"term string, id {kind}, field string, tf long, positions array<int>, n_tokens long, lead boolean"
+    return fields.select("id", tokens.alias("fields")).mapInArrow(run, schema)
+
+
+def parts_of(fields: DataFrame) -> DataFrame:
+    """``id, field, parts``: each token of a field as it is written, with the characters up to the next one. What stands
+    before the first token is left out. (A dotted capital I is taken apart first, as its small letter is.)"""
+    text = F.replace(F.col("f.text"), F.lit("\u0130"), F.lit("i\u0307"))
+    pattern = F.lit(r"([\p{L}\p{N}]+[^\p{L}\p{N}]*)")
+    return fields.select("id", F.explode("fields").alias("f")).select("id", "f.field", F.regexp_extract_all(text, pattern, F.lit(1)).alias("parts"))
+
+
+def totals_of(doc_stats: DataFrame) -> DataFrame:
+    return doc_stats.agg(F.count("*").alias("n_docs"), (F.sum("n_tokens") / F.count("*")).alias("avg_tokens"))
+
+
+def term_stats_of(postings: DataFrame) -> DataFrame:
+    return postings.groupBy("term").agg(F.count_if("lead").alias("df"))
+
+
+def index_of(raw: DataFrame) -> Index:
+    """The index of the rows of ``postings_of``."""
+    doc_stats = raw.filter("term IS NULL").select("id", F.col("tf").alias("n_tokens"))
+    postings = raw.filter("term IS NOT NULL")
+    return Index(postings, doc_stats, term_stats_of(postings), totals_of(doc_stats))
 
 
 def build_index(docs: DataFrame) -> Index:
-    """The index as one plan of ``docs`` (id, field, text). Searches that use several of its tables want it written
-    first: ``sources.tables.stored_index``."""
-    postings = postings_of(docs)
-    doc_stats = docs.groupBy("id").agg(F.sum(F.size(tokenize(F.col("text")))).cast("long").alias("n_tokens"))
-    term_stats = postings.select("term", "id").distinct().groupBy("term").agg(F.count("*").alias("df"))
-    totals = doc_stats.agg(F.count("*").alias("n_docs"), (F.sum("n_tokens") / F.count("*")).alias("avg_tokens"))
-    return Index(postings, doc_stats, term_stats, totals)
+    """The index as one plan of ``docs`` (id, field, text). Searches want it written first:
+    ``sources.tables.stored_index``."""
+    return index_of(postings_of(gathered(docs)))
 
 
 def merge_index(index: Index, changed: DataFrame) -> Index:
     """The index after ``changed`` (id, field, text) replaced all fields of its ids; items without rows there stay."""
     ids = changed.select("id").distinct()
     fresh = build_index(changed)
-    postings = index.postings.join(ids, "id", "left_anti").select("term", "id", "field", "tf").unionByName(fresh.postings)
+    postings = index.postings.join(ids, "id", "left_anti").select(*POSTING).unionByName(fresh.postings)
     doc_stats = index.doc_stats.join(ids, "id", "left_anti").unionByName(fresh.doc_stats)
-    gone = index.postings.join(ids, "id", "left_semi").select("term", "id").distinct().groupBy("term").agg((-F.count("*")).alias("df"))
-    term_stats = index.term_stats.unionByName(gone).unionByName(fresh.term_stats).groupBy("term").agg(F.sum("df").alias("df")).filter("df > 0")
-    totals = doc_stats.agg(F.count("*").alias("n_docs"), (F.sum("n_tokens") / F.count("*")).alias("avg_tokens"))
-    return Index(postings, doc_stats, term_stats, totals)
+    gone = index.postings.join(ids, "id", "left_semi").groupBy("term").agg((-F.count_if("lead")).alias("df"))
+    term_stats = index.term_stats.select("term", "df").unionByName(gone).unionByName(fresh.term_stats).groupBy("term").agg(F.sum("df").alias("df")).filter("df > 0")
+    return Index(postings, doc_stats, term_stats, totals_of(doc_stats))
+
+
+def bucket_of(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+def pruned(index: Index, terms: DataFrame) -> Index:
+    """The index with the postings and statistics of the buckets of ``terms`` (term) only; the driver gets the numbers
+    of these buckets. An index that is not stored comes back as it is."""
+    if index.buckets is None:
+        return index
+    asked = sorted(r[0] for r in terms.select(bucket_of(F.col("term"), index.buckets)).distinct().toLocalIterator())
+    keep = F.col("bucket").isin(asked) if asked else F.lit(False)
+    return Index(index.postings.filter(keep), index.doc_stats, index.term_stats.filter(keep), index.totals, index.buckets, index.parts)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuskit.functions.text import tokenize
-from corpuskit.operators.index import FIELD_WEIGHTS, Index
+from corpuskit.operators.index import FIELD_WEIGHTS, POSTING, Index, pruned, term_stats_of
 
 K1, B = 1.2, 0.75
 
@@ -36,38 +36,87 @@ def field_weight(field: Column) -> Column:
 
 
 def term_groups(queries: DataFrame, synonyms: bool = True) -> DataFrame:
-    """``query_id, group_no, term`` from ``query_id, tokens``: a token or one of its synonyms satisfies its group."""
+    """``query_id, group_no, term, main`` from ``query_id, tokens``: a token (``main``) or one of its synonyms satisfies
+    its group."""
     groups = queries.select("query_id", F.posexplode("tokens").alias("group_no", "token"))
     if not synonyms:
-        return groups.withColumnRenamed("token", "term")
+        return groups.select("query_id", "group_no", F.col("token").alias("term"), F.lit(True).alias("main"))
     table = F.create_map(*[x for k, v in SYNONYMS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
     others = F.coalesce(F.try_element_at(table, F.col("token")), F.array().cast("array<string>"))
-    return groups.select("query_id", "group_no", F.explode(F.array_union(F.array("token"), others)).alias("term"))
+    return groups.select("query_id", "group_no", "token", F.explode(F.array_union(F.array("token"), others)).alias("term")).select("query_id", "group_no", "term", (F.col("term") == F.col("token")).alias("main"))
 
 
 def with_prefixes(groups: DataFrame, index: Index, min_chars: int = 2) -> DataFrame:
-    """Adds to the last group of each query the terms that its first word begins; candidates meet by their first two letters."""
-    last = groups.withColumn("last", F.max("group_no").over(Window.partitionBy("query_id"))).filter((F.col("group_no") == F.col("last")) & (F.length("term") >= min_chars))
+    """``query_id, group_no, term``: adds to the last group of each query the terms that its token begins; candidates meet
+    by their first two letters."""
+    last = groups.withColumn("last", F.max("group_no").over(Window.partitionBy("query_id"))).filter((F.col("group_no") == F.col("last")) & F.col("main") & (F.length("term") >= min_chars))
     heads = last.select("query_id", "group_no", F.col("term").alias("prefix"), F.substring("term", 1, 2).alias("head"))
     vocabulary = index.term_stats.select("term", F.substring("term", 1, 2).alias("head"))
     found = heads.join(vocabulary, "head").filter(F.col("term").startswith(F.col("prefix"))).select("query_id", "group_no", "term")
     return groups.select("query_id", "group_no", "term").unionByName(found).distinct()
 
 
-def bm25(index: Index, groups: DataFrame) -> DataFrame:
-    """``query_id, id, rank, groups``: the more negative the better; ``groups`` counts the groups that matched.
-
-    Only postings of asked terms are read further; each (query, term, item) is one row before it is summed."""
-    asked = index.term_stats.join(groups.select("term").distinct(), "term")
-    f = index.postings.join(asked, "term").groupBy("term", "id", "df").agg(F.sum(field_weight(F.col("field")) * F.col("tf")).alias("f"))
-    scored = (
-        f.join(index.doc_stats, "id")
-        .crossJoin(F.broadcast(index.totals))  # one row
-        .withColumn("idf", F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-        .withColumn("idf", F.when(F.col("idf") > 0, F.col("idf")).otherwise(1e-6))
-        .select("term", "id", (F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("n_tokens") / F.col("avg_tokens")))).alias("gain"))
-    )
-    return groups.join(scored, "term").groupBy("query_id", "id").agg((-F.sum("gain")).alias("rank"), F.count_distinct("group_no").alias("groups"))
+def match_groups(understood: DataFrame, synonyms: bool = True, prefixes: Index | None = None) -> DataFrame:
+    """``query_id, group_no, term, alone`` of understood queries: their tokens (with synonyms and, given the index, what
+    the last one begins) and phrases (words joined by blanks); the cue tokens of queries that have neither, which are
+    ``alone``: they must match together."""
+    cues = F.col("cue_tokens") if "cue_tokens" in understood.columns else F.array().cast("array<string>")
+    phrases = F.transform(F.col("phrases"), lambda p: F.array_join(p, " ")) if "phrases" in understood.columns else F.array().cast("array<string>")
+    alone = (F.size("tokens") == 0) & (F.size(phrases) == 0)
+    words = understood.select("query_id", F.when(alone, F.array_distinct(cues)).otherwise(F.col("tokens")).alias("tokens"), phrases.alias("p"), alone.alias("alone"))
+    groups = term_groups(words, synonyms)
+    groups = (groups.drop("main") if prefixes is None else with_prefixes(groups, prefixes)).join(words.select("query_id", "alone"), "query_id")
+    quoted = words.select("query_id", (F.size("tokens")).alias("n"), "alone", F.posexplode("p").alias("at", "term"))
+    return groups.unionByName(quoted.select("query_id", (F.col("n") + F.col("at")).alias("group_no"), "term", "alone"))
+
+
+def phrase_postings(words: DataFrame, phrases: DataFrame) -> DataFrame:
+    """Postings of ``phrases`` (term: words joined by blanks) from those of their words (term, id, field, positions,
+    n_tokens, df): where the words stand one after the other.
+
+    Only fields that hold a phrase's rarest word are looked at further. There the places of each word, moved back by its
+    place in the phrase, are intersected; a word that the phrase has twice counts for each."""
+    split = phrases.select(F.col("term").alias("phrase")).distinct().withColumn("w", F.split("phrase", " "))
+    each = split.select("phrase", F.size("w").alias("size"), F.posexplode("w").alias("at", "term"))
+    stats = words.select("term", "df").distinct()
+    rarest = each.join(stats, "term").groupBy("phrase").agg(F.min(F.struct("df", "at")).alias("r")).select("phrase", F.col("r.at").alias("rare"))
+    key = ["phrase", "id", "field"]
+    starts = F.transform("positions", lambda p: p - F.col("at"))
+    placed = words.join(each.join(rarest, "phrase"), "term").select(*key, "size", "n_tokens", (F.col("at") == F.col("rare")).alias("is_rare"), starts.alias("starts"))
+    near = placed.join(placed.filter("is_rare").select(*key), key, "left_semi")
+    met = near.groupBy(*key, "size", "n_tokens").agg(F.collect_list("starts").alias("all")).filter(F.size("all") == F.col("size"))
+    found = F.aggregate(F.slice("all", 2, F.greatest(F.size("all") - 1, F.lit(1))), F.col("all")[0], F.array_intersect)
+    whole = met.withColumn("positions", found).filter(F.size("positions") > 0).select(F.col("phrase").alias("term"), "id", "field", F.size("positions").cast("long").alias("tf"), F.array_sort("positions").alias("positions"), "n_tokens")
+    df = whole.groupBy("term").agg(F.count_distinct("id").alias("df"))
+    return whole.join(df, "term")
+
+
+def asked_postings(index: Index, groups: DataFrame) -> DataFrame:
+    """``term, id, field, tf, positions, n_tokens, df`` of every term and phrase of ``groups``. Only the buckets of their
+    words are read of a stored index."""
+    units = groups.select("term").distinct()
+    is_phrase = F.instr("term", " ") > 0
+    words = units.select(F.explode(F.split("term", " ")).alias("term")).distinct()
+    near = pruned(index, words)
+    asked = near.term_stats.join(words, "term").select("term", "df")
+    rows = near.postings.select("term", "id", "field", "tf", "positions", "n_tokens").join(asked, "term")
+    phrases = units.filter(is_phrase)
+    if phrases.isEmpty():  # a look at the queries, not at the index
+        return rows
+    return rows.join(units.filter(~is_phrase), "term", "left_semi").unionByName(phrase_postings(rows, phrases))
+
+
+def bm25(index: Index, groups: DataFrame, postings: DataFrame | None = None) -> DataFrame:
+    """``query_id, id, rank, groups``: the more negative the better; ``groups`` counts the groups that matched. A phrase
+    is ranked like a term, by how often it stands in an item and in how many.
+
+    ``postings``: what ``asked_postings`` gives, where it is written already."""
+    rows = asked_postings(index, groups) if postings is None else postings
+    f = rows.groupBy("term", "id", "df", "n_tokens").agg(F.sum(field_weight(F.col("field")) * F.col("tf")).alias("f"))
+    idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    gain = F.when(idf > 0, idf).otherwise(1e-6) * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("n_tokens") / F.col("avg_tokens")))
+    scored = f.crossJoin(F.broadcast(index.totals)).select("term", "id", gain.alias("gain"))  # one row
+    return groups.select("query_id", "group_no", "term").join(scored, "term").groupBy("query_id", "id").agg((-F.sum("gain")).alias("rank"), F.count_distinct("group_no").alias("groups"))
 
 
 def top(hits: DataFrame, k: int, order: list[Column]) -> DataFrame:
@@ -76,9 +125,9 @@ def top(hits: DataFrame, k: int, order: list[Column]) -> DataFrame:
     return hits.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= k)
 
 
-def normalized(hits: DataFrame) -> DataFrame:
+def normalized(hits: DataFrame, *by: str) -> DataFrame:
     """``norm``: rank by the best rank of the query, at most 1; 1 where the best is not negative."""
-    best = F.min("rank").over(Window.partitionBy("query_id"))
+    best = F.min("rank").over(Window.partitionBy(*(by or ("query_id",))))
     return hits.withColumn("norm", F.when(best < 0, F.least(F.lit(1.0), F.col("rank") / best)).otherwise(1.0))
 
 
@@ -88,44 +137,50 @@ def lexical_search(index: Index, queries: DataFrame, k: int = 40, enough: int =
     return search_groups(index, term_groups(queries, synonyms), k, enough, or_weight)
 
 
-def search_groups(index: Index, groups: DataFrame, k: int = 40, enough: int = 5, or_weight: float = 0.6) -> DataFrame:
-    """The same for groups of terms (``query_id, group_no, term``), such as those with synonyms and prefixes."""
-    wanted = groups.groupBy("query_id").agg(F.count_distinct("group_no").alias("wanted"))
-    rounded = [F.round("rank", 9), F.col("id")]
-    found = bm25(index, groups).join(wanted, "query_id")
-    every = normalized(top(found.filter("groups = wanted"), k, rounded))
-    count = every.groupBy("query_id").agg(F.count("*").alias("n"))
-    thin = wanted.join(count, "query_id", "left").filter((F.coalesce("n", F.lit(0)) < enough) & (F.col("wanted") >= 2)).select("query_id")
-    some = normalized(top(found.join(thin, "query_id", "left_semi"), k, rounded))
-    some = some.join(every.select("query_id", "id"), ["query_id", "id"], "left_anti").withColumn("norm", F.col("norm") * or_weight)
-    both = every.withColumn("mode", F.lit("and")).unionByName(some.withColumn("mode", F.lit("or")))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy("mode", "pos"))
-    return both.withColumn("pos", place).select("query_id", "id", "pos", "norm", "mode")
-
-
-def matched_fields(index: Index, groups: DataFrame, hits: DataFrame) -> DataFrame:
-    """``query_id, id, fields``: the fields of each hit that hold a term of the query, in field order."""
+def search_groups(index: Index, groups: DataFrame, k: int = 40, enough: int = 5, or_weight: float = 0.6, postings: DataFrame | None = None) -> DataFrame:
+    """The same for groups of terms and phrases (``query_id, group_no, term``), such as those of ``match_groups`` or with
+    synonyms and prefixes. Queries whose groups are ``alone`` have no second part.
+
+    Each item is ranked twice, among those that match all groups and among all; the best ``k`` of both leave the tasks
+    that sum the ranks, and the rest is done on these."""
+    alone = F.max("alone") if "alone" in groups.columns else F.lit(False)
+    wanted = groups.groupBy("query_id").agg(F.count_distinct("group_no").alias("wanted"), alone.alias("alone"))
+    found = bm25(index, groups, postings).join(wanted, "query_id").withColumn("rounded", F.round("rank", 9))
+    both = found.withColumn("mode", F.explode(F.array(F.lit("and"), F.lit("or")))).filter((F.col("mode") == "or") | (F.col("groups") == F.col("wanted")))
+    best = F.row_number().over(Window.partitionBy("query_id", "mode").orderBy("rounded", "id"))
+    few = normalized(both.withColumn("pos", best).filter(F.col("pos") <= k), "query_id", "mode")
+    of_query, of_item = Window.partitionBy("query_id"), Window.partitionBy("query_id", "id")
+    few = few.withColumn("n", F.count_if(F.col("mode") == "and").over(of_query)).withColumn("again", F.count_if(F.col("mode") == "and").over(of_item) > 0)
+    kept = few.filter((F.col("mode") == "and") | (~F.col("again") & (F.col("n") < enough) & (F.col("wanted") >= 2) & ~F.col("alone")))
+    norm = F.when(F.col("mode") == "or", F.col("norm") * or_weight).otherwise(F.col("norm"))
+    place = F.row_number().over(of_query.orderBy("mode", "pos"))
+    return kept.withColumn("norm", norm).withColumn("pos", place).select("query_id", "id", "pos", "norm", "mode")
+
+
+def matched_fields(index: Index, groups: DataFrame, hits: DataFrame, postings: DataFrame | None = None) -> DataFrame:
+    """``query_id, id, fields``: the fields of each hit that hold a term or phrase of the query, in field order."""
     order = F.create_map(*[F.lit(x) for i, f in enumerate(FIELD_WEIGHTS) for x in (f, i)])
-    rows = index.postings.join(groups.select("query_id", "term").distinct(), "term").join(hits.select("query_id", "id"), ["query_id", "id"], "left_semi")
+    asked = asked_postings(index, groups) if postings is None else postings
+    rows = asked.select("term", "id", "field").join(groups.select("query_id", "term").distinct(), "term").join(hits.select("query_id", "id"), ["query_id", "id"], "left_semi")
     found = rows.groupBy("query_id", "id").agg(F.array_sort(F.collect_set(F.struct(F.element_at(order, F.col("field")).alias("no"), "field"))).alias("f"))
     return found.select("query_id", "id", F.transform("f", lambda x: x["field"]).alias("fields"))
 
 
-def phrase_match(positions: DataFrame, phrases: DataFrame) -> DataFrame:
+def phrase_match(index: Index, phrases: DataFrame) -> DataFrame:
     """``query_id, id, field, n``: how often each phrase (query_id, tokens) stands in a field, word after word."""
-    words = phrases.select("query_id", F.size("tokens").alias("size"), F.posexplode("tokens").alias("at", "term"))
-    hits = positions.join(words, "term").groupBy("query_id", "id", "field", "size", (F.col("pos") - F.col("at")).alias("start")).agg(F.count("*").alias("words"))
-    return hits.filter("words = size").groupBy("query_id", "id", "field").agg(F.count("*").alias("n"))
+    asked = phrases.filter(F.size("tokens") > 0).select("query_id", F.array_join("tokens", " ").alias("term"))
+    return asked.join(asked_postings(index, asked).select("term", "id", "field", F.col("tf").alias("n")), "term").select("query_id", "id", "field", "n")
 
 
 def fallback_snippet(text: Column, tokens: Column, before: int = 70, after: int = 90, plain: int = 160) -> Column:
-    """Text around the first token that occurs in it, else its beginning."""
+    """Text around the first token that occurs in it, which stands in ``[[ ]]``, else its beginning."""
     flat = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
     present = F.filter(tokens, lambda t: F.instr(F.lower(flat), t) > 0)
     at = F.instr(F.lower(flat), F.get(present, F.lit(0)))
     start = F.greatest(F.lit(1), at - before)
-    end = F.least(F.length(flat), at + after)
-    around = F.concat(F.when(start > 1, "…").otherwise(""), F.substring(flat, start, end - start + 1), F.when(end < F.length(flat), "…").otherwise(""))
+    size = F.length(F.get(present, F.lit(0)))
+    end = F.least(F.length(flat), at + size - 1 + after)
+    around = F.concat(F.when(start > 1, "…").otherwise(""), F.substring(flat, start, at - start), F.lit("[["), F.substring(flat, at, size), F.lit("]]"), F.substring(flat, at + size, end - at - size + 1), F.when(end < F.length(flat), "…").otherwise(""))
     head = F.when(F.length(flat) <= plain, flat).otherwise(F.concat(F.regexp_replace(F.substring(flat, 1, plain - 1), r"\s+$", ""), F.lit("…")))
     return F.when(F.size(present) > 0, around).otherwise(head)
 
@@ -139,21 +194,25 @@ def bag_candidates(index: Index, items: DataFrame, k: int = 10, most: int = 24,
     return top(hits, k, [F.round("rank", 9), F.col("id")]).select(F.col("query_id").alias("id"), F.col("id").alias("other"), "pos")
 
 
-def snippets(hits: DataFrame, groups: DataFrame, docs: DataFrame, width: int = 14) -> DataFrame:
+def snippets(index: Index, hits: DataFrame, groups: DataFrame, width: int = 14, postings: DataFrame | None = None) -> DataFrame:
     """``query_id, id, field, snippet``: of each hit and field the ``width`` tokens that hold the most matches (the first
-    such), the matches in ``[[ ]]``, an ellipsis where text was cut, white space collapsed. docs: ``id, field, text``."""
-    parts = F.regexp_extract_all(F.col("text"), F.lit(r"([\p{L}\p{N}]+[^\p{L}\p{N}]*)"), F.lit(1))
-    word = lambda x: F.lower(F.regexp_extract(x, r"^[\p{L}\p{N}]+", 0))
-    terms = groups.groupBy("query_id").agg(F.collect_set("term").alias("terms"))
-    rows = hits.select("query_id", "id").join(terms, "query_id").join(docs, "id").select("query_id", "id", "field", "terms", parts.alias("parts"))
-    at = rows.select("query_id", "id", "field", F.explode(F.filter(F.transform("parts", lambda x, i: F.when(F.array_contains("terms", word(x)), i)), lambda i: i.isNotNull())).alias("at"))
-    ahead = Window.partitionBy("query_id", "id", "field").orderBy("at").rangeBetween(0, width - 1)
-    best = at.withColumn("n", F.count("*").over(ahead)).groupBy("query_id", "id", "field").agg(F.max(F.struct("n", (-F.col("at")).alias("back"))).alias("b"))
+    such), the matches in ``[[ ]]``, an ellipsis where text was cut, white space collapsed.
+
+    Matches are the places of the postings; the tokens there are cut out of the ``parts`` of the stored index."""
+    asked = asked_postings(index, groups) if postings is None else postings
+    words = F.size(F.split("term", " "))
+    spread = F.when(words == 1, F.col("positions")).otherwise(F.flatten(F.transform("positions", lambda p: F.sequence(p, p + words - 1))))
+    terms = groups.select("query_id", "term").distinct()
+    at = asked.join(terms, "term").join(hits.select("query_id", "id"), ["query_id", "id"], "left_semi").select("query_id", "id", "field", F.explode(spread).alias("at")).distinct()
+    key = ["query_id", "id", "field"]
+    ahead = Window.partitionBy(*key).orderBy("at").rangeBetween(0, width - 1)
+    seen = at.withColumn("near", F.collect_list("at").over(ahead))
+    best = seen.groupBy(*key).agg(F.max(F.struct(F.size("near").alias("n"), (-F.col("at")).alias("back"), "near")).alias("b"))
     start = -F.col("b.back")
-    marked = F.transform(F.slice("parts", start + 1, F.lit(width)), lambda x: F.when(F.array_contains("terms", word(x)), F.regexp_replace(x, r"^([\p{L}\p{N}]+)", "[[$1]]")).otherwise(x))
+    marked = F.transform(F.slice("parts", start + 1, F.lit(width)), lambda x, i: F.when(F.array_contains("b.near", i + start), F.regexp_replace(x, r"^([\p{L}\p{N}]+)", "[[$1]]")).otherwise(x))
     text = F.trim(F.regexp_replace(F.array_join(marked, ""), r"\s+", " "))
     whole = F.concat(F.when(start > 0, "…").otherwise(""), text, F.when(start + width < F.size("parts"), "…").otherwise(""))
-    return rows.join(best, ["query_id", "id", "field"]).select("query_id", "id", "field", whole.alias("snippet"))
+    return best.join(index.parts, ["id", "field"]).select(*key, whole.alias("snippet"))
 
 
 def apply_filters(hits: DataFrame, items: DataFrame, queries: DataFrame, now: int) -> DataFrame:
@@ -249,6 +308,7 @@ def normalize_vocabulary(terms: DataFrame) -> DataFrame:
 def stemmed(index: Index) -> tuple[Index, DataFrame]:
     """The index by stem, and ``term, stem``: queries take their terms through the same table."""
     stems = normalize_vocabulary(index.term_stats)
-    postings = index.postings.join(stems, "term").groupBy(F.col("stem").alias("term"), "id", "field").agg(F.sum("tf").alias("tf"))
-    df = postings.select("term", "id").distinct().groupBy("term").agg(F.count("*").alias("df"))
-    return Index(postings, index.doc_stats, df, index.totals), stems
+    merged = index.postings.join(stems, "term").groupBy(F.col("stem").alias("term"), "id", "field", "n_tokens").agg(F.sum("tf").alias("tf"), F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"))
+    lead = F.row_number().over(Window.partitionBy("term", "id").orderBy("field")) == 1
+    postings = merged.withColumn("lead", lead).select(*POSTING)
+    return Index(postings, index.doc_stats, term_stats_of(postings), index.totals), stems

@@ -99,8 +99,8 @@ def _named(words: Column, table: dict[str, str], known: Column) -> Column:
 
 def understand_queries(raw: DataFrame, now: int) -> DataFrame:
     """For ``query_id, raw``: ``tokens`` (distinct, no stopwords, no cues), ``phrases``, ``cue_tokens``, ``types``,
-    ``subtypes``, ``kinds``, ``domains``, ``strict``, ``note_cue``, ``since``, ``until`` (epoch seconds) and
-    ``embed_text``. ``now`` is given, in epoch seconds."""
+    ``subtypes``, ``kinds``, ``domains``, ``strict``, ``note_cue``, ``since``, ``until`` (epoch seconds),
+    ``time_label`` (the words of the time phrase) and ``embed_text``. ``now`` is given, in epoch seconds."""
     trimmed = F.trim(F.coalesce("raw", F.lit("")))
     df = raw.select("query_id", "raw", F.regexp_extract_all(trimmed, F.lit('"([^"]+)"'), F.lit(1)).alias("quoted"), F.regexp_replace(trimmed, '"([^"]+)"', " ").alias("t"))
     df = df.withColumn("ops", F.transform(F.regexp_extract_all("t", F.lit(_OPERATOR), F.lit(0)), lambda o: F.struct(F.lower(F.substring_index(o, ":", 1)).alias("key"), F.lower(F.regexp_replace(o, r"^[^:]*:", "")).alias("value"))))
@@ -148,5 +148,6 @@ def understand_queries(raw: DataFrame, now: int) -> DataFrame:
         F.array_contains(types, "note").alias("note_cue"),
         "since",
         "until",
+        F.col("w.label").alias("time_label"),
         F.when(embed != "", embed).otherwise(F.trim(F.coalesce("raw", F.lit("")))).alias("embed_text"),
     )

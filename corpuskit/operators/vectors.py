@@ -8,7 +8,6 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuskit.functions.text import fnv1a32
 from corpuskit.functions.vectors import dot, l2_normalize
 
 #: Queries that are sent to every task; more meet the vectors block by block, this many vectors a block.
@@ -18,6 +17,8 @@ AT_ONCE = 256
 #: Vectors of a block that meets another in one task, about, and those of them that are multiplied at once.
 PAIR_BLOCK, PAIR_ROWS = 4096, 512
 ROLE_WEIGHT = {"summary": 1.0, "body": 0.8}
+#: Texts that are hashed at once, and where the two hashes begin.
+HASH_ROWS, FNV_START, FNV_SIGN = 2048, 0x811C9DC5, 0x9747B28C
 
 # Words that hashed vectors leave out.
 HASH_STOPWORDS = "a an the and or of to in on at by for with from as is are was were be it this that these those you your we our they their i my".split()
@@ -160,18 +161,62 @@ def hash_embed(texts: DataFrame, dims: int = 384) -> DataFrame:
     """``id, vector`` from ``id, text``: words of two letters or more and, at half weight, pairs of neighbours, hashed
     into ``dims`` signed buckets with 1 + ln(count), then normalised. A text without words gives zeros.
 
-    Texts are reduced to ASCII letters and digits; other characters part words."""
+    Texts are reduced to ASCII letters and digits; other characters part words. A vector is made where its text is read:
+    nothing is shuffled."""
     words = F.filter(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("([a-z0-9]+)"), F.lit(1)), lambda t: (F.length(t) >= 2) & ~t.isin(HASH_STOPWORDS))
-    base = texts.select("id", words.alias("w"))
-    pairs = F.when(F.size("w") > 1, F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(1))), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(1))), lambda a, b: F.struct(F.concat_ws("_", a, b).alias("term"), F.lit(0.5).alias("n")))).otherwise(F.expr("CAST(array() AS array<struct<term: string, n: double>>)"))
-    single = F.transform("w", lambda a: F.struct(a.alias("term"), F.lit(1.0).alias("n")))
-    terms = base.select("id", F.explode(F.concat(single, pairs)).alias("t")).groupBy("id", "t.term").agg(F.sum("t.n").alias("n"))
-    # Each distinct term is hashed once for the whole corpus.
-    hashed = terms.select("term").distinct().select("term", (fnv1a32(F.col("term")) % dims).cast("int").alias("bucket"), F.when(fnv1a32(F.col("term"), 0x9747B28C) % 2 == 1, 1.0).otherwise(-1.0).alias("sign"))
-    cells = terms.join(hashed, "term").groupBy("id", "bucket").agg(F.sum(F.col("sign") * (1 + F.log("n"))).alias("x"))
-    sparse = cells.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "x"))).alias("m"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.when(F.col("norm") > 0, F.coalesce(F.try_element_at("m", i), F.lit(0.0)) / F.col("norm")).otherwise(0.0))
-    return texts.select("id").join(sparse, "id", "left").select("id", dense.alias("vector"))
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, HASH_ROWS):
+                part = batch.slice(lo, HASH_ROWS)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.FixedSizeListArray.from_arrays(pa.array(_hashed(part.column(1), dims).reshape(-1)), dims).cast(pa.list_(pa.float64()))], ["id", "vector"])
+
+    kind = texts.schema["id"].dataType.simpleString()
+    return texts.select("id", words.alias("w")).mapInArrow(run, f"id {kind}, vector array<double>")
+
+
+def _hashed(lists: pa.Array, dims: int) -> np.ndarray:
+    """A vector for each list of words."""
+    sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    coded = lists.flatten().dictionary_encode()
+    code, names = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+    first = np.flatnonzero(row[1:] == row[:-1]) if len(row) else np.zeros(0, np.int64)
+    pairs, pair_code = np.unique(code[first] * len(names) + code[first + 1], return_inverse=True)
+    left, right = pairs // max(1, len(names)), pairs % max(1, len(names))
+    out = np.zeros((len(sizes), dims))
+    cells = []
+    for start in (FNV_START, FNV_SIGN):
+        single = _fnv(np.full(len(names), start, np.uint64), names, np.arange(len(names)))
+        cells.append(np.concatenate((single, _fnv(_fnv_step(single[left], 95), names, right))))  # 95: the underscore
+    term = np.concatenate((code, len(names) + pair_code))
+    of = np.concatenate((row, row[first]))
+    key, n = np.unique(of * (len(names) + len(pairs) + 1) + term, return_counts=True)
+    of, term = key // (len(names) + len(pairs) + 1), key % (len(names) + len(pairs) + 1)
+    weight = 1 + np.log(np.where(term < len(names), n, 0.5 * n))
+    sign = np.where(cells[1][term] % 2 == 1, 1.0, -1.0)
+    np.add.at(out, (of, (cells[0][term] % dims).astype(np.int64)), sign * weight)
+    length = np.sqrt((out * out).sum(1))
+    return out / np.where(length > 0, length, 1.0)[:, None]
+
+
+def _fnv_step(state: np.ndarray, byte: np.ndarray | int) -> np.ndarray:
+    return ((state ^ np.uint64(byte) if np.isscalar(byte) else state ^ byte.astype(np.uint64)) * np.uint64(16777619)) & np.uint64(0xFFFFFFFF)
+
+
+def _fnv(state: np.ndarray, names: pa.Array, which: np.ndarray) -> np.ndarray:
+    """FNV-1a of ASCII strings ``names[which]``, going on from ``state``; all strings step together."""
+    names = names.cast(pa.large_string())
+    offsets = np.frombuffer(names.buffers()[1], dtype=np.int64)[names.offset : names.offset + len(names) + 1]
+    data = np.frombuffer(names.buffers()[2], dtype=np.uint8) if len(names) and names.buffers()[2] is not None else np.zeros(0, np.uint8)
+    at, end = offsets[which], offsets[which + 1]
+    state = state.copy()
+    live = np.flatnonzero(at < end)
+    while len(live):
+        state[live] = _fnv_step(state[live], data[at[live]])
+        at[live] += 1
+        live = live[at[live] < end[live]]
+    return state
 
 
 def centroids(members: DataFrame, vectors: DataFrame) -> DataFrame:

@@ -77,11 +77,13 @@ def recent_items(items: DataFrame, since_s: int, types: list[str] | None, limit:
 
 
 def cue_leg(items: DataFrame, cues: DataFrame, k: int = 20) -> DataFrame:
-    """``query_id, id, pos``: the newest live top-level items of a cued type or kind. cues: ``query_id, field, value``.
+    """``query_id, id, pos``: the newest live top-level items of a cued type, subtype (where
+    items have one) or kind. cues: ``query_id, field, value``.
 
-    Only the newest ``k`` of each type and kind can be asked for, so these are ranked first."""
+    Only the newest ``k`` of each type, subtype and kind can be asked for, so these are ranked first."""
     live = items.filter("NOT deleted AND parent_id IS NULL")
-    named = live.select("id", "captured_s", F.explode(F.array(F.struct(F.lit("type").alias("field"), F.col("type").alias("value")), F.struct(F.lit("kind").alias("field"), F.col("kind").alias("value")))).alias("v")).select("id", "captured_s", "v.field", "v.value")
+    asked_by = [c for c in ("type", "subtype", "kind") if c in items.columns]
+    named = live.select("id", "captured_s", F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in asked_by])).alias("v")).select("id", "captured_s", "v.field", "v.value")
     newest = F.row_number().over(Window.partitionBy("field", "value").orderBy(F.desc("captured_s"), "id"))
     few = named.withColumn("r", newest).filter(F.col("r") <= k).drop("r")
     hits = cues.join(few, ["field", "value"]).select("query_id", "id", "captured_s").distinct()

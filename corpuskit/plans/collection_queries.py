@@ -236,10 +236,9 @@ w AS (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM p), m AS (SELECT * FR
 n AS (SELECT *, count(*) OVER (PARTITION BY query_id, id ORDER BY i RANGE BETWEEN CURRENT ROW AND 13 FOLLOWING) AS n FROM m), b AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY query_id, id ORDER BY n DESC, i) = 1)
 SELECT query_id, id, CASE WHEN i > 1 THEN '…' ELSE '' END || trim(regexp_replace(array_to_string(list_transform(parts[i:i + 13], lambda x: CASE WHEN list_contains(terms, lower(regexp_extract(x, '^[\\p{{L}}\\p{{N}}]+'))) THEN regexp_replace(x, '^([\\p{{L}}\\p{{N}}]+)', '[[\\1]]') ELSE x END), ''), '\\s+', ' ', 'g')) || CASE WHEN i + 13 < len(parts) THEN '…' ELSE '' END AS snippet FROM b""")
 def snippets(spark, sf_dir):
-    docs = index.index_docs(model.items(spark, sf_dir).select("id", *search_queries.FIELDS, "deleted"))
-    q = model.queries(spark, sf_dir)
-    hits = lexical.lexical_search(search_queries.stored(spark, sf_dir), q, synonyms=False)
-    return lexical.snippets(hits, lexical.term_groups(q, synonyms=False), docs.filter("field = 'extracted_text'")).select("query_id", "id", "snippet")
+    idx, groups = search_queries.stored(spark, sf_dir, parts=True), lexical.term_groups(model.queries(spark, sf_dir), synonyms=False)
+    hits = lexical.search_groups(idx, groups)
+    return lexical.snippets(idx, hits, groups).filter("field = 'extracted_text'").select("query_id", "id", "snippet")
 
 
 def asked(spark, sf_dir):
@@ -276,8 +275,8 @@ SELECT query_id, id, count(*) AS n FROM w JOIN ph ON w.t[i] = ph.t[1] AND w.t[i:
 def long_phrases(spark, sf_dir):
     """The first six words of each benchmark text, word after word."""
     phrases = model.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.slice(tokenize(F.col("text")), 1, 6).alias("tokens"))
-    docs = index.index_docs(model.items(spark, sf_dir).select("id", "extracted_text", "deleted"))
-    return lexical.phrase_match(index.positions(docs), phrases).select("query_id", "id", "n")
+    found = lexical.phrase_match(search_queries.stored(spark, sf_dir), phrases)
+    return found.filter("field = 'extracted_text'").select("query_id", "id", "n")
 
 
 SEMANTIC = f"""{model.ITEMS}, {model.VECTORS}, {search_queries.KNN}, h AS (SELECT query_id, item_id AS id, pos, cosine FROM knn WHERE pos <= 30 AND cosine >= 0.2),
@@ -317,48 +316,134 @@ def fuse_cued(spark, sf_dir):
     return fusion.fuse(lex, none, items, q, model.NOW, cues=views.cue_leg(items, cues)).select("query_id", "id", "pos", F.round("score", 6).alias("score"))
 
 
+PHRASED = f"""qw AS (SELECT item_id AS n, regexp_extract_all(lower(text), '{TOKENS.format()}') AS w FROM benchmark),
+pq AS (SELECT n AS query_id, CASE n % 3 WHEN 0 THEN list_filter(w, lambda x, i: list_position(w, x) = i) WHEN 1 THEN [] ELSE list_filter([w[1], 'repo', left(w[2], 3)], lambda x, i: list_position([w[1], 'repo', left(w[2], 3)], x) = i) END AS tokens,
+  CASE n % 3 WHEN 0 THEN [w[1:2], w[3:5]] WHEN 1 THEN [w[2:4]] ELSE [w[3:4]] END AS phrases FROM qw),
+pt AS (SELECT query_id, unnest(range(len(tokens))) AS group_no, unnest(tokens) AS token, len(tokens) AS n FROM pq),
+pp AS (SELECT query_id, len(tokens) + unnest(range(len(phrases))) AS group_no, unnest(phrases) AS p FROM pq),
+syn AS (SELECT * FROM (VALUES {', '.join(f"('{k}', '{x}')" for k, v in lexical.SYNONYMS.items() for x in v)}) t(a, b)),
+pg AS (SELECT query_id, group_no, token AS term FROM pt UNION SELECT query_id, group_no, b FROM pt JOIN syn ON a = token
+  UNION SELECT query_id, group_no, s.term FROM pt JOIN term_stats s ON group_no = n - 1 AND length(token) >= 2 AND starts_with(s.term, token)
+  UNION SELECT query_id, group_no, array_to_string(p, ' ') FROM pp),
+ft AS ({' UNION ALL '.join(f"SELECT id, '{f}' AS field, regexp_extract_all(lower({f}), '{TOKENS.format()}') AS t FROM items WHERE NOT deleted" for f in search_queries.FIELDS)}),
+fi AS (SELECT id, field, t, unnest(range(1, len(t) + 1)) AS i FROM ft),
+ph AS (SELECT array_to_string(p, ' ') AS term, id, field, count(*) AS tf FROM (SELECT DISTINCT p FROM pp) JOIN fi ON t[i] = p[1] AND t[i:i + len(p) - 1] = p GROUP BY ALL),
+pw AS (SELECT term, id, sum(({search_queries.WEIGHT})::DOUBLE * tf) AS f FROM ph GROUP BY ALL),
+pdf AS (SELECT term, count(DISTINCT id) AS df FROM ph GROUP BY term),
+pgain AS (SELECT pw.term, pw.id, CASE WHEN ln((n_docs - df + 0.5) / (df + 0.5)) > 0 THEN ln((n_docs - df + 0.5) / (df + 0.5)) ELSE 1e-6 END * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * n_tokens / avg_tokens)) AS gain
+  FROM pw JOIN pdf ON pdf.term = pw.term JOIN doc_stats d ON d.id = pw.id, totals),
+found AS (SELECT query_id, id, -sum(gain) AS rank, count(DISTINCT group_no) AS groups FROM pg JOIN (SELECT * FROM gain UNION ALL SELECT * FROM pgain) g ON g.term = pg.term GROUP BY ALL),
+wanted AS (SELECT query_id, count(DISTINCT group_no) AS wanted FROM pg GROUP BY query_id),
+{search_queries.LEX[search_queries.LEX.index("a0 AS"):]}"""
+
+
+def phrased(spark, sf_dir):
+    """``query_id, tokens, phrases`` of the benchmark texts: all words and two phrases, a phrase alone, or a word, a word
+    with synonyms, the beginning of a word, and a phrase."""
+    n, w = F.col("item_id"), tokenize(F.col("text"))
+    some = F.array(w[0], F.lit("repo"), F.substring(w[1], 1, 3))
+    rows = model.table(spark, sf_dir, "benchmark").filter(F.size(w) >= 5)
+    tokens = F.when(n % 3 == 0, F.array_distinct(w)).when(n % 3 == 1, F.array().cast("array<string>")).otherwise(F.array_distinct(some))
+    phrases = F.when(n % 3 == 0, F.array(F.slice(w, 1, 2), F.slice(w, 3, 3))).when(n % 3 == 1, F.array(F.slice(w, 2, 3))).otherwise(F.array(F.slice(w, 3, 2)))
+    return rows.select(n.alias("query_id"), tokens.alias("tokens"), phrases.alias("phrases"))
+
+
+@query("search_phrases", f"WITH {search_queries.INDEX}, {PHRASED} SELECT query_id, id, pos, round(norm, 6) AS norm, mode FROM lex")
+def search_phrases(spark, sf_dir):
+    """Words with synonyms, beginnings of words and phrases in one match, ranked together."""
+    idx = search_queries.stored(spark, sf_dir)
+    groups = tables.written(lexical.match_groups(phrased(spark, sf_dir), prefixes=idx), "groups")
+    return lexical.search_groups(idx, groups).withColumn("norm", F.round("norm", 6))
+
+
+@query("phrase_evidence", f"""WITH {search_queries.INDEX}, {PHRASED}, o AS (SELECT * FROM (VALUES ('title', 0), ('extracted_text', 8), ('domain', 9), ('kind', 10)) t(field, no)),
+pf AS (SELECT term, id, field FROM postings UNION ALL SELECT term, id, field FROM ph)
+SELECT l.query_id, l.id, array_to_string(list_transform(list_sort(list(DISTINCT {{'no': o.no, 'field': f.field}})), lambda x: x.field), ',') AS fields FROM lex l JOIN pg ON pg.query_id = l.query_id JOIN pf f ON f.term = pg.term AND f.id = l.id JOIN o ON o.field = f.field GROUP BY ALL""")
+def phrase_evidence(spark, sf_dir):
+    """The fields in which the hits of ``search_phrases`` hold a word or a phrase of the query."""
+    _, _, hits = word_leg(phrased(spark, sf_dir), search_queries.stored(spark, sf_dir))
+    return hits.select("query_id", "id", F.array_join("fields", ",").alias("fields"))
+
+
+@query("search_cued", CUED.replace(search_queries.LEX, PHRASED).replace(model.QUERY_TOKENS + ", ", "").replace("t AS (SELECT query_id, list(DISTINCT term) AS tokens FROM q_tokens GROUP BY query_id)", "t AS (SELECT query_id, tokens FROM pq)").replace("CASE WHEN len(list_filter(tokens", "CASE WHEN len(tokens) = 0 THEN 1.0::DOUBLE WHEN len(list_filter(tokens"))
+def search_cued(spark, sf_dir):
+    """Fusion over ``search_phrases``, with types, kinds, times, domains and strict queries."""
+    items = model.items(spark, sf_dir)
+    q = phrased(spark, sf_dir).join(asked(spark, sf_dir).drop("tokens"), "query_id")
+    _, _, lex = word_leg(phrased(spark, sf_dir), search_queries.stored(spark, sf_dir))
+    none = lex.select("query_id", F.col("id").alias("item_id"), "pos", F.lit(0.0).alias("cosine")).filter(F.lit(False))
+    cues = views.cue_leg(items, cue_rows(q.withColumn("subtypes", F.array().cast("array<string>"))))
+    return fusion.fuse(lex, none, items, q, model.NOW, cues=cues).select("query_id", "id", "pos", F.round("score", 6).alias("score"))
+
+
 @query("search_library")
 def search_library(spark, sf_dir):
     """The whole search, from raw queries: understood, matched by words with synonyms, prefixes and phrases and by
     vectors of whole texts, cued, filtered, fused, with snippets."""
-    n = F.col("item_id")
-    words = F.array_join(F.slice(tokenize(F.col("text")), 1, 6), " ")
-    raw = F.when(n % 5 == 0, F.concat(words, F.lit(" pdf"))).when(n % 5 == 1, F.concat(F.lit('"'), F.array_join(F.slice(tokenize(F.col("text")), 1, 2), " "), F.lit('" '), words)).when(n % 5 == 2, F.concat(F.lit("type:pdf "), words)).when(n % 5 == 3, F.concat(words, F.lit(" last week"))).otherwise(words)
-    understood = understanding.understand_queries(model.table(spark, sf_dir, "benchmark").select(n.alias("query_id"), raw.alias("raw")), model.NOW)
-    return search(spark, model.items(spark, sf_dir), understood, search_queries.stored(spark, sf_dir))
+    return search(spark, with_subtypes(model.items(spark, sf_dir)), understanding.understand_queries(raw_queries(spark, sf_dir), model.NOW), search_queries.stored(spark, sf_dir, parts=True))
+
+
+def raw_queries(spark, sf_dir):
+    """``query_id, raw``: the whole benchmark texts as questions, some with a phrase, a cue, an operator, a time."""
+    n, words = F.col("item_id"), tokenize(F.col("text"))
+    some = lambda a, b: F.array_join(F.slice(words, a, b), " ")
+    raw = (
+        F.when(n % 7 == 0, F.concat(F.array_join(words, " "), F.lit(" pdf")))
+        .when(n % 7 == 1, F.concat(F.lit('"'), some(1, 2), F.lit('" repo '), some(4, 2)))
+        .when(n % 7 == 2, F.concat(F.lit("type:pdf "), F.array_join(words, " ")))
+        .when(n % 7 == 3, F.concat(some(1, 3), F.lit(" app saved last week")))
+        .when(n % 7 == 4, F.concat(F.lit('"'), some(2, 3), F.lit('"')))
+        .when(n % 7 == 5, F.concat(some(1, 1), F.lit(' "'), some(2, 2), F.lit('" '), F.substring(F.get(words, F.lit(4)), 1, 3)))
+        .otherwise(F.array_join(words, " "))
+    )
+    return model.table(spark, sf_dir, "benchmark").select(n.alias("query_id"), raw.alias("raw"))
+
+
+def with_subtypes(items):
+    return items.withColumn("subtype", F.when(F.col("id") % 12 == 0, "github_repo").when(F.col("id") % 12 == 4, "screenshot"))
+
+
+def cue_rows(understood):
+    """``query_id, field, value`` of what queries ask for."""
+    parts = [understood.select("query_id", F.lit(f).alias("field"), F.explode(c).alias("value")) for f, c in (("type", "types"), ("subtype", "subtypes"), ("kind", "kinds"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def word_leg(understood, idx):
+    """Groups of terms and phrases, their postings, and ``query_id, id, pos, norm, mode, fields``."""
+    groups = tables.written(lexical.match_groups(understood, prefixes=idx), "groups")
+    postings = tables.written(lexical.asked_postings(idx, groups), "postings")
+    hits = tables.written(lexical.search_groups(idx, groups, postings=postings), "words")
+    return groups, postings, hits.join(lexical.matched_fields(idx, groups, hits, postings), ["query_id", "id"], "left")
 
 
 def search(spark, items, understood, idx):
-    """``query_id, id, pos, score, reason, snippet`` of understood queries over items and their index."""
-    docs = index.index_docs(items.select("id", *search_queries.FIELDS, "deleted"))
+    """``query_id, id, pos, score, reason, snippet`` and the evidence (``bm25_norm, cosine, matched_fields``) of understood
+    queries over items and their index. Phrases are part of the match: an item without them can only come in with those
+    that match any part. Texts are read for hits that no word or phrase found."""
     understood = tables.written(understood, "understood")
-    groups = tables.written(lexical.with_prefixes(lexical.term_groups(understood), idx), "groups")
-    lex = lexical.search_groups(idx, groups)
-    phrases = understood.select("query_id", F.posexplode("phrases").alias("nth", "tokens"))
-    wanted = phrases.groupBy("query_id").agg(F.count("*").alias("wanted"))
-    keyed = phrases.select(F.struct("query_id", "nth").alias("query_id"), "tokens")
-    found = lexical.phrase_match(index.positions(docs), keyed).select(F.col("query_id.query_id").alias("query_id"), F.col("query_id.nth").alias("nth"), "id").distinct().groupBy("query_id", "id").agg(F.count("*").alias("n"))
-    lex = lex.join(wanted, "query_id", "left").join(found, ["query_id", "id"], "left").filter("wanted IS NULL OR n = wanted").select("query_id", "id", "pos")
+    groups, postings, lex = word_leg(understood, idx)
     texts = understood.select(F.col("query_id").alias("id"), F.col("embed_text").alias("text"))
     qv = vectors.hash_embed(texts).select(F.col("id").alias("query_id"), "vector")
     near = vectors.knn(curation_queries.embedded(items.filter("NOT deleted")), qv, 40).filter("cosine <> 0")
-    cues = understood.select("query_id", F.explode(F.concat(F.transform("types", lambda v: F.struct(F.lit("type").alias("field"), v.alias("value"))), F.transform("kinds", lambda v: F.struct(F.lit("kind").alias("field"), v.alias("value"))))).alias("c")).select("query_id", "c.*")
-    hits = fusion.fuse(tables.written(lex, "words"), tables.written(near, "vectors"), items, understood, model.NOW, floor=0.2, cues=tables.written(views.cue_leg(items, cues), "cues"))
+    hits = fusion.fuse(lex, tables.written(near, "vectors"), items, understood, model.NOW, floor=0.2, cues=tables.written(views.cue_leg(items, cue_rows(understood)), "cues"))
     hits = tables.written(hits, "hits")
-    lit = lexical.snippets(hits, groups.select("query_id", "term").distinct(), docs).groupBy("query_id", "id").agg(F.min_by("snippet", F.array_position(F.array(*map(F.lit, search_queries.FIELDS)), F.col("field"))).alias("snippet"))
-    return hits.join(lit, ["query_id", "id"], "left").select("query_id", "id", "pos", F.round("score", 6).alias("score"), "reason", "snippet")
+    lit = lexical.snippets(idx, hits, groups, postings=postings).groupBy("query_id", "id").agg(F.min_by("snippet", F.array_position(F.array(*map(F.lit, search_queries.FIELDS)), F.col("field"))).alias("lit"))
+    bare = hits.join(lit, ["query_id", "id"], "left_anti").select("query_id", "id").join(understood.select("query_id", "tokens"), "query_id")
+    plain = items.select("id", F.col("extracted_text").alias("t")).join(bare, "id").select("query_id", "id", lexical.fallback_snippet(F.col("t"), F.col("tokens")).alias("plain"))
+    out = hits.join(lit, ["query_id", "id"], "left").join(plain, ["query_id", "id"], "left")
+    return out.select("query_id", "id", "pos", F.round("score", 6).alias("score"), "reason", F.coalesce("lit", "plain").alias("snippet"), "bm25_norm", "cosine", "matched_fields")
 
 
 @query("stems")
 def stems(spark, sf_dir):
     """Every term of the index with its stem."""
-    return lexical.normalize_vocabulary(search_queries.stored(spark, sf_dir).term_stats)
+    return lexical.normalize_vocabulary(search_queries.stored(spark, sf_dir).term_stats.select("term"))
 
 
 @query("write_index", f"WITH {search_queries.INDEX} SELECT p.term, p.id, p.field, p.tf, s.df FROM postings p JOIN term_stats s ON s.term = p.term")
 def write_index(spark, sf_dir):
     """The index written by buckets of terms and read back."""
-    path = tables.scratch(spark, "written-index")
-    tables.write_index(search_queries.stored(spark, sf_dir), path)
-    idx = tables.read_index(spark, path)
-    return idx.postings.join(idx.term_stats, "term").select("term", "id", "field", "tf", "df")
+    items = model.items(spark, sf_dir).select("id", *search_queries.FIELDS, "deleted")
+    idx = tables.stored_index(index.item_fields(items), "written-index", parts=False)
+    return idx.postings.join(idx.term_stats.select("term", "df"), "term").select("term", "id", "field", "tf", "df")

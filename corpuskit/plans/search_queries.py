@@ -35,13 +35,13 @@ lex AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY m
   SELECT o.query_id, o.id, o.pos, o.norm, 'or' FROM o1 o WHERE NOT EXISTS (SELECT 1 FROM a1 WHERE a1.query_id = o.query_id AND a1.id = o.id)))"""
 
 
-def _docs(spark, sf_dir):
-    return index.index_docs(model.items(spark, sf_dir).select("id", *FIELDS, "deleted"))
+def _fields(spark, sf_dir):
+    return index.item_fields(model.items(spark, sf_dir).select("id", *FIELDS, "deleted"))
 
 
-def stored(spark, sf_dir):
-    """The index of the items, written once."""
-    return tables.stored_index(_docs(spark, sf_dir))
+def stored(spark, sf_dir, parts=False):
+    """The index of the items, written once for all searches; with ``parts`` also what snippets need."""
+    return tables.shared_index(spark, [f"{sf_dir}/documents.parquet"], lambda: _fields(spark, sf_dir), parts)
 
 
 _index = stored
@@ -49,7 +49,7 @@ _index = stored
 
 @query("index_term_stats", f"WITH {INDEX} SELECT term, df FROM term_stats")
 def index_term_stats(spark, sf_dir):
-    return _index(spark, sf_dir).term_stats
+    return _index(spark, sf_dir).term_stats.select("term", "df")
 
 
 @query("index_postings", f"WITH {INDEX} SELECT term, id, field, tf FROM postings")
@@ -106,8 +106,7 @@ SELECT query_id, id, field, count(*) AS n FROM w JOIN ph ON w.t[i] = ph.t[1] AND
 def phrase_match(spark, sf_dir):
     words = F.slice(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)), 1, 2)
     phrases = model.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), words.alias("tokens"))
-    docs = index.index_docs(model.items(spark, sf_dir).select("id", "title", "extracted_text", "deleted"))
-    return lexical.phrase_match(index.positions(docs), phrases)
+    return lexical.phrase_match(_index(spark, sf_dir), phrases).filter("field IN ('title', 'extracted_text')")
 
 
 KNN = """u AS (SELECT item_id, chunk, role, model, collection_id, list_transform(vector, lambda x: CAST(x AS DOUBLE) / sqrt(list_sum(list_transform(vector, lambda y: CAST(y AS DOUBLE) * y)))) AS v FROM vectors),

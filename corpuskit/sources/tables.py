@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuskit.operators import index as index_ops
 from corpuskit.operators.index import Index
 
-BUCKETS = 64
+#: Buckets of terms in a stored index, and tasks that write one of them.
+BUCKETS, SPREAD = 64, 8
+_WRITTEN: dict[str, list[str]] = {}
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -21,7 +25,9 @@ def scratch(spark: SparkSession, name: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.conf.set("spark.checkpoint.dir", at := tempfile.mkdtemp(prefix="corpuskit-"))
-    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -46,32 +52,82 @@ def read_rows(rows: DataFrame, lists: list[str], objects: dict[str, str] | None
     return rows.withColumns(parsed)
 
 
-def write_index(index: Index, path: str, buckets: int = BUCKETS) -> None:
-    """Postings and term statistics by term bucket, so that a search reads the buckets of its terms only."""
-    bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket")
-    for name in ("postings", "term_stats"):
-        getattr(index, name).select("*", bucket).repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/{name}")
-    index.doc_stats.write.parquet(f"{path}/doc_stats")
-
-
-def read_index(spark: SparkSession, path: str) -> Index:
-    tables = [spark.read.parquet(f"{path}/{name}").drop("bucket") for name in ("postings", "doc_stats", "term_stats")]
-    totals = tables[1].agg(F.count("*").alias("n_docs"), (F.sum("n_tokens") / F.count("*")).alias("avg_tokens"))
-    return Index(*tables, totals)
-
-
-def stored_index(docs: DataFrame, name: str = "index") -> Index:
-    """The index of ``docs`` (id, field, text), each text tokenised once: the statistics come from the written postings."""
-    from corpuskit.operators.index import postings_of
-
-    spark = docs.sparkSession
-    path = scratch(spark, name)
-    postings_of(docs).write.parquet(f"{path}/postings")
-    postings = spark.read.parquet(f"{path}/postings")
-    doc_stats = docs.select("id").distinct().join(postings.groupBy("id").agg(F.sum("tf").alias("n")), "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n_tokens"))
-    doc_stats.write.parquet(f"{path}/doc_stats")
-    doc_stats = spark.read.parquet(f"{path}/doc_stats")
-    term_stats = postings.groupBy("term", "id").agg(F.lit(1).alias("one")).groupBy("term").agg(F.count("*").alias("df"))
-    term_stats.write.parquet(f"{path}/term_stats")
-    totals = doc_stats.agg(F.count("*").alias("n_docs"), (F.sum("n_tokens") / F.count("*")).alias("avg_tokens"))
-    return Index(postings, doc_stats, spark.read.parquet(f"{path}/term_stats"), totals)
+def fingerprint(spark: SparkSession, *paths: str) -> str:
+    """What the files under ``paths`` are: a number that changes with their names, sizes and times. Contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths)).select("path", "modificationTime", "length")
+    return f"{files.agg(F.sum(F.xxhash64('path', 'modificationTime', 'length').cast('decimal(38,0)')).alias('n')).first().n}"
+
+
+def write_index(fields: DataFrame, path: str, buckets: int = BUCKETS, parts: bool = True) -> None:
+    """The index of ``fields`` (``operators.index.item_fields``) at ``path``, each text tokenised once.
+
+    Postings and term statistics lie by bucket of their term, so that a search reads the buckets of its terms only. A
+    bucket is spread over ``SPREAD`` tasks by item, so that a frequent term is not one task's work, and sorted by term
+    in each file. Places are delta-packed (Parquet's second format, without a dictionary)."""
+    raw = index_ops.postings_of(fields)
+    bucket = F.when(F.col("term").isNull(), -1).otherwise(index_ops.bucket_of(F.col("term"), buckets)).cast("int")
+    spread = F.pmod(F.xxhash64("id"), F.lit(SPREAD)).cast("int")
+    dealt = raw.withColumn("bucket", bucket).repartition("bucket", spread).sortWithinPartitions("bucket", "term", "id")
+    packed = {"parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary#positions.list.element": "false"}
+    dealt.write.options(**packed).partitionBy("bucket").parquet(f"{path}/postings")
+    written = fields.sparkSession.read.parquet(f"{path}/postings")
+    stats = written.filter("bucket >= 0").groupBy("bucket", "term").agg(F.count_if("lead").alias("df"))
+    stats.repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/term_stats")
+    index_ops.totals_of(written.filter("bucket = -1").select(F.col("tf").alias("n_tokens"))).coalesce(1).write.parquet(f"{path}/totals")
+    if parts:
+        write_parts(fields, path)
+
+
+def write_parts(fields: DataFrame, path: str) -> None:
+    """The texts of the index cut into tokens, for snippets."""
+    index_ops.parts_of(fields).write.mode("overwrite").parquet(f"{path}/parts")
+
+
+def read_index(spark: SparkSession, path: str, buckets: int = BUCKETS, parts: bool = True) -> Index:
+    read = lambda name: spark.read.parquet(f"{path}/{name}")
+    postings = read("postings")
+    doc_stats = postings.filter("bucket = -1").select("id", F.col("tf").alias("n_tokens"))
+    return Index(postings.filter("bucket >= 0"), doc_stats, read("term_stats"), read("totals"), buckets, read("parts") if parts else None)
+
+
+def stored_index(fields: DataFrame, name: str = "index", parts: bool = True) -> Index:
+    """The index of ``fields``, written into the shared folder and read back."""
+    path = scratch(fields.sparkSession, name)
+    write_index(fields, path, parts=parts)
+    return read_index(fields.sparkSession, path, parts=parts)
+
+
+def shared_index(spark: SparkSession, sources: list[str], fields: Callable[[], DataFrame], parts: bool = False) -> Index:
+    """The stored index over the tables at ``sources``, built by the first search of this application that asks for it
+    and read by all later ones, until a file of the sources changes: then it is built anew and the old one deleted."""
+    key = (spark.sparkContext.applicationId, *sources)
+    mark = fingerprint(spark, *sources)
+    known = _SHARED.get(key)
+    if known is None or known[0] != mark:
+        path = scratch(spark, "shared-index")
+        write_index(fields(), path, parts=False)
+        if known is not None:
+            delete(spark, known[1])
+        known = _SHARED[key] = [mark, path, False]
+    if parts and not known[2]:
+        write_parts(fields(), known[1])
+        known[2] = True
+    return read_index(spark, known[1], parts=known[2])
+
+
+_SHARED: dict[tuple, list] = {}
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder that this library wrote, wherever Spark keeps it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove every table that this application wrote for reuse; frames that read them are of no use afterwards."""
+    app = spark.sparkContext.applicationId
+    for path in _WRITTEN.pop(app, []):
+        delete(spark, path)
+    for key in [k for k in _SHARED if k[0] == app]:
+        del _SHARED[key]
