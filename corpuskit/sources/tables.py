@@ -124,6 +124,13 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder, wherever Spark keeps it; none where it is missing."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(f.getPath().getName() for f in files.listStatus(at)) if files.exists(at) else []
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Remove every table that this application wrote for reuse; frames that read them are of no use afterwards."""
     app = spark.sparkContext.applicationId

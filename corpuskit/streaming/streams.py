@@ -6,11 +6,18 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from corpuskit.operators import index as index_ops
+from corpuskit.operators import vectors
+from corpuskit.operators.preparation import chunk_bodies
+from corpuskit.sources.tables import written
+from corpuskit.streaming.segments import Segments
+from corpuskit.streaming.stateful import group_complete, mark_repeats
+
+__all__ = ["group_complete", "index_sink", "mark_repeats", "next_status", "progress_stream", "read_index", "read_table", "read_vectors", "status_stream", "stream_dedupe", "stream_within", "table_sink", "vector_sink"]
 
 
 def stream_dedupe(captures: DataFrame, key: str, time: str = "ts", within: str = "30 days") -> DataFrame:
@@ -63,94 +70,61 @@ def status_stream(results: DataFrame) -> DataFrame:
 
 
 def table_sink(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
-    """For ``foreachBatch``: keeps the rows of every batch at ``path``, in a folder of its own, so a repeated batch gives
-    the same table and none is written again. ``read_table`` gives the last row of each key."""
+    """For ``foreachBatch``: the rows of a batch replace those of their keys in the table at ``path``. ``read_table``
+    gives the table. A repeated batch gives the same table; old folders are merged and removed as batches come."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        Segments(batch.sparkSession, path, keys).write(batch_id, {"rows": batch}, batch)
 
     return write
 
 
 def read_table(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     """The table that ``table_sink`` keeps: of each key the rows of the last batch that had it."""
-    rows = spark.read.option("basePath", path).parquet(f"{path}/batch=*")
-    return rows.withColumn("_last", F.max("batch").over(Window.partitionBy(*keys))).filter("batch = _last").drop("batch", "_last")
+    return Segments(spark, path, keys).read("rows")
 
 
 def index_sink(path: str) -> Callable[[DataFrame, int], None]:
-    """For ``foreachBatch`` over changed ``id, field, text``: keeps postings, statistics of items and of terms."""
+    """For ``foreachBatch`` over changed ``id, field, text``: keeps the index at ``path``, which ``read_index`` gives. A
+    batch has all fields of the items that it changes; an item whose texts are all null is taken out. Only changed items
+    are tokenised and written."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        if batch_id:
-            at = f"{path}/v{batch_id - 1}"
-            old = index_ops.Index(*(spark.read.parquet(f"{at}/{t}") for t in ("postings", "doc_stats", "term_stats", "totals")))
-            merged = index_ops.merge_index(old, batch)
-        else:
-            merged = index_ops.build_index(batch)
-        for name in ("postings", "doc_stats", "term_stats", "totals"):
-            getattr(merged, name).write.mode("overwrite").parquet(f"{path}/v{batch_id}/{name}")
+        raw = index_ops.postings_of(index_ops.gathered(batch.filter("text IS NOT NULL")))
+        Segments(batch.sparkSession, path, ["id"]).write(batch_id, {"postings": raw}, batch)
 
     return write
 
 
-def mark_repeats(captures: DataFrame, keep: str = "30 days") -> DataFrame:
-    """``id, key, first_id, repeated`` of ``id, key, ts``: each capture beside the first of its key. A key is forgotten
-    when nothing of it came for ``keep`` of event time, so state stays bounded; ``keep`` is the watermark too."""
-    span = int(pd.Timedelta(keep).total_seconds() * 1000)
+def read_index(spark: SparkSession, path: str) -> index_ops.Index:
+    return index_ops.index_of(Segments(spark, path, ["id"]).read("postings"))
 
-    def fold(key: tuple[Any, ...], parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        first = state.get[0] if state.exists else None
-        rows = pd.concat(list(parts)).sort_values(["ts", "id"])
-        first = int(rows["id"].iloc[0]) if first is None else first
-        state.update((first,))
-        state.setTimeoutTimestamp(max(int(rows["ts"].max().value // 1_000_000) + span, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"id": rows["id"], "key": key[0], "first_id": first, "repeated": rows["id"] != first})
 
-    return captures.withWatermark("ts", keep).groupBy("key").applyInPandasWithState(fold, "id long, key long, first_id long, repeated boolean", "first_id long", "append", GroupStateTimeout.EventTimeTimeout)
+def vector_sink(path: str, model: str, embed: Callable[[DataFrame], DataFrame] | None = None) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch`` over changed ``id, text`` (null: the item goes): keeps ``item_id, chunk, text_hash, model,
+    vector`` of all chunks of the texts. Items whose chunks are what is stored already are not embedded again.
+
+    embed: ``id, text`` to ``id, vector``; hashed vectors where none is given."""
+    embed = embed or vectors.hash_embed
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        store = Segments(batch.sparkSession, path, ["item_id"])
+        texts = batch.select("id", "text").filter("text IS NOT NULL")
+        wanted = chunk_bodies(texts, max_chunks=None).select(F.col("id").alias("item_id"), "chunk", F.sha2("text", 256).alias("text_hash"), F.lit(model).alias("model"), "text")
+        changed = batch.select(F.col("id").alias("item_id")).distinct()
+        if store.version(batch_id)[0] >= 0:
+            known = store.read("vectors").join(changed, "item_id", "left_semi")
+            empty = batch.join(texts.select("id"), "id", "left_anti").select(F.col("id").alias("item_id"))
+            changed = written(vectors.embedding_diff(known, wanted).unionByName(empty).distinct(), "changed")
+        fresh = written(wanted.join(changed, "item_id", "left_semi").withColumn("key", F.struct("item_id", "chunk")), "fresh")
+        made = embed(fresh.select(F.col("key").alias("id"), "text")).select(F.col("id").alias("key"), "vector")
+        rows = fresh.join(made, "key").select("item_id", "chunk", "text_hash", "model", "vector")
+        store.write(batch_id, {"vectors": rows}, changed)
+
+    return write
 
 
-def group_complete(events: DataFrame, gate_s: int = 90, late: str = "10 minutes") -> DataFrame:
-    """``batch_id, items, reason``: when a batch of captures is let go. events: ``batch_id, item_id, size, ts``, one for
-    each item that is indexed, ``size`` the items of its batch.
+def read_vectors(spark: SparkSession, path: str) -> DataFrame:
+    return Segments(spark, path, ["item_id"]).read("vectors")
 
-    A batch goes when all its items are in (``complete``), or at the first watermark ``gate_s`` seconds after its first
-    (``gate``); a batch of one at once (``single``), and an item that comes after its batch went is let go alone
-    (``late``). A batch is forgotten a day after it went."""
-    day = 86_400_000
 
-    def fold(key: tuple[Any, ...], parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen, gone, first = state.get if state.exists else ("", False, 0)
-        known = set(seen.split(",")) - {""}
-        out = []
-        if state.hasTimedOut:
-            if gone:
-                state.remove()
-                return
-            out.append((len(known), "gate"))
-            gone = True
-        else:
-            rows = pd.concat(list(parts)).sort_values(["ts", "item_id"])
-            for item, size, ts in zip(rows["item_id"], rows["size"], rows["ts"], strict=True):
-                if str(item) in known:
-                    continue
-                known.add(str(item))
-                first = first or int(ts.value // 1_000_000)
-                if gone:
-                    out.append((1, "late"))
-                elif size <= 1:
-                    out.append((1, "single"))
-                    gone = True
-                elif len(known) >= size:
-                    out.append((len(known), "complete"))
-                    gone = True
-        state.update((",".join(sorted(known)), gone, first))
-        wait = max(first + gate_s * 1000 + (day if gone else 0), state.getCurrentWatermarkMs() + 1)
-        state.setTimeoutTimestamp(wait)
-        yield pd.DataFrame([(key[0], n, reason) for n, reason in out], columns=["batch_id", "items", "reason"])
-
-    return events.withWatermark("ts", late).groupBy("batch_id").applyInPandasWithState(fold, "batch_id long, items int, reason string", "seen string, gone boolean, first long", "append", GroupStateTimeout.EventTimeTimeout)
