@@ -1,10 +1,11 @@
-"""Web pages: what their heads say of them, and the text that they carry. Expressions only, no parser by row."""
+"""Web pages: what their heads say of them, and the text that they carry. Pages are read by ``markup``; the rest is expressions."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuskit.operators.markup import read_pages
 from corpuskit.operators.preparation import canonical_url, type_links
 
 # Where each fact of a page is looked for, the first place that has it.
@@ -17,35 +18,18 @@ SOURCES = {
     "published": ("property=article:published_time", "name=article:published_time", "name=date", "name=pubdate", "name=publish_date", "property=og:updated_time", "name=citation_date", "name=citation_publication_date", "name=dc.date", "name=dc.date.issued"),
     "byline": ("name=author", "property=article:author", "name=twitter:creator"),
 }
-#: Tags whose ends part blocks of text, and elements that carry none of a page's own.
-BLOCKS = r"(?i)</?(p|div|article|section|main|h[1-6]|li|ul|ol|table|tr|td|th|blockquote|pre|br|hr|figure|figcaption|dl|dt|dd|form|body|html)\b[^>]*>"
-FURNITURE = r"(?is)<(script|style|noscript|template|svg|nav|header|footer|aside|form|iframe|head)\b[^>]*>.*?</(script|style|noscript|template|svg|nav|header|footer|aside|form|iframe|head)>"
-COMMENTS = r"(?s)<!--.*?-->"
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&mdash;", "—"), ("&ndash;", "–"), ("&hellip;", "…"), ("&amp;", "&"))
 #: A block of this many characters, or one that ends as a sentence, is text; with more of it in links it is a menu.
 BLOCK_CHARS, LINK_SHARE = 40, 0.5
 #: Below this many characters a page's text is but a part, and from ``READABLE`` on it is an article.
 PARTIAL, READABLE = 400, 1500
 
 
-def unescape(s: Column) -> Column:
-    for entity, plain in ENTITIES:
-        s = F.replace(s, F.lit(entity), F.lit(plain))
-    return s
-
-
 def clean(s: Column, n: int = 1000) -> Column:
-    """Entities resolved, white space collapsed, at most ``n`` characters; null for nothing."""
-    flat = F.trim(F.regexp_replace(unescape(s), r"\s+", " "))
+    """White space collapsed, at most ``n`` characters; null for nothing."""
+    flat = F.trim(F.regexp_replace(s, r"\s+", " "))
     return F.when(flat != "", F.substring(flat, 1, n))
 
 
-def attribute(tag: Column, name: str) -> Column:
-    """The value of an attribute of a tag, in whatever quotes; empty if it has none."""
-    value = lambda p: F.regexp_extract(tag, rf"(?i)[\s\"']{name}\s*=\s*{p}", 1)
-    return F.coalesce(*(F.when(value(p) != "", value(p)) for p in (r'"([^"]*)"', r"'([^']*)'", r"([^\s\"'>]+)")), F.lit(""))
-
-
 def absolute(href: Column, base: Column) -> Column:
     """An address against that of its page."""
     scheme = F.regexp_extract(base, r"(?i)^(https?):", 1)
@@ -56,24 +40,9 @@ def absolute(href: Column, base: Column) -> Column:
 
 
 def page_tags(pages: DataFrame) -> DataFrame:
-    """``page_id, pos, tag, key, value``: the tags of a page's head that say something of it: ``meta`` by name or
-    property, ``link`` by rel, the ``title``, the language of ``html``, the first ``time``, types in JSON-LD."""
-    bare = F.regexp_replace(F.coalesce("html", F.lit("")), COMMENTS, " ")
-    plain = F.regexp_replace(bare, r"(?is)<(script|style|noscript|template)\b[^>]*>.*?</(script|style|noscript|template)>", " ")
-    entry = lambda tag, key, value: F.struct(F.lit(tag).alias("tag"), key.alias("key"), value.alias("value"))
-    tags = lambda name: F.regexp_extract_all(plain, F.lit(rf"(?is)(<{name}\b[^>]*>)"), F.lit(1))
-    key = lambda t: F.when(attribute(t, "property") != "", F.concat(F.lit("property="), F.lower(attribute(t, "property")))).otherwise(F.concat(F.lit("name="), F.lower(attribute(t, "name"))))
-    metas = F.transform(tags("meta"), lambda t: entry("meta", key(t), attribute(t, "content")))
-    links = F.transform(tags("link"), lambda t: entry("link", F.concat_ws("|", F.lower(attribute(t, "rel")), F.lower(attribute(t, "sizes"))), attribute(t, "href")))
-    one = lambda tag, value: F.array(entry(tag, F.lit(tag), value))
-    title = F.regexp_extract(plain, r"(?is)<title\b[^>]*>(.*?)</title>", 1)
-    lang = attribute(F.regexp_extract(plain, r"(?is)(<html\b[^>]*>)", 1), "lang")
-    time = attribute(F.regexp_extract(plain, r"(?is)(<time\b[^>]*\bdatetime\b[^>]*>)", 1), "datetime")
-    data = F.regexp_extract_all(bare, F.lit(r"(?is)<script\b[^>]*application/ld\+json[^>]*>(.*?)</script>"), F.lit(1))
-    types = F.flatten(F.transform(data, lambda d: F.regexp_extract_all(d, F.lit(r'"@type"\s*:\s*"([^"]+)"'), F.lit(1))))
-    listed = F.transform(types, lambda t: entry("ld", F.lit("type"), t))
-    every = F.concat(metas, links, one("title", title), one("lang", lang), one("time", time), listed)
-    return pages.select("page_id", F.posexplode(every).alias("pos", "t")).select("page_id", "pos", "t.*").filter("value <> ''")
+    """``page_id, pos, tag, key, value``: the tags of a page that say something of it: ``meta`` by name or property,
+    ``link`` by rel, the ``title``, the language of ``html``, ``time``, types, dates and authors in JSON-LD."""
+    return read_pages(pages).select("page_id", F.posexplode("tags").alias("pos", "t")).select("page_id", "pos", "t.*")
 
 
 def page_metadata(pages: DataFrame) -> DataFrame:
@@ -90,8 +59,9 @@ def page_metadata(pages: DataFrame) -> DataFrame:
     icon = (F.col("tag") == "link") & F.col("key").rlike(r"^([^|]* )?(icon|apple-touch-icon)( [^|]*)?\|")
     points = F.when(F.col("key").contains("apple-touch"), 180).otherwise(F.coalesce(F.regexp_extract("key", r"(\d+)x\d+", 1).try_cast("int"), F.lit(32)))
     favicon = F.max_by("value", F.when(icon & (points <= 512), F.struct(points, -F.col("pos")))).alias("_icon")
-    types = F.slice(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(F.col("tag") == "ld", F.struct("pos", "value")))), lambda x: x["value"])), 1, 10).alias("ld_types")
-    facts = tags.groupBy("page_id").agg(*best.values(), only("title"), only("lang"), only("time"), canonical, og_url, favicon, types)
+    types = F.slice(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(F.col("key") == "type", F.struct("pos", "value")))), lambda x: x["value"])), 1, 10).alias("ld_types")
+    said = lambda key: F.min_by("value", F.when((F.col("tag") == "ld") & (F.col("key") == key), F.col("pos"))).alias(f"_{key}")
+    facts = tags.groupBy("page_id").agg(*best.values(), only("title"), only("lang"), only("time"), said("date"), said("author"), canonical, og_url, favicon, types)
     rows = pages.select("page_id", "url").join(facts, "page_id", "left")
     base = F.coalesce("url", F.lit(""))
     byline = clean(F.col("byline"), 120)
@@ -105,25 +75,40 @@ def page_metadata(pages: DataFrame) -> DataFrame:
         F.lower(clean(F.col("og_type"))).alias("og_type"),
         F.substring(clean(F.col("_lang")), 1, 16).alias("lang"),
         F.coalesce(absolute(clean(F.col("_icon"), 2000), base), absolute(F.lit("/favicon.ico"), base)).alias("favicon"),
-        F.coalesce(clean(F.col("published")), clean(F.col("_time"))).alias("published"),
-        F.when(~byline.rlike("^https?:"), F.regexp_replace(byline, "^@", "")).alias("byline"),
+        F.coalesce(clean(F.col("published")), clean(F.col("_time")), clean(F.col("_date"))).alias("published"),
+        F.coalesce(F.when(~byline.rlike("^https?:"), F.regexp_replace(byline, "^@", "")), clean(F.col("_author"), 120)).alias("byline"),
         F.coalesce("ld_types", F.array().cast("array<string>")).alias("ld_types"),
     )
 
 
+def paper_facts(pages: DataFrame) -> DataFrame:
+    """``page_id, title, authors, abstract, published, pdf_url, doi`` of pages that cite themselves as papers: those with
+    a ``citation_`` tag, which is taken first; the abstract may be the description."""
+    tags = page_tags(pages).filter("tag = 'meta'").withColumn("value", clean(F.col("value"), 10_000))
+    first = lambda *names: F.coalesce(*(F.min_by("value", F.when(F.col("key") == f"name={n}", F.col("pos"))) for n in names))
+    authors = F.transform(F.array_sort(F.collect_list(F.when(F.col("key") == "name=citation_author", F.struct("pos", "value")))), lambda a: a["value"])
+    facts = tags.groupBy("page_id").agg(
+        F.bool_or(F.col("key").startswith("name=citation_")).alias("cited"),
+        F.substring(first("citation_title"), 1, 300).alias("title"),
+        authors.alias("authors"),
+        first("citation_abstract", "description").alias("abstract"),
+        F.replace(first("citation_date", "citation_online_date"), F.lit("/"), F.lit("-")).alias("published"),
+        first("citation_pdf_url").alias("pdf_url"),
+        first("citation_doi").alias("doi"),
+    )
+    return facts.filter("cited").drop("cited")
+
+
 def page_text(pages: DataFrame, excerpt: int = 280) -> DataFrame:
     """``page_id, text, length, partial, excerpt``: the blocks of a page that read as text, a line each.
 
     Our own rule: what is no page's own (scripts, menus, heads and feet) goes, tags that part blocks become line ends, and
     a block stays that is long enough or ends as a sentence and is not mostly links. Without any the title stands in."""
-    body = F.regexp_replace(F.regexp_replace(F.coalesce("html", F.lit("")), COMMENTS, " "), FURNITURE, "\n")
-    blocks = F.split(F.regexp_replace(F.regexp_replace(body, r"[\r\n]+", " "), BLOCKS, "\n"), "\n")
-    strip = lambda x: F.trim(F.regexp_replace(unescape(F.regexp_replace(x, r"<[^>]*>", " ")), r"\s+", " "))
-    sized = F.transform(blocks, lambda b: F.struct(strip(b).alias("t"), strip(F.regexp_replace(b, r"(?i)<a\b[^>]*>.*?</a>", " ")).alias("own")))
-    good = F.filter(sized, lambda b: (F.length(b["t"]) > 0) & ((F.length(b["t"]) >= BLOCK_CHARS) | b["t"].rlike(r"[.!?…]$")) & (F.length(b["own"]) >= F.length(b["t"]) * (1 - LINK_SHARE)))
+    good = F.filter("blocks", lambda b: (F.length(b["t"]) > 0) & ((F.length(b["t"]) >= BLOCK_CHARS) | b["t"].rlike(r"[.!?…]$")) & (F.length(b["own"]) >= F.length(b["t"]) * (1 - LINK_SHARE)))
     text = F.array_join(F.transform(good, lambda b: b["t"]), "\n")
-    title = F.coalesce(clean(F.regexp_extract(F.coalesce("html", F.lit("")), r"(?is)<title\b[^>]*>(.*?)</title>", 1), 300), F.lit(""))
-    rows = pages.select("page_id", F.when(text != "", text).otherwise(title).alias("text"))
+    titles = F.filter("tags", lambda t: t["tag"] == "title")
+    title = F.coalesce(clean(F.get(titles, F.lit(0))["value"], 300), F.lit(""))
+    rows = read_pages(pages).select("page_id", F.when(text != "", text).otherwise(title).alias("text"))
     flat = F.regexp_replace("text", r"\s+", " ")
     cut = F.when(F.length(flat) <= excerpt, flat).otherwise(F.concat(F.rtrim(F.substring(flat, 1, excerpt - 1)), F.lit("…")))
     return rows.select("page_id", "text", F.length("text").alias("length"), (F.length("text") < PARTIAL).alias("partial"), cut.alias("excerpt"))
@@ -140,7 +125,5 @@ def refine_types(links: DataFrame, metadata: DataFrame, texts: DataFrame) -> Dat
 
 def page_links(pages: DataFrame) -> DataFrame:
     """``page_id, target, n``: the addresses that a page links to, canonical, with how often."""
-    plain = F.regexp_replace(F.coalesce("html", F.lit("")), COMMENTS, " ")
-    hrefs = F.transform(F.regexp_extract_all(plain, F.lit(r"(?is)(<a\b[^>]*>)"), F.lit(1)), lambda t: attribute(t, "href"))
-    rows = pages.select("page_id", F.col("url"), F.explode(hrefs).alias("href")).filter("href <> ''")
+    rows = read_pages(pages).select("page_id", "url", F.explode("links").alias("href")).filter("href <> ''")
     return rows.select("page_id", canonical_url(absolute(F.col("href"), F.col("url"))).alias("target")).filter("target IS NOT NULL").groupBy("page_id", "target").agg(F.count("*").alias("n"))

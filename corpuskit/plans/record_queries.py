@@ -116,8 +116,10 @@ def skip_children(spark, sf_dir):
 
 
 _UNESCAPE = "{x}"
-for _entity, _plain in pages.ENTITIES:
+for _entity, _plain in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
     _UNESCAPE = f"replace({_UNESCAPE}, '{_entity}', '" + _plain.replace("'", "''") + "')"
+_BLOCKS = r"(?i)</?(p|div|article|section|main|h[1-6]|li|ul|ol|table|tr|td|th|blockquote|pre|br|hr|figure|figcaption|dl|dt|dd|form|body|html)\b[^>]*>"
+_FURNITURE = r"(?is)<(script|style|noscript|template|svg|nav|header|footer|aside|form|iframe|head)\b[^>]*>.*?</(script|style|noscript|template|svg|nav|header|footer|aside|form|iframe|head)>"
 _CLEAN = "trim(regexp_replace(" + _UNESCAPE + r", '\s+', ' ', 'g'))"
 
 
@@ -128,8 +130,8 @@ def page_metadata(spark, sf_dir):
     return pages.page_metadata(model.table(spark, sf_dir, "pages")).select("page_id", "title", "lang", "favicon", "canonical")
 
 
-@query("page_text", rf"""WITH b AS (SELECT page_id, html, regexp_replace(regexp_replace(coalesce(html, ''), '(?s)<!--.*?-->', ' ', 'g'), '{pages.FURNITURE}', chr(10), 'g') AS h FROM pages),
-s AS (SELECT page_id, html, string_split(regexp_replace(regexp_replace(h, '[\r\n]+', ' ', 'g'), '{pages.BLOCKS}', chr(10), 'g'), chr(10)) AS blocks FROM b),
+@query("page_text", rf"""WITH b AS (SELECT page_id, html, regexp_replace(regexp_replace(coalesce(html, ''), '(?s)<!--.*?-->', ' ', 'g'), '{_FURNITURE}', chr(10), 'g') AS h FROM pages),
+s AS (SELECT page_id, html, string_split(regexp_replace(regexp_replace(h, '[\r\n]+', ' ', 'g'), '{_BLOCKS}', chr(10), 'g'), chr(10)) AS blocks FROM b),
 c AS (SELECT page_id, html, list_transform(blocks, lambda x: {{'t': trim(regexp_replace({_UNESCAPE.format(x=r"regexp_replace(x, '<[^>]*>', ' ', 'g')")}, '\s+', ' ', 'g')), 'own': trim(regexp_replace({_UNESCAPE.format(x=r"regexp_replace(regexp_replace(x, '(?i)<a\b[^>]*>.*?</a>', ' ', 'g'), '<[^>]*>', ' ', 'g')")}, '\s+', ' ', 'g'))}}) AS c FROM s),
 g AS (SELECT page_id, {_CLEAN.format(x=r"regexp_extract(coalesce(html, ''), '(?is)<title\b[^>]*>(.*?)</title>', 1)")} AS title, array_to_string(list_transform(list_filter(c, lambda b: length(b.t) > 0 AND (length(b.t) >= 40 OR regexp_matches(b.t, '[.!?…]$')) AND length(b.own) >= length(b.t) * 0.5), lambda b: b.t), chr(10)) AS text FROM c)
 SELECT page_id, CASE WHEN text <> '' THEN text ELSE substring(title, 1, 300) END AS text, length(CASE WHEN text <> '' THEN text ELSE substring(title, 1, 300) END) AS length, length(CASE WHEN text <> '' THEN text ELSE substring(title, 1, 300) END) < 400 AS partial FROM g""")
@@ -137,7 +139,9 @@ def page_text(spark, sf_dir):
     return pages.page_text(model.table(spark, sf_dir, "pages")).select("page_id", "text", "length", "partial")
 
 
-@query("page_links")
+@query("page_links", r"""WITH l AS (SELECT page_id, regexp_extract(url, '(?i)^(https?://[^/?#]+)', 1) AS origin, unnest(regexp_extract_all(regexp_replace(coalesce(html, ''), '(?s)<!--.*?-->', ' ', 'g'), '(?is)<a\b[^>]*?\shref="([^"]+)"', 1)) AS href FROM pages),
+a AS (SELECT page_id, CASE WHEN href LIKE 'http%' THEN href WHEN href LIKE '/%' THEN origin || href END AS u FROM l)
+SELECT page_id, 'https://' || regexp_replace(lower(regexp_extract(u, '^https?://([^/?#:]+)', 1)), '^(www|m|mobile|amp)\.', '') || regexp_replace(regexp_replace(regexp_extract(u, '^https?://[^/?#]+([^?#]*)', 1), '/+$', ''), '/(index|default)\.(html?|php|aspx?)$', '') || regexp_extract(u, '(\?[^#]+)', 1) AS target, count(*) AS n FROM a WHERE u IS NOT NULL GROUP BY ALL""".replace("\\\\", "\\"))
 def page_links(spark, sf_dir):
     return pages.page_links(model.table(spark, sf_dir, "pages"))
 
