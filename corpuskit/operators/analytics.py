@@ -58,8 +58,9 @@ def keywords(docs: DataFrame, k: int = 6) -> DataFrame:
 
 
 def entities(docs: DataFrame, k: int = 8) -> DataFrame:
-    """``id, name, pos``: distinct capitalised names of three letters or more, in order of appearance."""
-    found = docs.select("id", F.posexplode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"(?<![A-Za-z0-9_])([A-Z][A-Za-z0-9]+(?:[ -][A-Z][A-Za-z0-9]+)*)(?![A-Za-z0-9_])"), F.lit(1))).alias("at", "name"))
+    """``id, name, pos``: distinct capitalised names of three letters or more, in order of appearance. The pattern gives
+    nothing back once matched, so that names of any number of words are matched in a loop."""
+    found = docs.select("id", F.posexplode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"(?<![A-Za-z0-9_])([A-Z][A-Za-z0-9]++(?!_)(?:[ -][A-Z][A-Za-z0-9]++(?!_))*+)"), F.lit(1))).alias("at", "name"))
     kept = found.filter((F.length("name") >= 3) & ~F.lower("name").isin(KEYWORD_STOPWORDS)).groupBy("id", "name").agg(F.min("at").alias("at"))
     return kept.withColumn("pos", F.row_number().over(Window.partitionBy("id").orderBy("at"))).filter(F.col("pos") <= k).select("id", "name", "pos")
 

@@ -72,25 +72,50 @@ def validate_edges(plan: DataFrame, subjects: DataFrame, candidates: DataFrame,
 
 
 def validate_collections(plan: DataFrame, proposed: DataFrame, collections: DataFrame, items: DataFrame, suppressed: DataFrame) -> DataFrame:
-    """``proposal_id, reason, into, members``: null reason: a new collection with that many members.
-
-    plan: ``proposal_id, name, description, confidence``; proposed: ``proposal_id, item_id``; collections:
-    ``collection_id, name``; suppressed: ``name_key, item_id``. A name like that of a collection folds into it."""
+    """``proposal_id, reason, into, members``: null reason: a new collection with that many members. ``into`` is the
+    collection that a proposal folds into, ``into_proposal`` the accepted one of its plan.
+
+    plan: ``proposal_id, name, description, confidence`` and, where given, ``plan_id`` (else all are of one plan);
+    proposed: ``proposal_id, item_id``; collections: ``collection_id, name``; suppressed: ``name_key, item_id``. A name
+    like that of a collection folds into it, and so does one like that of a proposal of the plan that was accepted
+    before it, in the order of ids. What is asked of a proposal alone is joined; only proposals that are like an earlier
+    acceptable one of their plan are folded in order, each with the list of those."""
+    plan = plan if "plan_id" in plan.columns else plan.withColumn("plan_id", F.lit(0))
     named = plan.withColumn("name_key", normalize_name(F.coalesce("name", F.lit(""))))
     words = lambda name: F.array_distinct(F.filter(tokenize(name), lambda t: ~t.isin(NAME_STOPWORDS)))
-    terms = lambda df, c: df.select(F.col(c), F.explode(F.concat(words(F.col("name")), F.array(F.concat(F.lit("\u0000"), normalize_name(F.col("name")))))).alias("term"))
+    terms = lambda df, *c: df.select(*c, F.explode(F.concat(words(F.col("name")), F.array(F.concat(F.lit("\u0000"), normalize_name(F.col("name")))))).alias("term"))
+    alike = (normalize_name(F.col("n1")) == normalize_name(F.col("n2"))) | (name_similarity(F.col("n1"), F.col("n2")) >= NAME_FOLD)
     met = terms(plan, "proposal_id").join(terms(collections, "collection_id"), "term").select("proposal_id", "collection_id").distinct()
     pairs = met.join(plan.select("proposal_id", F.col("name").alias("n1")), "proposal_id").join(collections.select("collection_id", F.col("name").alias("n2")), "collection_id")
-    folds = pairs.filter((normalize_name(F.col("n1")) == normalize_name(F.col("n2"))) | (name_similarity(F.col("n1"), F.col("n2")) >= NAME_FOLD)).groupBy("proposal_id").agg(F.min("collection_id").alias("into"))
+    folds = pairs.filter(alike).groupBy("proposal_id").agg(F.min("collection_id").alias("into"))
     live = items.filter("NOT deleted").select(F.col("id").alias("item_id"))
     eligible = proposed.distinct().join(live, "item_id", "left_semi").join(named.select("proposal_id", "name_key"), "proposal_id").join(suppressed.select("name_key", "item_id"), ["name_key", "item_id"], "left_anti")
     counted = eligible.groupBy("proposal_id").agg(F.count("*").alias("members"))
     p = named.join(folds, "proposal_id", "left").join(counted, "proposal_id", "left").withColumn("members", F.coalesce("members", F.lit(0)))
-    reason = (
-        F.coalesce(name_problem(F.col("name")), F.when(F.col("into").isNotNull(), "folded"))
-    )
-    reason = F.coalesce(reason, F.when(F.length(F.trim(F.coalesce("description", F.lit("")))) < MIN_DESCRIPTION, "description").when(F.coalesce("confidence", F.lit(0.0)) < MIN_CONFIDENCE, "confidence").when(F.col("members") < MIN_MEMBERS, "members"))
-    return p.select("proposal_id", reason.alias("reason"), F.when(name_problem(F.col("name")).isNull(), F.col("into")).alias("into"), "members")
+    fixed = F.coalesce(name_problem(F.col("name")), F.when(F.col("into").isNotNull(), "folded"))
+    reason = F.coalesce(fixed, F.when(F.length(F.trim(F.coalesce("description", F.lit("")))) < MIN_DESCRIPTION, "description").when(F.coalesce("confidence", F.lit(0.0)) < MIN_CONFIDENCE, "confidence").when(F.col("members") < MIN_MEMBERS, "members"))
+    judged = p.select("plan_id", "proposal_id", "name", fixed.isNotNull().alias("fixed"), reason.alias("reason"), F.when(name_problem(F.col("name")).isNull(), F.col("into")).alias("into"), "members")
+    # A proposal that fails on its own is never in the way of another; one with a bad name, or folded already, is not asked.
+    good = judged.filter("reason IS NULL").select("plan_id", F.col("proposal_id").alias("earlier"), F.col("name").alias("n2"))
+    asked = judged.filter("NOT fixed").select("plan_id", "proposal_id", F.col("name").alias("n1"))
+    side = lambda df, i, n: terms(df.withColumnRenamed(n, "name"), "plan_id", i)
+    near = side(asked, "proposal_id", "n1").join(side(good, "earlier", "n2"), ["plan_id", "term"]).filter("earlier < proposal_id").select("plan_id", "proposal_id", "earlier").distinct()
+    near = near.join(asked, ["plan_id", "proposal_id"]).join(good, ["plan_id", "earlier"]).filter(alike).groupBy("plan_id", "proposal_id").agg(F.array_sort(F.collect_list("earlier")).alias("earlier"))
+    near = near.join(judged.select("proposal_id", F.col("reason").isNull().alias("good")), "proposal_id")
+
+    def fold(group: pd.DataFrame) -> pd.DataFrame:
+        out, taken = [], set()
+        for r in group.sort_values("proposal_id").itertuples():
+            into = next((e for e in r.earlier if e not in taken), None)
+            if into is not None:
+                taken.add(r.proposal_id)  # folded: in nobody's way
+                out.append((r.proposal_id, into))
+        return pd.DataFrame(out, columns=["proposal_id", "into_proposal"])
+
+    kind = dict(plan.dtypes)["proposal_id"]
+    folded = near.groupBy("plan_id").applyInPandas(fold, f"proposal_id {kind}, into_proposal {kind}")
+    out = judged.join(folded, "proposal_id", "left")
+    return out.select("proposal_id", F.when(F.col("into_proposal").isNotNull(), "folded").otherwise(F.col("reason")).alias("reason"), "into", "into_proposal", "members")
 
 
 def validate_names(requests: DataFrame, collections: DataFrame) -> DataFrame:

@@ -142,3 +142,11 @@ def acceptable_hits(hits: DataFrame, judgements: DataFrame, k: int = 3) -> DataF
     first = lambda role: F.min(F.when(F.col("role") == role, F.col("pos")))
     totals = found.groupBy("query_id").agg(F.count_if(F.col("role").isin("expected", "acceptable") & (F.col("pos") <= k)).alias("acceptable"), first("expected").alias("e"), first("after").alias("a"))
     return totals.select("query_id", "acceptable", (F.col("e").isNotNull() & F.coalesce(F.col("e") < F.col("a"), F.lit(True))).alias("in_order"))
+
+
+def recall(hits: DataFrame, exact: DataFrame) -> DataFrame:
+    """``queries, recall`` of one row: the mean share of each query's exact hits (``query_id, item_id``) that are among
+    ``hits``; null without any."""
+    wanted = exact.select("query_id", "item_id").join(hits.select("query_id", "item_id", F.lit(1).alias("there")), ["query_id", "item_id"], "left")
+    share = wanted.groupBy("query_id").agg((F.count("there") / F.count("*")).alias("share"))
+    return share.agg(F.count("*").alias("queries"), F.avg("share").alias("recall"))

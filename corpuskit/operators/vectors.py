@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -16,6 +18,8 @@ QUERY_BLOCK, VECTOR_BLOCK = 2000, 16384
 AT_ONCE = 256
 #: Vectors of a block that meets another in one task, about, and those of them that are multiplied at once.
 PAIR_BLOCK, PAIR_ROWS = 4096, 512
+#: Tables of hyperplanes, hyperplanes of a table, and buckets of a table that a query looks into, the likeliest first.
+TABLES, BITS, PROBES, SEED = 12, 8, 16, 7
 ROLE_WEIGHT = {"summary": 1.0, "body": 0.8}
 #: Texts that are hashed at once, and where the two hashes begin.
 HASH_ROWS, FNV_START, FNV_SIGN = 2048, 0x811C9DC5, 0x9747B28C
@@ -24,9 +28,12 @@ HASH_ROWS, FNV_START, FNV_SIGN = 2048, 0x811C9DC5, 0x9747B28C
 HASH_STOPWORDS = "a an the and or of to in on at by for with from as is are was were be it this that these those you your we our they their i my".split()
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int, summary_only: bool = False, floor: float | None = None, exclude_self: bool = False, include: DataFrame | None = None, exclude: DataFrame | None = None) -> DataFrame:
+def knn(vectors: DataFrame, queries: DataFrame, k: int, summary_only: bool = False, floor: float | None = None, exclude_self: bool = False, include: DataFrame | None = None, exclude: DataFrame | None = None, mode: str = "exact", tables: int = TABLES, bits: int = BITS, probes: int = PROBES) -> DataFrame:
     """``query_id, item_id, pos, score, cosine``: per query the best ``k`` items, each by its best chunk.
 
+    ``mode`` "exact" compares every query with every vector; "lsh" those that share a bucket of random hyperplanes, and
+    scores these exactly (see ``hashed_pairs``): most of the best, at a part of the work.
+
     vectors: ``item_id, chunk, role, vector``; queries: ``query_id, vector``; include, exclude: ``item_id``. Vectors
     without length, and those of another size than the query, take no part. Every query meets every vector as one matrix
     product a batch; only the ``k`` best items a query and batch leave it. Few queries are sent to all tasks, more are
@@ -40,7 +47,9 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, summary_only: bool = Fal
     v = v.select("item_id", weight.alias("weight"), F.col("vector").cast("array<double>").alias("v")).filter(F.size("v") > 0)
     q = queries.select("query_id", F.col("vector").cast("array<double>").alias("q")).filter(F.size("q") > 0)
     names = f"query_id {dict(q.dtypes)['query_id']}, item_id {dict(v.dtypes)['item_id']}, score double, cosine double"
-    if q.limit(QUERY_BLOCK + 1).count() <= QUERY_BLOCK:
+    if mode == "lsh":
+        found = hashed_pairs(q, v, k, floor, exclude_self, names, tables, bits, probes)
+    elif q.limit(QUERY_BLOCK + 1).count() <= QUERY_BLOCK:
         if floor is not None and not summary_only:
             v = v.repartition("item_id").sortWithinPartitions("item_id")  # the floor asks for the best chunk of all
         found = v.mapInArrow(_streamed(q.toArrow(), k, floor, exclude_self), names)
@@ -60,6 +69,53 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, summary_only: bool = Fal
     return best.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= k).select("query_id", "item_id", "pos", "score", "cosine")
 
 
+def signed(rows: DataFrame, column: str, tables: int, bits: int, probes: int = 1, seed: int = SEED) -> DataFrame:
+    """``rows`` once for each table and bucket: a bit says on which side of a random hyperplane the vector is. With more
+    ``probes`` also in the next likely buckets, those across the hyperplanes that the vector is nearest to. Vectors
+    without length are in none."""
+    names, at = rows.columns, rows.columns.index(column)
+
+    def run(batches):
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            for dims in np.unique(np.asarray(pc.fill_null(pc.list_value_length(table.column(at).combine_chunks()), 0))):
+                places, unit = _matrix(table.column(at), dims) if dims else (np.zeros(0, np.int64), None)
+                if not len(places):
+                    continue
+                planes = np.random.default_rng([seed, int(dims)]).normal(size=(int(dims), tables * bits))
+                flips = (np.arange(1 << bits)[:, None] >> np.arange(bits)) & 1
+                for lo in range(0, len(places), PAIR_ROWS):
+                    side = (unit[lo : lo + PAIR_ROWS] @ planes).reshape(-1, tables, bits)
+                    bucket = (side > 0) @ (1 << np.arange(bits))
+                    near = np.zeros((*bucket.shape, 1), np.int64) if probes <= 1 else np.argsort((side**2) @ flips.T, axis=2, kind="stable")[:, :, :probes]
+                    row, nth, _ = np.indices(near.shape)
+                    some = table.take(pa.array(places[lo + row.ravel()]))
+                    yield from some.append_column("table", pa.array(nth.ravel().astype(np.int32))).append_column("bucket", pa.array((bucket[:, :, None] ^ near).ravel().astype(np.int32))).combine_chunks().to_batches()
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.select(*names).mapInArrow(run, f"{fields}, table int, bucket int")
+
+
+def hashed_pairs(q: DataFrame, v: DataFrame, k: int, floor: float | None, exclude_self: bool, names: str, tables: int, bits: int, probes: int) -> DataFrame:
+    """The ``k`` best items of each bucket that a query looks into. Buckets of many vectors or queries are dealt into
+    blocks that meet one another; the sizes of buckets, ``tables * 2 ** bits`` rows at most, go through the driver to all tasks."""
+    asked, given = signed(q, "q", tables, bits, probes), signed(v, "v", tables, bits)
+    blocks = lambda df: df.groupBy("table", "bucket").agg(F.ceil(F.count("*") / VECTOR_BLOCK).alias("n"))
+    sizes = blocks(given).withColumnRenamed("n", "n_b").join(blocks(asked).withColumnRenamed("n", "n_a"), ["table", "bucket"])
+    deal = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), (F.col(n) - 1).cast("int")))
+    known = sizes.collect()
+    size = lambda: F.broadcast(q.sparkSession.createDataFrame(known, sizes.schema))
+    left = asked.join(size(), ["table", "bucket"]).withColumn("a", deal("query_id", "n_a")).withColumn("b", every("n_b"))
+    right = given.join(size(), ["table", "bucket"]).withColumn("b", deal("item_id", "n_b")).withColumn("a", every("n_a"))
+
+    def meet(some: pa.Table, others: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([_best(some, others, k, floor, exclude_self)])
+
+    key = ["table", "bucket", "a", "b"]
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(meet, names)
+
+
 def _streamed(asked: pa.Table, k: int, floor: float | None, exclude_self: bool):
     """The best of each batch; the rows of an item that a batch cuts wait for the next one."""
 
@@ -263,45 +319,61 @@ def embedding_diff(existing: DataFrame, wanted: DataFrame) -> DataFrame:
     return both.filter(~(F.col("h1").eqNullSafe(F.col("h2")) & F.col("m1").eqNullSafe(F.col("m2")))).select("item_id").distinct()
 
 
-def near_duplicates(items: DataFrame, title_key: Column, vectors: DataFrame | None = None, threshold: float = 0.95) -> DataFrame:
+def near_duplicates(items: DataFrame, title_key: Column, vectors: DataFrame | None = None, threshold: float = 0.95, mode: str = "lsh") -> DataFrame:
     """``a, b`` (a < b) of live items with one title key, domain and type, or of one type with summary vectors of cosine
-    ``threshold`` or more. Of each group by title the first is paired with each other: the rest follows from that, and a
-    large group stays as many rows as it has members. Near vectors give every pair, as they don't follow."""
+    ``threshold`` or more. Ids may be of any type that has an order.
+
+    Of each group by title, and of items of one type with equal vectors, the first is paired with each other: the rest
+    follows from that, and a large group stays as many rows as it has members. Of different vectors every near pair is
+    given: of those that share a bucket of hyperplanes (``mode`` "lsh"), or of all ("exact", quadratic)."""
     keyed = items.filter("NOT deleted").select("id", title_key.alias("title_key"), "domain", "type").filter("title_key <> ''")
     first = F.min("id").over(Window.partitionBy("title_key", "domain", "type"))
     titled = keyed.withColumn("a", first).filter("id <> a").select("a", F.col("id").alias("b"))
     if vectors is None:
         return titled
     live = items.filter("NOT deleted").select("id", F.col("type").alias("kind"))
-    v = vectors.filter("role = 'summary'").select(F.col("item_id").alias("id"), F.col("vector").cast("array<double>").alias("v"))
-    return titled.unionByName(near_pairs(v.join(live, "id"), threshold)).distinct()
-
-
-def near_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
-    """``a, b`` (a < b) of ``id, kind, v`` with one kind and size and cosine ``threshold`` or more, exactly.
-
-    Vectors are dealt into blocks by a hash of the id, and every block meets every block in a task of its own: a row is
-    sent once a block, and a task holds two blocks however many rows a kind has."""
-    rows = vectors.filter("v IS NOT NULL AND size(v) > 0")
-    blocks = max(1, -(-rows.count() // PAIR_BLOCK))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    dealt = dealt.select("id", "kind", "v", "block", F.size("v").alias("dims"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    rows = vectors.filter("role = 'summary'").select(F.col("item_id").alias("id"), F.col("vector").cast("array<double>").alias("v")).join(live, "id")
+    heads = rows.groupBy("kind", "v").agg(F.min("id").alias("id"))
+    copies = rows.join(heads.withColumnRenamed("id", "a"), ["kind", "v"]).filter("id <> a").select("a", F.col("id").alias("b"), "v")
+    zero = F.forall("v", lambda x: x == 0)
+    return titled.unionByName(copies.filter(~zero).drop("v")).unionByName(near_pairs(heads, threshold, mode)).distinct()
+
+
+def near_pairs(vectors: DataFrame, threshold: float, mode: str = "exact") -> DataFrame:
+    """``a, b`` (a < b) of ``id, kind, v`` with one kind and size and cosine ``threshold`` or more.
+
+    "exact": vectors are dealt into blocks by a hash of the id, and every block meets every block in a task of its own: a
+    row is sent once a block, and a task holds two blocks however many rows a kind has. "lsh": the same within each
+    bucket of as many hyperplanes that vectors of the threshold share one of ``TABLES`` with 95 %, up to 16 of them."""
+    rows = vectors.filter("v IS NOT NULL AND size(v) > 0").select("id", "kind", "v")
+    share = ["kind"]
+    if mode == "lsh":
+        side = 1 - math.acos(min(1.0, max(-1.0, threshold))) / math.pi  # two vectors of the threshold are on one side of a plane
+        bits = max(1, min(16, int(math.log(1 - 0.05 ** (1 / TABLES)) / math.log(min(side, 0.999)))))
+        rows, share = signed(rows, "v", TABLES, bits), ["kind", "table", "bucket"]
+        blocks = rows.groupBy(*share).agg(F.ceil(F.count("*") / PAIR_BLOCK).alias("blocks"))
+        rows = rows.join(blocks, share)
+    else:
+        rows = rows.withColumn("blocks", F.lit(max(1, -(-rows.count() // PAIR_BLOCK))))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
+    dealt = dealt.select("id", *share, "v", "block", F.size("v").alias("dims"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
 
     def meet(group: pa.Table) -> pa.Table:
         dims = group["dims"][0].as_py()
         values = group["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
         norms = np.linalg.norm(values, axis=1)
-        keep = norms > 0
-        unit, ids = values[keep] / norms[keep, None], group["id"].to_numpy()[keep]
+        keep = np.flatnonzero(norms > 0)
+        unit, ids = values[keep] / norms[keep, None], group["id"].combine_chunks().take(pa.array(keep))
         block, i, j = group["block"].to_numpy()[keep], group["i"][0].as_py(), group["j"][0].as_py()
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         found = [np.zeros((2, 0), np.int64)]
         for at in range(0, len(left), PAIR_ROWS):
             some = left[at : at + PAIR_ROWS]
             x, y = np.nonzero(np.round(unit[some] @ unit[right].T, 9) >= threshold)
-            found.append(np.stack([ids[some[x]], ids[right[y]]]))
+            found.append(np.stack([some[x], right[y]]))
         a, b = np.concatenate(found, axis=1)
-        a, b = np.minimum(a, b), np.maximum(a, b)
-        return pa.table({"a": a[a < b], "b": b[a < b]}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+        return pa.table({"x": ids.take(pa.array(a[a != b])), "y": ids.take(pa.array(b[a != b]))})
 
-    return dealt.groupBy("kind", "dims", "i", "j").applyInArrow(meet, "a long, b long").distinct()
+    kind = vectors.schema["id"].dataType.simpleString()
+    met = dealt.groupBy(*share, "dims", "i", "j").applyInArrow(meet, f"x {kind}, y {kind}")
+    return met.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()

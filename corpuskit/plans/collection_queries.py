@@ -114,9 +114,9 @@ def validate_edges(spark, sf_dir):
 
 @query("validate_collections")
 def validate_collections(spark, sf_dir):
-    """Every document's title proposed as a collection of its neighbours."""
+    """Every document's title proposed as a collection of its neighbours, fifty a plan."""
     items = model.items(spark, sf_dir)
-    plan = items.select(F.col("id").alias("proposal_id"), F.when(F.col("id") % 7 == 0, "Tools").when(F.col("id") % 7 == 1, F.concat_ws(" ", F.lit("texts of"), "domain")).otherwise(F.col("title")).alias("name"), F.substring("extracted_text", 1, 60).alias("description"), (F.col("id") % 10 / 10.0).alias("confidence"))
+    plan = items.select(F.col("id").alias("proposal_id"), F.when(F.col("id") % 7 == 0, "Tools").when(F.col("id") % 7 == 1, F.concat_ws(" ", F.lit("texts of"), "domain")).otherwise(F.col("title")).alias("name"), F.substring("extracted_text", 1, 60).alias("description"), (F.col("id") % 10 / 10.0).alias("confidence"), F.floor(F.col("id") / 50).alias("plan_id"))
     proposed = items.select(F.col("id").alias("proposal_id"), F.explode(F.array("id", F.col("id") + 1, F.col("id") + 2)).alias("item_id"))
     off = plan.filter("proposal_id % 4 = 0").select(normalize_name(F.col("name")).alias("name_key"), F.col("proposal_id").alias("item_id"))
     return collections.validate_collections(plan, proposed, collection_rows(spark, sf_dir), items, off)

@@ -131,6 +131,15 @@ def similar_items(spark, sf_dir):
     return vectors.knn(v, q, 10, summary_only=True, floor=0.3, exclude_self=True).withColumns({c: F.round(c, 6) for c in ("score", "cosine")})
 
 
+@query("lsh_recall", f"WITH {model.VECTORS} SELECT count(DISTINCT item_id) AS queries, true AS enough FROM vectors WHERE role = 'summary' AND item_id % 20 = 0")
+def lsh_recall(spark, sf_dir):
+    """The nearest items by buckets of hyperplanes against the exact ones: nine of ten are found, or more."""
+    v = model.vectors(spark, sf_dir)
+    q = v.filter("role = 'summary' AND item_id % 20 = 0").select(F.col("item_id").alias("query_id"), "vector")
+    found = fusion.recall(vectors.knn(v, q, 10, mode="lsh", tables=16), vectors.knn(v, q, 10))
+    return found.select("queries", (F.col("recall") >= 0.9).alias("enough"))
+
+
 @query("centroids", f"""WITH {model.VECTORS}, {KNN}, s AS (SELECT collection_id, i, sum(v[i]) AS x, count(*) AS n FROM u, range(1, 65) r(i) WHERE role = 'summary' GROUP BY collection_id, i)
 SELECT collection_id, max(n) AS n, round(sqrt(sum(x * x)), 6) AS length, round(arg_min(x, i) / sqrt(sum(x * x)), 6) AS first FROM s GROUP BY collection_id""")
 def centroids(spark, sf_dir):
