@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpuskit.functions.text import normalize_name
-from corpuskit.operators import curation, fusion, lexical, preparation, vectors
+from corpuskit.operators import curation, fusion, history, lexical, preparation, vectors
 from corpuskit.plans import model, search_queries
 from corpuskit.plans.catalog import query
 
@@ -202,6 +202,42 @@ def hybrid_search_full(spark, sf_dir):
     return fusion.fuse(lex, hits, items, q, model.NOW, floor=0.2).select("query_id", "id", "pos", F.round("score", 6).alias("score"))
 
 
+def _history(spark, sf_dir):
+    """The event log as an audit log: what runs (users) did to links, members and items."""
+    e, v = model.table(spark, sf_dir, "events"), F.col("event_id")
+    kind = F.col("event_type")
+    action = F.when(kind == "signup", "add_member").when(kind == "view", "create_link").when(kind == "click", "remove_link").when(kind == "purchase", "update_item").otherwise("remove_member")
+    return e.select(
+        v.alias("seq"), F.col("user_id").cast("long").alias("run_id"), F.when(F.col("value") > 50, "agent").otherwise("user").alias("actor"), action.alias("action"), (v % 5).alias("collection_id"), (v % 23).alias("item_id"), (v * 7 % 23 + 23).alias("other_id"),
+        F.lit("related_to").alias("name"), F.concat(F.lit("was "), v.cast("string")).alias("before"), F.concat(F.lit("f"), (v % 3).cast("string")).alias("field"), F.lit(None).cast("array<bigint>").alias("ids"), (F.col("value") > 180).alias("undone"),
+    )
+
+
+@query("undo_runs", """WITH h AS (SELECT event_id AS seq, user_id AS run_id, CASE WHEN value > 50 THEN 'agent' ELSE 'user' END AS actor, CASE event_type WHEN 'signup' THEN 'add_member' WHEN 'view' THEN 'create_link' WHEN 'click' THEN 'remove_link' WHEN 'purchase' THEN 'update_item' ELSE 'remove_member' END AS action,
+  event_id % 5 AS collection_id, event_id % 23 AS item_id, event_id * 7 % 23 + 23 AS other_id, 'was ' || event_id AS before, 'f' || event_id % 3 AS field FROM events WHERE NOT value > 180 AND user_id % 3 = 0),
+ok AS (SELECT *, NOT ((action = 'remove_member' AND (collection_id >= 4 OR item_id >= 20)) OR (action = 'remove_link' AND (item_id >= 20 OR other_id >= 40)) OR (action = 'update_item' AND item_id >= 20)) AS good FROM h),
+m AS (SELECT collection_id AS a, item_id AS b, arg_min(action, seq) = 'remove_member' AS present FROM ok WHERE good AND action LIKE '%member' GROUP BY ALL),
+ms AS (SELECT collection_id AS a, item_id AS b, arg_min(action, seq) = 'add_member' AS present FROM ok WHERE good AND (action = 'remove_member' OR (action = 'add_member' AND actor = 'agent')) GROUP BY ALL),
+ns AS (SELECT item_id AS b, 'c' || collection_id AS value, arg_min(action, seq) = 'add_member' AS present FROM ok WHERE good AND collection_id < 4 AND (action = 'remove_member' OR (action = 'add_member' AND actor = 'agent')) GROUP BY ALL),
+l AS (SELECT item_id AS a, other_id AS b, arg_min(action, seq) = 'remove_link' AS present FROM ok WHERE good AND action LIKE '%link' GROUP BY ALL),
+ls AS (SELECT item_id AS a, other_id AS b, arg_min(action, seq) = 'create_link' AS present FROM ok WHERE good AND (action = 'remove_link' OR (action = 'create_link' AND actor = 'agent')) GROUP BY ALL),
+i AS (SELECT item_id AS a, field AS text, arg_min(before, seq) AS value FROM ok WHERE good AND action = 'update_item' GROUP BY ALL)
+SELECT 'entry' AS kind, NULL::BIGINT AS a, NULL::BIGINT AS b, NULL::VARCHAR AS text, CASE WHEN NOT good THEN 'gone' END AS value, NULL::BOOLEAN AS present, seq FROM ok
+UNION ALL SELECT 'member', a, b, NULL, NULL, present, NULL FROM m UNION ALL SELECT 'suppression', a, b, 'member', NULL, present, NULL FROM ms
+UNION ALL SELECT 'suppression', NULL, b, 'name', value, present, NULL FROM ns UNION ALL SELECT 'link', a, b, 'related_to', NULL, present, NULL FROM l
+UNION ALL SELECT 'suppression', a, b, 'link', NULL, present, NULL FROM ls UNION ALL SELECT 'item', a, NULL, text, value, NULL, NULL FROM i""")
+def undo_runs(spark, sf_dir):
+    """All runs of every third user undone: links, members and fields as they were, what an agent did suppressed."""
+    log = _history(spark, sf_dir)
+    ids = lambda n, name: spark.range(n).select(F.col("id").alias(name))
+    collections = ids(4, "collection_id").withColumn("name", F.concat(F.lit("C"), F.col("collection_id").cast("string")))
+    items = ids(40, "id").filter("id < 20 OR id >= 23")
+    members = ids(4, "collection_id").crossJoin(ids(20, "item_id")).filter("(collection_id + item_id) % 2 = 0")  # eighty rows
+    links = items.select(F.col("id").alias("source_id"), (F.col("id") + 1).alias("target_id"), F.lit("related_to").alias("type"))
+    runs = log.filter("run_id % 3 = 0").select("run_id")
+    return history.undo_entries(log, history.of_runs(log, runs), collections, members, items, links)
+
+
 @query("near_duplicates", rf"""WITH {model.ITEMS}, {model.VECTORS}, live AS (SELECT id, type, domain, trim(regexp_replace(regexp_replace(lower(title), '[\p{{P}}\p{{S}}]+', ' ', 'g'), '\s+', ' ', 'g')) AS k FROM items WHERE NOT deleted),
 t AS (SELECT min(id) OVER (PARTITION BY k, domain, type) AS a, id AS b FROM live WHERE k <> ''),
 u AS (SELECT l.id, l.type, list_transform(v.vector, lambda x: CAST(x AS DOUBLE) / sqrt(list_sum(list_transform(v.vector, lambda y: CAST(y AS DOUBLE) * y)))) AS v FROM vectors v JOIN live l ON l.id = v.item_id WHERE v.role = 'summary')

@@ -68,8 +68,8 @@ def test_new_collections_fold_within_their_plan(spark):
     """Against the fold written out: each accepted proposal is known to those after it."""
     rng = np.random.default_rng(2)
     words = ["rust", "async", "garden", "plans", "music", "theory"]
-    plan = [(n, n % 4, " ".join(rng.choice(words, rng.integers(1, 4))).title() + " Notes", "What belongs here and also why", float(rng.choice([0.2, 0.9, 0.95]))) for n in range(160)]
-    plan += [(900, 9, "Same Name Here", "A description of what it is for", 0.9), (901, 9, "Same Name Here", "A description of what it is for", 0.9), (902, 9, "Other Name There", "x", 0.9), (903, 9, "Other Name There", "A description of what it is for", 0.9), (904, 9, "Known Topic Alpha", "A description of what it is for", 0.9), (905, 9, "Known Topic Alpha", "A description of what it is for", 0.9)]
+    plan = [(n, n % 4, " ".join(rng.choice(words, rng.integers(1, 4))).title() + " Notes", "What belongs here and also why it does, at length", float(rng.choice([0.2, 0.9, 0.95]))) for n in range(160)]
+    plan += [(900, 9, "Same Name Here", "A description of what it is for, long enough to pass", 0.9), (901, 9, "Same Name Here", "A description of what it is for, long enough to pass", 0.9), (902, 9, "Other Name There", "x", 0.9), (903, 9, "Other Name There", "A description of what it is for, long enough to pass", 0.9), (904, 9, "Known Topic Alpha", "A description of what it is for, long enough to pass", 0.9), (905, 9, "Known Topic Alpha", "A description of what it is for, long enough to pass", 0.9)]
     proposed = [(p[0], i) for p in plan for i in (1, 2, 3, 4)]
     frame = spark.createDataFrame(plan, "proposal_id long, plan_id long, name string, description string, confidence double")
     items = spark.createDataFrame([(i, False) for i in range(6)], "id long, deleted boolean")
