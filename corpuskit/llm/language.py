@@ -10,7 +10,8 @@ Text is first folded: case is dropped, every run of characters that are no lette
 stands anywhere in the samples counts as itself; a letter outside all of them matches nothing.
 
 Defined results: a null text or one without a letter is ``und`` with score 0, and as a labelled row it teaches nothing;
-without any usable label every text is ``und``; more than ``MOST_LANGUAGES`` labels raise an error; ties go to the
+without any usable label every text is ``und``; of more than ``LANGUAGES`` labels those with the most
+rows are learned; ties go to the
 language first in code-point order; repeated rows give repeated results; extra columns are ignored.
 """
 
@@ -33,15 +34,16 @@ UNDETERMINED = "und"
 #: Bounds of the fit: labelled rows a language, folded characters a language, and folded characters in all. Languages
 #: share the last alike, and the rows of a language share its characters: long ones give up what short ones need.
 ROWS, CHARS, ALL_CHARS = 48, 24_000, 120_000
-#: Labels that a fit can tell apart.
-MOST_LANGUAGES = 1_000
+#: Labels that a fit learns, those with the most rows.
+LANGUAGES = 100_000
 #: Characters of a piece: how many texts are parsed in step follows from it, no result does.
 PIECE = 256
 #: Bytes of text that are parsed at once, about.
 BATCH = 1 << 20
 #: Cells up to which an automaton's steps are a table; a larger one is hashed.
 TABLE = 3 << 20
-#: Above this many phrases a letter, a text of this length or more is like none of the languages.
+#: Above this many phrases a letter, a text of this many characters or more is like none of the languages; shorter ones
+#: have too few phrases to tell, and are kept.
 ALIEN, ALIEN_CHARS = 0.75, 64
 
 
@@ -179,11 +181,11 @@ class Edges:
 
 
 def share_of(languages: int, chars: int = CHARS, all_chars: int = ALL_CHARS) -> int:
-    """Characters that each language gets."""
-    return min(chars, all_chars // max(1, languages))
+    """Characters that each language gets, one at least."""
+    return max(1, min(chars, all_chars // max(1, languages)))
 
 
-def labelled_sample(docs: DataFrame, rows: int = ROWS, chars: int = CHARS, all_chars: int = ALL_CHARS) -> DataFrame:
+def labelled_sample(docs: DataFrame, rows: int = ROWS, chars: int = CHARS, all_chars: int = ALL_CHARS, most: int = LANGUAGES) -> DataFrame:
     """``lang, r, text``: the first labelled rows with a letter of each language by a hash of the id, at most ``rows``,
     cut to the characters of a language. Ranks are cut before each shuffle, so a task sends ``rows`` rows a language."""
     usable = F.col("lang").isNotNull() & (F.col("lang") != UNDETERMINED) & F.col("text").rlike(r"\p{L}")
@@ -191,20 +193,21 @@ def labelled_sample(docs: DataFrame, rows: int = ROWS, chars: int = CHARS, all_c
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
     cuts = known.select("lang", "h").withColumn("r", rank).filter(F.col("r") <= rows).groupBy("lang").agg(F.max("h").alias("cut"))
     cuts = materialize(cuts, "language-cuts")
-    languages = cuts.limit(MOST_LANGUAGES + 1).count()
-    if languages > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages to learn")
+    languages = cuts.limit(most + 1).count()
+    if languages > most:
+        often = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most)
+        cuts, languages = cuts.join(often, "lang", "left_semi"), most
     near = known.join(F.broadcast(cuts), "lang").filter(F.col("h") <= F.col("cut"))
     near = near.select("lang", "h", F.substring("text", 1, share_of(languages, chars, all_chars)).alias("text"))
     order = Window.partitionBy("lang").orderBy("h", "text")
     return near.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= rows).select("lang", "r", "text")
 
 
-def fit(docs: DataFrame, rows: int = ROWS, chars: int = CHARS, all_chars: int = ALL_CHARS) -> Model:
-    """Automata of a bounded sample of the labelled rows: at most ``rows`` rows and ``chars`` characters a language. The
-    driver gets ``rows * all_chars`` characters at most."""
+def fit(docs: DataFrame, rows: int = ROWS, chars: int = CHARS, all_chars: int = ALL_CHARS, most: int = LANGUAGES) -> Model:
+    """Automata of a bounded sample of the labelled rows: at most ``rows`` rows and ``chars`` characters a language, and
+    ``most`` languages. The driver gets ``rows * max(all_chars, most)`` characters at most."""
     by_lang: dict[str, list[str]] = {}
-    for row in labelled_sample(docs, rows, chars, all_chars).orderBy("lang", "r").collect():
+    for row in labelled_sample(docs, rows, chars, all_chars, most).orderBy("lang", "r").collect():
         by_lang.setdefault(row.lang, []).append(row.text)
     return model_of(by_lang, chars, all_chars)
 
@@ -221,12 +224,12 @@ def fair_cut(sizes: list[int], room: int) -> int:
 def model_of(by_lang: dict[str, list[str]], chars: int = CHARS, all_chars: int = ALL_CHARS) -> Model:
     languages = tuple(sorted(by_lang))
     is_letter, lower = _letters()
-    count = np.zeros(0x110000, dtype=np.int64)
+    count = np.zeros(0x110000, dtype=bool)
     points = {}
     for lang in languages:
         points[lang] = [code_points([t]) for t in by_lang[lang]]
         for p in points[lang]:
-            count += np.bincount(lower[p[is_letter[p]]], minlength=0x110000)
+            count[lower[p[is_letter[p]]]] = True
     letters = tuple(np.flatnonzero(count).tolist())
     classes = fold_classes(letters)
     blank, n = len(letters) + 2, len(letters) + 3
@@ -369,8 +372,9 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(lean(run), "doc_id long, lang_pred string, score double, rate double")
 
 
-def accepted(docs: DataFrame, model: Model) -> DataFrame:
-    """The documents with a language, all columns as they were: neither ``und`` nor alien to every language learned.
+def accepted(docs: DataFrame, model: Model, alien: float = ALIEN, alien_chars: int = ALIEN_CHARS) -> DataFrame:
+    """The documents with a language, all columns as they were: neither ``und`` nor, from ``alien_chars`` characters on,
+    alien to every language learned: of more than ``alien`` phrases a letter in the nearest one.
 
     Ids need not tell rows apart, so the text travels with its row through the same parse."""
     spark = docs.sparkSession
@@ -381,9 +385,9 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
         parser = Parser(shared.value)
         for batch in batches:
             lang, _, rate = _predict(parser, batch.column(at))
-            long = pc.greater_equal(pc.fill_null(pc.utf8_length(batch.column(at)), 0), ALIEN_CHARS)
-            alien = pc.and_(long, pa.array([r > ALIEN for r in rate]))
-            yield batch.filter(pc.and_not(pa.array([x != UNDETERMINED for x in lang]), alien))
+            long = pc.greater_equal(pc.fill_null(pc.utf8_length(batch.column(at)), 0), alien_chars)
+            strange = pc.and_(long, pa.array([r > alien for r in rate]))
+            yield batch.filter(pc.and_not(pa.array([x != UNDETERMINED for x in lang]), strange))
 
     return docs.mapInArrow(lean(run), docs.schema)
 

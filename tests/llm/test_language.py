@@ -108,3 +108,23 @@ def test_rows_share_the_characters_of_a_language():
     model = language.model_of({"x": ["a" * 1000, "the rest of it"]}, 100, 100)
     got, _ = language.Parser(model).phrases(["the rest of it"])
     assert got[0, 0] == 1
+
+
+def test_many_labels(spark):
+    """Of 1,500 labels each is learned, from its share of the letters; a bound keeps those with the most rows."""
+    letters = [chr(0x4E00 + i) for i in range(1500)]
+    rows = [(i, f"l{i:04d}", c * 30, None) for i, c in enumerate(letters)] + [(5000 + i, "l0007", letters[7] * 30, None) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string, source string")
+    model = language.fit(docs)
+    assert len(model.languages) == 1500
+    got = {r.doc_id: r.lang_pred for r in language.identify(docs.filter("doc_id IN (3, 700, 1499)"), model).collect()}
+    assert got == {3: "l0003", 700: "l0700", 1499: "l1499"}
+    few = language.fit(docs, most=2)
+    assert few.languages == ("l0000", "l0007")
+
+
+def test_short_texts_are_not_alien(spark):
+    docs = spark.createDataFrame([(1, "en", "the quick brown fox and the dog " * 20), (2, None, "qzx" * 10), (3, None, "qzxvjk wpq zzk xqj " * 10)], "doc_id long, lang string, text string")
+    model = language.fit(docs)
+    kept = lambda **k: {r.doc_id for r in language.accepted(docs, model, **k).collect()}
+    assert kept() == {1, 2} and kept(alien_chars=1) == {1} and kept(alien=9.0) == {1, 2, 3}
