@@ -11,8 +11,16 @@ from pyspark.sql import functions as F
 
 from corpuskit.functions.text import tokenize
 from corpuskit.operators.index import FIELD_WEIGHTS, POSTING, Index, pruned, term_stats_of
+from corpuskit.sources.tables import written
 
 K1, B = 1.2, 0.75
+#: Rows of what queries ask for (terms, groups, hits) up to which they are sent to all tasks, so that the index stays where it is.
+SENT_ROWS = 100_000
+
+
+def sent(df: DataFrame) -> DataFrame:
+    """``df`` to be sent to all tasks if it is counted to be small, else to be joined as Spark sees fit."""
+    return F.broadcast(df) if df.limit(SENT_ROWS + 1).count() <= SENT_ROWS else df
 
 # Words that stand for each other.
 SYNONYMS = {
@@ -52,7 +60,7 @@ def with_prefixes(groups: DataFrame, index: Index, min_chars: int = 2) -> DataFr
     last = groups.withColumn("last", F.max("group_no").over(Window.partitionBy("query_id"))).filter((F.col("group_no") == F.col("last")) & F.col("main") & (F.length("term") >= min_chars))
     heads = last.select("query_id", "group_no", F.col("term").alias("prefix"), F.substring("term", 1, 2).alias("head"))
     vocabulary = index.term_stats.select("term", F.substring("term", 1, 2).alias("head"))
-    found = heads.join(vocabulary, "head").filter(F.col("term").startswith(F.col("prefix"))).select("query_id", "group_no", "term")
+    found = vocabulary.join(sent(heads), "head").filter(F.col("term").startswith(F.col("prefix"))).select("query_id", "group_no", "term")
     return groups.select("query_id", "group_no", "term").unionByName(found).distinct()
 
 
@@ -78,11 +86,11 @@ def phrase_postings(words: DataFrame, phrases: DataFrame) -> DataFrame:
     place in the phrase, are intersected; a word that the phrase has twice counts for each."""
     split = phrases.select(F.col("term").alias("phrase")).distinct().withColumn("w", F.split("phrase", " "))
     each = split.select("phrase", F.size("w").alias("size"), F.posexplode("w").alias("at", "term"))
-    stats = words.select("term", "df").distinct()
+    stats = words.groupBy("term").agg(F.max("df").alias("df"))
     rarest = each.join(stats, "term").groupBy("phrase").agg(F.min(F.struct("df", "at")).alias("r")).select("phrase", F.col("r.at").alias("rare"))
     key = ["phrase", "id", "field"]
     starts = F.transform("positions", lambda p: p - F.col("at"))
-    placed = words.join(each.join(rarest, "phrase"), "term").select(*key, "size", "n_tokens", (F.col("at") == F.col("rare")).alias("is_rare"), starts.alias("starts"))
+    placed = words.join(sent(written(each.join(rarest, "phrase"), "phrase-words")), "term").select(*key, "size", "n_tokens", (F.col("at") == F.col("rare")).alias("is_rare"), starts.alias("starts"))
     near = placed.join(placed.filter("is_rare").select(*key), key, "left_semi")
     met = near.groupBy(*key, "size", "n_tokens").agg(F.collect_list("starts").alias("all")).filter(F.size("all") == F.col("size"))
     found = F.aggregate(F.slice("all", 2, F.greatest(F.size("all") - 1, F.lit(1))), F.col("all")[0], F.array_intersect)
@@ -98,12 +106,13 @@ def asked_postings(index: Index, groups: DataFrame) -> DataFrame:
     is_phrase = F.instr("term", " ") > 0
     words = units.select(F.explode(F.split("term", " ")).alias("term")).distinct()
     near = pruned(index, words)
-    asked = near.term_stats.join(words, "term").select("term", "df")
-    rows = near.postings.select("term", "id", "field", "tf", "positions", "n_tokens").join(asked, "term")
+    asked = written(near.term_stats.join(sent(words), "term").select("term", "df"), "asked-terms")
+    rows = near.postings.select("term", "id", "field", "tf", "positions", "n_tokens").join(sent(asked), "term")
     phrases = units.filter(is_phrase)
     if phrases.isEmpty():  # a look at the queries, not at the index
         return rows
-    return rows.join(units.filter(~is_phrase), "term", "left_semi").unionByName(phrase_postings(rows, phrases))
+    rows = written(rows, "asked-postings")
+    return rows.join(sent(units.filter(~is_phrase)), "term", "left_semi").unionByName(phrase_postings(rows, phrases))
 
 
 def bm25(index: Index, groups: DataFrame, postings: DataFrame | None = None) -> DataFrame:
@@ -116,7 +125,7 @@ def bm25(index: Index, groups: DataFrame, postings: DataFrame | None = None) ->
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     gain = F.when(idf > 0, idf).otherwise(1e-6) * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("n_tokens") / F.col("avg_tokens")))
     scored = f.crossJoin(F.broadcast(index.totals)).select("term", "id", gain.alias("gain"))  # one row
-    return groups.select("query_id", "group_no", "term").join(scored, "term").groupBy("query_id", "id").agg((-F.sum("gain")).alias("rank"), F.count_distinct("group_no").alias("groups"))
+    return scored.join(sent(groups.select("query_id", "group_no", "term")), "term").groupBy("query_id", "id").agg((-F.sum("gain")).alias("rank"), F.count_distinct("group_no").alias("groups"))
 
 
 def top(hits: DataFrame, k: int, order: list[Column]) -> DataFrame:
@@ -145,7 +154,7 @@ def search_groups(index: Index, groups: DataFrame, k: int = 40, enough: int = 5,
     that sum the ranks, and the rest is done on these."""
     alone = F.max("alone") if "alone" in groups.columns else F.lit(False)
     wanted = groups.groupBy("query_id").agg(F.count_distinct("group_no").alias("wanted"), alone.alias("alone"))
-    found = bm25(index, groups, postings).join(wanted, "query_id").withColumn("rounded", F.round("rank", 9))
+    found = bm25(index, groups, postings).join(sent(wanted), "query_id").withColumn("rounded", F.round("rank", 9))
     both = found.withColumn("mode", F.explode(F.array(F.lit("and"), F.lit("or")))).filter((F.col("mode") == "or") | (F.col("groups") == F.col("wanted")))
     best = F.row_number().over(Window.partitionBy("query_id", "mode").orderBy("rounded", "id"))
     few = normalized(both.withColumn("pos", best).filter(F.col("pos") <= k), "query_id", "mode")
@@ -161,7 +170,7 @@ def matched_fields(index: Index, groups: DataFrame, hits: DataFrame, postings: D
     """``query_id, id, fields``: the fields of each hit that hold a term or phrase of the query, in field order."""
     order = F.create_map(*[F.lit(x) for i, f in enumerate(FIELD_WEIGHTS) for x in (f, i)])
     asked = asked_postings(index, groups) if postings is None else postings
-    rows = asked.select("term", "id", "field").join(groups.select("query_id", "term").distinct(), "term").join(hits.select("query_id", "id"), ["query_id", "id"], "left_semi")
+    rows = asked.select("term", "id", "field").join(sent(groups.select("query_id", "term").distinct()), "term").join(sent(hits.select("query_id", "id")), ["query_id", "id"], "left_semi")
     found = rows.groupBy("query_id", "id").agg(F.array_sort(F.collect_set(F.struct(F.element_at(order, F.col("field")).alias("no"), "field"))).alias("f"))
     return found.select("query_id", "id", F.transform("f", lambda x: x["field"]).alias("fields"))
 
@@ -203,7 +212,7 @@ def snippets(index: Index, hits: DataFrame, groups: DataFrame, width: int = 14,
     words = F.size(F.split("term", " "))
     spread = F.when(words == 1, F.col("positions")).otherwise(F.flatten(F.transform("positions", lambda p: F.sequence(p, p + words - 1))))
     terms = groups.select("query_id", "term").distinct()
-    at = asked.join(terms, "term").join(hits.select("query_id", "id"), ["query_id", "id"], "left_semi").select("query_id", "id", "field", F.explode(spread).alias("at")).distinct()
+    at = asked.join(sent(terms), "term").join(sent(hits.select("query_id", "id")), ["query_id", "id"], "left_semi").select("query_id", "id", "field", F.explode(spread).alias("at")).distinct()
     key = ["query_id", "id", "field"]
     ahead = Window.partitionBy(*key).orderBy("at").rangeBetween(0, width - 1)
     seen = at.withColumn("near", F.collect_list("at").over(ahead))
@@ -212,7 +221,8 @@ def snippets(index: Index, hits: DataFrame, groups: DataFrame, width: int = 14,
     marked = F.transform(F.slice("parts", start + 1, F.lit(width)), lambda x, i: F.when(F.array_contains("b.near", i + start), F.regexp_replace(x, r"^([\p{L}\p{N}]+)", "[[$1]]")).otherwise(x))
     text = F.trim(F.regexp_replace(F.array_join(marked, ""), r"\s+", " "))
     whole = F.concat(F.when(start > 0, "…").otherwise(""), text, F.when(start + width < F.size("parts"), "…").otherwise(""))
-    return best.join(index.parts, ["id", "field"]).select(*key, whole.alias("snippet"))
+    best = written(best, "windows")
+    return index.parts.join(sent(best), ["id", "field"]).select(*key, whole.alias("snippet"))
 
 
 def apply_filters(hits: DataFrame, items: DataFrame, queries: DataFrame, now: int) -> DataFrame:

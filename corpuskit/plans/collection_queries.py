@@ -353,7 +353,7 @@ def search_phrases(spark, sf_dir):
     """Words with synonyms, beginnings of words and phrases in one match, ranked together."""
     idx = search_queries.stored(spark, sf_dir)
     groups = tables.written(lexical.match_groups(phrased(spark, sf_dir), prefixes=idx), "groups")
-    return lexical.search_groups(idx, groups).withColumn("norm", F.round("norm", 6))
+    return lexical.search_groups(idx, groups, postings=lexical.asked_postings(idx, groups)).withColumn("norm", F.round("norm", 6))
 
 
 @query("phrase_evidence", f"""WITH {search_queries.INDEX}, {PHRASED}, o AS (SELECT * FROM (VALUES ('title', 0), ('extracted_text', 8), ('domain', 9), ('kind', 10)) t(field, no)),
