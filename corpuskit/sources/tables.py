@@ -64,7 +64,7 @@ def write_index(fields: DataFrame, path: str, buckets: int = BUCKETS, parts: boo
     Postings and term statistics lie by bucket of their term, so that a search reads the buckets of its terms only. A
     bucket is spread over ``SPREAD`` tasks by item, so that a frequent term is not one task's work, and sorted by term
     in each file. Places are delta-packed (Parquet's second format, without a dictionary)."""
-    raw = index_ops.postings_of(fields)
+    raw = index_ops.postings_of(spread_out(fields))
     bucket = F.when(F.col("term").isNull(), -1).otherwise(index_ops.bucket_of(F.col("term"), buckets)).cast("int")
     spread = F.pmod(F.xxhash64("id"), F.lit(SPREAD)).cast("int")
     dealt = raw.withColumn("bucket", bucket).repartition("bucket", spread).sortWithinPartitions("bucket", "term", "id")
@@ -78,9 +78,15 @@ def write_index(fields: DataFrame, path: str, buckets: int = BUCKETS, parts: boo
         write_parts(fields, path)
 
 
+def spread_out(df: DataFrame) -> DataFrame:
+    """``df`` over all cores: one that has fewer partitions, as a single file has, is dealt out row by row."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def write_parts(fields: DataFrame, path: str) -> None:
     """The texts of the index cut into tokens, for snippets."""
-    index_ops.parts_of(fields).write.mode("overwrite").parquet(f"{path}/parts")
+    index_ops.parts_of(spread_out(fields)).write.mode("overwrite").parquet(f"{path}/parts")
 
 
 def read_index(spark: SparkSession, path: str, buckets: int = BUCKETS, parts: bool = True) -> Index:
