@@ -160,7 +160,7 @@ SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 
 @query("hybrid_search", HYBRID)
 def hybrid_search(spark, sf_dir):
-    """Each benchmark text as a query: its first four words for the lexical leg, all of it as a hashed vector."""
+    """Each benchmark text as a query, its words for the lexical leg and as a hashed vector, against titles."""
     items = model.items(spark, sf_dir)
     idx = search_queries.stored(spark, sf_dir)
     q = model.queries(spark, sf_dir)

@@ -63,13 +63,13 @@ ITEMS = r"""items AS (
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``query_id, tokens``: the first four words of each benchmark text, distinct."""
-    words = F.slice(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)), 1, 4)
+    """``query_id, tokens``: the words of each benchmark text, distinct."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_distinct(words).alias("tokens"))
 
 
 QUERY_TOKENS = r"""q_tokens AS (
-  SELECT item_id AS query_id, unnest(list_distinct((regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))[1:4])) AS term FROM benchmark)"""
+  SELECT item_id AS query_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))) AS term FROM benchmark)"""
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
