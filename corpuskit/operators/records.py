@@ -120,3 +120,17 @@ def resolve_drops(drops: DataFrame, canonical) -> DataFrame:
     kept = kept.withColumn("key", F.when(is_url, canonical(F.trim("value")))).filter(~is_url | F.col("key").isNotNull())
     nth = F.row_number().over(Window.partitionBy("batch_id", "kind", F.coalesce("key", F.col("pos").cast("string"))).orderBy("pos"))
     return kept.withColumn("nth", nth).filter("nth = 1").select("batch_id", "kind", F.trim("value").alias("value"), F.when(is_file & drop_urls, F.col("first_url")).alias("source_url"))
+
+
+#: What of an item's metadata is searched.
+META_SCHEMA = "description string, siteName string, originalName string, sourceUrl string, headings array<string>, og struct<title: string, description: string, siteName: string>, repo struct<owner: string, name: string, description: string, language: string, topics: array<string>>, folder struct<extensions: map<string, string>>"
+
+
+def meta_text(metadata: Column) -> Column:
+    """The searched texts of a JSON metadata column, joined by blanks: the description, the names of site, file and
+    source, headings, what the page, the repository and the folder are. Broken JSON and other types give nothing."""
+    m = F.from_json(metadata, META_SCHEMA)
+    one = lambda *fields: [F.array(F.trim(m[f] if "." not in f else m[f.split(".")[0]][f.split(".")[1]])) for f in fields]
+    lists = [*one("description", "siteName", "originalName", "sourceUrl"), m["headings"], *one("og.title", "og.description", "og.siteName", "repo.owner", "repo.name", "repo.description", "repo.language"), m["repo"]["topics"], F.array_sort(F.map_keys(m["folder"]["extensions"]))]
+    none = F.array().cast("array<string>")
+    return F.array_join(F.filter(F.concat(*(F.coalesce(x, none) for x in lists)), lambda t: t.isNotNull() & (t != "")), " ")

@@ -20,6 +20,8 @@ AT_ONCE = 256
 PAIR_BLOCK, PAIR_ROWS = 4096, 512
 #: Tables of hyperplanes, hyperplanes of a table, and buckets of a table that a query looks into, the likeliest first.
 TABLES, BITS, PROBES, SEED = 12, 8, 16, 7
+#: Collections that most items are members of, at most.
+OWN_FEW = 8
 ROLE_WEIGHT = {"summary": 1.0, "body": 0.8}
 #: Texts that are hashed at once, and where the two hashes begin.
 HASH_ROWS, FNV_START, FNV_SIGN = 2048, 0x811C9DC5, 0x9747B28C
@@ -297,9 +299,16 @@ def collection_candidates(vectors: DataFrame, members: DataFrame, ids: DataFrame
     mine = members.select("collection_id", "item_id").distinct()
     asked = own.select(F.col("item_id").alias("query_id"), F.col("v").alias("vector"))
     targets = whole.select(F.col("collection_id").alias("item_id"), F.lit(0).alias("chunk"), F.lit("summary").alias("role"), F.col("centroid").alias("vector"))
-    # An item's own collections may stand among the first k + (their number): they are scored apart.
-    most = mine.groupBy("item_id").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
-    far = knn(targets, asked, k + most, True).select(F.col("query_id").alias("item_id"), F.col("item_id").alias("collection_id"), "cosine").join(mine, ["item_id", "collection_id"], "left_anti")
+    # An item's own collections may stand among the first k + (their number), and are scored apart. Most items are in a
+    # few: only those in more are asked for more, so that one popular item makes no rows for all others.
+    held = mine.groupBy("item_id").agg(F.count("*").alias("n"))
+    popular = held.filter(F.col("n") > OWN_FEW)
+    most = popular.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    near = lambda some, deep: knn(targets, some, k + deep, True).select(F.col("query_id").alias("item_id"), F.col("item_id").alias("collection_id"), "cosine")
+    ids = popular.select(F.col("item_id").alias("query_id"))
+    far = near(asked.join(ids, "query_id", "left_anti"), OWN_FEW)
+    far = far if not most else far.unionByName(near(asked.join(ids, "query_id", "left_semi"), most))
+    far = far.join(mine, ["item_id", "collection_id"], "left_anti")
     inside = own.join(mine, "item_id").join(whole.filter("n > 1").select("collection_id", "sum"), "collection_id")
     rest = F.zip_with("sum", "v", lambda s, x: s - x)
     close = inside.select("item_id", "collection_id", F.round(dot(F.col("v"), l2_normalize(rest)), 9).alias("cosine")).filter("cosine IS NOT NULL")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpuskit.functions.text import normalize_name, tokenize
-from corpuskit.operators import collections, fusion, index, lexical, linking, vectors, views
+from corpuskit.operators import collections, fusion, index, lexical, linking, records, vectors, views
 from corpuskit.operators import queries as understanding
 from corpuskit.plans import curation_queries, model, record_queries, search_queries
 from corpuskit.plans.catalog import query
@@ -63,16 +63,19 @@ def _signals(spark, sf_dir):
     v = model.vectors(spark, sf_dir).filter("role = 'summary'")
     near = vectors.knn(v, v.select(F.col("item_id").alias("query_id"), "vector"), 10, True, 0.3, True)
     close = near.select(F.col("query_id").alias("id"), F.col("item_id").alias("other"), F.lit(None).cast("string").alias("flag"), F.round("cosine", 6).alias("cosine"), no)
-    titled = items.select("id", F.lit(None).cast("string").alias("flag"), none, F.lit(True).alias("lexical"), F.when(F.col("id") % 2 == 0, F.col("id") + 1).otherwise(F.col("id") - 1).alias("other"))
+    bag = lexical.bag_candidates(search_queries.stored(spark, sf_dir), items.filter("NOT deleted").select("id", F.col("title").alias("text")))
+    titled = bag.select("id", "other", F.lit(None).cast("string").alias("flag"), none, F.lit(True).alias("lexical"))
     return batch.unionByName(linked).unionByName(close).unionByName(titled)
 
 
-CANDIDATES = f"""{model.ITEMS}, {model.EDGES}, {model.VECTORS}, {search_queries.KNN.replace('AND q.item_id % 20 = 0', 'AND c.role = q.role AND c.item_id <> q.item_id')},
+BAG = f"""bag AS (SELECT id AS query_id, unnest((list_filter(w, lambda t, i: length(t) >= 2 AND list_position(w, t) = i))[1:24]) AS term FROM (SELECT id, regexp_extract_all(lower(title), '{TOKENS.format()}') AS w FROM items WHERE NOT deleted)),
+bagged AS (SELECT query_id AS id, id AS other, row_number() OVER (PARTITION BY query_id ORDER BY round(rank, 9), id) AS pos FROM (SELECT b.query_id, g.id, -sum(gain) AS rank FROM bag b JOIN gain g ON g.term = b.term WHERE b.query_id <> g.id GROUP BY ALL) QUALIFY pos <= 10)"""
+CANDIDATES = f"""{search_queries.INDEX}, {BAG}, {model.EDGES}, {model.VECTORS}, {search_queries.KNN.replace('AND q.item_id % 20 = 0', 'AND c.role = q.role AND c.item_id <> q.item_id')},
 e AS (SELECT *, {MADE} AS made FROM edges), live AS (SELECT * FROM items WHERE NOT deleted),
 sig AS (SELECT a.id, b.id AS other, 'same_batch' AS flag, CAST(NULL AS DOUBLE) AS cosine, false AS lexical FROM live a JOIN live b ON a.batch_id = b.batch_id AND a.id <> b.id
   UNION ALL SELECT id, other, CASE made WHEN 'user' THEN 'user_related' ELSE 'already_related' END, NULL, false FROM (SELECT source_id AS id, target_id AS other, made FROM e UNION ALL SELECT target_id, source_id, made FROM e) WHERE id <> other
   UNION ALL SELECT query_id, item_id, NULL, round(cosine, 6), false FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS p FROM knn WHERE cosine >= 0.3) WHERE p <= 10
-  UNION ALL SELECT id, CASE WHEN id % 2 = 0 THEN id + 1 ELSE id - 1 END, NULL, NULL, true FROM items),
+  UNION ALL SELECT id, other, NULL, NULL, true FROM bagged),
 m AS (SELECT id, other, max(cosine) AS cosine, list_sort(list(DISTINCT flag) FILTER (flag IS NOT NULL)) AS flags, bool_or(lexical) AS lexical FROM sig GROUP BY id, other),
 r AS (SELECT m.id, m.other, m.cosine, coalesce(m.flags, []) AS flags, CASE WHEN a.lang = b.lang THEN 1 ELSE 0 END AS n_topics, CASE WHEN lower(a.kind) = lower(b.kind) THEN 1 ELSE 0 END AS n_entities, lexical FROM m JOIN items a ON a.id = m.id JOIN live b ON b.id = m.other),
 cand AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, other) AS pos FROM (SELECT *, round(coalesce(cosine, 0.0) + CASE WHEN lexical THEN 0.15 ELSE 0.0 END + 0.1 * n_entities + 0.05 * n_topics + CASE WHEN len(flags) > 0 THEN 0.1 ELSE 0.0 END, 9) AS score FROM (SELECT id, other, cosine, flags, lexical, CAST(n_entities AS DOUBLE) AS n_entities, CAST(n_topics AS DOUBLE) AS n_topics FROM r)) QUALIFY pos <= 18)"""
@@ -221,15 +224,42 @@ def known_facts(spark, sf_dir):
     return collections.known_facts(d.withColumnRenamed("doc_id", "id"), members, _made(spark, sf_dir), pairs, off)
 
 
-BAG = f"""bag AS (SELECT id AS query_id, unnest((list_filter(w, lambda t, i: length(t) >= 2 AND list_position(w, t) = i))[1:24]) AS term FROM (SELECT id, regexp_extract_all(lower(title), '{TOKENS.format()}') AS w FROM items WHERE NOT deleted))"""
-
-
-@query("bag_candidates", f"WITH {search_queries.INDEX}, {BAG}, f AS (SELECT b.query_id, g.id, -sum(gain) AS rank FROM bag b JOIN gain g ON g.term = b.term WHERE b.query_id <> g.id GROUP BY ALL) SELECT query_id AS id, id AS other, row_number() OVER (PARTITION BY query_id ORDER BY round(rank, 9), id) AS pos FROM f QUALIFY pos <= 10")
+@query("bag_candidates", f"WITH {search_queries.INDEX}, {BAG} SELECT id, other, pos FROM bagged")
 def bag_candidates(spark, sf_dir):
     idx = search_queries.stored(spark, sf_dir)
     return lexical.bag_candidates(idx, model.items(spark, sf_dir).filter("NOT deleted").select("id", F.col("title").alias("text")))
 
 
+@query("similar_live", f"""WITH {search_queries.INDEX}, {BAG}, {model.VECTORS}, {search_queries.KNN.split("knn AS")[0].rstrip().rstrip(",")}, live AS (SELECT id FROM items WHERE NOT deleted),
+k AS (SELECT q.item_id AS id, c.item_id AS other, round(list_dot_product(q.v, c.v), 9) AS cosine FROM u q JOIN u c ON q.role = 'summary' AND c.role = 'summary' AND c.item_id <> q.item_id JOIN live a ON a.id = q.item_id JOIN live b ON b.id = c.item_id WHERE q.item_id % 10 = 0)
+SELECT id, other, row_number() OVER (PARTITION BY id ORDER BY cosine DESC, other) AS pos, round(cosine, 6) AS cosine FROM k WHERE cosine >= 0.3 QUALIFY pos <= 10
+UNION ALL SELECT id, other, pos, NULL FROM bagged WHERE id % 10 = 0 AND id NOT IN (SELECT item_id FROM vectors WHERE role = 'summary')""")
+def similar_live(spark, sf_dir):
+    """Items like every tenth live one: by vector, or by the words of its title where it has none."""
+    items = model.items(spark, sf_dir)
+    ids = items.filter("NOT deleted AND id % 10 = 0")
+    bag = lexical.bag_candidates(search_queries.stored(spark, sf_dir), ids.select("id", F.col("title").alias("text")))
+    return vectors.similar_items(model.vectors(spark, sf_dir), items, ids, 10, 0.3, bag).withColumn("cosine", F.round("cosine", 6))
+
+
+@query("index_fields", r"""WITH f AS (SELECT doc_id AS id, unnest([{'field': 'title', 'text': left(text, 40)}, {'field': 'retrieval_hints', 'text': concat_ws(' ', lang, source)}, {'field': 'topics', 'text': coalesce(lang, '')}, {'field': 'entities', 'text': concat_ws(' ', 'Ada', source)}, {'field': 'understanding', 'text': left(text, 200)}, {'field': 'why_useful', 'text': CASE WHEN doc_id % 2 = 0 THEN 'to read again' END}, {'field': 'vision_text', 'text': CASE WHEN doc_id % 6 = 4 THEN 'a picture of ' || lang END},
+  {'field': 'meta_text', 'text': concat_ws(' ', 'About ' || lang, 'H one', 'H two', source, 'zig', 'md', 'py')}, {'field': 'extracted_text', 'text': text}, {'field': 'domain', 'text': source || '.example.org'}, {'field': 'kind', 'text': 'paper'}]) AS f FROM documents),
+t AS (SELECT id, f.field AS field, unnest(regexp_extract_all(lower(f.text), '[\p{L}\p{N}]+')) AS term FROM f WHERE f.text IS NOT NULL)
+SELECT field, term, count(*) AS n, count(DISTINCT id) AS items FROM t GROUP BY ALL""".replace("\\\\", "\\"))
+def index_fields(spark, sf_dir):
+    """All eleven fields of the index, lists and metadata among them."""
+    d, l = F.col("doc_id"), F.col("lang")
+    repo = F.struct(F.col("source").alias("owner"), F.array(F.lit("zig"), F.lit(None).cast("string")).alias("topics"))
+    folder = F.struct(F.create_map(F.lit("py"), F.lit(3), F.lit("md"), F.lit(1)).alias("extensions"))
+    about = F.struct(F.concat(F.lit(" About "), l).alias("description"), F.array(F.lit("H one"), F.lit("H two")).alias("headings"), repo.alias("repo"), folder.alias("folder"), d.alias("stars"))
+    items = model.table(spark, sf_dir, "documents").select(
+        d.alias("id"), F.substring("text", 1, 40).alias("title"), F.array("lang", "source").alias("retrieval_hints"), F.array("lang").alias("topics"), F.array(F.lit("Ada"), "source").alias("entities"), F.substring("text", 1, 200).alias("understanding"),
+        F.when(d % 2 == 0, "to read again").alias("why_useful"), F.when(d % 6 == 4, F.concat(F.lit("a picture of "), l)).alias("vision_text"), records.meta_text(F.to_json(about)).alias("meta_text"), F.col("text").alias("extracted_text"), F.concat("source", F.lit(".example.org")).alias("domain"), F.lit("paper").alias("kind"),
+    )
+    rows = index.postings_of(index.item_fields(items)).filter("term IS NOT NULL")
+    return rows.groupBy("field", "term").agg(F.sum("tf").alias("n"), F.count("*").alias("items"))
+
+
 @query("snippets", f"""WITH {search_queries.INDEX}, {model.QUERY_TOKENS}, {search_queries.LEX}, q AS (SELECT query_id, list(DISTINCT term) AS terms FROM q_tokens GROUP BY query_id),
 p AS (SELECT l.query_id, l.id, terms, regexp_extract_all(extracted_text, '[\\p{{L}}\\p{{N}}]+[^\\p{{L}}\\p{{N}}]*') AS parts FROM lex l JOIN q USING (query_id) JOIN items i ON i.id = l.id),
 w AS (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM p), m AS (SELECT * FROM w WHERE list_contains(terms, lower(regexp_extract(parts[i], '^[\\p{{L}}\\p{{N}}]+')))),

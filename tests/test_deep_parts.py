@@ -137,3 +137,32 @@ def test_names_of_any_number_of_words(spark):
         want = list(dict.fromkeys(m[1] for m in pattern.finditer(t) if len(m[1]) >= 3 and m[1].lower() not in analytics.KEYWORD_STOPWORDS))[:8]
         assert got.get(i, []) == want
     assert math.isclose(len(got[0][0]), 4 * 50_000 - 1)
+
+
+def test_meta_text(spark):
+    from corpuskit.operators.records import meta_text
+
+    rows = [('{"description": " d ", "headings": ["h1", "h2"], "repo": {"owner": "o", "stars": 3, "topics": ["t"]}, "folder": {"extensions": {"py": 2, "md": 1}}, "og": {"siteName": "s"}}',), ("{broken",), (None,), ('{"headings": "no list", "description": ""}',)]
+    assert [r.t for r in spark.createDataFrame(rows, "m string").select(meta_text(F.col("m")).alias("t")).collect()] == ["d h1 h2 s o t md py", "", "", ""]
+
+
+def test_items_of_many_collections(spark):
+    """An item in twelve collections is asked for deeper than the others, and gets as many others."""
+    rng = np.random.default_rng(8)
+    v = {i: rng.normal(size=6).tolist() for i in range(40)}
+    frame = spark.createDataFrame([(i, 0, "summary", x) for i, x in v.items()], "item_id long, chunk int, role string, vector array<double>")
+    rows = [(c, 0) for c in range(12)] + [(c, 1 + (c * 3 + k) % 39) for c in range(16) for k in range(3)]
+    members = spark.createDataFrame(sorted(set(rows)), "collection_id long, item_id long")
+    unit = lambda x: np.array(x) / np.linalg.norm(x)
+    want = {}
+    for i in v:
+        scored = []
+        for c in range(16):
+            others = [unit(v[m]) for cc, m in set(rows) if cc == c and m != i]
+            if others:
+                scored.append((-round(float(unit(v[i]) @ unit(sum(others))), 6), c))
+        want[i] = [c for _, c in sorted(scored)[:3]]
+    got = {}
+    for r in sorted(vectors.collection_candidates(frame, members, frame.select("item_id"), 3).collect(), key=lambda r: r.pos):
+        got.setdefault(r.item_id, []).append(r.collection_id)
+    assert got == want
