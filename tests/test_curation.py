@@ -128,7 +128,7 @@ def test_broken_json_and_shared_folder(spark):
 def test_batches_are_let_go(spark, tmp_path):
     """Complete, single, late, and past the gate, over several micro-batches."""
     minute = lambda n: f"2024-01-01 10:{n:02d}:00"
-    steps = [[(1, 1, 2, minute(0)), (2, 5, 1, minute(0)), (3, 7, 3, minute(1))], [(1, 2, 2, minute(2)), (1, 2, 2, minute(2))], [(1, 3, 2, minute(3)), (9, 9, 9, minute(40))], [(9, 8, 9, minute(41))]]
+    steps = [[(1, 1, 2, minute(0)), (2, 5, 1, minute(0)), (3, 7, 3, minute(1))], [(1, 2, 2, minute(1)), (1, 2, 2, minute(1))], [(1, 3, 2, minute(3)), (9, 9, 9, minute(40))], [(9, 8, 9, minute(41))]]
     out = []
     for i, rows in enumerate(steps):
         spark.createDataFrame(rows, "batch_id long, item_id long, size int, ts string").selectExpr("batch_id", "item_id", "size", "cast(ts AS timestamp) AS ts").coalesce(1).write.parquet(str(tmp_path / "in" / f"{i}"))
