@@ -82,7 +82,7 @@ def positions(docs: DataFrame) -> DataFrame:
 
 
 def _grouped(ids: pa.Array, fields: pa.Array) -> pa.RecordBatch:
-    """Postings of some items, those of an item and term side by side; for each item one without a term, its length."""
+    """The postings of some items in blocks by term; for each item one without a term, its length."""
     one = fields.flatten()
     name, lists = one.field("field"), one.field("tokens")
     field_row = np.repeat(np.arange(len(fields)), fields.value_lengths().to_numpy(zero_copy_only=False))
@@ -101,22 +101,40 @@ def _grouped(ids: pa.Array, fields: pa.Array) -> pa.RecordBatch:
     lead = np.ones(len(at), dtype=bool)
     lead[1:] = (code[at][1:] != code[at][:-1]) | (row[at][1:] != row[at][:-1])
     n, m = len(at), len(fields)
+    # Postings of one term side by side are a block; the lengths of all items are one more, without a term.
     edges = np.concatenate((at, np.full(m + 1, len(code)))).astype(np.int32)
     both = lambda a, b: pa.concat_arrays([a, b])
-    columns = [
-        both(words.dictionary.take(pa.array(code[at])), pa.nulls(m, words.dictionary.type)),
-        ids.take(pa.array(np.concatenate((row[at], np.arange(m))))),
-        both(name.take(pa.array(of[at])), pa.nulls(m, name.type)),
-        pa.array(np.concatenate((np.diff(np.append(at, len(code))), length))),
-        pa.ListArray.from_arrays(pa.array(edges), pa.array(place.astype(np.int32))),
-        pa.array(np.concatenate((length[row[at]], length))),
-        pa.array(np.concatenate((lead, np.zeros(m, bool)))),
-    ]
-    return pa.RecordBatch.from_arrays(columns, POSTING)
+    block = pa.StructArray.from_arrays(
+        [
+            ids.take(pa.array(np.concatenate((row[at], np.arange(m))))),
+            both(name.take(pa.array(of[at])), pa.nulls(m, name.type)),
+            pa.array(np.concatenate((np.diff(np.append(at, len(code))), length))),
+            pa.ListArray.from_arrays(pa.array(edges), pa.array(place.astype(np.int32))),
+            pa.array(np.concatenate((length[row[at]], length))),
+            pa.array(np.concatenate((lead, np.zeros(m, bool)))),
+        ],
+        POSTING[1:],
+    )
+    term = code[at]
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, n), bool), term[1:] != term[:-1])))
+    items = np.add.reduceat(lead, first, dtype=np.int64) if n else np.zeros(0, np.int64)
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate((first, [n, n + m])).astype(np.int32)), block)
+    return pa.RecordBatch.from_arrays([both(words.dictionary.take(pa.array(term[first])), pa.nulls(1, words.dictionary.type)), pa.array(np.append(items, 0)), lists], ["term", "n_items", "block"])
+
+
+def unpacked(blocks: DataFrame) -> DataFrame:
+    """A row for each posting of ``blocks``, other columns than the number of items as they were."""
+    kept = [c for c in blocks.columns if c not in ("n_items", "block")]
+    return blocks.select(*kept, F.explode("block").alias("p")).select(*kept, "p.*")
 
 
 def postings_of(fields: DataFrame) -> DataFrame:
     """Postings of ``id, fields``; and for each item a row without term, whose ``tf`` is the item's length."""
+    return unpacked(blocks_of(fields))
+
+
+def blocks_of(fields: DataFrame) -> DataFrame:
+    """``term, n_items, block``: the same by term for some items at a time, with how many of them have it."""
     tokens = F.transform("fields", lambda f: F.struct(f["field"].alias("field"), tokenize(f["text"]).alias("tokens")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,7 +150,7 @@ def postings_of(fields: DataFrame) -> DataFrame:
                 lo = hi
 
     kind = fields.schema["id"].dataType.simpleString()
-    schema = f"term string, id {kind}, field string, tf long, positions array<int>, n_tokens long, lead boolean"
+    schema = f"term string, n_items long, block array<struct<id: {kind}, field: string, tf: bigint, positions: array<int>, n_tokens: bigint, lead: boolean>>"
     return fields.select("id", tokens.alias("fields")).mapInArrow(run, schema)
 
 

@@ -61,19 +61,19 @@ def fingerprint(spark: SparkSession, *paths: str) -> str:
 def write_index(fields: DataFrame, path: str, buckets: int = BUCKETS, parts: bool = True) -> None:
     """The index of ``fields`` (``operators.index.item_fields``) at ``path``, each text tokenised once.
 
-    Postings and term statistics lie by bucket of their term, so that a search reads the buckets of its terms only. A
-    bucket is spread over ``SPREAD`` tasks by item, so that a frequent term is not one task's work, and sorted by term
+    Postings, in blocks of a term and some items, and term statistics lie by bucket of their term, so that a search reads the buckets of its terms only. A
+    bucket is spread over ``SPREAD`` tasks by block, so that a frequent term is not one task's work, and sorted by term
     in each file. Places are delta-packed (Parquet's second format, without a dictionary)."""
-    raw = index_ops.postings_of(spread_out(fields))
+    raw = index_ops.blocks_of(spread_out(fields))
     bucket = F.when(F.col("term").isNull(), -1).otherwise(index_ops.bucket_of(F.col("term"), buckets)).cast("int")
-    spread = F.pmod(F.xxhash64("id"), F.lit(SPREAD)).cast("int")
-    dealt = raw.withColumn("bucket", bucket).repartition("bucket", spread).sortWithinPartitions("bucket", "term", "id")
-    packed = {"parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary#positions.list.element": "false"}
+    spread = F.pmod(F.xxhash64(F.col("block")[0]["id"]), F.lit(SPREAD)).cast("int")
+    dealt = raw.withColumn("bucket", bucket).repartition("bucket", spread).sortWithinPartitions("bucket", "term")
+    packed = {"parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary#block.list.element.positions.list.element": "false"}
     dealt.write.options(**packed).partitionBy("bucket").parquet(f"{path}/postings")
     written = fields.sparkSession.read.parquet(f"{path}/postings")
-    stats = written.filter("bucket >= 0").groupBy("bucket", "term").agg(F.count_if("lead").alias("df"))
+    stats = written.filter("bucket >= 0").groupBy("bucket", "term").agg(F.sum("n_items").alias("df"))
     stats.repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/term_stats")
-    index_ops.totals_of(written.filter("bucket = -1").select(F.col("tf").alias("n_tokens"))).coalesce(1).write.parquet(f"{path}/totals")
+    index_ops.totals_of(index_ops.unpacked(written.filter("bucket = -1")).select(F.col("tf").alias("n_tokens"))).coalesce(1).write.parquet(f"{path}/totals")
     if parts:
         write_parts(fields, path)
 
@@ -92,8 +92,8 @@ def write_parts(fields: DataFrame, path: str) -> None:
 def read_index(spark: SparkSession, path: str, buckets: int = BUCKETS, parts: bool = True) -> Index:
     read = lambda name: spark.read.parquet(f"{path}/{name}")
     postings = read("postings")
-    doc_stats = postings.filter("bucket = -1").select("id", F.col("tf").alias("n_tokens"))
-    return Index(postings.filter("bucket >= 0"), doc_stats, read("term_stats"), read("totals"), buckets, read("parts") if parts else None)
+    doc_stats = index_ops.unpacked(postings.filter("bucket = -1")).select("id", F.col("tf").alias("n_tokens"))
+    return Index(index_ops.unpacked(postings.filter("bucket >= 0")), doc_stats, read("term_stats"), read("totals"), buckets, read("parts") if parts else None)
 
 
 def stored_index(fields: DataFrame, name: str = "index", parts: bool = True) -> Index:
