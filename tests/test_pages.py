@@ -21,6 +21,13 @@ def test_entities(spark):
     assert links == {"https://e.org/q?a=1&b=3&copy=2": 1}
 
 
+def test_escapes_want_their_semicolon(spark):
+    """A title that was cut within an escape keeps what is left of it, as the SQL has it."""
+    m, t, _ = facts(spark, "<title>a &amp; b &amp;&amp</title><p>&lt;x&gt; &ltimes; &lt and &nbsp &ampfoo; &#39 &#39; &#393; &copy 2 end.</p>")
+    assert m.title == "a & b &&amp"
+    assert t.text == "<x> ⋉ &lt and &nbsp &ampfoo; &#39 ' Ɖ © 2 end."
+
+
 def test_nested_furniture(spark):
     _, t, _ = facts(spark, "<header>One is a head.<nav>Two is a menu.</nav> Three is a head.</header><p>Four is text.</p><aside><nav>Five.<p>Six.</aside><p>Seven is text.</p><nav>Eight is left open.<p>Nine is text.</p>")
     assert t.text.split("\n") == ["Four is text.", "Seven is text.", "Eight is left open.", "Nine is text."]
