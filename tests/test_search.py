@@ -161,3 +161,19 @@ def test_whole_search_over_the_tables(spark, sf_dir):
     assert rows and all(r.pos <= 10 and r.snippet is not None or r.snippet is None for r in rows)
     asked = {r.query_id for r in collection_queries.raw_queries(spark, sf_dir).collect()}
     assert {r.query_id for r in rows} <= asked and len({(r.query_id, r.pos) for r in rows}) == len(rows)
+
+
+def test_bags_meet_items_without_a_row_a_pair(spark, items, idx, monkeypatch):
+    """The best others of every item are those of ``bm25`` over all pairs, in blocks of one item or of all."""
+    asks = items.filter("NOT deleted").select("id", F.coalesce("extracted_text", F.lit("Item")).alias("text"))
+    words = F.array_distinct(lexical.tokenize(F.col("text")))
+    groups = asks.select(F.col("id").alias("query_id"), F.posexplode(F.slice(words, 1, 24)).alias("group_no", "term")).filter("length(term) >= 2")
+    best = {}
+    for r in sorted(lexical.bm25(idx, groups).filter("query_id <> id").collect(), key=lambda r: (round(r["rank"], 9), r.id)):
+        best.setdefault(r.query_id, []).append(r.id)
+    want = {(q, o, i + 1) for q, others in best.items() for i, o in enumerate(others[:10])}
+    monkeypatch.setattr(lexical, "bm25", None)  # it gives a row a pair
+    for size, share in ((32_768, 1 / 16), (1, 2.0)):
+        monkeypatch.setattr(lexical, "ITEM_BLOCK", size)
+        monkeypatch.setattr(lexical, "COMMON", share)
+        assert {(r.id, r.other, r.pos) for r in lexical.bag_candidates(idx, asks).collect()} == want
