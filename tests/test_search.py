@@ -177,3 +177,17 @@ def test_bags_meet_items_without_a_row_a_pair(spark, items, idx, monkeypatch):
         monkeypatch.setattr(lexical, "ITEM_BLOCK", size)
         monkeypatch.setattr(lexical, "COMMON", share)
         assert {(r.id, r.other, r.pos) for r in lexical.bag_candidates(idx, asks).collect()} == want
+
+
+def test_index_blocks_do_not_travel(spark, items, monkeypatch):
+    """Postings are written by the task that made them; what is dealt by bucket are terms and counts."""
+    dealt, kind = [], type(items)
+    repartition = kind.repartition
+    monkeypatch.setattr(kind, "repartition", lambda self, *a: dealt.append(self.columns) or repartition(self, *a))
+    fields = index.item_fields(items)
+    idx = tables.stored_index(fields, "still", parts=False)
+    assert dealt and not any("block" in columns for columns in dealt)
+    want = index.build_index(index.index_docs(items))
+    for name in ("postings", "term_stats", "doc_stats", "totals"):
+        rows = lambda i: sorted(map(repr, getattr(i, name).select(getattr(want, name).columns).collect()))  # noqa: B023, E731
+        assert rows(idx) == rows(want)
