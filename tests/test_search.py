@@ -191,3 +191,33 @@ def test_index_blocks_do_not_travel(spark, items, monkeypatch):
     for name in ("postings", "term_stats", "doc_stats", "totals"):
         rows = lambda i: sorted(map(repr, getattr(i, name).select(getattr(want, name).columns).collect()))  # noqa: B023, E731
         assert rows(idx) == rows(want)
+
+
+def test_scores_are_summed_by_blocks_of_items(spark, idx, monkeypatch):
+    """A word of several groups, several words of a group, a word that no item has: by hand, in blocks of one item or all."""
+    rows = [(1, 0, "zebra"), (1, 1, "zebra"), (1, 1, "tent"), (1, 2, "unicorn"), (2, 0, "lantern"), (2, 0, "zebra"), (2, 1, "lamps"), (3, 0, "unicorn")]
+    groups = spark.createDataFrame(rows, "query_id long, group_no int, term string")
+    stats = {r.term: r.df for r in idx.term_stats.collect()}
+    n, avg = idx.totals.select("n_docs", "avg_tokens").first()
+    f, size = {}, {}
+    for r in idx.postings.collect():
+        f[r.term, r.id] = f.get((r.term, r.id), 0) + index.FIELD_WEIGHTS[r.field] * r.tf
+        size[r.id] = r.n_tokens
+    import math
+
+    def gain(t, i):
+        idf = math.log((n - stats[t] + 0.5) / (stats[t] + 0.5))
+        return (idf if idf > 0 else 1e-6) * f[t, i] * 2.2 / (f[t, i] + 1.2 * (0.25 + 0.75 * size[i] / avg))
+
+    want = {}
+    for q, g, t in rows:
+        for i in size:
+            if (t, i) in f:
+                score, matched = want.setdefault((q, i), [0.0, set()])
+                want[q, i] = [score - gain(t, i), matched | {g}]
+    want = {(*at, round(s, 8), len(m)) for at, (s, m) in want.items()}
+    for block in (8192, 1):
+        monkeypatch.setattr(lexical, "SCORE_BLOCK", block)
+        assert {(r.query_id, r.id, round(r["rank"], 8), r.groups) for r in lexical.bm25(idx, groups).collect()} == want
+        plan = lexical.search_groups(idx, groups)._jdf.queryExecution().optimizedPlan().toString()
+        assert "FlatMapCoGroupsInArrow" in plan and "Join Inner, (term" not in plan.split("FlatMapCoGroupsInArrow")[0]
