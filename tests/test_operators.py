@@ -148,3 +148,10 @@ def test_plans(spark):
     assert "WindowGroupLimit" in plan and "CartesianProduct" not in plan
     plan = linking.within_window(items, items)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
+def test_similar_names_of_copies(spark):
+    """Copies hang on the least id of their class, and classes are compared once: no pair of all copies."""
+    rows = [(i, ("Red Bolt small", "small, bolt RED", "the red bolt, small")[i % 3]) for i in range(3000)] + [(5000, "red bolt large small"), (5001, "Large small red bolt"), (5002, "other"), (5003, "the of"), (5004, None)]
+    got = sorted(map(tuple, linking.similar_names(spark.createDataFrame(rows, "id long, name string")).collect()))
+    assert got == [(0, i, 1.0) for i in range(1, 3000)] + [(0, 5000, 0.75), (5000, 5001, 1.0)]
