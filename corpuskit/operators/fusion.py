@@ -122,6 +122,21 @@ def semantic_search(vectors: DataFrame, queries: DataFrame, items: DataFrame, no
     return fuse(none, hits, items, asked, now, k, floor, vector_weight=1.0)
 
 
+def holding(texts: DataFrame, parts: DataFrame) -> DataFrame:
+    """``query_id, id``: the texts (``id, text``) that hold a part (``query_id, part``), letter by letter.
+
+    A word inside a part, neither its first nor its last, is a whole word of every text that holds it. Texts are looked
+    through for the longest such word of each part only, and the few that have one are compared; a part without such a
+    word is compared with all. The parts are sent to all tasks."""
+    words = tokenize(F.col("part"))
+    inner = F.transform(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))
+    asked = parts.filter("part IS NOT NULL").withColumn("word", F.array_max(inner)["w"])
+    one = asked.agg(F.collect_set("word").alias("asked"))
+    some = texts.crossJoin(F.broadcast(one)).select("id", "text", F.explode(F.array_intersect(tokenize(F.col("text")), F.col("asked"))).alias("word"))
+    met = some.join(F.broadcast(asked.filter("word IS NOT NULL")), "word").unionByName(texts.crossJoin(F.broadcast(asked.filter("word IS NULL"))).select("id", "text", "word", "query_id", "part"))
+    return met.filter(F.col("text").contains(F.col("part"))).select("query_id", "id").distinct()
+
+
 def evaluate(hits: DataFrame, judgements: DataFrame, k: int = 3) -> DataFrame:
     """``query_id, rank, hit, rr``: place of the first expected item (null: none), whether it is within ``k``, and its
     reciprocal. hits: ``query_id, id, pos``; judgements: ``query_id, id``."""

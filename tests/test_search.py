@@ -221,3 +221,11 @@ def test_scores_are_summed_by_blocks_of_items(spark, idx, monkeypatch):
         assert {(r.query_id, r.id, round(r["rank"], 8), r.groups) for r in lexical.bm25(idx, groups).collect()} == want
         plan = lexical.search_groups(idx, groups)._jdf.queryExecution().optimizedPlan().toString()
         assert "FlatMapCoGroupsInArrow" in plan and "Join Inner, (term" not in plan.split("FlatMapCoGroupsInArrow")[0]
+
+
+def test_holding(spark):
+    """Parts of one word, of none and of words that are cut at both ends, also where the second word is cut."""
+    texts = spark.createDataFrame([(1, "Then he lit the lamp. Again!"), (2, "THEN HE LIT THE LAMP"), (3, "..."), (4, None), (5, "unlamped")], "id long, text string")
+    parts = spark.createDataFrame([(1, "en he lit th"), (2, "lamp"), (3, ".."), (4, "Then he li"), (5, "d he"), (6, ""), (7, None)], "query_id long, part string")
+    got = {tuple(r) for r in fusion.holding(texts, parts).collect()}
+    assert got == {(1, 1), (2, 1), (2, 5), (3, 3), (4, 1), *((6, i) for i in (1, 2, 3, 5))}
