@@ -107,6 +107,25 @@ def test_new_collections_fold_within_their_plan(spark):
     assert sum(r.into_proposal is not None for r in got.values()) > 10
 
 
+def test_copies_of_a_new_collection_meet_its_first(spark):
+    """Names are cut into words before they are joined, the copies of one are no pairs, and a plan is more than a batch."""
+    long = "A description of what it is for, long enough to pass"
+    plan = [(n, n % 2, ("Same Garden Plans", "garden, same plans!")[n // 2 % 2], long, 0.9) for n in range(300)] + [(300, 0, "Garden Plans Same Notes", long, 0.9), (301, 0, "Quite Other Theory", long, 0.9), (302, 1, "...", long, 0.9)]
+    frame = spark.createDataFrame(plan, "proposal_id long, plan_id long, name string, description string, confidence double")
+    members = spark.createDataFrame([(p[0], i) for p in plan for i in (1, 2)], "proposal_id long, item_id long")
+    items = spark.createDataFrame([(1, False), (2, False)], "id long, deleted boolean")
+    none = spark.createDataFrame([], "name_key string, item_id long"), spark.createDataFrame([(1, None), (2, "..."), (3, "the of")], "collection_id long, name string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        found = collections.validate_collections(frame, members, none[1], items, none[0])
+        got = {r.proposal_id: (r.reason, r.into_proposal) for r in found.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {**{n: ("folded", n % 2) for n in range(2, 301)}, 0: (None, None), 1: (None, None), 301: (None, None), 302: ("empty", None)}
+    joins = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
+    assert joins and not any("regexp" in line for line in joins) and "FlatMapGroupsInPandas" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_records_over_lines(spark):
     text = 'name,note,n\r\na,"first\nsecond, with ""quotes""",1\n\nb,plain,2\n"c\n\nd",,3\n'
     whole = spark.createDataFrame([("p", text), ("q", "a;b\n1;2\n"), ("open", 'x,y\n1,"never closed\n2,3\n'), ("none", None), ("empty", "")], "path string, text string")
