@@ -229,3 +229,27 @@ def test_holding(spark):
     parts = spark.createDataFrame([(1, "en he lit th"), (2, "lamp"), (3, ".."), (4, "Then he li"), (5, "d he"), (6, ""), (7, None)], "query_id long, part string")
     got = {tuple(r) for r in fusion.holding(texts, parts).collect()}
     assert got == {(1, 1), (2, 1), (2, 5), (3, 3), (4, 1), *((6, i) for i in (1, 2, 3, 5))}
+
+
+def test_long_texts_come_to_python_in_pieces(spark, monkeypatch):
+    """No row that Python gets grows with a text, and postings are whole however pieces and groups of tokens are cut."""
+    long = " ".join(f"w{i % 300}" for i in range(5000))
+    rows = [(1, [("title", "a b a"), ("domain", "")]), (2, []), (3, [("extracted_text", long), ("title", "w7 end")]), (4, [("title", None), ("kind", "zed")]), (5, [("title", long)])]
+    fields = spark.createDataFrame(rows, "id long, fields array<struct<field: string, text: string>>").coalesce(1)
+    want = {}
+    for i, fs in rows:
+        for field, text in fs:
+            for at, t in enumerate((text or "").split()):
+                want.setdefault((t, i, field), []).append(at)
+    size = {i: sum(len((t or "").split()) for _, t in fs) for i, fs in rows}
+    given, kind = [], type(fields)
+    arrow = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, *a, **k: given.append(self) or arrow(self, *a, **k))
+    for at_once in (500_000, 300, 1):
+        monkeypatch.setattr(index, "TOKENS_AT_ONCE", at_once)
+        got = index.postings_of(fields).collect()
+        assert {(r.term, r.id, r.field): r.positions for r in got if r.term is not None} == want
+        assert sorted((r.id, r.tf) for r in got if r.term is None) == sorted(size.items())
+        assert all(r.n_tokens == size[r.id] for r in got)
+        assert sorted((r.term, r.id) for r in got if r.lead and r.term is not None) == sorted({(t, i) for t, i, _ in want})
+    assert given and all(g.select(F.max(F.length(F.to_json(F.struct(*g.columns))))).first()[0] < 4000 for g in given)
