@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import re
 import sqlite3
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from corpuskit.functions import text as T
 from corpuskit.operators import curation, fusion, index, lexical, lifecycle, linking, preparation, vectors
+from corpuskit.plans import registry
 
 
 def one(spark, column, value="x", kind="string"):
@@ -155,3 +157,20 @@ def test_similar_names_of_copies(spark):
     rows = [(i, ("Red Bolt small", "small, bolt RED", "the red bolt, small")[i % 3]) for i in range(3000)] + [(5000, "red bolt large small"), (5001, "Large small red bolt"), (5002, "other"), (5003, "the of"), (5004, None)]
     got = sorted(map(tuple, linking.similar_names(spark.createDataFrame(rows, "id long, name string")).collect()))
     assert got == [(0, i, 1.0) for i in range(1, 3000)] + [(0, 5000, 0.75), (5000, 5001, 1.0)]
+
+
+def test_similar_names_of_all_pairs(spark):
+    """Every pair of alike names is given, those of copies and of equal ids too, as brute force finds them."""
+    names = ["red bolt small", "small, bolt RED", "the red bolt", "red bolt large small", "blue nut", "nut blue big", "the of", None, "red nut"]
+    rows = [(i, names[i % len(names)]) for i in range(120)] + [(5, "red bolt"), (None, "red bolt"), (700, "zinc")] + [(i, "zinc") for i in range(1000, 1700)]
+    sets = [(i, frozenset(re.findall(r"\w+", (n or "").lower())) - set(linking.NAME_STOPWORDS)) for i, n in rows if i is not None]
+    want = Counter((a, b, round(len(x & y) / len(x | y), 9)) for a, x in sets for b, y in sets if a < b and x and y and len(x & y) >= 0.6 * len(x | y))
+    got = linking.similar_names(spark.createDataFrame(rows, "id long, name string"), every=True).collect()
+    assert Counter((r.a, r.b, round(r.similarity, 9)) for r in got) == want
+
+
+def test_query_of_similar_names_gives_pairs_of_copies(spark, tmp_path):
+    rows = [(i, "Red Bolt", "SMALL TIN", "Brand 7") for i in range(4)] + [(9, "Red Bolt", "LARGE TIN", "Brand 7")]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_type string, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    got = sorted((r.a, r.b) for r in registry.queries()["similar_names"](spark, str(tmp_path)).collect())
+    assert got == [(a, b) for a in (0, 1, 2, 3) for b in (1, 2, 3, 9) if a < b]
