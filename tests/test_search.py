@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 import sqlite3
 
@@ -253,3 +254,29 @@ def test_long_texts_come_to_python_in_pieces(spark, monkeypatch):
         assert all(r.n_tokens == size[r.id] for r in got)
         assert sorted((r.term, r.id) for r in got if r.lead and r.term is not None) == sorted({(t, i) for t, i, _ in want})
     assert given and all(g.select(F.max(F.length(F.to_json(F.struct(*g.columns))))).first()[0] < 4000 for g in given)
+
+
+def test_bags_hold_only_their_best(spark, monkeypatch):
+    """Words that are left out, looked up later or kept for all items of a block: the best are those of all pairs. No bag
+    travels once a block, and no other row than the best leaves a task."""
+    draw = random.Random(7)
+    words = [f"w{i}" for i in range(80)]
+    texts = [(f"i{i:03d}", " ".join(draw.choices(words, [1 / (j + 1) for j in range(80)], k=draw.randint(0, 12)))) for i in range(300)]
+    texts += [(f"j{i:03d}", texts[i][1]) for i in range(0, 300, 9)]
+    items = spark.createDataFrame(texts, "id string, title string")
+    idx = tables.stored_index(index.item_fields(items), "bags", parts=False)
+    bags = spark.createDataFrame([(i, sorted(set(t.split()))) for i, t in texts if t], "bag string, words array<string>")
+    best = {}
+    groups = bags.select(F.col("bag").alias("query_id"), F.posexplode("words").alias("group_no", "term"))
+    for r in sorted(lexical.bm25(idx, groups).collect(), key=lambda r: (round(r["rank"], 9), r.id)):
+        best.setdefault(r.query_id, []).append((r.id, round(r["rank"], 7)))
+    for block, share, cells, rows in ((64, 1 / 16, 1 << 20, 1000), (16, 1 / 4, 40, 50), (300, 2.0, 1, 7)):
+        for name, value in (("ITEM_BLOCK", block), ("COMMON", share), ("CELLS", cells), ("PACKED_ROWS", rows)):
+            monkeypatch.setattr(lexical, name, value)
+        found = lexical.best_of_bags(idx, bags, 4)
+        got = {}
+        for r in sorted(found.collect(), key=lambda r: (r.bag, round(r["rank"], 9), r.id)):
+            got.setdefault(r.bag, []).append((r.id, round(r["rank"], 7)))
+        assert got == {b: x[:4] for b, x in best.items()}
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "CoGroup" not in plan and "Window" not in plan
