@@ -280,3 +280,30 @@ def test_bags_hold_only_their_best(spark, monkeypatch):
         assert got == {b: x[:4] for b, x in best.items()}
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert "CoGroup" not in plan and "Window" not in plan
+
+
+def test_phrases_meet_packed_blocks(spark, monkeypatch):
+    """Phrases with a word twice, with words that no item has, and over blocks of any size, as brute force finds them; no
+    list of places is dealt by phrase, and blocks get only what queries ask of the words that they have."""
+    draw = random.Random(3)
+    rows = [(i, " ".join(draw.choices("abcd", k=draw.randint(0, 30))), draw.choice("ab")) for i in range(90)]
+    idx = tables.stored_index(index.item_fields(spark.createDataFrame(rows, "id long, extracted_text string, title string")), "phrased", parts=False)
+    phrases = [["a", "b"], ["a", "a", "b"], ["c", "d", "a", "b"], ["d"], ["a", "z"], ["z"], ["b", "a", "b", "a"], ["d", "d"]]
+    want = {}
+    for q, p in enumerate(phrases):
+        for i, *texts in rows:
+            for field, t in zip(("extracted_text", "title"), texts, strict=True):
+                t = t.split()
+                if n := sum(t[j : j + len(p)] == p for j in range(len(t) - len(p) + 1)):
+                    want[q, i, field] = n
+    asked = spark.createDataFrame(list(enumerate(phrases)), "query_id long, tokens array<string>")
+    groups = asked.select("query_id", F.lit(0).alias("group_no"), F.array_join("tokens", " ").alias("term"))
+    for block, packed in ((8192, 1000), (15, 11)):
+        monkeypatch.setattr(lexical, "SCORE_BLOCK", block)
+        monkeypatch.setattr(lexical, "PACKED_ROWS", packed)
+        found = lexical.phrase_match(idx, asked)
+        assert {(r.query_id, r.id, r.field): r.n for r in found.collect()} == want
+        assert "collect_list" not in found._jdf.queryExecution().optimizedPlan().toString()
+    hits = lexical.search_groups(idx, groups)
+    assert {(r.query_id, r.id) for r in hits.collect()} <= {k[:2] for k in want}
+    assert "sequence(" not in hits._jdf.queryExecution().optimizedPlan().toString()
