@@ -174,3 +174,21 @@ def test_query_of_similar_names_gives_pairs_of_copies(spark, tmp_path):
     spark.createDataFrame(rows, "p_partkey long, p_name string, p_type string, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
     got = sorted((r.a, r.b) for r in registry.queries()["similar_names"](spark, str(tmp_path)).collect())
     assert got == [(a, b) for a in (0, 1, 2, 3) for b in (1, 2, 3, 9) if a < b]
+
+
+def test_best_of_a_block_in_bounded_memory():
+    """What one block of vectors holds for its queries besides themselves: a few copies of the cosines of ``AT_ONCE``."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    draw, n, dims = np.random.default_rng(1), vectors.VECTOR_BLOCK, 8
+    rows = lambda m: pa.FixedSizeListArray.from_arrays(pa.array(draw.normal(size=m * dims)), dims).cast(pa.list_(pa.float64()))
+    asked = pa.table({"query_id": pa.array(range(300)), "q": rows(300)})
+    given = pa.table({"item_id": pa.array(range(n)), "weight": pa.array(np.ones(n)), "v": rows(n)})
+    tracemalloc.start()
+    found = vectors._best(asked, given, 10, 0.3, True)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 3000 and peak < 100e6, peak
